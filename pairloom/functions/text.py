@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,26 +52,39 @@ def round_half_even(c: Column, digits: int = 0) -> Column:
         raise ValueError("digits must be between 0 and 4")
     step = 10**digits
     half, mask = 2**30, F.lit(2**31 - 1)
-    x = F.abs(c.cast("double"))
-    whole = F.floor(x).cast("long")
-    bits = ((x - whole) * F.lit(float(2**62))).cast("long")
-    low = bits.bitwiseAND(mask) * step
-    high = F.shiftright(bits, 31) * step + F.shiftright(low, 31)
-    rest, dust = high.bitwiseAND(mask), low.bitwiseAND(mask)
-    units = whole * step + F.shiftright(high, 31)
-    up = (rest > half) | ((rest == half) & ((dust > 0) | (units % 2 == 1)))
-    rounded = (units + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(step))
+
+    def parts(x: Column) -> Column:
+        whole = F.floor(x).cast("long")
+        return F.struct(whole.alias("whole"), ((x - whole) * F.lit(float(2**62))).cast("long").alias("bits"))
+
+    def scaled(p: Column) -> Column:
+        low = p["bits"].bitwiseAND(mask) * step
+        high = F.shiftright(p["bits"], 31) * step + F.shiftright(low, 31)
+        units = p["whole"] * step + F.shiftright(high, 31)
+        return F.struct(units.alias("units"), high.bitwiseAND(mask).alias("rest"), low.bitwiseAND(mask).alias("dust"))
+
+    def settled(p: Column) -> Column:
+        up = (p["rest"] > half) | ((p["rest"] == half) & ((p["dust"] > 0) | (p["units"] % 2 == 1)))
+        return (p["units"] + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(step))
+
+    rounded = named(named(named(F.abs(c.cast("double")), parts), scaled), settled)
     return F.when(c < 0, -rounded).otherwise(rounded)
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def human_bytes(c: Column) -> Column:
     """A byte count as short text, e.g. `12.5 GB`."""
+    units = ("B", "KB", "MB", "GB", "TB")
     size = c.cast("double")
-    out = F.format_string("%.1f TB", round_half_even(size / F.lit(float(1024**4)), 1))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        scaled = size / F.lit(float(1024**power))
-        out = F.when(scaled < 1024, F.format_string(f"%.1f {unit}", round_half_even(scaled, 1))).otherwise(out)
-    return out
+    power = F.lit(len(units) - 1)
+    for p in reversed(range(len(units) - 1)):
+        power = F.when(size < float(1024 ** (p + 1)), p).otherwise(power)
+    return named(power, lambda p: F.format_string(
+        "%.1f %s", round_half_even(size / F.pow(F.lit(1024.0), p), 1), F.array(*map(F.lit, units))[p]))
 
 
 def training_progress(step: Column, total: Column) -> Column:
@@ -97,14 +112,19 @@ def caption_from_path(path: Column) -> Column:
     return F.translate(file_stem(path), "_-", "  ")
 
 
+def micros(t: Column) -> Column:
+    """A time as microseconds; ISO text and timestamps without a zone are read in the session's zone."""
+    return F.unix_micros(t.cast("timestamp"))
+
+
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Elapsed seconds with the fraction kept."""
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
+    return (micros(later) - micros(earlier)) / F.lit(1e6)
 
 
 def ttl_remaining(uploaded_at: Column, now: Column, ttl_hours: float) -> Column:
     """Whole seconds left before an upload expires, never negative."""
-    left = F.unix_micros(uploaded_at) + F.lit(int(ttl_hours * 3_600_000_000)) - F.unix_micros(now)
+    left = micros(uploaded_at) + F.lit(int(ttl_hours * 3_600_000_000)) - micros(now)
     return F.greatest(F.lit(0), left / F.lit(1_000_000)).cast("long")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.functions.text import file_stem, json_field
+from pairloom.functions.text import file_stem, json_field, micros
 from pairloom.operators.order import SMALL, kth_smallest, running_before
 
 # The configuration fields a job listing shows, and the state fields an update may clear.
@@ -37,7 +37,7 @@ def list_runs(runs: DataFrame, status: str | None = None, limit: int = 100, offs
     """
     rows = runs.where(F.col("status") == status) if status else runs
     if offset + limit > SMALL:
-        age = -F.unix_micros(F.to_timestamp(F.col(created)))
+        age = -micros(F.col(created))
         first, last = (kth_smallest(rows, age, k) for k in (offset + 1, offset + limit))
         if first is None:
             return rows.where(F.lit(False))
