@@ -12,7 +12,7 @@ from pairloom.operators.order import number_rows
 from pairloom.operators.vision import (build_manifest, caption_messages, parse_object, preview_manifest, read_lines,
                                        read_manifest)
 from pairloom.session import scratch_path
-from pairloom.sources.read import read_file, read_named, read_source, stream_named, with_lineage
+from pairloom.sources.read import read_file, read_named, read_source, stream_named
 from pairloom.sources.write import write_splits
 from pairloom.operators.split import split
 from pairloom.streaming.progress import drop_repeats
@@ -83,7 +83,7 @@ def read_named_bounded(spark, d):
 
 @query("source_lineage", "SELECT 'documents.parquet' AS file, count(*) AS rows FROM documents")
 def source_lineage(spark, d):
-    read = with_lineage(read_file(spark, f"{d}/documents.parquet"))
+    read = read_file(spark, f"{d}/documents.parquet", lineage=True)
     return read.groupBy(F.regexp_extract("_file", "[^/]+$", 0).alias("file")).agg(F.count("*").alias("rows"))
 
 
@@ -157,7 +157,7 @@ SELECT (SELECT count(*) FROM documents) AS total_before, count(*) AS total_after
 def manifest_edit_report(spark, d):
     edits, deletes = _edits(spark, d)
     lines = read_lines(spark, _manifest(spark, d))
-    return edit_report(lines, apply_edits(lines, edits, deletes), deletes)
+    return edit_report(lines, edits, deletes)
 
 
 @query("edit_rows", """

@@ -85,7 +85,8 @@ def deduplicate(df: DataFrame, strategy: str = "prompt_chosen", keep: str = "fir
         raise ValueError("keep is 'first' or 'last'")
     key = dedup_key(df, strategy, compat, ord)
     repeats = cut_lineage(repeated_keys(df, key, keep, ord).select("_key", "_keep"))
-    if repeats.limit(broadcast_keys + 1).count() <= broadcast_keys:
+    few = repeats.limit(broadcast_keys + 1).count() <= broadcast_keys
+    if few:
         return (df.withColumn("_key", key).join(F.broadcast(repeats), "_key", "left")
                 .where(F.col("_keep").isNull() | (F.col(ord) == F.col("_keep"))).drop("_key", "_keep"))
     pick = F.min_by if keep == "first" else F.max_by

@@ -48,12 +48,17 @@ def apply_edits(lines: DataFrame, edits: DataFrame, deletes: DataFrame, caption_
             .drop("_new"))
 
 
-def edit_report(lines: DataFrame, edited: DataFrame, deletes: DataFrame) -> DataFrame:
+def edit_report(lines: DataFrame, edits: DataFrame, deletes: DataFrame) -> DataFrame:
     """One row: lines before and after, edited lines, listed deletions."""
-    spark = lines.sparkSession
-    counts = [lines.count(), *edited.agg(F.count("*"), F.count_if("edited")).first(),
-              deletes.select("row_index").distinct().count()]
-    return spark.createDataFrame([tuple(counts)], "total_before long, total_after long, edited long, deleted long")
+    gone = deletes.select("row_index").distinct()
+    marked = (lines.join(gone.withColumn("_gone", F.lit(True)), "row_index", "left")
+              .join(edits.select("row_index", F.lit(True).alias("_hit")), "row_index", "left"))
+    stays = F.col("_gone").isNull()
+    changed = stays & F.col("_hit").isNotNull() & parse_object(F.col("line")).isNotNull()
+    seen = marked.select(F.lit(1).alias("b"), stays.cast("int").alias("a"), changed.cast("int").alias("e"), F.lit(0).alias("d"))
+    listed = gone.select(F.lit(0), F.lit(0), F.lit(0), F.lit(1))
+    names = {"b": "total_before", "a": "total_after", "e": "edited", "d": "deleted"}
+    return seen.unionAll(listed).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(v) for k, v in names.items()])
 
 
 def rewrite_manifest(spark: SparkSession, path: str, out_path: str, edits: DataFrame, deletes: DataFrame,
@@ -62,4 +67,4 @@ def rewrite_manifest(spark: SparkSession, path: str, out_path: str, edits: DataF
     lines = read_lines(spark, path)
     edited = apply_edits(lines, edits, deletes, caption_column)
     edited.orderBy("row_index").select("line").write.mode("errorifexists").text(out_path)
-    return edit_report(lines, edited, deletes)
+    return edit_report(lines, edits, deletes)

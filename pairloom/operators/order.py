@@ -101,22 +101,18 @@ def running_before(df: DataFrame, value: Column, keys: Sequence[str], ord: str,
     """`fold` (F.max or F.sum) of `value` over the rows of the same keys with a smaller ordinal.
 
     A key's rows are cut into blocks of `block` ordinals, so a key holding most of the table is
-    still spread over many tasks: blocks are summed up first, their running value is carried in,
-    and only a block is ever sorted at once.
+    still spread over many tasks: blocks are folded first, the value carried into each block joins
+    its rows as one more row in front, and only a block is ever sorted at once.
     """
-    blocked = df.withColumns({"_value": value, "_block": F.expr(f"`{ord}` div {block}L")})
-    totals = blocked.groupBy(*keys, "_block").agg(fold(F.col("_value")).alias("_total"))
+    rows = df.withColumns({"_value": value, "_block": F.expr(f"`{ord}` div {block}L"), "_carry": F.lit(False)})
+    totals = rows.groupBy(*keys, "_block").agg(fold(F.col("_value")).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_block", fold(F.col("_total")).over(earlier).alias("_carried"))
-    match = F.lit(True)
-    for name in (*keys, "_block"):
-        match = match & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    joined = (blocked.alias("l").join(carried.alias("r"), match)
-              .select("l.*", "r._carried"))
-    within = Window.partitionBy(*keys, "_block").orderBy(ord).rowsBetween(Window.unboundedPreceding, -1)
-    here = fold(F.col("_value")).over(within)
+    carried = (totals.select(*keys, "_block", fold(F.col("_total")).over(earlier).alias("_value"))
+               .where(F.col("_value").isNotNull()).withColumn("_carry", F.lit(True)))
+    within = (Window.partitionBy(*keys, "_block").orderBy(F.col("_carry").desc(), ord)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    before = fold(F.col("_value")).over(within)
     if fold is F.sum:
-        both = F.coalesce(F.col("_carried"), F.lit(0)) + F.coalesce(here, F.lit(0))
-    else:
-        both = F.greatest(F.col("_carried"), here)
-    return joined.withColumn(into, both).drop("_value", "_block", "_carried")
+        before = F.coalesce(before, F.lit(0))
+    return (rows.unionByName(carried, allowMissingColumns=True).withColumn(into, before)
+            .where(~F.col("_carry")).drop("_value", "_block", "_carry"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from pairloom.functions.text import checkpoint_step, file_name, human_bytes, round_half_even, seconds_between
 from pairloom.operators.order import ORD, number_rows, running_before
+from pairloom.session import cut_lineage, small_side
 
 # Statuses of unfinished runs, statuses whose leftovers may go, and file name lists per category.
 ACTIVE = ("queued", "initializing", "loading_model", "loading_dataset", "training", "running")
@@ -225,35 +226,49 @@ def unique_names(files: DataFrame, name: str = "name", ord: str = ORD, into: str
     name shared by most rows is spread over tasks. Only families in which a given name looks like a
     numbered copy of a repeated one are settled name by name.
     """
-    rows = running_before(files, F.lit(1), [name], ord, "_before", F.sum, block)
-    names = files.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"), F.min(ord).alias("first"))
-    stem, number = F.regexp_extract("name", NUMBERED, 1), F.regexp_extract("name", NUMBERED, 2)
-    ending = F.regexp_extract("name", NUMBERED, 3)
-    look = names.where(number != "").select("name", "first", F.concat(stem, ending).alias("parent"),
-                                            number.cast("long").alias("number"))
-    pairs = look.join(names.select(F.col("name").alias("parent")), "parent")
-    root = F.regexp_replace("name", r"(_([2-9]|[1-9][0-9]{1,8}))+(?=(\.[^.]*)?$)", "")
-    # A family matters when it has a pair and a name that occurs more than once.
-    mixed = (names.join(pairs.select("name", F.lit(True).alias("_pair")), "name", "left")
-             .groupBy(root.alias("root")).agg(F.max("n").alias("most"), F.max("_pair").alias("paired"))
-             .where("most > 1 AND paired").select("root"))
-    contested = pairs.withColumn("root", root).join(mixed, "root", "left_semi")
-    marks = (files.select(F.col(name).alias("parent"), F.col(ord).alias("at"), F.lit(1).alias("one"), F.lit(None).cast("string").alias("child"))
-             .join(contested.select("parent").distinct(), "parent", "left_semi")
-             .unionByName(contested.select("parent", F.col("first").alias("at"), F.lit(0).alias("one"), F.col("name").alias("child"))))
-    ahead = (running_before(marks, F.col("one"), ["parent"], "at", "ahead", F.sum, block)
-             .where(F.col("child").isNotNull()).select(F.col("child").alias("name"), "ahead"))
-    members = (names.withColumn("root", root).join(mixed, "root", "left_semi")
-               .join(pairs.select("name", "parent", "number"), "name", "left").join(ahead, "name", "left")
-               .select("root", "name", "parent", "number", "ahead"))
-    settled = (members.groupBy("root").applyInPandas(
-        lambda family: _settle_family(family), "name string, own boolean, taken array<bigint>")
-        .select(F.col("name").alias(name), "own", "taken"))
-    copies = F.col("_before") + F.when(F.coalesce(F.col("own"), F.lit(True)), 0).otherwise(1)   # 0 keeps the name
-    # The j-th skipped number r lies behind r - j - 1 free ones.
+    rows = running_before(files, F.lit(1), [name], ord, "_copies", F.sum, block)   # 0 keeps the name
+    contested, members = _contested_names(files, name, ord)
+    if contested.isEmpty():
+        return rows.withColumn(into, F.when(F.col("_copies") == 0, F.col(name))
+                               .otherwise(_numbered(F.col(name), F.col("_copies") + 1))).drop("_copies")
+    ahead = _rows_ahead(files.select(F.col(name).alias("parent"), F.col(ord).alias("at")), contested, block)
+    family = members.join(ahead, "name", "left").select("root", "name", "parent", "number", "ahead")
+    settled = (family.groupBy("root").applyInPandas(_settle_family, "name string, own boolean, taken array<bigint>")
+               .select(F.col("name").alias(name), "own", "taken"))
+    copies = F.col("_copies") + F.when(F.coalesce(F.col("own"), F.lit(True)), 0).otherwise(1)
+    # The j-th skipped number r (j from 0) has r - j - 2 free ones in front of it.
     free_ahead = F.transform(F.coalesce(F.col("taken"), F.array().cast("array<bigint>")), lambda r, j: r - j - 2)
     skipped = F.size(F.filter(free_ahead, lambda f: f < F.col("_copies")))
-    return (rows.join(settled, name, "left").withColumn("_copies", copies)
+    return (rows.join(small_side(settled), name, "left").withColumn("_copies", copies)
             .withColumn(into, F.when(F.col("_copies") == 0, F.col(name))
                         .otherwise(_numbered(F.col(name), F.col("_copies") + 1 + skipped)))
-            .drop("_before", "_copies", "own", "taken"))
+            .drop("_copies", "own", "taken"))
+
+
+def _contested_names(files: DataFrame, name: str, ord: str) -> tuple[DataFrame, DataFrame]:
+    """(numbered names with the given name they derive from, all names of their families).
+
+    A family shares a name up to numbers at its end. It matters only when it has such a pair and a
+    name that occurs more than once; in all others every row's number is already free.
+    """
+    root = F.regexp_replace("name", r"(_([2-9]|[1-9][0-9]{1,8}))+(?=(\.[^.]*)?$)", "")
+    names = cut_lineage(files.groupBy(F.col(name).alias("name"))
+                        .agg(F.count("*").alias("n"), F.min(ord).alias("first")).withColumn("root", root))
+    stem, number, ending = (F.regexp_extract("name", NUMBERED, i) for i in (1, 2, 3))
+    numbered = names.where(number != "").select("root", "name", "first", F.concat(stem, ending).alias("parent"),
+                                                number.cast("long").alias("number"))
+    pairs = numbered.join(names.select(F.col("name").alias("parent")), "parent")
+    repeated = names.where("n > 1").select("root").distinct()
+    contested = cut_lineage(pairs.join(repeated, "root", "left_semi"))
+    members = (names.join(contested.select("root").distinct(), "root", "left_semi")
+               .join(contested.select("name", "parent", "number"), "name", "left"))
+    return contested, members
+
+
+def _rows_ahead(rows: DataFrame, contested: DataFrame, block: int) -> DataFrame:
+    """For every numbered name: how many rows of its parent name come before its own first row."""
+    parents = rows.join(contested.select("parent").distinct(), "parent", "left_semi")
+    marks = (parents.withColumns({"one": F.lit(1), "child": F.lit(None).cast("string")})
+             .unionByName(contested.select("parent", F.col("first").alias("at"), F.lit(0).alias("one"), F.col("name").alias("child"))))
+    return (running_before(marks, F.col("one"), ["parent"], "at", "ahead", F.sum, block)
+            .where(F.col("child").isNotNull()).select(F.col("child").alias("name"), "ahead"))

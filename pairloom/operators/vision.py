@@ -11,6 +11,7 @@ from pairloom.functions.text import caption_from_path, file_name, strip
 from pairloom.operators.order import ORD
 from pairloom.operators.quality import filter_long
 from pairloom.operators.split import sample_rows, split_if_large
+from pairloom.session import small_side
 from pairloom.sources.read import ROW_BITS, read_file
 
 # The image endings that count, and the keys an image or a caption is looked up under.
@@ -59,7 +60,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("_f", "_s").agg(F.min("_n").alias("_low"), F.count("*").alias("_rows"))
     earlier = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)  # one row per input split
     starts = splits.select("_f", "_s", "_low", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    return (lines.join(F.broadcast(starts), ["_f", "_s"])
+    return (lines.join(small_side(starts), ["_f", "_s"])
             .select((F.col("_start") + F.col("_n") - F.col("_low")).alias("row_index"), "line",
                     parent_dir(local_path(F.col("_f"))).alias("base")))
 
@@ -100,11 +101,11 @@ def preview_manifest(lines: DataFrame, limit: int = 24, offset: int = 0, image_c
 
 def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """An image manifest (JSON Lines) with its image paths resolved against the manifest's folder."""
-    df = read_file(spark, path, "jsonl", schema, ordinal=True)
-    base = parent_dir(local_path(F.col("_metadata.file_path")))
+    df = read_file(spark, path, "jsonl", schema, lineage=True)
+    base = parent_dir(local_path(F.col("_file")))
     resolved = {k: resolve_path(F.col(k), base) for k in IMAGE_KEYS
                 if k in df.columns and isinstance(df.schema[k].dataType, T.StringType)}
-    return canonical_columns(df.withColumns(resolved) if resolved else df)
+    return canonical_columns(df.withColumns(resolved) if resolved else df).drop("_file")
 
 
 def canonical_columns(df: DataFrame) -> DataFrame:

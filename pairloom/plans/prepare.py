@@ -19,7 +19,7 @@ from pairloom.operators import quality
 from pairloom.operators.columns import check_columns, rename, set_system
 from pairloom.operators.dedup import deduplicate
 from pairloom.operators.messages import convert_messages, has_messages_format
-from pairloom.operators.order import ORD, Page, head, page, page_rows
+from pairloom.operators.order import ORD, SMALL, Page, head, page, page_rows
 from pairloom.operators.reshape import concat_sources, kto_explode
 from pairloom.operators.split import shuffle_rows, split
 from pairloom.session import scratch_path, stage
@@ -86,12 +86,18 @@ class Preparation:
     def formatted(self, df: DataFrame) -> DataFrame:
         return self.formatter(df)
 
-    def training_rows(self) -> DataFrame:
+    def training_rows(self, staged: bool = False) -> DataFrame:
         """Checked, cleaned and capped training rows, not yet formatted."""
         df = self._with_system(check_columns(self._concatenated(), self.spec.training_mode))
         if self.spec.deduplicate:
             df = deduplicate(df, self.spec.dedupe_strategy, ord=self.ord, compat=self.spec.compat_keys)
-        return head(df, self.spec.max_samples, self.ord)
+        cap = self.spec.max_samples
+        if not staged:
+            return head(df, cap, self.ord)
+        # A small head is one pass; a large one looks for its last ordinal, which is cheaper in a written table.
+        if cap and cap <= SMALL:
+            df = head(df, cap, self.ord)
+        return head(stage(df, scratch_path(df.sparkSession, "prepared")), cap, self.ord)
 
     def prepare(self, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
         """(train, eval). An explicit evaluation set is formatted as it is; else a fraction is held out.
@@ -99,9 +105,7 @@ class Preparation:
         `staged` writes the cleaned rows to the shared folder first, so that finding the split and
         writing both sides read a Parquet table instead of repeating the cleaning.
         """
-        rows = self.training_rows()
-        if staged:
-            rows = stage(rows, scratch_path(rows.sparkSession, "prepared"))
+        rows = self.training_rows(staged)
         if self.evaluation is not None:
             held = check_columns(self._mapped(self.evaluation), self.spec.training_mode)
             return self.formatted(rows), self.formatted(self._with_system(held))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "pairloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,6 +56,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Write the narrow side of a join once; broadcast it when it has at most `rows` rows."""
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Write `df` as a Parquet table and read it back: later passes read only the columns they use."""
     df.write.mode("errorifexists").parquet(path)

@@ -13,32 +13,36 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pairloom.operators.order import ORD, head
+from pairloom.session import small_side
 from pairloom.sources.spec import SourceSpec, SpecError, infer_format
 
 ROW_BITS = 33          # rows of one file or input split
 MAX_PARTS = 2**22      # files or input splits of one source; ROW_BITS + 22 bits fill a source's share
 
 
-def with_ordinal(df: DataFrame, row_index: bool = False) -> DataFrame:
+def with_ordinal(df: DataFrame, row_index: bool = False, lineage: bool = False) -> DataFrame:
     """Add `_ord` to a table straight above its scan: by file path, then by place in the file.
 
     Parquet knows each row's index in its file. Other formats number rows per input split, and
-    splits are ranked by (file, offset). The ranks are one row per file or split, the same list
-    the driver already holds to plan the scan.
+    splits are ranked by (file, offset). The ranks, one row per file or split, are written once so
+    that later passes over the table do not scan it again to find them. `lineage` keeps the path of
+    each row's file as `_file`.
     """
     parts = ["file_path"] if row_index else ["file_path", "file_block_start"]
     place = (F.col("_metadata.row_index") if row_index
              else F.monotonically_increasing_id().bitwiseAND(F.lit(2**ROW_BITS - 1)))
-    located = df.select("*", *[F.col(f"_metadata.{p}").alias(f"_{p}") for p in parts], place.alias("_place"))
+    extra = [F.col("_metadata.file_path").alias("_file")] if lineage else []
+    located = df.select("*", *extra, *[F.col(f"_metadata.{p}").alias(f"_{p}") for p in parts], place.alias("_place"))
     names = [f"_{p}" for p in parts]
     if row_index and len(df.inputFiles()) == 1:
         return located.withColumn(ORD, F.col("_place")).drop(*names, "_place")
     ranks = (located.select(*names).distinct()
              .withColumn("_part", F.row_number().over(Window.orderBy(*names)).cast("long") - 1))
-    checked = F.when(F.col("_part") < MAX_PARTS, F.col("_part")).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_PARTS} files or splits in one source; compact them first")).cast("long"))
-    return (located.join(F.broadcast(ranks), names)
-            .withColumn(ORD, F.shiftleft(checked, ROW_BITS) + F.col("_place")).drop(*names, "_place", "_part"))
+    ranks = small_side(ranks)
+    if ranks.count() > MAX_PARTS:
+        raise SpecError(f"more than {MAX_PARTS} files or splits in one source; compact them first")
+    return (located.join(ranks, names)
+            .withColumn(ORD, F.shiftleft("_part", ROW_BITS) + F.col("_place")).drop(*names, "_place", "_part"))
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
@@ -56,11 +60,12 @@ def is_json_lines(spark: SparkSession, path: str) -> bool:
 
 
 def read_file(spark: SparkSession, path: str, file_format: str | None = None,
-              schema: str | T.StructType | None = None, ordinal: bool = True, **options: Any) -> DataFrame:
+              schema: str | T.StructType | None = None, ordinal: bool = True, lineage: bool = False,
+              **options: Any) -> DataFrame:
     """Read JSON, JSON Lines, CSV or Parquet; the format follows the file ending unless named.
 
     `schema` skips inference, which costs a pass over text files. For CSV, `multiLine=False` lets
-    Spark split large files when no field holds a line break.
+    Spark split large files when no field holds a line break. `lineage` adds each row's `_file`.
     """
     kind = infer_format(path, file_format)
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -76,7 +81,7 @@ def read_file(spark: SparkSession, path: str, file_format: str | None = None,
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no such dataset file: {path}") from e
         raise
-    return with_ordinal(df, row_index=kind == "parquet") if ordinal else df
+    return with_ordinal(df, kind == "parquet", lineage) if ordinal else df
 
 
 def read_named(spark: SparkSession, root: str, repo_id: str, split: str = "train",
@@ -128,7 +133,3 @@ def inspect_columns(df: DataFrame, samples: int = 3, ord: str = ORD) -> dict[str
     rows = [r.asDict(recursive=True) for r in first.select(*shown).collect()]
     return {"columns": shown, "samples": rows, "total_rows": df.count()}
 
-
-def with_lineage(df: DataFrame) -> DataFrame:
-    """Add `_file`, the path each row was read from; call it straight on a reader's result."""
-    return df.withColumn("_file", F.col("_metadata.file_path"))

@@ -92,17 +92,9 @@ def route_events(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path))
 
 
-def follow_state(updates: DataFrame, table: str, checkpoint: str, fields: Sequence[str], key: str = "job_id",
-                 seq: str = "seq", cleared: str | None = None) -> StreamingQuery:
-    """Keep the latest state of every run in an in-memory table of the session, for dashboards."""
-    state = latest_state(updates, fields, key, seq, cleared=cleared)
-    return (state.writeStream.format("memory").queryName(table).option("checkpointLocation", checkpoint)
-            .outputMode("complete").trigger(availableNow=True).start())
-
-
 def write_state(updates: DataFrame, path: str, checkpoint: str, fields: Sequence[str], key: str = "job_id",
                 seq: str = "seq", cleared: str | None = None) -> StreamingQuery:
-    """The same, as one Parquet folder per micro-batch holding the runs that changed in it.
+    """Follow the latest state of every run: one Parquet folder per micro-batch with the runs that changed in it.
 
     Read the newest state of a run with `max_by` over `batch`. A repeated batch overwrites itself.
     """
