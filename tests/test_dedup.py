@@ -1,0 +1,113 @@
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom.operators import dedup as D
+from tests.conftest import EDGE_TEXTS
+
+SCHEMA = "_ord long, system string, prompt string, chosen string, rejected string"
+FIELDS = ("system", "prompt", "chosen", "rejected")
+
+
+def sample(spark, n=400, hot=True):
+    """Rows of which a third share one key."""
+    rng = random.Random(5)
+    pool = EDGE_TEXTS[:8]
+    data = []
+    for i in range(n):
+        if hot and i % 3 == 0:
+            data.append((i, "s", "hot prompt", "hot answer", "r"))
+        else:
+            data.append((i, *[rng.choice(pool) for _ in FIELDS]))
+    rng.shuffle(data)
+    return data, spark.createDataFrame(data, SCHEMA).repartition(5, "_ord")
+
+
+def key_of(row, strategy):
+    values = dict(zip(FIELDS, row[1:], strict=True))
+    return tuple(values[f] for f in (FIELDS if strategy == "exact" else strategy.split("_")))
+
+
+@pytest.mark.parametrize("strategy", D.STRATEGIES)
+@pytest.mark.parametrize("keep", ["first", "last"])
+@pytest.mark.parametrize("broadcast_keys", [D.BROADCAST_KEYS, 0])
+def test_survivors_match_a_sequential_pass(spark, strategy, keep, broadcast_keys):
+    data, df = sample(spark)
+    best = {}
+    for row in sorted(data, reverse=keep == "last"):
+        best.setdefault(key_of(row, strategy), row)
+    got = D.deduplicate(df, strategy, keep, broadcast_keys=broadcast_keys)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(best.values(), key=lambda r: r[0])
+
+
+@pytest.mark.parametrize("strategy", D.STRATEGIES)
+def test_counts(spark, strategy):
+    data, df = sample(spark)
+    distinct = len({key_of(r, strategy) for r in data})
+    assert D.count_duplicates(df, strategy).first()["duplicates"] == len(data) - distinct
+    assert D.has_duplicates(df, strategy).first()["has_duplicates"]
+    once = D.deduplicate(df, strategy)
+    assert not D.has_duplicates(once, strategy).first()[0] and D.count_duplicates(once, strategy).first()[0] == 0
+    assert D.deduplicate(once, strategy).count() == distinct
+
+
+def test_literal_rows(spark):
+    rows = [(0, None, "A", "1", "first"), (1, None, "A", "1", "second"), (2, None, "A", "1", "third"), (3, None, "B", "2", "x"), (4, None, "B", "2", "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert D.count_duplicates(df).first()[0] == 3
+    assert {r["rejected"] for r in D.deduplicate(df).collect()} == {"first", "x"}
+    assert {r["rejected"] for r in D.deduplicate(df, keep="last").collect()} == {"third", "x"}
+    assert D.deduplicate(df, "exact").count() == 4
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert D.has_duplicates(df).first()[0] is False and D.count_duplicates(df).first()[0] == 0
+    assert D.deduplicate(df).count() == 0
+
+
+def test_unknown_names(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    with pytest.raises(ValueError):
+        D.dedup_key(df, "fuzzy")
+    with pytest.raises(ValueError):
+        D.deduplicate(df, keep="any")
+
+
+def test_compatible_keys_are_pythons_md5(spark):
+    data, df = sample(spark, 120)
+    for strategy in D.STRATEGIES:
+        got = {r[0]: r[1] for r in df.select("_ord", D.dedup_key(df, strategy, compat=True)).collect()}
+        for row in data:
+            v = dict(zip(FIELDS, row[1:], strict=True))
+            text = "|||".join(f"{k}:{x}" for k, x in sorted(v.items())) if strategy == "exact" else "|||".join(str(x) for x in key_of(row, strategy))
+            assert got[row[0]] == hashlib.md5(text.encode()).hexdigest()
+
+
+def test_compatible_keys_of_other_types_and_missing_columns(spark):
+    df = spark.createDataFrame([(0, True, 3), (1, None, None)], "_ord long, chosen boolean, n int")
+    got = [r[0] for r in df.orderBy("_ord").select(D.dedup_key(df, "prompt_chosen", compat=True)).collect()]
+    assert got == [hashlib.md5(t.encode()).hexdigest() for t in ("|||True", "|||None")]
+    with pytest.raises(ValueError):
+        D.dedup_key(df.withColumn("chosen", F.lit(1.5)), "chosen", compat=True)
+
+
+def test_separators_and_nulls_do_not_confuse_default_keys(spark):
+    rows = [(0, None, "a|||b", "c", None), (1, None, "a", "b|||c", None), (2, None, None, "x", None), (3, None, "None", "x", None), (4, None, "", "x", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert D.deduplicate(df).count() == 5
+    assert D.deduplicate(df, compat=True).count() == 3
+
+
+def test_nested_and_binary_fields_in_exact_keys(spark):
+    df = spark.createDataFrame([(0, [1, None], b"\x01"), (1, [1, None], b"\x01"), (2, [1], b"\x01"), (3, [1], b"\x02")],
+                               "_ord long, a array<int>, b binary")
+    assert D.deduplicate(df, "exact").count() == 3
+
+
+def test_keep_ordinals(spark):
+    _, df = sample(spark, 30)
+    assert D.keep_ordinals(df, spark.createDataFrame([(3,), (4,), (99,)], "_ord long")).count() == 2
