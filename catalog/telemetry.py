@@ -349,18 +349,20 @@ def stream_latest_state(spark, d):
     return batches.groupBy(F.col("job_id").cast("long").alias("job_id")).agg(newest.alias("s")).select("job_id", "s.*")
 
 
+LOG_COLUMNS = f"job_id string, {progress.EVENT_SCHEMA}"
+
+
 def _event_log(spark, d):
     """Events as a folder of JSON lines, with a blank and a broken line in between."""
     k = F.get_json_object("props", "$.k").cast("long")
     kind = (F.when(F.col("event_type") == "click", "metrics").when(F.col("event_type") == "view", "eval")
             .when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "status").otherwise("unheard"))
-    doc = F.struct(kind.alias("type"), F.when(kind == "metrics", k).alias("current_step"), F.lit(100).alias("total_steps"),
+    doc = F.struct(F.col("user_id").cast("string").alias("job_id"), kind.alias("type"), F.when(kind == "metrics", k).alias("current_step"), F.lit(100).alias("total_steps"),
                    F.when(kind == "metrics", F.col("value")).alias("loss"), F.when(kind == "eval", F.col("value")).alias("eval_loss"),
                    F.when(kind == "error", F.lit("boom")).alias("error"))
     lines = F.array(F.to_json(doc), F.lit(""), F.lit('{"type": "metrics", "loss":'))
     path = scratch_path(spark, "log")
-    (table(spark, d, "events").select(F.col("user_id").alias("job"), F.explode(lines).alias("value"))
-     .write.partitionBy("job").text(path))
+    table(spark, d, "events").select(F.explode(lines).alias("value")).repartition(4).write.text(path)
     return path
 
 
@@ -368,10 +370,9 @@ def _event_log(spark, d):
 WITH {POINTS} SELECT job_id, step, loss FROM points WHERE status = 'click' AND step > 0""")
 def stream_metrics_append(spark, d):
     out, log = scratch_path(spark, "metrics"), _event_log(spark, d)
-    events = progress.tail_events(spark, f"{log}/*/", files_per_batch=1000)
+    events = progress.tail_events(spark, log, files_per_batch=2, schema=LOG_COLUMNS)
     _done(progress.append_metrics(progress.as_metrics(events), f"{out}/table", f"{out}/checkpoint"))
-    job = F.regexp_extract("job_id", r"job=(\d+)", 1).cast("long")
-    return spark.read.parquet(f"{out}/table").select(job.alias("job_id"), "step", "loss")
+    return spark.read.parquet(f"{out}/table").select(F.col("job_id").cast("long"), "step", "loss")
 
 
 @query("stream_route", """
@@ -379,7 +380,7 @@ SELECT CASE event_type WHEN 'click' THEN 'metrics' WHEN 'view' THEN 'eval' WHEN
        count(*) AS events FROM events WHERE event_type <> 'purchase' GROUP BY 1""")
 def stream_route(spark, d):
     out, log = scratch_path(spark, "routed"), _event_log(spark, d)
-    events = progress.tail_events(spark, f"{log}/*/", files_per_batch=1000)
+    events = progress.tail_events(spark, log, files_per_batch=2, schema=LOG_COLUMNS)
     _done(progress.route_events(events, f"{out}/table", f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/table").groupBy("type").agg(F.count("*").alias("events"))
 
@@ -389,5 +390,5 @@ SELECT CASE event_type WHEN 'error' THEN 'failed' ELSE 'training' END AS status,
        CASE event_type WHEN 'click' THEN 0.5::DOUBLE END AS progress, CASE event_type WHEN 'error' THEN 'boom' END AS error,
        count(*) AS events FROM events WHERE event_type <> 'purchase' GROUP BY ALL""")
 def event_updates(spark, d):
-    events = progress.parse_events(spark.read.text(f"{_event_log(spark, d)}/*/"))
+    events = progress.parse_events(spark.read.text(_event_log(spark, d)))
     return progress.as_updates(events, keep=[]).groupBy("status", "progress", "error").agg(F.count("*").alias("events"))

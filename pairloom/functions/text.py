@@ -7,23 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.strip() removes, as a Java character class body.
-WHITESPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+# The characters Python's str.strip() removes.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
 
 
-def is_blank(c: Column) -> Column:
-    """True for null and for text without any visible character; the scan stops at the first one."""
-    return c.isNull() | ~c.rlike(f"[^{WHITESPACE}]")
+def has_text(c: Column) -> Column:
+    """Whether stripping leaves something; never null. Looks no further than the first visible character."""
+    return F.coalesce(F.ltrim(c, F.lit(WHITESPACE)) != "", F.lit(False))
 
 
-def has_text(c: Column) -> Column:
-    """True for text that keeps something after stripping; never null."""
-    return c.isNotNull() & F.coalesce(c.rlike(f"[^{WHITESPACE}]"), F.lit(False))
+def is_blank(c: Column) -> Column:
+    """True for null and for text without any visible character."""
+    return ~has_text(c)
 
 
 def strip(c: Column) -> Column:
     """Text without leading and trailing whitespace of any kind, Unicode spaces included."""
-    return F.regexp_replace(c, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def text_or_empty(c: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.functions.text import has_text
@@ -37,8 +38,14 @@ def parse_events(lines: DataFrame, keep: Sequence[str] = (), schema: str = EVENT
 
 
 def tail_events(spark: SparkSession, path: str, files_per_batch: int = 64, schema: str = EVENT_SCHEMA) -> DataFrame:
-    """Follow a folder of event files; `job_id` is the folder an event file lies in."""
+    """Follow a folder of event files.
+
+    `job_id` comes from the events when the schema has it; otherwise each run writes into a folder
+    of its own and the folder's name is the id.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    if "job_id" in T.StructType.fromDDL(schema).names:
+        return parse_events(lines, schema=schema)
     job = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
     return parse_events(lines.withColumn("job_id", job), ["job_id"], schema)
 
