@@ -9,12 +9,13 @@ from catalog.views import ID, table
 from pairloom.functions.templates import formatter
 from pairloom.operators.edits import apply_edits, delete_rows, edit_report, edit_values
 from pairloom.operators.order import number_rows
-from pairloom.operators.vision import (build_manifest, caption_messages, parse_object, preview_manifest, read_lines,
-                                       read_manifest)
+from pairloom.operators.vision import (build_manifest, caption_messages, parse_object, prepare_captions, prepare_unified,
+                                       preview_manifest, read_lines, read_manifest)
+from pairloom.plans.prepare import Preparation
+from pairloom.operators.split import split
 from pairloom.session import scratch_path
-from pairloom.sources.read import read_file, read_named, read_source, stream_named
+from pairloom.sources.read import inspect_columns, read_file, read_named, read_source, stream_named
 from pairloom.sources.write import write_splits
-from pairloom.operators.split import split
 from pairloom.streaming.progress import drop_repeats
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -203,6 +204,51 @@ def captions(spark, d):
         F.array_join(m[0]["parts"]["type"], ",").alias("parts"), m[0]["parts"][1]["text"].alias("asked"), m[1]["content"].alias("caption"))
 
 
+@query("caption_corpus", """
+SELECT n - k AS train_rows, k AS eval_rows, n AS distinct_captions_read FROM (
+  SELECT count(*) AS n, CAST(ceil(0.02 * count(*)) AS BIGINT) AS k FROM documents)""")
+def caption_corpus(spark, d):
+    df = table(spark, d, "documents").select(ID, F.encode("source", "UTF-8").alias("image"), F.col("text").alias("caption"))
+    train, held = prepare_captions(df, "Describe it.", test_size=0.02, ord=ID)
+    sides = train.select(F.lit(0).alias("e"), "messages").unionAll(held.select(F.lit(1), "messages"))
+    return sides.agg(F.count_if(F.col("e") == 0).alias("train_rows"), F.count_if(F.col("e") == 1).alias("eval_rows"),
+                     F.count_if(F.col("messages")[1]["content"].isNotNull()).alias("distinct_captions_read"))
+
+
+@query("unified_corpus", """
+SELECT count(*) AS rows, count(*) AS without_image FROM documents
+WHERE length('[{"role":"user","content":"' || lang || '"},{"role":"assistant","content":' || CAST(to_json(text) AS VARCHAR) || '}]') <= 8192""")
+def unified_corpus(spark, d):
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.col("lang").alias("content")),
+                    F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")))
+    df = table(spark, d, "documents").select(ID, F.to_json(turns).alias("messages"), F.lit(None).cast("binary").alias("image"))
+    train, held = prepare_unified(df, max_seq_length=2048, test_size=0.05, ord=ID)
+    return train.unionByName(held).agg(F.count("*").alias("rows"), F.count_if(F.size("images") == 0).alias("without_image"))
+
+
+@query("inspect_columns", "SELECT count(*) AS total_rows, 'doc_id,text,lang,source,n_chars' AS columns, 3 AS samples FROM documents")
+def inspected(spark, d):
+    info = inspect_columns(read_file(spark, f"{d}/documents.parquet"))
+    return spark.createDataFrame([(info["total_rows"], ",".join(info["columns"]), len(info["samples"]))],
+                                 "total_rows long, columns string, samples int")
+
+
+@query("prepare_from_files", """
+SELECT '[INST] ' || text || ' [/INST] ' AS prompt, text AS chosen FROM benchmark
+UNION ALL SELECT '[INST] ' || lang || ' [/INST] ', text FROM documents""")
+def prepare_from_files(spark, d):
+    """A preparation described by a spec: two sources with their own mapping and format."""
+    path = scratch_path(spark, "bench-lines")
+    table(spark, d, "benchmark").select(F.col("text").alias("question"), F.col("text").alias("answer")).coalesce(1).write.json(path)
+    spec = {"source": {"source_type": "local_file", "file_path": path, "file_format": "jsonl"},
+            "column_mapping": {"question": "prompt", "answer": "chosen"},
+            "additional_sources": [{"source_type": "local_file", "file_path": f"{d}/documents.parquet",
+                                    "column_mapping": {"lang": "prompt", "text": "chosen"}}],
+            "training_mode": "sft", "format": {"format_type": "mistral"}, "test_size": 0.1}
+    train, held = Preparation.from_spec(spark, spec).prepare()
+    return train.unionByName(held).select("prompt", "chosen")
+
+
 # ---- preparing a stream --------------------------------------------------------------------------------
 
 def _documents_stream(spark, d):

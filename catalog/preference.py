@@ -374,11 +374,15 @@ def split_tail(spark, d):
     return train.withColumn("held", F.lit(False)).unionAll(held.withColumn("held", F.lit(True)))
 
 
-@query("split_small", "SELECT count(*) AS train_rows, 0 AS eval_rows FROM nation")
-def split_small(spark, d):
+@query("split_if_large", """
+SELECT n - k AS train_rows, k AS eval_rows FROM (
+  SELECT count(*) AS n, CASE WHEN count(*) > 100 THEN CAST(ceil(0.1 * count(*)) AS BIGINT) ELSE 0 END AS k FROM benchmark)""")
+def split_large(spark, d):
     """A table of a hundred rows or fewer is not split."""
-    train, held = split_if_large(table(spark, d, "nation"), 0.1, ord="n_nationkey")
-    return train.agg(F.count("*").alias("train_rows")).withColumn("eval_rows", F.lit(0 if held is None else held.count()))
+    train, held = split_if_large(table(spark, d, "benchmark"), 0.1, ord="item_id")
+    sides = train.select(F.lit(0).alias("e"))
+    sides = sides if held is None else sides.unionAll(held.select(F.lit(1)))
+    return sides.agg(F.count_if(F.col("e") == 0).alias("train_rows"), F.count_if(F.col("e") == 1).alias("eval_rows"))
 
 
 @query("sample_size", "SELECT least(500, count(*)) AS rows, least(500, count(*)) AS distinct_rows FROM documents")

@@ -81,6 +81,18 @@ def run_progress(spark, d):
     return points(spark, d).select(F.col("_ord").alias("event_id"), training_progress(F.col("step"), F.lit(100)).alias("progress"))
 
 
+@query("config_catalogue", """
+SELECT 'cfg-' || event_id AS filename, 'run ' || event_id AS name, strftime(ts, '%Y-%m-%d') AS modified_at
+FROM events WHERE event_type = 'view'""")
+def config_catalogue(spark, d):
+    """Every event as a saved configuration, tagged with its type; purchases are saved as broken files."""
+    meta = F.struct(F.concat(F.lit("run "), F.col("job_id").cast("string")).alias("name"),
+                    F.date_format("created_at", "yyyy-MM-dd").alias("modified_at"), F.array("status").alias("tags"))
+    doc = F.when(F.col("status") == "purchase", F.lit("{broken")).otherwise(F.to_json(F.struct("value", meta.alias("_metadata"))))
+    files = runs(spark, d).select(F.concat(F.lit("cfg-"), F.col("job_id").cast("string")).alias("filename"), doc.alias("value"))
+    return telemetry.config_catalogue(files, "view").select("filename", "name", "modified_at")
+
+
 # ---- series --------------------------------------------------------------------------------------------
 
 @query("latest_state", f"""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.session import cut_lineage
+from pairloom.session import scratch_path, stage
 
 ORD = "_ord"
 SMALL = 20_000      # rows a single task may sort
@@ -88,7 +88,7 @@ def number_rows(df: DataFrame, *order: str | Column, into: str = "_pos") -> Data
     parts before it.
     """
     part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-    ranged = cut_lineage(df.orderBy(*order).withColumns({"_part": part, "_place": place}))
+    ranged = stage(df.orderBy(*order).withColumns({"_part": part, "_place": place}), scratch_path(df.sparkSession, "numbered"))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))  # one row per sorted part
@@ -116,3 +116,16 @@ def running_before(df: DataFrame, value: Column, keys: Sequence[str], ord: str,
         before = F.coalesce(before, F.lit(0))
     return (rows.unionByName(carried, allowMissingColumns=True).withColumn(into, before)
             .where(~F.col("_carry")).drop("_value", "_block", "_carry"))
+
+
+def narrow_to_nth(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], cell: str) -> DataFrame:
+    """For every key, the cell that holds its row number `_nth` (from 0) when rows are ordered by cell.
+
+    Returns keys, cell and the row's number within the cell. Only cells are ordered, not rows;
+    repeated with finer cells it closes in on one row of each key, however many rows a key has.
+    """
+    cells = rows.join(wanted, list(keys), "left_semi").groupBy(*keys, cell).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    counted = cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(wanted, list(keys))
+    holds = (F.col("_nth") >= F.col("_before")) & (F.col("_nth") < F.col("_before") + F.col("_n"))
+    return counted.where(holds).select(*keys, cell, (F.col("_nth") - F.col("_before")).alias("_nth"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.functions.text import char_length, has_text, is_blank, round_half_even, text_or_empty
+from pairloom.functions.text import char_length, has_text, round_half_even, text_or_empty
 from pairloom.operators.order import ORD
 
 STAT_FIELDS = ("prompt", "chosen", "rejected", "system")
@@ -25,11 +25,10 @@ def length_histogram(df: DataFrame) -> DataFrame:
     lengths = []
     for name in fields:
         value = F.col(name).cast("string")
-        blank = is_blank(value)
-        lengths.append(F.struct(F.lit(name).alias("field"), blank.alias("blank"),
-                                F.when(blank, 0).otherwise(char_length(value)).cast("long").alias("length")))
+        length = F.when(has_text(value), char_length(value)).otherwise(0).cast("long")
+        lengths.append(F.struct(F.lit(name).alias("field"), length.alias("length")))
     return (df.select(F.explode(F.array(*lengths)).alias("l")).groupBy("l.field", "l.length")
-            .agg(F.count("*").alias("rows"), F.count_if("l.blank").alias("blanks")))
+            .agg(F.count("*").alias("rows")))
 
 
 def field_stats(df: DataFrame, rounded: bool = False) -> DataFrame:
@@ -41,10 +40,10 @@ def field_stats(df: DataFrame, rounded: bool = False) -> DataFrame:
              .groupBy("field").agg(
                  F.sum("rows").alias("rows"),
                  (F.sum(F.col("length") * F.col("rows"))
-                  / F.greatest(F.sum("rows") - F.sum("blanks"), F.lit(1))).alias("avg_length"),
+                  / F.greatest(F.sum(F.when(F.col("length") > 0, F.col("rows")).otherwise(0)), F.lit(1))).alias("avg_length"),
                  F.min("length").alias("min_length"), F.max("length").alias("max_length"),
                  F.min(F.when(F.col("past_middle"), F.col("length"))).alias("median_length"),
-                 F.sum("blanks").alias("empty_count"))
+                 F.sum(F.when(F.col("length") == 0, F.col("rows")).otherwise(0)).alias("empty_count"))
              .withColumn("est_avg_tokens", F.col("avg_length") / 4.0))
     if rounded:
         stats = stats.withColumns({"avg_length": round_half_even(F.col("avg_length"), 1),

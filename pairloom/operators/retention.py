@@ -239,7 +239,7 @@ def unique_names(files: DataFrame, name: str = "name", ord: str = ORD, into: str
     # The j-th skipped number r (j from 0) has r - j - 2 free ones in front of it.
     free_ahead = F.transform(F.coalesce(F.col("taken"), F.array().cast("array<bigint>")), lambda r, j: r - j - 2)
     skipped = F.size(F.filter(free_ahead, lambda f: f < F.col("_copies")))
-    return (rows.join(small_side(settled), name, "left").withColumn("_copies", copies)
+    return (rows.join(small_side(settled, weight=F.size("taken") + 1), name, "left").withColumn("_copies", copies)
             .withColumn(into, F.when(F.col("_copies") == 0, F.col(name))
                         .otherwise(_numbered(F.col(name), F.col("_copies") + 1 + skipped)))
             .drop("_copies", "own", "taken"))

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pairloom.functions.text import file_stem, json_field, micros
-from pairloom.operators.order import SMALL, kth_smallest, running_before
+from pairloom.operators.order import SMALL, kth_smallest, narrow_to_nth, number_rows, running_before
 
 # The configuration fields a job listing shows, and the state fields an update may clear.
 CONFIG_SUMMARY = ("base_model", "output_name", "training_mode")
@@ -44,6 +43,9 @@ def list_runs(runs: DataFrame, status: str | None = None, limit: int = 100, offs
         skipped = rows.where(age < first).count()
         rows = rows.where((age >= first) & (age <= last if last is not None else F.lit(True)))
         offset -= skipped
+        if offset + limit > SMALL:   # many runs created at the same moment
+            placed = number_rows(rows, F.col(created).desc(), F.col(id))
+            return placed.where(F.col("_pos").between(offset, offset + limit - 1)).orderBy("_pos").drop("_pos")
     return rows.orderBy(F.col(created).desc(), F.col(id)).offset(offset).limit(limit)
 
 
@@ -98,26 +100,23 @@ def run_summary(metrics: DataFrame, key: str = "job_id", step: str = "step", ord
                 values: Sequence[str] = ("loss",), block: int = 100_000) -> DataFrame:
     """Per run: number of records, first, middle and last record by step, and the loss improvement in percent.
 
-    The middle record is at position n // 2, for runs of more than two. It is found by counting
-    blocks of steps, so only the block that holds it is ever ordered.
+    The middle record is at position n // 2, for runs of more than two; of records that share its
+    step, the one with the nth ordinal, or without `ord` the smallest. It is found by counting
+    ever smaller cells, so no run is ever ordered as a whole.
     """
-    place = F.struct(F.col(step).cast("long").alias("s"), (F.col(ord) if ord else F.lit(0)).alias("o"))
-    record = F.struct(F.col(step).alias("step"), *[F.col(v) for v in values])
-    rows = metrics.select(F.col(key), place.alias("_at"), record.alias("_rec"),
-                          F.expr(f"cast(`{step}` AS bigint) div {block}L").alias("_b"))
-    ends = rows.groupBy(key).agg(F.count("*").alias("records"), F.min_by("_rec", "_at").alias("first"),
-                                 F.max_by("_rec", "_at").alias("last"))
-    blocks = rows.groupBy(key, "_b").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counted = blocks.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
-        "_all": F.sum("_n").over(Window.partitionBy(key))}).withColumn("_mid", F.expr("_all div 2"))
-    holding = counted.where((F.col("_all") > 2) & (F.col("_mid") >= F.col("_before"))
-                            & (F.col("_mid") < F.col("_before") + F.col("_n")))
-    wanted = holding.select(key, "_b", (F.col("_mid") - F.col("_before") + 1).alias("_nth"))
-    within = Window.partitionBy(key, "_b").orderBy("_at")
-    middle = (rows.join(wanted, [key, "_b"]).withColumn("_rn", F.row_number().over(within))
-              .where(F.col("_rn") == F.col("_nth")).select(key, F.col("_rec").alias("middle")))
+    record = F.struct(F.col(step).cast("long").alias("step"), *[F.col(v) for v in values])
+    rows = metrics.select(F.col(key), record.alias("_rec"), F.expr(f"cast(`{step}` AS bigint) div {block}L").alias("_block"),
+                          F.col(step).cast("long").alias("_step"),
+                          *([F.col(ord).alias("_o"), F.expr(f"`{ord}` div {block}L").alias("_oblock")] if ord else []))
+    place = F.struct("_step", "_o") if ord else F.struct("_step", "_rec")
+    ends = rows.groupBy(key).agg(F.count("*").alias("records"), F.min_by("_rec", place).alias("first"),
+                                 F.max_by("_rec", place).alias("last"))
+    found = ends.where("records > 2").select(key, F.expr("records div 2").alias("_nth"))
+    at = [key]
+    for cell in ("_block", "_step", "_oblock", "_o") if ord else ("_block", "_step"):
+        found = narrow_to_nth(rows, found, at, cell)
+        at = [*at, cell]
+    middle = rows.join(found, at, "left_semi").groupBy(key).agg(F.min("_rec").alias("middle"))
     out = ends.join(middle, key, "left")
     lead = values[0]
     flat = [F.col(f"{part}.{v}").alias(f"{part}_{v}") for part in ("first", "middle", "last") for v in ("step", *values)]
@@ -126,12 +125,10 @@ def run_summary(metrics: DataFrame, key: str = "job_id", step: str = "step", ord
     return out.select(key, "records", *flat, gain.alias("improvement_pct"))
 
 
-def list_configs(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
-    """The metadata of saved configurations (one JSON file each), newest first; invalid files are skipped."""
+def config_catalogue(files: DataFrame, tag: str | None = None) -> DataFrame:
+    """The metadata of saved configurations, newest first, from (filename, value) rows of JSON text; invalid ones are skipped."""
     meta = "struct<name:string,description:string,created_at:string,modified_at:string,tags:array<string>>"
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(
-        file_stem(F.col("_metadata.file_path")).alias("filename"), F.try_parse_json("value").alias("_doc"), "value")
-    valid = files.where(F.col("_doc").isNotNull()).select(
+    valid = files.where(F.try_parse_json("value").isNotNull()).select(
         "filename", F.from_json(F.coalesce(F.get_json_object("value", "$._metadata"), F.lit("{}")), meta).alias("m"))
     rows = valid.select("filename", "m.*")
     if tag:
@@ -139,3 +136,7 @@ def list_configs(spark: SparkSession, path: str, tag: str | None = None) -> Data
     return rows.orderBy(F.coalesce(F.col("modified_at"), F.lit("")).desc(), "filename")
 
 
+def list_configs(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
+    """The catalogue of a folder with one JSON file per configuration."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    return config_catalogue(files.select(file_stem(F.col("_metadata.file_path")).alias("filename"), "value"), tag)

@@ -29,24 +29,26 @@ def _lowest(df: DataFrame, k: int, seed: int, ord: str) -> Column | None:
 
 
 def split(df: DataFrame, test_size: float | None, seed: int = 42, shuffle: bool = True,
-          ord: str = ORD) -> tuple[DataFrame, DataFrame | None]:
+          ord: str = ORD, ordinals: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(train, eval) with ceil(test_size * rows) rows in eval; a falsy size holds nothing back.
 
     Shuffled, the eval rows are those with the smallest seeded hashes; unshuffled, the last ones.
-    Both sides are filters on the same table, so nothing is shuffled or joined.
+    Both sides are filters on the same table, so nothing is shuffled or joined. The place to cut is
+    found in `ordinals`, the table's ordinals written out, when reading them from `df` is costly.
     """
     if not test_size:
         return df, None
     if not 0 < test_size < 1:
         raise ValueError("test_size is a fraction between 0 and 1")
-    rows = df.select(ord).count()
+    ids = df.select(ord) if ordinals is None else ordinals
+    rows = ids.count()
     k = math.ceil(test_size * rows)
     if rows < 2 or k >= rows:
         raise ValueError(f"{rows} rows cannot be split with test_size={test_size}")
     if shuffle:
-        in_eval = _lowest(df, k, seed, ord)
+        in_eval = _lowest(ids, k, seed, ord)
     else:
-        in_eval = F.col(ord) > kth_smallest(df, ord, rows - k)
+        in_eval = F.col(ord) > kth_smallest(ids, ord, rows - k)
     return df.where(~in_eval), df.where(in_eval)
 
 

@@ -102,14 +102,18 @@ class Preparation:
     def prepare(self, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
         """(train, eval). An explicit evaluation set is formatted as it is; else a fraction is held out.
 
-        `staged` writes the cleaned rows to the shared folder first, so that finding the split and
-        writing both sides read a Parquet table instead of repeating the cleaning.
+        `staged` writes the cleaned rows to the shared folder first, so that writing both sides reads
+        a Parquet table instead of repeating the cleaning. Without it, only the ordinals of
+        deduplicated rows are written, to find the split in them.
         """
         rows = self.training_rows(staged)
         if self.evaluation is not None:
             held = check_columns(self._mapped(self.evaluation), self.spec.training_mode)
             return self.formatted(rows), self.formatted(self._with_system(held))
-        train, held = split(rows, self.spec.test_size, self.spec.seed, self.spec.shuffle, self.ord)
+        ordinals = None
+        if self.spec.deduplicate and self.spec.test_size and not staged:
+            ordinals = stage(rows.select(self.ord), scratch_path(rows.sparkSession, "ordinals"))
+        train, held = split(rows, self.spec.test_size, self.spec.seed, self.spec.shuffle, self.ord, ordinals)
         return self.formatted(train), None if held is None else self.formatted(held)
 
     def prepare_unpaired(self, staged: bool = False, raw_negatives: bool = False) -> tuple[DataFrame, DataFrame | None]:

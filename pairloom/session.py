@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,10 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """Write the narrow side of a join once; broadcast it when it has at most `rows` rows."""
+def small_side(df: DataFrame, limit: int = 200_000, weight: Column | None = None) -> DataFrame:
+    """Write the narrow side of a join once, and broadcast it when it is small.
+
+    Small means at most `limit` rows, or at most that sum of `weight` where rows hold lists.
+    """
     written = cut_lineage(df)
-    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+    size = written.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(written) if size <= limit else written
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:

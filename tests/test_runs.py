@@ -34,6 +34,8 @@ def test_deep_listing(runs, monkeypatch):
     data, df = runs
     for limit, offset in ((10, 40), (10, 85), (5, 200), (30, 0)):
         assert [r["job_id"] for r in R.list_runs(df, limit=limit, offset=offset).collect()] == newest(data)[offset:offset + limit]
+    together = df.withColumn("created_at", F.lit("2024-01-01T00:00:00"))
+    assert [r["job_id"] for r in R.list_runs(together, limit=5, offset=50).collect()] == [f"j{i:03}" for i in range(50, 55)]
 
 
 def test_counts_lookup_and_summary(spark, runs):
@@ -88,17 +90,25 @@ def test_monotone_steps(spark, block):
 
 
 @pytest.mark.parametrize("block", [1, 10, 10**6])
-def test_run_summary(spark, block):
+@pytest.mark.parametrize("ord", [None, "at"])
+def test_run_summary(spark, block, ord):
     rng = random.Random(10)
-    series = {"one": 1, "two": 2, "three": 3, "hot": 101, "even": 10}
-    data = [(job, step, float(rng.choice([0, 1, 2, 5]))) for job, n in series.items() for step in rng.sample(range(1000), n)]
-    df = spark.createDataFrame(data, "job_id string, step long, loss double").repartition(4)
-    got = {r["job_id"]: r for r in R.run_summary(df, block=block).collect()}
+    series = {"one": 1, "two": 2, "three": 3, "hot": 101, "even": 10, "same": 40}
+    data = []
     for job, n in series.items():
-        points = sorted((s, v) for j, s, v in data if j == job)
+        steps = [5] * n if job == "same" else rng.sample(range(1000), n)
+        data += [(job, s, float(rng.choice([0, 1, 2, 5]))) for s in steps]
+    data = [(*row, i) for i, row in enumerate(rng.sample(data, len(data)))]
+    df = spark.createDataFrame(data, "job_id string, step long, loss double, at long").repartition(4)
+    got = {r["job_id"]: r for r in R.run_summary(df, ord=ord, block=block).collect()}
+    for job, n in series.items():
+        points = sorted((s, i if ord else v, s, v) for j, s, v, i in data if j == job)
+        points = [p[2:] for p in points]
         r, middle = got[job], points[n // 2] if n > 2 else (None, None)
         assert (r["records"], r["first_step"], r["first_loss"], r["last_step"], r["last_loss"]) == (n, *points[0], *points[-1])
-        assert (r["middle_step"], r["middle_loss"]) == middle
+        assert r["middle_step"] == middle[0]
+        if ord or job != "same":
+            assert r["middle_loss"] == middle[1]
         a, b = points[0][1], points[-1][1]
         assert r["improvement_pct"] == ((a - b) / a * 100 if n >= 2 and a and b else None)
 
