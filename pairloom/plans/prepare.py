@@ -53,18 +53,23 @@ class Preparation:
     @classmethod
     def from_spec(cls, spark: SparkSession, spec: PrepareSpec | Mapping[str, Any], hub_root: str | None = None,
                   uploads: Mapping[str, str] | None = None, **kw: Any) -> "Preparation":
-        """Read every source the spec names."""
+        """Read every source the spec names.
+
+        The spec's own mapping is for the primary source, and for an evaluation source without one;
+        additional sources bring theirs.
+        """
         spec = PrepareSpec.of(spec)
         if spec.source is None:
             raise ValueError("the spec names no source")
 
-        def load(source: SourceSpec, mapping=None, convert=None) -> Loaded:
-            return Loaded(read_source(spark, source, hub_root, uploads), mapping or source.column_mapping,
-                          source.convert_messages_format if convert is None else convert)
+        def load(source: SourceSpec, mapping: Mapping[str, str] | None) -> Loaded:
+            return Loaded(read_source(spark, source, hub_root, uploads), mapping, spec.convert_messages_format)
 
-        evaluation = None if spec.eval_source is None else load(spec.eval_source)
-        return cls(load(spec.source, spec.column_mapping, spec.convert_messages_format), spec,
-                   [load(s) for s in spec.additional_sources], evaluation, **kw)
+        evaluation = None
+        if spec.eval_source is not None:
+            evaluation = load(spec.eval_source, spec.eval_source.column_mapping or spec.column_mapping)
+        return cls(load(spec.source, spec.column_mapping or spec.source.column_mapping), spec,
+                   [load(s, s.column_mapping) for s in spec.additional_sources], evaluation, **kw)
 
     def _mapped(self, loaded: Loaded) -> DataFrame:
         df = loaded.df

@@ -51,7 +51,6 @@ class SourceSpec:
     streaming: bool = False
     streaming_batch_size: int = 10_000
     column_mapping: Mapping[str, str] | None = None
-    convert_messages_format: bool = True
 
     def __post_init__(self):
         needs = {"huggingface": "repo_id", "local_file": "file_path", "upload": "dataset_id"}

@@ -62,8 +62,7 @@ def test_messages_source(spark):
     train, _ = plan(df, training_mode="sft", test_size=0).prepare()
     assert [(r["prompt"], r["chosen"], r["rejected"]) for r in train.orderBy("_ord").collect()] == [("q", "a", ""), ("x", "y", "")]
     with pytest.raises(SchemaError):
-        plan(df, training_mode="sft", convert_messages_format=False).primary and Preparation(
-            Loaded(df, convert=False), {"training_mode": "sft"}).prepare()
+        Preparation(Loaded(df, convert=False), {"training_mode": "sft"}).prepare()
 
 
 def test_mapping_onto_messages_is_not_converted(spark):
@@ -105,5 +104,8 @@ def test_from_files(spark, tmp_path):
             "training_mode": "sft", "test_size": 0, "format": {"format_type": "raw"}}
     train, _ = Preparation.from_spec(spark, spec).prepare()
     assert [r["prompt"] for r in train.orderBy("_ord").collect()] == [f"i{n}" for n in range(12)] + ["p"]
+    spec |= {"eval_source": {"source_type": "local_file", "file_path": str(tmp_path / "a.jsonl")}}
+    _, held = Preparation.from_spec(spark, spec).prepare()
+    assert held.count() == 12 and held.where("prompt LIKE 'i%'").count() == 12
     with pytest.raises(ValueError):
         Preparation.from_spec(spark, {})
