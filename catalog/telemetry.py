@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import CHECKPOINTS, POINTS, checkpoints, points, runs, statuses, table
-from pairloom.functions.text import redact_json, training_progress, ttl_remaining
+from pairloom.functions.text import redact_json, training_progress
 from pairloom.operators import retention
 from pairloom.operators import runs as telemetry
 from pairloom.session import scratch_path
@@ -253,9 +253,13 @@ def ttl_freed(spark, d):
     return retention.freed(retention.expired_uploads(_uploads(spark, d), at(NOW)))
 
 
-@query("ttl_remaining", f"WITH {_SQL_UPLOADS} SELECT dataset_id, greatest(0, (86400000000 - age) // 1000000) AS seconds FROM up")
+@query("ttl_remaining", f"""
+WITH {_SQL_UPLOADS}
+SELECT dataset_id, greatest(0, (86400000000 - age) // 1000000) AS seconds, epoch_us({SQL_NOW}) - age + 86400000000 AS expires FROM up""")
 def ttl_left(spark, d):
-    return _uploads(spark, d).select("dataset_id", ttl_remaining(F.col("uploaded_at"), at(NOW), 24).alias("seconds"))
+    listed = retention.list_uploads(_uploads(spark, d), at(NOW))
+    zone = F.unix_micros(at(NOW).cast("timestamp")) - F.lit(1705752000000000)   # the session's distance from UTC
+    return listed.select("dataset_id", F.col("ttl_remaining_seconds").alias("seconds"), (F.unix_micros("expires_at") - zone).alias("expires"))
 
 
 @query("expired_artifacts", f"""

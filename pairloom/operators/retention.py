@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.functions.text import checkpoint_step, file_name, human_bytes, round_half_even, seconds_between
+from pairloom.functions.text import (checkpoint_step, file_name, human_bytes, micros, round_half_even, seconds_between,
+                                     ttl_remaining)
 from pairloom.operators.order import ORD, number_rows, running_before
 from pairloom.session import cut_lineage, small_side
 
@@ -124,6 +125,13 @@ def stale_totals(repos: DataFrame, now: Column, stale_days: float = STALE_DAYS)
         F.coalesce(F.sum(F.when(F.col("stale"), F.col("bytes"))), F.lit(0)).alias("stale_bytes"))
 
 
+def list_uploads(uploads: DataFrame, now: Column, ttl_hours: float = UPLOAD_TTL_HOURS) -> DataFrame:
+    """Uploads with the time they expire and the whole seconds left."""
+    uploaded = F.col("uploaded_at").cast("timestamp")
+    expires = F.timestamp_micros(micros(uploaded) + F.lit(int(ttl_hours * 3_600_000_000)))
+    return uploads.withColumns({"expires_at": expires, "ttl_remaining_seconds": ttl_remaining(uploaded, now, ttl_hours)})
+
+
 def expired_uploads(uploads: DataFrame, now: Column, ttl_hours: float = UPLOAD_TTL_HOURS) -> DataFrame:
     """Uploads older than their time to live, with their age in hours."""
     age = seconds_between(now, F.col("uploaded_at"))

@@ -127,12 +127,11 @@ def read_image_dir(spark: SparkSession, path: str, with_bytes: bool = False) ->
     Image bytes are read only on request. Files are joined to their sidecars on the path without
     its ending, which is unique on the sidecar side.
     """
-    files = spark.read.format("binaryFile").load(path)
-    wanted = files.where(is_image(F.col("path"))).withColumn("image", local_path(F.col("path")))
-    images = wanted.select("image", _without_ending(F.col("image")).alias("_stem"), *(["content"] if with_bytes else []))
-    texts = (files.where(F.col("path").endswith(".txt"))
-             .select(_without_ending(local_path(F.col("path"))).alias("_stem"),
-                     strip(F.decode(F.col("content"), "UTF-8")).alias("_text")))
+    files = spark.read.format("binaryFile").load(path).where(is_image(F.col("path")))
+    image = local_path(F.col("path"))
+    images = files.select(image.alias("image"), _without_ending(image).alias("_stem"), *(["content"] if with_bytes else []))
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(
+        _without_ending(local_path(F.col("_metadata.file_path"))).alias("_stem"), strip(F.col("value")).alias("_text"))
     return (images.join(texts, "_stem", "left")
             .withColumn("caption", F.coalesce(F.col("_text"), F.lit(""))).drop("_stem", "_text"))
 

@@ -48,7 +48,8 @@ class Preparation:
         fmt = self.spec.format
         self.formatter = row_formatter or formatter(
             fmt.format_type, custom_templates=fmt.custom_templates, renderer=renderer,
-            enable_thinking=fmt.enable_thinking, auto_detect_thinking=fmt.auto_detect_thinking)
+            enable_thinking=fmt.enable_thinking, auto_detect_thinking=fmt.auto_detect_thinking,
+            on_mismatch=fmt.on_mismatch)
 
     @classmethod
     def from_spec(cls, spark: SparkSession, spec: PrepareSpec | Mapping[str, Any], hub_root: str | None = None,

@@ -84,28 +84,31 @@ def read_file(spark: SparkSession, path: str, file_format: str | None = None,
     return with_ordinal(df, kind == "parquet", lineage) if ordinal else df
 
 
-def read_named(spark: SparkSession, root: str, repo_id: str, split: str = "train",
-               config_name: str | None = None, max_samples: int | None = None,
+def named_path(root: str, repo_id: str, split: str = "train", config_name: str | None = None) -> str:
+    """Where an exported dataset keeps a split; an empty config means the one called `default`."""
+    return f"{root.rstrip('/')}/{repo_id}/{config_name or 'default'}/{split}-*.parquet"
+
+
+def read_named(spark: SparkSession, root: str, repo_id: str, split: str = "train", config_name: str | None = None,
                schema: str | T.StructType | None = None) -> DataFrame:
-    """A split of a named dataset exported as `{root}/{repo}/{config}/{split}-*.parquet`.
+    """A split of a named dataset exported as `{root}/{repo}/{config}/{split}-*.parquet`."""
+    return read_file(spark, named_path(root, repo_id, split, config_name), "parquet", schema)
 
-    An empty config means the one called `default`. `max_samples` keeps the first rows in file
-    order; an empty split is an error when a bound is asked for.
-    """
-    path = f"{root.rstrip('/')}/{repo_id}/{config_name or 'default'}/{split}-*.parquet"
-    df = read_file(spark, path, "parquet", schema)
-    if max_samples:
-        if not df.limit(1).count():
-            raise ValueError(f"dataset {repo_id!r} (split {split}) has no rows")
-        df = head(df, max_samples)
-    return df
+
+def read_bounded(spark: SparkSession, root: str, repo_id: str, split: str = "train", config_name: str | None = None,
+                 max_samples: int | None = None, schema: str | T.StructType | None = None) -> DataFrame:
+    """The first `max_samples` rows of a split in file order, all of them for a falsy bound; no rows are an error."""
+    df = read_named(spark, root, repo_id, split, config_name, schema)
+    if df.isEmpty():
+        raise ValueError(f"dataset {repo_id!r} (split {split}) has no rows")
+    return head(df, max_samples)
 
 
 def stream_named(spark: SparkSession, root: str, repo_id: str, schema: str | T.StructType, split: str = "train",
                  config_name: str | None = None, files_per_batch: int = 64) -> DataFrame:
     """The same split as a stream, a bounded number of files at a time."""
-    path = f"{root.rstrip('/')}/{repo_id}/{config_name or 'default'}/{split}-*.parquet"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(named_path(root, repo_id, split, config_name))
 
 
 def read_source(spark: SparkSession, spec: SourceSpec | Mapping[str, Any], hub_root: str | None = None,
@@ -122,8 +125,8 @@ def read_source(spark: SparkSession, spec: SourceSpec | Mapping[str, Any], hub_r
         return read_file(spark, landed, spec.file_format, schema)
     if hub_root is None:
         raise SpecError("a named dataset needs hub_root, the folder of the exported datasets")
-    bound = max_samples if spec.streaming else None
-    return read_named(spark, hub_root, spec.repo_id, spec.split, spec.config_name, bound, schema)
+    where = (hub_root, spec.repo_id, spec.split, spec.config_name)
+    return read_bounded(spark, *where, max_samples, schema) if spec.streaming else read_named(spark, *where, schema)
 
 
 def inspect_columns(df: DataFrame, samples: int = 3, ord: str = ORD) -> dict[str, Any]:

@@ -89,6 +89,7 @@ class FormatSpec:
     custom_templates: Mapping[str, str] | None = None
     enable_thinking: bool | None = True
     auto_detect_thinking: bool = True
+    on_mismatch: str = "slice"
 
 
 @dataclass(frozen=True)

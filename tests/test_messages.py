@@ -21,14 +21,14 @@ def test_nesting_keeps_turn_order_also_for_a_conversation_with_most_rows(spark):
 
 def test_conversion(spark):
     data = [
-        (1, [("system", "Be helpful"), ("user", "Hello"), ("assistant", "Hi there!"), ("user", "How are you?"), ("assistant", "I'm doing well, thanks!")]),
+        (1, [("system", "Be kind"), ("user", "Begin"), ("assistant", "Once upon a time."), ("user", "And then?"), ("assistant", "That was all.")]),
         (2, [("USER", "q"), ("Assistant", None), ("assistant", "a"), ("critic", "skipped"), (None, "skipped")]),
     ]
     df = spark.createDataFrame(data, MESSAGES)
     assert has_messages_format(df)
     got = {r["id"]: r for r in convert_messages(df).collect()}
     assert (got[1]["system"], got[1]["prompt"], got[1]["chosen"]) == (
-        "Be helpful", "Hello\n\nHow are you?", "Hi there!\n\nI'm doing well, thanks!")
+        "Be kind", "Begin\n\nAnd then?", "Once upon a time.\n\nThat was all.")
     assert (got[2]["system"], got[2]["prompt"], got[2]["chosen"]) == ("", "q", "\n\na")
 
 

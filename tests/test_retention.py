@@ -12,22 +12,22 @@ STATUS = "job_id string, status string"
 
 @pytest.fixture(scope="module")
 def jobs(spark):
-    inventory = [("job_done", f"checkpoint-{n}", 1000) for n in (100, 200, 300)] + [
-        ("job_single", "checkpoint-50", 500), ("job_failed", "checkpoint-10", 700),
-        ("job_active", "checkpoint-1", 1000), ("job_active", "checkpoint-2", 1000),
-        ("job_lost", "checkpoint-9", 10), ("job_lost", "checkpoint-10", 20), ("job_lost", "notes", 5)]
-    statuses = [("job_done", "completed"), ("job_single", "completed"), ("job_failed", "failed"), ("job_active", "training")]
+    inventory = [("finished", f"checkpoint-{n}", 1000) for n in (100, 200, 300)] + [
+        ("lonely", "checkpoint-50", 500), ("broke", "checkpoint-10", 700),
+        ("busy", "checkpoint-1", 1000), ("busy", "checkpoint-2", 1000),
+        ("orphan", "checkpoint-9", 10), ("orphan", "checkpoint-10", 20), ("orphan", "notes", 5)]
+    statuses = [("finished", "completed"), ("lonely", "completed"), ("broke", "failed"), ("busy", "training")]
     return spark.createDataFrame(inventory, INVENTORY), spark.createDataFrame(statuses, STATUS)
 
 
 def test_plan_keeps_the_newest_and_spares_active_runs(jobs, rows):
     deletions, skipped = R.plan_cleanup(*jobs, keep=1)
     assert rows(deletions) == [
-        ("job_done", "checkpoint-100", 1000, "old checkpoint [keeping checkpoint-300]"),
-        ("job_done", "checkpoint-200", 1000, "old checkpoint [keeping checkpoint-300]"),
-        ("job_lost", "checkpoint-9", 10, "old checkpoint [keeping checkpoint-10]")]
-    assert rows(skipped) == [("job_active", "active (training)"), ("job_failed", "1 checkpoint(s), keep=1"),
-                             ("job_single", "1 checkpoint(s), keep=1")]
+        ("finished", "checkpoint-100", 1000, "old checkpoint [keeping checkpoint-300]"),
+        ("finished", "checkpoint-200", 1000, "old checkpoint [keeping checkpoint-300]"),
+        ("orphan", "checkpoint-9", 10, "old checkpoint [keeping checkpoint-10]")]
+    assert rows(skipped) == [("broke", "1 checkpoint(s), keep=1"), ("busy", "active (training)"),
+                             ("lonely", "1 checkpoint(s), keep=1")]
 
 
 def test_keep_two(jobs, rows):
@@ -39,18 +39,18 @@ def test_keep_two(jobs, rows):
 
 def test_failed_runs_go_as_a_whole_on_request(jobs, rows):
     deletions, skipped = R.plan_cleanup(*jobs, keep=1, purge_failed=True)
-    assert ("job_failed", None, 700, "failed job (whole dir)") in rows(deletions)
-    assert "job_failed" not in [r[0] for r in rows(skipped)]
+    assert ("broke", None, 700, "failed job (whole dir)") in rows(deletions)
+    assert "broke" not in [r[0] for r in rows(skipped)]
 
 
 def test_disk_usage(jobs, rows):
     usage = {r["job_id"]: (r["total_bytes"], r["reclaimable_bytes"], r["status"], r["active"]) for r in R.disk_usage(*jobs).collect()}
-    assert usage == {"job_done": (3000, 2000, "completed", False), "job_single": (500, 0, "completed", False),
-                     "job_failed": (700, 0, "failed", False), "job_active": (2000, 0, "training", True),
-                     "job_lost": (30, 10, "unknown", False)}
+    assert usage == {"finished": (3000, 2000, "completed", False), "lonely": (500, 0, "completed", False),
+                     "broke": (700, 0, "failed", False), "busy": (2000, 0, "training", True),
+                     "orphan": (30, 10, "unknown", False)}
     total = R.size_totals(R.disk_usage(*jobs), "total_bytes", "reclaimable_bytes").first()
     assert tuple(total) == (6230, 2010, "6.1 KB", "2.0 KB")
-    assert [r[0] for r in R.largest_first(R.size_rollup(jobs[0], "job_id"), "bytes", "job_id").collect()][:2] == ["job_done", "job_active"]
+    assert [r[0] for r in R.largest_first(R.size_rollup(jobs[0], "job_id"), "bytes", "job_id").collect()][:2] == ["finished", "busy"]
 
 
 def test_stale_cache(spark):

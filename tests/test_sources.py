@@ -89,10 +89,11 @@ def test_named_datasets(spark, hub):
 
     for config in (None, ""):
         assert ids(S.read_named(spark, hub, "org/data", config_name=config)) == list(range(20))
-    assert ids(S.read_named(spark, hub, "org/data", config_name="hard", max_samples=13)) == list(range(100, 113))
-    assert ids(S.read_named(spark, hub, "org/data", max_samples=0)) == list(range(20))
+    assert ids(S.read_bounded(spark, hub, "org/data", config_name="hard", max_samples=13)) == list(range(100, 113))
+    assert ids(S.read_bounded(spark, hub, "org/data", max_samples=0)) == list(range(20))
     with pytest.raises(ValueError, match="no rows"):
-        S.read_named(spark, hub, "org/data", "empty", max_samples=5, schema="id long")
+        S.read_bounded(spark, hub, "org/data", "empty", schema="id long")
+    assert S.read_named(spark, hub, "org/data", "empty", schema="id long").count() == 0
     with pytest.raises(FileNotFoundError):
         S.read_named(spark, hub, "org/data", "validation")
 

@@ -11,7 +11,7 @@ from pairloom.operators.messages import convert_messages
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])   # the templates below run in workers
 
-TOOLS = [{"type": "function", "function": {"name": "take_action", "description": "Take one legal action."}}]
+TOOLS = [{"type": "function", "function": {"name": "look_up", "description": "Look a word up."}}]
 SCHEMA = ("id int, messages array<struct<role:string,content:string,tool_calls:array<struct<type:string,"
           "function:struct<name:string,arguments:string>>>>>, tools string")
 
@@ -35,20 +35,20 @@ def template(messages, tools=None, add_generation_prompt=False, enable_thinking=
 
 
 def call(arguments):
-    return [("function", ("take_action", arguments))]
+    return [("function", ("look_up", arguments))]
 
 
 def conversation(arguments, id=1):
-    return (id, [("system", "You play one seat.", None), ("user", "Your turn.", None), ("assistant", None, call(arguments))],
+    return (id, [("system", "You keep a dictionary.", None), ("user", "What is a ewe?", None), ("assistant", None, call(arguments))],
             json.dumps(TOOLS))
 
 
 def test_flatten(spark):
-    df = spark.createDataFrame([conversation('{"action_id": "a7"}')], SCHEMA)
+    df = spark.createDataFrame([conversation('{"word": "ewe"}')], SCHEMA)
     out = convert_messages(df, template).first()
-    assert out["prompt"] == "Your turn."
-    assert out["chosen"] == "<call=take_action><action_id>a7"
-    assert out["system"].startswith("# Tools\n") and out["system"].endswith("\n\nYou play one seat.")
+    assert out["prompt"] == "What is a ewe?"
+    assert out["chosen"] == "<call=look_up><word>ewe"
+    assert out["system"].startswith("# Tools\n") and out["system"].endswith("\n\nYou keep a dictionary.")
     assert "tools" not in out.asDict() and "messages" not in out.asDict()
 
 
@@ -59,7 +59,7 @@ def test_tool_results_join_the_user_side_and_empty_parts_vanish(spark):
 
 
 def test_audit_covers_every_row(spark):
-    rows = [conversation('{"action_id": "a7"}', 1), conversation("{}", 2),
+    rows = [conversation('{"word": "ewe"}', 1), conversation("{}", 2),
             (3, [("user", "a", None), ("assistant", "b", call("{}")), ("user", "c", None), ("assistant", "d", None)], None)]
     audited = {r["id"]: r["survives"] for r in R.audit_tools(spark.createDataFrame(rows, SCHEMA), template).collect()}
     assert audited == {1: True, 2: True, 3: False}
@@ -87,7 +87,7 @@ def test_call_arguments_are_normalised(spark):
     element = df.schema["messages"].dataType.elementType["tool_calls"].dataType.elementType
     calls = R.normalise_calls(F.col("messages")[2]["tool_calls"], element)
     got = {r[0]: (r[1], r[2]) for r in df.select("id", calls[0]["name"], F.to_json(calls[0]["arguments"])).collect()}
-    assert got == {0: ("take_action", '{"x":1}'), 1: ("take_action", '"not json"'), 2: ("take_action", "{}"), 3: ("take_action", '"text"')}
+    assert got == {0: ("look_up", '{"x":1}'), 1: ("look_up", '"not json"'), 2: ("look_up", "{}"), 3: ("look_up", '"text"')}
 
 
 def test_structured_arguments(spark):
@@ -156,4 +156,4 @@ def test_lazy_renderer_is_built_in_the_worker(spark):
 def test_plain_rows_pass_untouched_beside_tool_rows(spark, on_error):
     rows = [conversation("{}", 1), (2, [("user", "q", None), ("assistant", "a", None)], None)]
     got = {r["id"]: r["chosen"] for r in convert_messages(spark.createDataFrame(rows, SCHEMA), template, on_error).collect()}
-    assert got == {1: "<call=take_action>", 2: "a"}
+    assert got == {1: "<call=look_up>", 2: "a"}
