@@ -11,7 +11,7 @@ from pairloom.functions.text import caption_from_path, file_name, strip
 from pairloom.operators.order import ORD
 from pairloom.operators.quality import filter_long
 from pairloom.operators.split import sample_rows, split_if_large
-from pairloom.session import small_side
+from pairloom.session import scratch_path, small_side, stage
 from pairloom.sources.read import ROW_BITS, read_file
 
 # The image endings that count, and the keys an image or a caption is looked up under.
@@ -49,7 +49,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The non-blank lines of text files as (row_index, line, base): numbered from 0 in file order.
 
     Each input split reports how many lines it holds; the splits before it give its first number.
-    `base` is the folder of the file.
+    The lines are landed first, as splits may differ between jobs. `base` is the folder of the file.
     """
     mask = F.lit(2**ROW_BITS - 1)
     lines = (spark.read.text(path)
@@ -57,6 +57,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                      strip(F.col("value")).alias("line"))
              .where(F.col("line") != "")
              .withColumn("_n", F.monotonically_increasing_id().bitwiseAND(mask)))
+    lines = stage(lines, scratch_path(spark, "lines"))
     splits = lines.groupBy("_f", "_s").agg(F.min("_n").alias("_low"), F.count("*").alias("_rows"))
     earlier = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)  # one row per input split
     starts = splits.select("_f", "_s", "_low", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pairloom.operators.order import ORD, head
-from pairloom.session import small_side
+from pairloom.session import scratch_path, small_side, stage
 from pairloom.sources.spec import SourceSpec, SpecError, infer_format
 
 ROW_BITS = 33          # rows of one file or input split
@@ -24,10 +24,12 @@ def with_ordinal(df: DataFrame, row_index: bool = False, lineage: bool = False)
     """Add `_ord` to a table straight above its scan: by file path, then by place in the file.
 
     Parquet knows each row's index in its file. Other formats number rows per input split, and
-    splits are ranked by (file, offset). The ranks, one row per file or split, are written once so
-    that later passes over the table do not scan it again to find them. `lineage` keeps the path of
+    splits are ranked by (file, offset). How a file is split depends on the cores at hand and may
+    change from job to job, so text tables are first landed as Parquet together with those places:
+    every later pass sees the same ordinals, and text is parsed once. `lineage` keeps the path of
     each row's file as `_file`.
     """
+    spark = df.sparkSession
     parts = ["file_path"] if row_index else ["file_path", "file_block_start"]
     place = (F.col("_metadata.row_index") if row_index
              else F.monotonically_increasing_id().bitwiseAND(F.lit(2**ROW_BITS - 1)))
@@ -36,9 +38,10 @@ def with_ordinal(df: DataFrame, row_index: bool = False, lineage: bool = False)
     names = [f"_{p}" for p in parts]
     if row_index and len(df.inputFiles()) == 1:
         return located.withColumn(ORD, F.col("_place")).drop(*names, "_place")
-    ranks = (located.select(*names).distinct()
-             .withColumn("_part", F.row_number().over(Window.orderBy(*names)).cast("long") - 1))
-    ranks = small_side(ranks)
+    if not row_index:
+        located = stage(located, scratch_path(spark, "landed"))
+    ranks = small_side(located.select(*names).distinct()
+                       .withColumn("_part", F.row_number().over(Window.orderBy(*names)).cast("long") - 1))
     if ranks.count() > MAX_PARTS:
         raise SpecError(f"more than {MAX_PARTS} files or splits in one source; compact them first")
     return (located.join(ranks, names)
