@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 from pairloom.session import scratch_path, stage
 
 ORD = "_ord"
-SMALL = 20_000      # rows a single task may sort
+SMALL = 50_000      # single numbers one task may sort
+WIDE = 1_000        # whole rows one task may sort
 FANOUT = 4096       # histogram cells per narrowing pass
 
 
@@ -52,7 +53,7 @@ def head(df: DataFrame, n: int | None, ord: str = ORD) -> DataFrame:
     """The first n rows by ordinal; a falsy n keeps all rows."""
     if not n:
         return df
-    if n <= SMALL:
+    if n <= WIDE:
         return df.orderBy(ord).limit(n)
     last = kth_smallest(df, ord, n)
     return df if last is None else df.where(F.col(ord) <= last)
@@ -69,7 +70,7 @@ class Page:
 def page_rows(df: DataFrame, size: int = 5, offset: int = 0, ord: str = ORD) -> DataFrame:
     """Rows [offset, offset + size) by ordinal, clamped to the table."""
     offset, size = max(0, offset), max(0, size)
-    if offset + size <= SMALL:
+    if offset + size <= WIDE:
         return df.orderBy(ord).offset(offset).limit(size)
     first = kth_smallest(df, ord, offset + 1)
     if first is None or size == 0:

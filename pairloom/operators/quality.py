@@ -21,7 +21,7 @@ def length_histogram(df: DataFrame) -> DataFrame:
     """
     fields = [n for n in STAT_FIELDS if n in df.columns]
     if not fields:
-        raise ValueError(f"none of {STAT_FIELDS} is a column of the table")
+        return df.sparkSession.createDataFrame([], "field string, length long, rows long")
     lengths = []
     for name in fields:
         value = F.col(name).cast("string")
@@ -33,9 +33,14 @@ def length_histogram(df: DataFrame) -> DataFrame:
 
 def field_stats(df: DataFrame, rounded: bool = False) -> DataFrame:
     """Per text field: average over non-empty values, extremes, upper median, empties, token estimate."""
+    return stats_of(length_histogram(df), rounded)
+
+
+def stats_of(histogram: DataFrame, rounded: bool = False) -> DataFrame:
+    """The field statistics of a length histogram."""
     by_length = Window.partitionBy("field").orderBy("length")
     seen = F.sum("rows").over(by_length)
-    stats = (length_histogram(df)
+    stats = (histogram
              .withColumn("past_middle", seen > F.expr("sum(rows) OVER (PARTITION BY field) div 2"))
              .groupBy("field").agg(
                  F.sum("rows").alias("rows"),
@@ -53,7 +58,12 @@ def field_stats(df: DataFrame, rounded: bool = False) -> DataFrame:
 
 def total_tokens(df: DataFrame) -> DataFrame:
     """One row: the token estimate of prompts and answers, from the rounded per-field averages."""
-    stats = field_stats(df).where(F.col("field").isin(*TOKEN_FIELDS))
+    return tokens_of(length_histogram(df))
+
+
+def tokens_of(histogram: DataFrame) -> DataFrame:
+    """The token estimate of a length histogram."""
+    stats = stats_of(histogram).where(F.col("field").isin(*TOKEN_FIELDS))
     per_field = round_half_even(F.col("est_avg_tokens"), 0) * (F.col("rows") - F.col("empty_count"))
     return stats.agg(F.coalesce(F.sum(per_field), F.lit(0.0)).alias("est_total_tokens"))
 

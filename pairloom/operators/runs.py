@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import file_stem, json_field, micros
-from pairloom.operators.order import SMALL, kth_smallest, narrow_to_nth, number_rows, running_before
+from pairloom.operators.order import WIDE, kth_smallest, narrow_to_nth, number_rows, running_before
 
 # The configuration fields a job listing shows, and the state fields an update may clear.
 CONFIG_SUMMARY = ("base_model", "output_name", "training_mode")
@@ -35,7 +35,7 @@ def list_runs(runs: DataFrame, status: str | None = None, limit: int = 100, offs
     before it.
     """
     rows = runs.where(F.col("status") == status) if status else runs
-    if offset + limit > SMALL:
+    if offset + limit > WIDE:
         age = -micros(F.col(created))
         first, last = (kth_smallest(rows, age, k) for k in (offset + 1, offset + limit))
         if first is None:
@@ -43,7 +43,7 @@ def list_runs(runs: DataFrame, status: str | None = None, limit: int = 100, offs
         skipped = rows.where(age < first).count()
         rows = rows.where((age >= first) & (age <= last if last is not None else F.lit(True)))
         offset -= skipped
-        if offset + limit > SMALL:   # many runs created at the same moment
+        if offset + limit > WIDE:   # many runs created at the same moment
             placed = number_rows(rows, F.col(created).desc(), F.col(id))
             return placed.where(F.col("_pos").between(offset, offset + limit - 1)).orderBy("_pos").drop("_pos")
     return rows.orderBy(F.col(created).desc(), F.col(id)).offset(offset).limit(limit)

@@ -19,10 +19,10 @@ from pairloom.operators import quality
 from pairloom.operators.columns import check_columns, rename, set_system
 from pairloom.operators.dedup import deduplicate
 from pairloom.operators.messages import convert_messages, has_messages_format
-from pairloom.operators.order import ORD, SMALL, Page, head, page, page_rows
+from pairloom.operators.order import ORD, WIDE, Page, head, page, page_rows
 from pairloom.operators.reshape import concat_sources, kto_explode
 from pairloom.operators.split import shuffle_rows, split
-from pairloom.session import scratch_path, stage
+from pairloom.session import cut_lineage, scratch_path, stage
 from pairloom.sources.read import read_source
 from pairloom.sources.spec import PrepareSpec, SourceSpec
 
@@ -101,7 +101,7 @@ class Preparation:
         if not staged:
             return head(df, cap, self.ord)
         # A small head is one pass; a large one looks for its last ordinal, which is cheaper in a written table.
-        if cap and cap <= SMALL:
+        if cap and cap <= WIDE:
             df = head(df, cap, self.ord)
         return head(stage(df, scratch_path(df.sparkSession, "prepared")), cap, self.ord)
 
@@ -153,10 +153,14 @@ class Preparation:
         return Page(self.formatted(page_rows(df, num_samples, offset, self.ord)), df.count())
 
     def stats(self, rounded: bool = True) -> dict[str, DataFrame]:
-        """Small tables describing the combined rows: overview, fields, balance (with rejected), tokens."""
+        """Small tables describing the combined rows: overview, fields, balance (with rejected), tokens.
+
+        Lengths are counted in one pass, which fields and tokens share.
+        """
         df = self.combined()
+        lengths = cut_lineage(quality.length_histogram(df))
         out = {"overview": quality.overview(df, self.spec.training_mode),
-               "fields": quality.field_stats(df, rounded), "tokens": quality.total_tokens(df)}
+               "fields": quality.stats_of(lengths, rounded), "tokens": quality.tokens_of(lengths)}
         if {"chosen", "rejected"} <= set(df.columns):
             out["balance"] = quality.length_balance(df, rounded)
         return out

@@ -41,7 +41,8 @@ def with_ordinal(df: DataFrame, row_index: bool = False, lineage: bool = False)
     if not row_index:
         located = stage(located, scratch_path(spark, "landed"))
     ranks = small_side(located.select(*names).distinct()
-                       .withColumn("_part", F.row_number().over(Window.orderBy(*names)).cast("long") - 1))
+                       .withColumn("_part", F.row_number().over(Window.orderBy(*names)).cast("long") - 1),
+                       limit=MAX_PARTS // 2)
     if ranks.count() > MAX_PARTS:
         raise SpecError(f"more than {MAX_PARTS} files or splits in one source; compact them first")
     return (located.join(ranks, names)

@@ -12,6 +12,7 @@ def small(monkeypatch):
     """Let the distributed paths work on small tables."""
     for module in (order,):
         monkeypatch.setattr(module, "SMALL", 10)
+        monkeypatch.setattr(module, "WIDE", 10)
         monkeypatch.setattr(module, "FANOUT", 8)
 
 

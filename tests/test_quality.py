@@ -41,6 +41,7 @@ def test_stats_of_nothing(spark):
     assert Q.field_stats(empty).count() == 0 and Q.total_tokens(empty).first()[0] == 0.0
     only = spark.createDataFrame([("p",)], "prompt string")
     assert [r["field"] for r in Q.field_stats(only).collect()] == ["prompt"]
+    assert Q.field_stats(spark.createDataFrame([(1,)], "n int"), rounded=True).count() == 0
     row = Q.overview(only, "sft").first()
     assert (row["total_rows"], row["columns"], row["training_mode"]) == (1, ["prompt"], "sft")
     balance = Q.length_balance(empty).first()

@@ -28,9 +28,8 @@ def test_listing(runs):
 
 
 def test_deep_listing(runs, monkeypatch):
-    for name in ("SMALL",):
-        monkeypatch.setattr(R, name, 8)
-        monkeypatch.setattr(order, name, 8)
+    monkeypatch.setattr(R, "WIDE", 8)
+    monkeypatch.setattr(order, "SMALL", 8)
     data, df = runs
     for limit, offset in ((10, 40), (10, 85), (5, 200), (30, 0)):
         assert [r["job_id"] for r in R.list_runs(df, limit=limit, offset=offset).collect()] == newest(data)[offset:offset + limit]
