@@ -15,7 +15,7 @@ MAX_SOURCES = 2**8
 
 
 def place_source(df: DataFrame, position: int, ord: str = ORD) -> DataFrame:
-    """Make a source's ordinals sort after those of all sources with a lower position."""
+    """Make a source's ordinals, each below 2**55, sort after those of all sources with a lower position."""
     if not 0 <= position < MAX_SOURCES:
         raise ValueError(f"at most {MAX_SOURCES} sources can be concatenated")
     return df.withColumns({ord: F.col(ord) + F.lit(position << SOURCE_BITS), "_src": F.lit(position)})

@@ -19,7 +19,7 @@ from pairloom.operators import quality
 from pairloom.operators.columns import check_columns, rename, set_system
 from pairloom.operators.dedup import deduplicate
 from pairloom.operators.messages import convert_messages, has_messages_format
-from pairloom.operators.order import ORD, WIDE, Page, head, page, page_rows
+from pairloom.operators.order import ORD, WIDE, Page, head, kth_smallest, page, page_rows
 from pairloom.operators.reshape import concat_sources, kto_explode
 from pairloom.operators.split import shuffle_rows, split
 from pairloom.session import cut_lineage, scratch_path, stage
@@ -92,18 +92,32 @@ class Preparation:
     def formatted(self, df: DataFrame) -> DataFrame:
         return self.formatter(df)
 
-    def training_rows(self, staged: bool = False) -> DataFrame:
-        """Checked, cleaned and capped training rows, not yet formatted."""
+    def cleaned(self) -> DataFrame:
+        """Checked training rows with their system prompt, without duplicates where the spec asks for it."""
         df = self._with_system(check_columns(self._concatenated(), self.spec.training_mode))
         if self.spec.deduplicate:
             df = deduplicate(df, self.spec.dedupe_strategy, ord=self.ord, compat=self.spec.compat_keys)
-        cap = self.spec.max_samples
-        if not staged:
-            return head(df, cap, self.ord)
-        # A small head is one pass; a large one looks for its last ordinal, which is cheaper in a written table.
+        return df
+
+    def training_rows(self, staged: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(rows, ordinals): the capped training rows, not yet formatted, and a table to look their ordinals up in.
+
+        Positions are searched for in several passes. A small cap is written out at once; staged
+        rows are read back from a table; of deduplicated rows the ordinals are written.
+        """
+        rows, cap = self.cleaned(), self.spec.max_samples
         if cap and cap <= WIDE:
-            df = head(df, cap, self.ord)
-        return head(stage(df, scratch_path(df.sparkSession, "prepared")), cap, self.ord)
+            rows = cut_lineage(head(rows, cap, self.ord))
+            return rows, rows.select(self.ord)
+        if staged:
+            rows = stage(rows, scratch_path(rows.sparkSession, "prepared"))
+        ordinals = rows.select(self.ord)
+        if self.spec.deduplicate and not staged and (cap or self.spec.test_size):
+            ordinals = stage(ordinals, scratch_path(rows.sparkSession, "ordinals"))
+        last = kth_smallest(ordinals, self.ord, cap) if cap else None
+        if last is None:
+            return rows, ordinals
+        return rows.where(F.col(self.ord) <= last), ordinals.where(F.col(self.ord) <= last)
 
     def prepare(self, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
         """(train, eval). An explicit evaluation set is formatted as it is; else a fraction is held out.
@@ -112,13 +126,10 @@ class Preparation:
         a Parquet table instead of repeating the cleaning. Without it, only the ordinals of
         deduplicated rows are written, to find the split in them.
         """
-        rows = self.training_rows(staged)
+        rows, ordinals = self.training_rows(staged)
         if self.evaluation is not None:
             held = check_columns(self._mapped(self.evaluation), self.spec.training_mode)
             return self.formatted(rows), self.formatted(self._with_system(held))
-        ordinals = None
-        if self.spec.deduplicate and self.spec.test_size and not staged:
-            ordinals = stage(rows.select(self.ord), scratch_path(rows.sparkSession, "ordinals"))
         train, held = split(rows, self.spec.test_size, self.spec.seed, self.spec.shuffle, self.ord, ordinals)
         return self.formatted(train), None if held is None else self.formatted(held)
 

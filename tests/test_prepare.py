@@ -27,6 +27,16 @@ def test_whole_preparation(spark):
     assert sorted(map(tuple, staged[1].collect())) == sorted(map(tuple, held.collect()))
 
 
+@pytest.mark.parametrize("staged", [True, False])
+def test_a_large_cap_is_cut_by_ordinal(spark, staged, monkeypatch):
+    from pairloom.plans import prepare
+
+    monkeypatch.setattr(prepare, "WIDE", 5)
+    train, held = plan(pref(spark), deduplicate=True, dedupe_strategy="prompt", max_samples=20, test_size=0.25).prepare(staged)
+    assert sorted(r["_ord"] for r in train.unionByName(held).collect()) == list(range(20)) and held.count() == 5
+    assert plan(pref(spark), max_samples=400, test_size=0).prepare(staged)[0].count() == 50
+
+
 def test_evaluation_off(spark):
     train, held = plan(pref(spark), test_size=0).prepare()
     assert held is None and train.count() == 50
