@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pairloom.functions.text import file_stem, json_field, micros
 from pairloom.operators.order import WIDE, kth_smallest, narrow_to_nth, number_rows, running_before
+from pairloom.session import cut_lineage
 
 # The configuration fields a job listing shows, and the state fields an update may clear.
 CONFIG_SUMMARY = ("base_model", "output_name", "training_mode")
@@ -101,22 +103,24 @@ def run_summary(metrics: DataFrame, key: str = "job_id", step: str = "step", ord
     """Per run: number of records, first, middle and last record by step, and the loss improvement in percent.
 
     The middle record is at position n // 2, for runs of more than two; of records that share its
-    step, the one with the nth ordinal, or without `ord` the smallest. It is found by counting
-    ever smaller cells, so no run is ever ordered as a whole.
+    step, the one with the nth ordinal, or without `ord` the smallest. Where a run has more than
+    `block` records it is found by counting ever smaller cells, so that run is never ordered whole.
     """
     record = F.struct(F.col(step).cast("long").alias("step"), *[F.col(v) for v in values])
     rows = metrics.select(F.col(key), record.alias("_rec"), F.expr(f"cast(`{step}` AS bigint) div {block}L").alias("_block"),
                           F.col(step).cast("long").alias("_step"),
                           *([F.col(ord).alias("_o"), F.expr(f"`{ord}` div {block}L").alias("_oblock")] if ord else []))
     place = F.struct("_step", "_o") if ord else F.struct("_step", "_rec")
-    ends = rows.groupBy(key).agg(F.count("*").alias("records"), F.min_by("_rec", place).alias("first"),
-                                 F.max_by("_rec", place).alias("last"))
-    found = ends.where("records > 2").select(key, F.expr("records div 2").alias("_nth"))
-    at = [key]
-    for cell in ("_block", "_step", "_oblock", "_o") if ord else ("_block", "_step"):
-        found = narrow_to_nth(rows, found, at, cell)
-        at = [*at, cell]
-    middle = rows.join(found, at, "left_semi").groupBy(key).agg(F.min("_rec").alias("middle"))
+    ends = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("records"), F.min_by("_rec", place).alias("first"),
+                                             F.max_by("_rec", place).alias("last")))
+    if ends.where(F.col("records") > block).isEmpty():
+        middle = _middle_by_rank(rows, key, ord is not None)
+    else:
+        found, at = ends.where("records > 2").select(key, F.expr("records div 2").alias("_nth")), [key]
+        for cell in ("_block", "_step", "_oblock", "_o") if ord else ("_block", "_step"):
+            found = narrow_to_nth(rows, found, at, cell)
+            at = [*at, cell]
+        middle = rows.join(found, at, "left_semi").groupBy(key).agg(F.min("_rec").alias("middle"))
     out = ends.join(middle, key, "left")
     lead = values[0]
     flat = [F.col(f"{part}.{v}").alias(f"{part}_{v}") for part in ("first", "middle", "last") for v in ("step", *values)]
@@ -125,6 +129,15 @@ def run_summary(metrics: DataFrame, key: str = "job_id", step: str = "step", ord
     return out.select(key, "records", *flat, gain.alias("improvement_pct"))
 
 
+def _middle_by_rank(rows: DataFrame, key: str, ordered: bool) -> DataFrame:
+    """The middle record of every run, for runs small enough to be ordered by one task each."""
+    run = Window.partitionBy(key)
+    rank = F.row_number().over(run.orderBy("_step", *(["_o"] if ordered else [])))
+    value = F.col("_rec") if ordered else F.min("_rec").over(Window.partitionBy(key, "_step"))
+    return (rows.withColumns({"_rank": rank, "_all": F.count("*").over(run), "middle": value})
+            .where("_all > 2 AND _rank = _all div 2 + 1").select(key, "middle"))
+
+
 def config_catalogue(files: DataFrame, tag: str | None = None) -> DataFrame:
     """The metadata of saved configurations, newest first, from (filename, value) rows of JSON text; invalid ones are skipped."""
     meta = "struct<name:string,description:string,created_at:string,modified_at:string,tags:array<string>>"
