@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog.registry import QUERIES
 from scripts.check import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -33,9 +34,9 @@ def test_entry(spark):
     assert df.columns == ["conv_id", "system", "prompt", "chosen", "rejected"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = rows_of(df.columns, df.collect())
     if name in entry.oracle_sql():
         result = sql.execute(entry.oracle_sql()[name])
