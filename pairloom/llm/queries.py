@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import packing
+from pairloom.llm import bottomk, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +32,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"))
     narrow = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(narrow).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+items AS (SELECT doc_id, unnest(s) AS v FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+          WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT s.b, r.low FROM reach r JOIN steps s ON s.a = r.node)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(low) AS component_id, sets.doc_id = min(low) AS kept
+FROM sets JOIN reach ON node = sets.doc_id GROUP BY sets.doc_id, s"""
+
+
+@query("op10_bottom_k_near_dedup", OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
