@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bottomk, packing
+from pairloom.llm import bottomk, chunking, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,8 @@ FROM sets JOIN reach ON node = sets.doc_id GROUP BY sets.doc_id, s"""
 @query("op10_bottom_k_near_dedup", OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op3_chunk_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "spans")
