@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bottomk, chunking, packing
+from pairloom.llm import bottomk, chat, chunking, packing, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +57,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_chunk_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "spans")
+
+
+RULES = (urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
+         urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/"))
+
+OP6 = """WITH cut AS (SELECT page_id, instr(coalesce(url, ''), '://') AS pos, url FROM pages),
+rest AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM cut),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                                ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+         FROM parts JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)"""
+
+
+@query("op6_url_filter", OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op7_chat_format")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    formatted = chat.format_conversations(turns.unionByName(more))
+    read = chat.read_back(formatted)
+    valid = F.first("valid").alias("valid")
+    read = read.join(formatted.select(F.col("conv_id").alias("_id"), F.col("block").alias("_block"), "valid"),
+                     F.col("conv_id").eqNullSafe(F.col("_id")) & (F.col("block") == F.col("_block")))
+    in_order = lambda c: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("block", c))), lambda b: b[c]))
+    whole = read.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), in_order("turns").alias("turns"), in_order("loss").alias("loss"),
+                                        F.sum("chars").alias("formatted_chars"), valid)
+    return whole.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid")
