@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bottomk, chat, chunking, packing, urls
+from pairloom.llm import bottomk, chat, chunking, langid, packing, quality, urls
+from pairloom.llm.langid import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +94,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.sum("chars").alias("formatted_chars"), valid)
     return whole.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
                         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_quality_votes")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 3) == 1
+    known = labels.where(~held_out & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label")).distinct()
+    model = quality.train(docs, docs.select("doc_id", "text").join(known, "doc_id"))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
