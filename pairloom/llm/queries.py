@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bottomk, chat, chunking, langid, packing, quality, urls
+from pairloom.llm import bottomk, chat, chunking, langid, ngram, packing, quality, urls
 from pairloom.llm.langid import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = labels.where(~held_out & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label")).distinct()
     model = quality.train(docs, docs.select("doc_id", "text").join(known, "doc_id"))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_interpolated_lm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 7) == 2
+    scored = ngram.interpolated(table(spark, sf_dir, "documents"), trained=~held_out, held_out=fold("doc_id", 7) == 4)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
