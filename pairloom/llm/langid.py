@@ -124,10 +124,10 @@ def predict(docs: DataFrame, model: Prototypes, text: str = "text") -> DataFrame
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     at = kept.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, prototypes = shared.value.languages, shared.value.vectors
+        languages, prototypes = shared.value
         finder, vectors = Trigrams(), trigram_vectors(prototypes.shape[1])
         prototypes = prototypes.astype(np.float32)
         for batch in batches:

@@ -162,13 +162,13 @@ def vote(model: Voters, counts: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Voters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for every row, repeated rows and null keys included; null texts count as empty. Other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.basis, model.vectors, model.labels))
 
     def run(batches):
-        terms = Terms()
+        terms, model = Terms(), Voters(*shared.value)
         for batch in batches:
             for first, counts in rows_of(batch.column(1), terms):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(vote(shared.value, counts).astype(float))], ["key", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(vote(model, counts).astype(float))], ["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bottomk, chat, chunking, langid, ngram, packing, quality, urls
+from pairloom.llm import bottomk, chat, chunking, langid, leaks, ngram, packing, quality, urls
 from pairloom.llm.langid import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 7) == 2
     scored = ngram.interpolated(table(spark, sf_dir, "documents"), trained=~held_out, held_out=fold("doc_id", 7) == 4)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks.search(docs, leaks.fit(docs, table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", F.col("leak.item").alias("item_id"), F.col("leak.share").alias("share"), F.col("leak.answer").alias("answer"), F.col("leak.word").alias("word"))
