@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bottomk, chat, chunking, langid, leaks, ngram, packing, quality, urls
+from pairloom.llm import bottomk, chat, chunking, descent, langid, leaks, ngram, packing, quality, urls
 from pairloom.llm.langid import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.search(docs, leaks.fit(docs, table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select(
         "doc_id", F.col("leak.item").alias("item_id"), F.col("leak.share").alias("share"), F.col("leak.answer").alias("answer"), F.col("leak.word").alias("word"))
+
+
+@query("op5_nn_descent")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_vectors(table(spark, sf_dir, "embeddings"))
