@@ -131,46 +131,46 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     return found, scratch
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 100, into: str = "spans") -> DataFrame:
     """Cut repeated passages out of whole texts; all columns of `docs` stay, with `text` shortened, and `spans` is added.
 
     A passage goes if it is a run of chunks that all occurred before (in a document with a smaller key, or earlier in the
     same text), of at least `least` bytes together. `spans` lists what went: byte start and length in the old text, and
     the key of the document that keeps it; empty if nothing went. Null and empty texts and rows with a null key stay as
     they are. Rows that repeat a key and text are one document; different texts of one key are told apart. An input column
-    `spans` is replaced.
+    of the name `into` is replaced.
     """
     found, scratch = repeats(docs, key, text)
     hits = found.distinct().groupBy("id", "version").agg(
         F.array_sort(F.collect_list(F.struct("seq", "start", "length", "hi", "lo", "keeper"))).alias("hits"))
     hits = scratch.table(hits, "hits").select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("hits").alias("_hits"))
-    kept = [c for c in docs.columns if c.lower() not in ("spans", "_id", "_version", "_hits")]
-    rows = docs.select(*kept).withColumn("_v", F.xxhash64(text))
-    joined = rows.join(hits, (F.col(key) == F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("v"))
+    joined = rows.join(hits, (F.col("k") == F.col("_id")) & (F.col("v") == F.col("_version")), "left").select(
+        "_id", "_hits", *[F.col(f"row.`{c}`").alias(c) for c in kept])
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, at = batch.column(batch.schema.names.index("_hits")), batch.schema.names.index(text)
-            texts, spans = batch.column(at).to_pylist() if column.null_count < len(column) else None, [[]] * len(batch)
+            column, own = batch.column(1), batch.columns[2:]
+            texts, spans = own[kept.index(text)].to_pylist() if column.null_count < len(column) else None, [[]] * len(batch)
             for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)):
                 raw = texts[i].encode()
-                spans[i] = long_runs(batch.column(batch.schema.names.index("_id"))[i].as_py(), column[i].as_py(), least)
+                spans[i] = long_runs(batch.column(0)[i].as_py(), column[i].as_py(), least)
                 parts, last = [], 0
                 for s in spans[i]:
                     parts.append(raw[last:s["start"]])
                     last = s["start"] + s["length"]
                 texts[i] = b"".join([*parts, raw[last:]]).decode()
-            arrays = [batch.column(batch.schema.names.index(c)) for c in kept]
             if texts is not None:
-                arrays[kept.index(text)] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, SPANS(batch.schema.field("_id").type))], [*kept, "spans"])
+                own[kept.index(text)] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*own, pa.array(spans, span_type(batch.schema.field(0).type))], [*kept, into])
 
     schema = docs.select(*kept).schema.simpleString()[len("struct<"):-1]
-    return joined.mapInArrow(cut, f"{schema},spans:array<struct<start:bigint,length:bigint,keeper:{kind}>>")
+    return joined.mapInArrow(cut, f"{schema},{into}:array<struct<start:bigint,length:bigint,keeper:{kind}>>")
 
 
-def SPANS(kind: pa.DataType) -> pa.DataType:
+def span_type(kind: pa.DataType) -> pa.DataType:
     return pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("keeper", kind)]))
 
 

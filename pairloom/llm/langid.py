@@ -116,13 +116,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
     return Prototypes(names, vectors)
 
 
-def predict(docs: DataFrame, model: Prototypes, text: str = "text") -> DataFrame:
-    """`docs` with `lang_pred` and `score`, the cosine with the nearest prototype (0 to 1); columns of these names are replaced.
+def predict(docs: DataFrame, model: Prototypes, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with `lang_pred` and `score`, the cosine with the nearest prototype (0 to 1); columns of these names (`into`) are replaced.
 
     `und` and score 0 if the text is null, has no letter, or nothing was learned; letters too few for a trigram score 0 and
     take the first language. Ties go to the first language by name. Rows are judged one by one, whole texts.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in [x.lower() for x in into]]
     at = kept.index(text)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.vectors))
 
@@ -142,10 +142,10 @@ def predict(docs: DataFrame, model: Prototypes, text: str = "text") -> DataFrame
                     cosines = prototypes @ bundle / max(float(np.linalg.norm(bundle)), 1e-9)
                     best = int(np.argmax(cosines))
                     names[part.first + i], scores[part.first + i] = languages[best], min(max(float(cosines[best]), 0.0), 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, *into])
 
     schema = docs.select(*kept).schema.simpleString()[len("struct<"):-1]
-    return docs.select(*kept).mapInArrow(run, f"{schema},lang_pred:string,score:double")
+    return docs.select(*kept).mapInArrow(run, f"{schema},{into[0]}:string,{into[1]}:double")
 
 
 def fold(key: str | Column, parts: int) -> Column:
