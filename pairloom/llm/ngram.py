@@ -4,7 +4,7 @@ P(w | v) = l2 * c(v, w) / c(v) + l1 * c(w) / N + l0 / (V + 1), with one weight t
 maximisation learns the triples on held-out counts: a fold of the training texts is deleted from the counts, and its
 tokens are predicted from the rest. The model then uses the counts of all training texts.
 
-Texts become chunks of about a million tokens, coded by the chunk's own sorted vocabulary. A chunk asks for the corpus counts
+Texts become chunks of about half a million tokens, coded by the chunk's own sorted vocabulary. A chunk asks for the corpus counts
 of its distinct words and pairs once, as sorted arrays of 64-bit hashes cut into hash buckets. A task that holds a bucket
 adds the chunks' numbers and answers each chunk in the order of its question, so an answer carries no keys. A word or pair
 that a third of all tokens are is one entry of each chunk.
@@ -26,7 +26,7 @@ from pairloom.llm.words import Powers, mix, slices, words_of
 
 U = np.uint64
 END, START = U(0x0E4D), U(0x57A7)  # hashes of the end of a text and of what stands before its first word
-TOKENS = 1 << 20  # of a chunk, at least one text
+TOKENS = 1 << 19  # of a chunk, at least one text
 KEYS = 1 << 19  # wanted in a bucket
 STEPS = 8  # of a probability ratio, for each doubling
 LEVELS = 40  # buckets of log2 c(v)
@@ -37,8 +37,30 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * U(0x9E3779B97F4A7C15) + (w ^ U(0x7F4A7C15F39CC060)))
 
 
-def pack(x: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(x).astype(kind).tobytes()
+def pack(x: np.ndarray, size: int | None = None) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs (or `size`): first that number, then all lowest bytes, all second ones."""
+    if size is None:
+        size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T[:size]
+    return bytes([size]) + planes.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    size = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :size] = planes.T
+    return out.view("<u8").ravel()
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Packed and compressed: what a chunk carries through the job."""
+    raw = pack(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def loosen(raw: bytes) -> np.ndarray:
+    return unpack(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -52,12 +74,15 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal number, ids, roles, lengths, hashes, size
-            vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            vocabulary, tokens, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which take less room
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
             own = pa.concat_arrays(ids)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([base + number]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
-                 *(pa.array([x], pa.binary()) for x in (pack(np.concatenate(roles), "u1"), pack(np.concatenate(lengths), "<u4"), pack(vocabulary, "<u8"), pack(tokens, "<u4")))],
-                ["chunk", "ids", "roles", "lengths", "vocabulary", "tokens"])
+                 *(pa.array([squeeze(x)], pa.binary()) for x in (np.concatenate(roles), np.concatenate(lengths), vocabulary[order], place[tokens])),
+                 pa.array([len(tokens) + len(vocabulary)])], ["chunk", "ids", "roles", "lengths", "vocabulary", "tokens", "size"])
             number, ids, roles, lengths, hashes, size = number + 1, [], [], [], [], 0
             return row
 
@@ -77,15 +102,16 @@ def chunks(docs: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, roles binary, lengths binary, vocabulary binary, tokens binary")
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, roles binary, lengths binary, vocabulary binary, tokens binary, size long")
 
 
 class Chunk:
     """A chunk row: its tokens as places in the vocabulary, and its distinct pairs of neighbours."""
 
     def __init__(self, roles: bytes, lengths: bytes, vocabulary: bytes, tokens: bytes):
-        self.roles, self.lengths = np.frombuffer(roles, np.uint8), np.frombuffer(lengths, "<u4").astype(np.int64)
-        self.vocabulary, self.tokens = np.frombuffer(vocabulary, "<u8"), np.frombuffer(tokens, "<u4").astype(np.int64)
+        self.roles, self.lengths, self.tokens = (loosen(x).astype(np.int64) for x in (roles, lengths, tokens))
+        self.vocabulary = loosen(vocabulary)
+        self.end = np.flatnonzero(self.vocabulary == END)  # one place: every text has an end
         self.begin = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         n = len(self.vocabulary)
         before = np.empty(len(self.tokens), np.int64)
@@ -103,22 +129,33 @@ class Chunk:
         return np.bincount(which[self.role >= role], minlength=size)
 
 
+PAIR_BITS = 48  # of a pair's key behind the bits that name its bucket; words keep all 64
+
+
+def cut_keys(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and where each bucket begins in it."""
+    order = np.argsort(keys)
+    bits = buckets.bit_length() - 1
+    begin = np.searchsorted(keys[order], np.arange(buckets, dtype=U) << U(64 - bits)) if bits else np.zeros(1, np.int64)
+    return order, np.append(begin, len(keys))
+
+
 def questions(chunk_rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, chunk, keys1, all1, out1, keys2, all2, out2): sorted keys of words and pairs with the chunk's own numbers."""
-    shift = U(64 - buckets.bit_length() + 1)
+    bits = U(buckets.bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 chunk = Chunk(*(batch.column(c)[i].as_py() for c in range(1, 5)))
                 columns: list[list] = []
-                for keys, which in zip(chunk.keys(), (chunk.tokens, chunk.pair)):
-                    order = np.argsort(keys)
-                    cuts = np.searchsorted(keys[order], np.arange(buckets, dtype=U) << shift) if buckets > 1 else np.zeros(1, np.int64)
-                    cuts = np.append(cuts, len(keys))
-                    sides = [(keys[order], "<u8"), *((chunk.numbers(which, len(keys), r)[order], "<u4") for r in (1, 2))]
-                    columns += [[pack(x[a:b], kind) for a, b in zip(cuts[:-1], cuts[1:])] for x, kind in sides]
-                used = [b for b in range(buckets) if columns[0][b] or columns[3][b]]
+                for kind, keys, which in zip("12", chunk.keys(), (chunk.tokens, chunk.pair)):
+                    order, cuts = cut_keys(keys, buckets)
+                    keys = keys[order]
+                    short = (keys << bits) >> U(64 - PAIR_BITS) if kind == "2" else keys
+                    sides = [(short, PAIR_BITS // 8 if kind == "2" else 8), *((chunk.numbers(which, len(keys), r)[order], None) for r in (1, 2))]
+                    columns += [[pack(x[a:b], size) for a, b in zip(cuts[:-1], cuts[1:])] for x, size in sides]
+                used = [b for b in range(buckets) if len(columns[0][b]) > 1 or len(columns[3][b]) > 1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(used), pa.int64()), *(pa.array([c[b] for b in used], pa.binary()) for c in columns)],
                     ["bucket", "chunk", "keys1", "all1", "out1", "keys2", "all2", "out2"])
@@ -129,21 +166,20 @@ def questions(chunk_rows: DataFrame, buckets: int) -> DataFrame:
 
 def answer(group: pa.Table) -> pa.Table:
     """The corpus counts of a bucket's keys, for each chunk in the order of its question; `types` counts trained words once."""
-    group = group.combine_chunks()
     out, types = {}, 0
     for kind in "12":
-        parts = [np.frombuffer(x, "<u8") for x in group[f"keys{kind}"].to_pylist()]
+        parts = [unpack(x) for x in group[f"keys{kind}"].to_pylist()]
         ends = np.cumsum([len(p) for p in parts])
         unique, which = np.unique(np.concatenate(parts), return_inverse=True)
         for name in ("all", "out"):
-            numbers = np.concatenate([np.frombuffer(x, "<u4") for x in group[f"{name}{kind}"].to_pylist()])
+            numbers = np.concatenate([unpack(x) for x in group[f"{name}{kind}"].to_pylist()])
             total = np.bincount(which, weights=numbers, minlength=len(unique)).astype(np.int64)
             if name == "all" and kind == "1":
                 types = int((total > 0).sum())
-            out[name + kind] = [pack(x, "<u8") for x in np.split(total[which], ends[:-1])]
+            out[name + kind] = [pack(x) for x in np.split(total[which], ends[:-1])]
     n = group.num_rows
-    return pa.table([group["bucket"], group["chunk"], *(pa.array(out[c], pa.binary()) for c in ("all1", "out1", "all2", "out2")),
-                     pa.array([types] + [0] * (n - 1), pa.int64())], names=["bucket", "chunk", "all1", "out1", "all2", "out2", "types"])
+    return pa.table([group["bucket"], group["chunk"], *(pa.array(out[c], pa.binary()) for c in COUNTS), pa.array([types] + [0] * (n - 1), pa.int64())],
+                    names=["bucket", "chunk", *COUNTS, "types"])
 
 
 ANSWER = "bucket long, chunk long, all1 binary, out1 binary, all2 binary, out2 binary, types long"
@@ -163,7 +199,7 @@ def answered(row: pa.RecordBatch, i: int) -> tuple[Chunk, list[np.ndarray]]:
         order = np.argsort(keys)
         for name in names:
             counts = np.empty(len(keys), np.int64)
-            counts[order] = np.frombuffer(get(name), "<u8")
+            counts[order] = loosen(get(name))
             out.append(counts)
     return chunk, out
 
@@ -177,8 +213,7 @@ def statistics(ready: DataFrame, total: int, out: int, types: int) -> DataFrame:
                 chunk, (all1, out1, all2, out2) = answered(batch, i)
                 n = chunk.numbers(chunk.pair, len(chunk.pairs), 2)
                 left = all1 - out1
-                at = np.searchsorted(chunk.vocabulary, END)
-                context = np.append(left, left[at])[chunk.v]  # as many starts as ends
+                context = np.append(left, left[chunk.end])[chunk.v]  # as many starts as ends
                 p2 = (all2 - out2) / np.maximum(context, 1)
                 p1 = left[chunk.w] / max(total - out, 1)
                 q2, q1 = (np.where(p > 0, np.round(STEPS * np.log2(np.maximum(p, 1e-300) * (types + 1))) + TOP, 0).clip(0, 2 * TOP).astype(np.int64) for p in (p2, p1))
@@ -230,7 +265,7 @@ def interpolated(docs: DataFrame, key: str = "doc_id", text: str = "text", train
     role = F.when(F.coalesce(trained, F.lit(False)), F.when(F.coalesce(held_out, F.lit(False)), 2).otherwise(1)).otherwise(0)
     rows = docs.select(F.col(key).alias("id"), role.cast("int").alias("role"), F.col(text).cast("string").alias("text"))
     made = scratch.table(chunks(rows), "chunks")
-    sizes = made.agg(F.sum(F.length("tokens") / 4 + F.length("vocabulary") / 8)).first()[0] or 0
+    sizes = made.agg(F.sum("size")).first()[0] or 0
     buckets = 1 << max(0, int(sizes / KEYS).bit_length())
     answers = scratch.table(questions(made, buckets).groupBy("bucket").applyInArrow(answer, ANSWER), "answers")
     types = answers.agg(F.sum("types")).first()[0] or 0
@@ -239,13 +274,13 @@ def interpolated(docs: DataFrame, key: str = "doc_id", text: str = "text", train
         """A chunk's row with all its answers in the order of the buckets."""
         group = group.combine_chunks().sort_by("bucket")
         own = group.slice(0, 1)  # bucket -1: the chunk itself
-        joined = {c: b"".join(x for x in group[c].to_pylist()[1:]) for c in COUNTS}
+        joined = {c: squeeze(np.concatenate([unpack(x) for x in group[c].to_pylist()[1:]])) for c in COUNTS}
         return pa.table([own[c] if c not in COUNTS else pa.array([joined[c]], pa.binary()) for c in own.schema.names], schema=own.schema)
 
     kinds = made.schema["ids"].dataType
     schema = f"bucket long, chunk long, ids {kinds.simpleString()}, roles binary, lengths binary, vocabulary binary, tokens binary, all1 binary, out1 binary, all2 binary, out2 binary"
     names = [part.strip().split(" ")[0] for part in schema.split(", ")]
-    both = made.withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers.drop("types"), allowMissingColumns=True).select(*names)
+    both = made.drop("size").withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers.drop("types"), allowMissingColumns=True).select(*names)
     ready = scratch.table(both.groupBy("chunk").applyInArrow(merge, schema), "ready")
     scratch.drop("chunks")
     scratch.drop("answers")
@@ -254,7 +289,7 @@ def interpolated(docs: DataFrame, key: str = "doc_id", text: str = "text", train
         total = out = 0
         for batch in batches:
             for roles, lengths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                role, length = np.frombuffer(roles, np.uint8), np.frombuffer(lengths, "<u4").astype(np.int64)
+                role, length = loosen(roles), loosen(lengths)
                 total, out = total + int(length[role >= 1].sum()), out + int(length[role == 2].sum())
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([out])], ["total", "out"])
 
@@ -265,8 +300,7 @@ def interpolated(docs: DataFrame, key: str = "doc_id", text: str = "text", train
         for batch in batches:
             for i in range(len(batch)):
                 chunk, (all1, _, all2, _) = answered(batch, i)
-                at = np.searchsorted(chunk.vocabulary, END)
-                context = np.append(all1, all1[at])[chunk.v]
+                context = np.append(all1, all1[chunk.end])[chunk.v]
                 w = weights[level(context)]
                 p = w[:, 0] * all2 / np.maximum(context, 1) + w[:, 1] * all1[chunk.w] / max(total, 1) + w[:, 2] / (types + 1)
                 base = np.log10((all1 + 1) / (total + types + 1))
