@@ -41,8 +41,8 @@ def messages_to_pairs(spark, d):
 @query("messages_quarantine", f"""
 WITH {PAIRS}
 SELECT conv_id, prompt, chosen,
-       CASE WHEN prompt = '' THEN 'No user messages found in messages list'
-            WHEN chosen = '' THEN 'No assistant messages found in messages list' END AS reason
+       CASE WHEN prompt = '' THEN 'nothing was said by the user'
+            WHEN chosen = '' THEN 'nothing was said by the assistant' END AS reason
 FROM pairs""")
 def messages_quarantine(spark, d):
     return convert_messages(conv(spark, d), on_error="quarantine").select(

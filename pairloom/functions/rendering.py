@@ -24,9 +24,6 @@ from pairloom.operators.messages import NO_ASSISTANT, NO_USER
 
 Renderer = Callable[..., str]
 
-SLOT = "\u2063content slot\u2063"
-ANCHOR = {"role": "user", "content": "\u2063anchor turn\u2063"}   # templates refuse a chat without a user turn
-
 NEEDS_RENDERER = "The row uses tools; pass the target model's renderer to flatten it"
 
 
@@ -91,13 +88,12 @@ def row_has_tools(df: DataFrame) -> Column:
 
 
 def dataset_has_tools(df: DataFrame) -> bool:
-    """Whether a table is a tool-calling one: a `tools` column, or tools in its first row."""
+    """Whether a table is a tool-calling one: a `tools` column, or any row with tools."""
     if "tools" in df.columns:
         return True
     if not _message_fields(df) or df.isStreaming:
         return False
-    first = df.select(row_has_tools(df).alias("t")).limit(1).collect()
-    return bool(first) and first[0]["t"]
+    return not df.where(row_has_tools(df)).select(F.lit(1)).isEmpty()
 
 
 def normalise_calls(calls: Column, element: T.StructType) -> Column:
@@ -123,110 +119,164 @@ def normalise_calls(calls: Column, element: T.StructType) -> Column:
     return F.transform(calls, one)
 
 
-# ---- tool calls: per-row rendering -----------------------------------------------------------------
+# ---- tool calls: what Python gets --------------------------------------------------------------------
 
-def _plain_call(call: dict) -> dict:
-    fn = call.get("function") or call
-    args = fn.get("arguments")
-    if isinstance(args, str):
-        try:
-            args = json.loads(args)
-        except ValueError:
-            pass                       # not JSON: the template gets the text
-    return {"type": "function", "function": {"name": fn.get("name"), "arguments": {} if args is None else args}}
+def _json(c: Column) -> Column:
+    """A text as a JSON string, null as `null`."""
+    listed = F.to_json(F.array(c.cast("string")))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
-def native_message(message: dict) -> dict:
-    """A message as templates expect it: content never null, call arguments as a mapping."""
-    out = {"role": message.get("role"), "content": message.get("content") or ""}
-    if message.get("tool_calls"):
-        out["tool_calls"] = [_plain_call(c) for c in message["tool_calls"]]
-    return out
+def _call_json(call: Column, element: T.StructType) -> Column:
+    """One call as the JSON a template expects. Argument text that is JSON goes in as it stands, so its keys keep their order."""
+    wrapped = "function" in element.names
+    fn = call["function"] if wrapped else call
+    kind = (element["function"].dataType if wrapped else element)["arguments"].dataType
+    args = fn["arguments"]
+    if isinstance(kind, T.StringType):
+        parsed = F.try_parse_json(args)
+        text = F.when(parsed.isNull(), _json(args)).when(~F.is_variant_null(parsed), args)
+    else:
+        text = F.to_json(args)
+    return F.concat(F.lit('{"type":"function","function":{"name":'), _json(fn["name"]), F.lit(',"arguments":'),
+                    F.coalesce(F.when(args.isNotNull(), text), F.lit("{}")), F.lit("}}"))
+
+
+def _turn_json(df: DataFrame, m: Column) -> Column:
+    """One message in normal form: lower-case role, content never null, calls only where there are some."""
+    kind = df.schema["messages"].dataType.elementType
+    calls = F.lit("")
+    if "tool_calls" in kind.names and isinstance(kind["tool_calls"].dataType, T.ArrayType):
+        element = kind["tool_calls"].dataType.elementType
+        listed = F.array_join(F.transform(m["tool_calls"], lambda c: _call_json(c, element)), ",")
+        calls = F.when(_filled(m["tool_calls"], kind["tool_calls"].dataType), F.concat(F.lit(',"tool_calls":['), listed, F.lit("]"))).otherwise("")
+    return F.concat(F.lit('{"role":'), _json(F.lower(m["role"])), F.lit(',"content":'), _json(F.coalesce(m["content"], F.lit(""))), calls, F.lit("}"))
 
 
-def slot_content(render: Renderer, message: dict, role: str, first: bool = False, tools: Any = None) -> str:
-    """The content that makes a plain `role` message render exactly like `message`.
+# ---- tool calls: per-row rendering -----------------------------------------------------------------
 
-    What the template puts around a content is learned by rendering a marker in its place.
+class TurnFrames:
+    """What a template puts around the content of a plain turn, learned once for each role.
+
+    The frame of a role is the text before and after a mark that stands as the content. `content_like` returns the content
+    with which a plain turn of that role renders like another turn does; so for every turn t that it accepts,
+    frame + content_like(t) + frame is the template's own text of t.
     """
-    def place(m: dict) -> list[dict]:
-        return [m, ANCHOR] if first else [ANCHOR, m]
-
-    frame = render(place({"role": role, "content": SLOT}))
-    at = frame.find(SLOT)
-    if at < 0:
-        raise ToolRenderError(f"the template drops the content of a {role} turn")
-    before, after = frame[:at], frame[at + len(SLOT):]
-    shown = render(place(message), tools=tools)
-    if len(shown) < len(before) + len(after) or not (shown.startswith(before) and shown.endswith(after)):
-        raise ToolRenderError(f"the template frames a {message['role']} turn unlike a plain {role} turn")
-    return shown[len(before):len(shown) - len(after)]
-
-
-def flatten_conversation(render: Renderer, messages: list[dict], tools: Any) -> dict[str, str]:
-    """(system, prompt, chosen) of a tool conversation; empty parts are left out of the joins."""
-    sides: dict[str, list[str]] = {"system": [], "user": [], "assistant": []}
-    for message in map(native_message, messages):
-        role = (message["role"] or "").lower()
-        if role == "tool":
-            sides["user"].append(slot_content(render, {**message, "role": role}, "user"))
-        elif role == "assistant":
-            sides["assistant"].append(slot_content(render, {**message, "role": role}, "assistant"))
-        elif role in sides:
-            sides[role].append(message["content"])
-    system, prompt, chosen = ("\n\n".join(filter(None, sides[r])) for r in ("system", "user", "assistant"))
-    if tools:
-        system = slot_content(render, {"role": "system", "content": system}, "system", first=True, tools=tools)
-    if not prompt:
-        raise ValueError(NO_USER)
-    if not chosen:
-        raise ValueError(NO_ASSISTANT)
-    return {"system": system, "prompt": prompt, "chosen": chosen}
-
-
-def rendering_survives(render: Renderer, messages: list[dict], tools: Any, flat: dict[str, str]) -> bool:
-    """Whether the flat texts render to exactly what the original conversation renders to."""
-    rebuilt = [{"role": "system", "content": flat["system"]}] if flat.get("system") else []
-    rebuilt += [{"role": "user", "content": flat["prompt"]}, {"role": "assistant", "content": flat["chosen"]}]
-    return render(rebuilt) == render([native_message(m) for m in messages], tools=tools or None)
-
-
-def _parsed(doc: str) -> tuple[list[dict], Any]:
-    row = json.loads(doc)
-    tools = row.get("tools")
-    return row.get("messages") or [], json.loads(tools) if isinstance(tools, str) and tools else tools
-
-
-_FLAT = "system string, prompt string, chosen string, error string, survives boolean"
-
-
-def _flatten_udf(renderer: Renderer, audit: bool):
-    def flat_row(doc: str | None) -> tuple:
-        if doc is None:
-            return (None,) * 5
-        messages, tools = _parsed(doc)
-        try:
-            flat = flatten_conversation(renderer, messages, tools)
-            ok = rendering_survives(renderer, messages, tools, flat) if audit else None
-            return flat["system"], flat["prompt"], flat["chosen"], None, ok
-        except Exception as e:  # noqa: BLE001 - a bad row becomes data; on_error decides what to do with it
-            return None, None, None, f"{type(e).__name__}: {e}", False if audit else None
-
-    names = [f.split()[0] for f in _FLAT.split(", ")]
-
-    @F.pandas_udf(_FLAT)
-    def flatten(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for docs in batches:
-            yield pd.DataFrame([flat_row(d) for d in docs], columns=names, dtype=object)
-
-    return flatten
+
+    MARK, OPENING = "PAIRLOOM-MARK-5C7E", {"role": "user", "content": "PAIRLOOM-OPENING-5C7E"}
+
+    def __init__(self, render: Renderer):
+        self.render, self.known = render, {}
+
+    def scene(self, turn: dict) -> list[dict]:
+        """A chat that any template accepts: with a user turn, and the system turn first."""
+        return [turn, self.OPENING] if turn["role"] == "system" else [self.OPENING, turn]
+
+    def frame(self, role: str) -> tuple[str, str]:
+        if role not in self.known:
+            parts = self.render(self.scene({"role": role, "content": self.MARK})).split(self.MARK)
+            if len(parts) != 2:
+                raise ToolRenderError(f"the template shows the content of a {role} turn {len(parts) - 1} times, not once")
+            self.known[role] = tuple(parts)
+        return self.known[role]
+
+    def content_like(self, turn: dict, role: str, tools: Any = None) -> str:
+        head, tail = self.frame(role)
+        text = self.render(self.scene(turn), tools=tools)
+        inner = text.removeprefix(head).removesuffix(tail) if len(text) >= len(head) + len(tail) else text
+        if head + inner + tail != text:
+            raise ToolRenderError(f"a {turn['role']} turn does not fit into the frame of a plain {role} turn")
+        return inner
+
+
+def _turn_texts(frames: TurnFrames, turns: list[dict], system: str, tools: Any) -> tuple[list[str], str]:
+    """The plain text of every turn, and the system text with the tools in it."""
+    plain = {"assistant": "assistant", "tool": "user"}   # whose frame a turn must fit into
+    texts = [frames.content_like(t, plain[t["role"]]) if t["role"] in plain else t["content"] for t in turns]
+    return texts, frames.content_like({"role": "system", "content": system}, "system", tools) if tools else system
+
+
+_TEXTS = "texts array<string>, system string, error string"
+
+
+def _texts_udf(renderer: Renderer):
+    @F.pandas_udf(_TEXTS)
+    def texts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        frames = TurnFrames(renderer)
+        for columns in batches:
+            out = []
+            for turns, system, tools in zip(*columns, strict=True):
+                if turns is None:
+                    out.append((None, None, None))
+                    continue
+                try:
+                    out.append((*_turn_texts(frames, [json.loads(t) for t in turns], system, json.loads(tools) if tools else None), None))
+                except Exception as e:  # noqa: BLE001 - a bad row becomes data; on_error decides what to do with it
+                    out.append((None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["texts", "system", "error"], dtype=object)
+
+    return texts
+
+
+def _survives_udf(renderer: Renderer):
+    @F.pandas_udf("boolean")
+    def survives(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            out = []
+            for turns, tools, system, prompt, chosen, error in zip(*columns, strict=True):
+                if turns is None or error is not None:
+                    out.append(None if turns is None else False)
+                    continue
+                flat = [("system", system)] * bool(system) + [("user", prompt), ("assistant", chosen)]
+                try:
+                    whole = renderer([json.loads(t) for t in turns], tools=json.loads(tools) if tools else None)
+                    out.append(renderer([{"role": r, "content": c} for r, c in flat]) == whole)
+                except Exception:  # noqa: BLE001 - what cannot be rendered does not survive
+                    out.append(False)
+            yield pd.Series(out, dtype=object)
+
+    return survives
+
+
+def _tools_json(df: DataFrame) -> Column:
+    if "tools" not in df.columns:
+        return F.lit(None).cast("string")
+    kind = df.schema["tools"].dataType
+    return F.when(_filled(F.col("tools"), kind), F.col("tools") if isinstance(kind, T.StringType) else F.to_json("tools"))
 
 
 def flatten_tools(df: DataFrame, renderer: Renderer, audit: bool = False) -> Column:
-    """A struct (system, prompt, chosen, error, survives) for rows with tools, null for all others."""
-    fields = [F.col("messages")] + ([F.col("tools")] if "tools" in df.columns else [])
-    doc = F.when(row_has_tools(df), F.to_json(F.struct(*fields)))
-    return _flatten_udf(renderer, audit)(doc)
+    """A struct (system, prompt, chosen, error, survives) for rows with tools, null for all others.
+
+    Python only renders; messages reach it in normal form, and the texts it returns are joined here. Empty texts are left out
+    of the joins. `survives` is filled by an audit.
+    """
+    tooled, messages = row_has_tools(df), F.coalesce(F.col("messages"), F.array().cast(df.schema["messages"].dataType))
+    role = lambda m: F.coalesce(F.lower(m["role"]), F.lit(""))
+    told = F.filter(messages, lambda m: role(m).isin("user", "assistant", "tool"))
+    said = F.filter(messages, lambda m: (role(m) == "system") & (F.coalesce(m["content"], F.lit("")) != ""))
+    system = F.array_join(F.transform(said, lambda m: m["content"]), "\n\n")
+    tools = _tools_json(df)
+    texts = _texts_udf(renderer)(F.when(tooled, F.transform(told, lambda m: _turn_json(df, m))), system, tools)
+
+    def side(t: Column, assistant: bool) -> Column:
+        mine = F.zip_with(told, t["texts"], lambda m, x: F.when((role(m) == "assistant") == F.lit(assistant), F.nullif(x, F.lit(""))))
+        return F.array_join(mine, "\n\n")   # nulls are left out
+
+    def joined(t: Column) -> Column:
+        prompt, chosen = side(t, False), side(t, True)
+        error = F.coalesce(t["error"], F.when(prompt == "", NO_USER).when(chosen == "", NO_ASSISTANT))
+        good = lambda c: F.when(error.isNull(), c)
+        return F.struct(good(t["system"]).alias("system"), good(prompt).alias("prompt"), good(chosen).alias("chosen"), error.alias("error"))
+
+    flat = joined(texts)
+    if not audit:
+        survives = F.lit(None).cast("boolean")
+    else:
+        whole = F.when(tooled, F.transform(messages, lambda m: _turn_json(df, m)))
+        survives = _survives_udf(renderer)(whole, tools, flat["system"], flat["prompt"], flat["chosen"], flat["error"])
+    parts = [flat[n].alias(n) for n in ("system", "prompt", "chosen", "error")]
+    return F.when(tooled, F.struct(*parts, survives.alias("survives")))
 
 
 def audit_tools(df: DataFrame, renderer: Renderer) -> DataFrame:
@@ -243,22 +293,23 @@ def audit_report(df: DataFrame, renderer: Renderer) -> DataFrame:
 
 # ---- formatting by the template --------------------------------------------------------------------
 
-def _render_row(render: Renderer, system: str, prompt: str, answers: list[str], thinking: bool) -> tuple:
-    asked = ([{"role": "system", "content": system}] if system.strip() else []) + [{"role": "user", "content": prompt}]
+def _attempt(render: Renderer, turns: list[tuple[str, str]], **options: Any) -> str | None:
+    """The rendered chat, None where the template refuses it."""
     try:
-        shown = render(asked, add_generation_prompt=True, enable_thinking=thinking)
-    except Exception:  # noqa: BLE001 - the plain layout stands in for a template that refuses the row
-        shown = (f"{system}\n\n" if system.strip() else "") + f"{prompt}\n"
-    out, cut_off = [], False
-    for answer in answers:
-        try:
-            full = render([*asked, {"role": "assistant", "content": answer}], enable_thinking=thinking)
-        except Exception:  # noqa: BLE001
-            out.append(answer)
-            continue
-        cut_off = cut_off or not full.startswith(shown)
-        out.append(full[len(shown):])
-    return shown, *out, cut_off
+        return render([{"role": r, "content": c} for r, c in turns], **options)
+    except Exception:  # noqa: BLE001 - templates raise what they like
+        return None
+
+
+def _by_template(render: Renderer, system: str, prompt: str, thinking: bool, answers: list[str]) -> tuple[str, list[str], bool]:
+    """The prompt, what each answer adds to it by length, and whether some full text does not begin with the prompt."""
+    turns = [(r, c) for r, c in (("system", system), ("user", prompt)) if r == "user" or c.strip()]
+    shown = _attempt(render, turns, add_generation_prompt=True, enable_thinking=thinking)
+    if shown is None:   # the plain layout stands in
+        shown = "\n\n".join(c for _, c in turns) + "\n"
+    full = [_attempt(render, [*turns, ("assistant", a)], enable_thinking=thinking) for a in answers]
+    added = [a if f is None else f[len(shown):] for a, f in zip(answers, full)]
+    return shown, added, any(f is not None and not f.startswith(shown) for f in full)
 
 
 def template_formatter(renderer: Renderer, enable_thinking: bool = True, auto_detect_thinking: bool = True,
@@ -276,19 +327,20 @@ def template_formatter(renderer: Renderer, enable_thinking: bool = True, auto_de
     if on_mismatch not in ("slice", "quarantine"):
         raise ValueError("on_mismatch is 'slice' or 'quarantine'")
 
-    @F.pandas_udf("prompt string, chosen string, rejected string, cut_off boolean")
+    @F.pandas_udf("prompt string, answers array<string>, cut_off boolean")
     def rendered(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for system, prompt, chosen, rejected, thinking in batches:
-            rows = [_render_row(renderer, s, p, [c, r], bool(t))
-                    for s, p, c, r, t in zip(system, prompt, chosen, rejected, thinking, strict=True)]
-            yield pd.DataFrame(rows, columns=["prompt", "chosen", "rejected", "cut_off"])
+        for system, prompt, thinking, answers in batches:
+            rows = [_by_template(renderer, s, p, bool(t), list(a)) for s, p, t, a in zip(system, prompt, thinking, answers, strict=True)]
+            yield pd.DataFrame(rows, columns=["prompt", "answers", "cut_off"])
 
     def apply(df: DataFrame) -> DataFrame:
         r = row_texts(df.columns)
         think = reasoning_block(r)
         thinking = row_has_reasoning(df.columns) if auto_detect_thinking else F.lit(bool(enable_thinking))
-        out = df.withColumn("_r", rendered(r["system"], r["prompt"], F.concat(think, r["chosen"]),
-                                           F.concat(think, r["rejected"]), thinking))
+        answers = F.array(F.concat(think, r["chosen"]), F.concat(think, r["rejected"]))
+        out = df.withColumn("_t", rendered(r["system"], r["prompt"], thinking, answers))
+        out = out.withColumn("_r", F.struct(F.col("_t.prompt").alias("prompt"), F.col("_t.answers")[0].alias("chosen"),
+                                            F.col("_t.answers")[1].alias("rejected"), F.col("_t.cut_off").alias("cut_off"))).drop("_t")
         out = out.withColumns({n: F.col(f"_r.{n}") for n in ("prompt", "chosen", "rejected")})
         if on_mismatch == "quarantine":
             out = out.withColumn("_error", F.when(F.col("_r.cut_off"), F.lit("template prompt is no prefix of the full text")))

@@ -11,10 +11,10 @@ from pairloom.operators.columns import drop_consumed
 BLOCK = 4096           # turns of one conversation that are put in order by one task
 HOT_LISTED = 1000      # conversations above that size that are handled apart by name
 
-# What is wrong with a conversation that cannot become a training pair.
-NO_MESSAGES = "Row has empty messages list"
-NO_USER = "No user messages found in messages list"
-NO_ASSISTANT = "No assistant messages found in messages list"
+# What is wrong with a conversation that cannot become a training pair.
+NO_MESSAGES = "the conversation has no turns"
+NO_USER = "nothing was said by the user"
+NO_ASSISTANT = "nothing was said by the assistant"
 
 
 def nest_turns(turns: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -52,18 +52,11 @@ def _collect_blocks(rows: DataFrame, id: str, block: int) -> DataFrame:
     return blocks.groupBy(id).agg(F.flatten(_ordered(parts)).alias("messages"))
 
 
-def has_messages_format(df: DataFrame, probe: bool = True) -> bool:
-    """Whether `messages` is a list of {role, content}; a batch table's first row must not be empty."""
-    if "messages" not in df.columns:
-        return False
-    kind = df.schema["messages"].dataType
-    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
-            and {"role", "content"} <= set(kind.elementType.names)):
-        return False
-    if df.isStreaming or not probe:
-        return True
-    first = df.select(F.coalesce(F.size("messages"), F.lit(0)).alias("n")).limit(1).collect()
-    return bool(first) and first[0]["n"] > 0
+def has_messages_format(df: DataFrame) -> bool:
+    """Whether `messages` is a list of {role, content}, by schema alone; empty conversations are errors of their rows."""
+    kind = df.schema["messages"].dataType if "messages" in df.columns else None
+    return (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+            and {"role", "content"} <= set(kind.elementType.names))
 
 
 def _of_role(messages: Column, role: str) -> Column:
