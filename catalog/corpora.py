@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.views import ID, table
-from pairloom.functions.templates import formatter
-from pairloom.operators.edits import apply_edits, delete_rows, edit_report, edit_values
+from catalog.views import ID, PAIRS, conv, table
+from pairloom.functions.templates import describe_formats, formatter
+from pairloom.operators.edits import apply_edits, delete_rows, edit_report, edit_values, rewrite_manifest
 from pairloom.operators.order import number_rows
-from pairloom.operators.vision import (build_manifest, caption_messages, parse_object, prepare_captions, prepare_unified,
-                                       preview_manifest, read_lines, read_manifest)
-from pairloom.plans.prepare import Preparation
+from pairloom.operators.vision import (build_manifest, caption_messages, manifest_page, parse_object, prepare_captions,
+                                       prepare_unified, preview_manifest, read_lines, read_manifest)
+from pairloom.plans.prepare import Loaded, Preparation
 from pairloom.operators.split import split
 from pairloom.session import scratch_path
 from pairloom.sources.read import inspect_columns, read_file, read_named, read_source, stream_named
@@ -65,15 +68,22 @@ def _hub(spark, d):
     """Documents exported as a named dataset: one config per language, splits by range of files."""
     root = scratch_path(spark, "hub")
     docs = _documents(spark, d)
-    for lang in ("en", "fr"):
-        part = f"{root}/docs/{lang}"
-        docs.where(F.col("lang") == lang).write.parquet(f"{part}/train-0.parquet")
+    for lang in _languages(spark, d):
+        docs.where(F.col("lang") == lang).write.parquet(f"{root}/docs/{lang}/train-0.parquet")
     return root
 
 
-@query("read_named", "SELECT doc_id, text FROM documents WHERE lang = 'fr'")
+def _languages(spark, d):
+    """The languages of the documents: a handful, each the name of a config."""
+    return sorted(r[0] for r in table(spark, d, "documents").where("lang is not null").select("lang").distinct().collect())
+
+
+@query("read_named", "SELECT doc_id, lang, text FROM documents WHERE lang IS NOT NULL")
 def read_named_split(spark, d):
-    return read_named(spark, _hub(spark, d), "docs", "train", "fr").select(ID, "text")
+    """Every config of the exported dataset, one after the other."""
+    root = _hub(spark, d)
+    parts = [read_named(spark, root, "docs", "train", lang).select(ID, "lang", "text") for lang in _languages(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("read_named_bounded", "SELECT doc_id, text FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 150")
@@ -82,6 +92,16 @@ def read_named_bounded(spark, d):
     return read_source(spark, spec, hub_root=_hub(spark, d), max_samples=150).select(ID, "text")
 
 
+@query("read_bounded_events", "SELECT event_id, user_id, value FROM events ORDER BY event_id LIMIT 25000")
+def read_bounded_events(spark, d):
+    """The first 25,000 rows of a dataset of many shards."""
+    root = scratch_path(spark, "shards")
+    events = table(spark, d, "events").repartitionByRange(16, "event_id").sortWithinPartitions("event_id")
+    events.write.parquet(f"{root}/events/default/train-0.parquet")
+    spec = {"source_type": "huggingface", "repo_id": "events", "streaming": True}
+    return read_source(spark, spec, hub_root=root, max_samples=25_000).select("event_id", "user_id", "value")
+
+
 @query("source_lineage", "SELECT 'documents.parquet' AS file, count(*) AS rows FROM documents")
 def source_lineage(spark, d):
     read = read_file(spark, f"{d}/documents.parquet", lineage=True)
@@ -101,7 +121,7 @@ def written_splits(spark, d):
 def _manifest(spark, d):
     """Documents as an image manifest in doc_id order, with a blank line after every row and some broken rows."""
     doc = F.to_json(F.struct(F.concat(F.lit("img/"), F.col(ID).cast("string"), F.lit(".png")).alias("image"),
-                             F.substring_index("text", "\n", 1).alias("prompt"), "lang"))
+                             F.col("text").alias("prompt"), "lang"))
     line = F.when(F.col("source") == "src3", F.concat(F.lit("{broken "), F.col(ID).cast("string"))).otherwise(doc)
     path = scratch_path(spark, "manifest")
     (_documents(spark, d).select(ID, F.posexplode(F.array(line, F.lit(" "))).alias("_i", "value"))
@@ -109,7 +129,7 @@ def _manifest(spark, d):
     return f"{path}/*.txt"
 
 
-_LINES = """lines AS (SELECT doc_id, source = 'src3' AS broken, split_part(text, chr(10), 1) AS prompt, lang FROM documents)"""
+_LINES = """lines AS (SELECT doc_id, source = 'src3' AS broken, text AS prompt, lang FROM documents)"""
 
 
 @query("manifest_lines", f"WITH {_LINES} SELECT doc_id AS row_index, broken, CASE WHEN NOT broken THEN prompt END AS prompt FROM lines")
@@ -176,7 +196,7 @@ def remove_rows(spark, d):
 @query("image_manifest", f"""
 WITH {_LINES} SELECT 'img/' || doc_id || '.png' AS image, prompt, lang FROM lines WHERE NOT broken""")
 def image_manifest(spark, d):
-    df = read_manifest(spark, _manifest(spark, d), "image string, prompt string, lang string")
+    df = read_manifest(spark, _manifest(spark, d), "image string, prompt string, lang string", on_error="drop")
     kept = df.where(F.col("image").isNotNull())
     return kept.select(F.regexp_extract("chosen", "img/.*$", 0).alias("image"), "prompt", "lang")
 
@@ -205,32 +225,116 @@ def captions(spark, d):
 
 
 @query("caption_corpus", """
-SELECT n - k AS train_rows, k AS eval_rows, n AS distinct_captions_read FROM (
-  SELECT count(*) AS n, CAST(ceil(0.02 * count(*)) AS BIGINT) AS k FROM documents)""")
+SELECT doc_id, source AS image, 'Describe it.' AS asked, text AS caption,
+       (SELECT CAST(ceil(0.02 * count(*)) AS BIGINT) FROM documents) AS eval_rows FROM documents""")
 def caption_corpus(spark, d):
+    """Every row of both sides, with the size of the evaluation side."""
     df = table(spark, d, "documents").select(ID, F.encode("source", "UTF-8").alias("image"), F.col("text").alias("caption"))
     train, held = prepare_captions(df, "Describe it.", test_size=0.02, ord=ID)
-    sides = train.select(F.lit(0).alias("e"), "messages").unionAll(held.select(F.lit(1), "messages"))
-    return sides.agg(F.count_if(F.col("e") == 0).alias("train_rows"), F.count_if(F.col("e") == 1).alias("eval_rows"),
-                     F.count_if(F.col("messages")[1]["content"].isNotNull()).alias("distinct_captions_read"))
+    sides = train.withColumn("held", F.lit(0)).unionAll(held.withColumn("held", F.lit(1)))
+    m = F.col("messages")
+    rows = sides.select(ID, F.decode(F.col("images")[0], "UTF-8").alias("image"), m[0]["parts"][1]["text"].alias("asked"),
+                        m[1]["content"].alias("caption"), "held")
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("held").alias("eval_rows")))).drop("held")
 
 
 @query("unified_corpus", """
-SELECT count(*) AS rows, count(*) AS without_image FROM documents
+SELECT doc_id, lang AS asked, text AS answer, 0 AS images FROM documents
 WHERE length('[{"role":"user","content":"' || lang || '"},{"role":"assistant","content":' || CAST(to_json(text) AS VARCHAR) || '}]') <= 8192""")
 def unified_corpus(spark, d):
     turns = F.array(F.struct(F.lit("user").alias("role"), F.col("lang").alias("content")),
                     F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")))
     df = table(spark, d, "documents").select(ID, F.to_json(turns).alias("messages"), F.lit(None).cast("binary").alias("image"))
     train, held = prepare_unified(df, max_seq_length=2048, test_size=0.05, ord=ID)
-    return train.unionByName(held).agg(F.count("*").alias("rows"), F.count_if(F.size("images") == 0).alias("without_image"))
+    said = lambda i: F.variant_get(F.col("messages")[i]["content"], "$", "string")
+    return train.unionByName(held).select(ID, said(0).alias("asked"), said(1).alias("answer"), F.size("images").alias("images"))
 
 
-@query("inspect_columns", "SELECT count(*) AS total_rows, 'doc_id,text,lang,source,n_chars' AS columns, 3 AS samples FROM documents")
+@query("inspect_columns", """
+SELECT doc_id, text, lang, source, n_chars, (SELECT count(*) FROM documents) AS total_rows FROM documents ORDER BY doc_id LIMIT 3""")
 def inspected(spark, d):
-    info = inspect_columns(read_file(spark, f"{d}/documents.parquet"))
-    return spark.createDataFrame([(info["total_rows"], ",".join(info["columns"]), len(info["samples"]))],
-                                 "total_rows long, columns string, samples int")
+    """The sampled rows and the number of all rows."""
+    path = scratch_path(spark, "inspected")
+    _documents(spark, d).write.parquet(path)
+    info = inspect_columns(read_file(spark, path, "parquet"))
+    rows = [(*(r[c] for c in info["columns"]), info["total_rows"]) for r in info["samples"]]
+    return spark.createDataFrame(rows, f"{DOC}, total_rows bigint")
+
+
+@query("read_json_document", _ALL)
+def read_json_document(spark, d):
+    """A file that is one JSON array: its rows are found however many lines it spans."""
+    path = scratch_path(spark, "document")
+    rows = F.to_json(F.struct(*[F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]), {"ignoreNullFields": "false"})
+    parts = table(spark, d, "documents").groupBy((F.col(ID) % 8).alias("part")).agg(F.array_join(F.collect_list(rows), ",\n").alias("rows"))
+    parts.select(F.concat(F.lit("[\n"), "rows", F.lit("\n]"))).write.option("maxRecordsPerFile", 1).text(path)
+    return read_file(spark, f"{path}/*.txt", "json", DOC).select(ID, "text", "lang", "source", "n_chars")
+
+
+def _half_broken(spark, d):
+    """Documents as JSON lines, those of one source cut off in the middle."""
+    path = scratch_path(spark, "broken")
+    line = F.to_json(F.struct(ID, "text"))
+    cut = F.when(F.col("source") == "src3", F.concat(F.lit('{"doc_id": '), F.col(ID).cast("string"))).otherwise(line)
+    _documents(spark, d).select(cut).write.text(path)
+    return f"{path}/*.txt"
+
+
+@query("read_broken_dropped", "SELECT doc_id, text FROM documents WHERE source IS DISTINCT FROM 'src3'")
+def read_broken_dropped(spark, d):
+    return read_file(spark, _half_broken(spark, d), "jsonl", "doc_id bigint, text string", on_error="drop").select(ID, "text")
+
+
+@query("read_broken_kept", """
+SELECT CASE WHEN source IS DISTINCT FROM 'src3' THEN text END AS text,
+       CASE WHEN source = 'src3' THEN '{"doc_id": ' || doc_id END AS error FROM documents""")
+def read_broken_kept(spark, d):
+    df = read_file(spark, _half_broken(spark, d), "jsonl", "doc_id bigint, text string", on_error="quarantine")
+    return df.select("text", F.col("_error").alias("error"))
+
+
+@query("prepare_messages", f"""
+WITH {PAIRS} SELECT conv_id, prompt, chosen FROM pairs WHERE prompt <> '' AND chosen <> ''""")
+def prepare_messages(spark, d):
+    """A messages source in a preparation: told by its schema, though its first conversation is empty."""
+    talks = conv(spark, d)
+    empty = talks.limit(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.slice("messages", 1, 0).alias("messages"))
+    rows = empty.unionByName(talks).withColumnRenamed("conv_id", "_ord")
+    spec = {"training_mode": "sft", "test_size": 0, "on_error": "drop", "format": {"format_type": "raw"}}
+    train, _ = Preparation(Loaded(rows, None, True), spec).prepare()
+    return train.select(F.col("_ord").alias("conv_id"), "prompt", "chosen")
+
+
+@query("describe_formats", """
+SELECT f.name AS format, CAST(count(*) AS BIGINT) AS rows FROM documents,
+       (VALUES ('chatml'), ('llama3'), ('mistral'), ('qwen3'), ('raw')) f(name) GROUP BY 1""")
+def described(spark, d):
+    """The descriptor of each format beside the rows it formats."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("prompt"), F.col("text").alias("chosen"))
+    named = [formatter(n)(docs).select(F.lit(info["format_type"]).alias("format")) for n, info in describe_formats().items()]
+    return reduce(DataFrame.unionByName, named).groupBy("format").agg(F.count("*").alias("rows"))
+
+
+@query("rewrite_manifest", f"""
+WITH {_EDITED}
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, CASE WHEN broken THEN NULL WHEN hit THEN 'caption of ' || doc_id ELSE prompt END AS prompt FROM e""")
+def rewritten_manifest(spark, d):
+    """The edited manifest written and read back; rows are edited twice, and the last edit counts."""
+    edits, deletes = _edits(spark, d)
+    out = scratch_path(spark, "rewritten")
+    first = edits.select("row_index", F.lit("an earlier caption").alias("prompt"), F.lit(0).alias("edit"))
+    rewrite_manifest(spark, _manifest(spark, d), out, edits.withColumn("edit", F.lit(1)).unionByName(first), deletes)
+    prompt = F.variant_get(parse_object(F.col("line"))[F.lit("prompt")], "$", "string")
+    return read_lines(spark, f"{out}/*.txt").select("row_index", prompt.alias("prompt"))
+
+
+@query("manifest_page", f"""
+WITH {_LINES}
+SELECT doc_id AS row_index, prompt, (SELECT count(*) FROM documents) AS total FROM lines WHERE NOT broken ORDER BY doc_id LIMIT 500""")
+def paged_manifest(spark, d):
+    """A page of more than two hundred rows, and the number of all rows."""
+    page = manifest_page(read_lines(spark, _manifest(spark, d)), limit=500)
+    return page.rows.select("row_index", "prompt", F.lit(page.total).cast("bigint").alias("total"))
 
 
 @query("prepare_from_files", """
@@ -252,7 +356,10 @@ def prepare_from_files(spark, d):
 # ---- preparing a stream --------------------------------------------------------------------------------
 
 def _documents_stream(spark, d):
-    return spark.readStream.schema(DOC).option("maxFilesPerTrigger", 1).parquet(f"{d}/documents*.parquet")
+    """Documents arriving in four files, one for each micro-batch."""
+    path = scratch_path(spark, "arriving")
+    _documents(spark, d).write.parquet(path)
+    return spark.readStream.schema(DOC).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _drain(stream, label):
@@ -276,6 +383,8 @@ def stream_dedup(spark, d):
     return _drain(drop_repeats(rows), "distinct")
 
 
-@query("stream_named", "SELECT doc_id, text FROM documents WHERE lang = 'fr'")
+@query("stream_named", "SELECT doc_id, text FROM documents WHERE lang IS NOT NULL")
 def named_stream(spark, d):
-    return _drain(stream_named(spark, _hub(spark, d), "docs", DOC, "train", "fr"), "named").select(ID, "text")
+    root = _hub(spark, d)
+    parts = [_drain(stream_named(spark, root, "docs", DOC, "train", lang), "named") for lang in _languages(spark, d)]
+    return reduce(DataFrame.unionByName, parts).select(ID, "text")

@@ -375,20 +375,38 @@ def split_tail(spark, d):
 
 
 @query("split_if_large", """
-SELECT n - k AS train_rows, k AS eval_rows FROM (
-  SELECT count(*) AS n, CASE WHEN count(*) > 100 THEN CAST(ceil(0.1 * count(*)) AS BIGINT) ELSE 0 END AS k FROM benchmark)""")
+SELECT name, n - k AS train_rows, k AS eval_rows FROM (
+  SELECT name, n, CASE WHEN n > 100 THEN CAST(ceil(0.1 * n) AS BIGINT) ELSE 0 END AS k FROM (
+    SELECT 'benchmark' AS name, count(*) AS n FROM benchmark UNION ALL SELECT 'documents', count(*) FROM documents))""")
 def split_large(spark, d):
-    """A table of a hundred rows or fewer is not split."""
-    train, held = split_if_large(table(spark, d, "benchmark"), 0.1, ord="item_id")
-    sides = train.select(F.lit(0).alias("e"))
-    sides = sides if held is None else sides.unionAll(held.select(F.lit(1)))
-    return sides.agg(F.count_if(F.col("e") == 0).alias("train_rows"), F.count_if(F.col("e") == 1).alias("eval_rows"))
+    """Two tables, of which only the one with more than a hundred rows is split."""
+    def sides(name, key):
+        train, held = split_if_large(table(spark, d, name), 0.1, more_than=100, ord=key)
+        rows = train.select(F.lit(0).alias("e"))
+        rows = rows if held is None else rows.unionAll(held.select(F.lit(1)))
+        return rows.agg(F.lit(name).alias("name"), F.count_if(F.col("e") == 0).alias("train_rows"), F.count_if(F.col("e") == 1).alias("eval_rows"))
+    return sides("benchmark", "item_id").unionByName(sides("documents", ID))
 
 
-@query("sample_size", "SELECT least(500, count(*)) AS rows, least(500, count(*)) AS distinct_rows FROM documents")
+@query("sample_size", """
+SELECT count(*) AS rows, count(*) AS distinct_rows, count(*) AS whole_rows FROM (SELECT 1 FROM documents LIMIT 500)""")
 def sample_size(spark, d):
-    return sample_rows(table(spark, d, "documents"), 500, seed=3, ord=ID).agg(
-        F.count("*").alias("rows"), F.count_distinct(ID).alias("distinct_rows"))
+    """The sample's rows, all different, and each with the text it has in the table."""
+    docs = table(spark, d, "documents")
+    sampled = sample_rows(docs, 500, seed=3, ord=ID)
+    same = sampled.join(docs.select(ID, F.col("text").alias("_text")), ID).select(ID, F.col("text").eqNullSafe(F.col("_text")).alias("same"))
+    return same.agg(F.count("*").alias("rows"), F.count_distinct(ID).alias("distinct_rows"), F.count_if("same").alias("whole_rows"))
+
+
+@query("dedup_exact_internal", """
+SELECT doc_id, _note FROM (SELECT doc_id, 'n' || (doc_id % 3) AS _note, lang FROM documents)
+QUALIFY row_number() OVER (PARTITION BY lang, _note, doc_id % 10 ORDER BY doc_id) = 1""")
+def dedup_exact_internal(spark, d):
+    """Exact keys hold a column whose name begins with an underscore, and times inside a struct to the microsecond."""
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col(ID) % 10)
+    df = table(spark, d, "documents").select(
+        F.col(ID).alias("_ord"), "lang", F.concat(F.lit("n"), (F.col(ID) % 3).cast("string")).alias("_note"), F.struct(at.alias("at")).alias("nested"))
+    return deduplicate(df, "exact").select(F.col("_ord").alias(ID), "_note")
 
 
 # ---- whole preparations --------------------------------------------------------------------------------

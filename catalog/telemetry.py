@@ -40,6 +40,16 @@ def list_runs(spark, d):
     return telemetry.list_runs(runs(spark, d), "error", 50, 20).select("job_id", "status", "value")
 
 
+@query("list_runs_deep", """
+SELECT event_id AS job_id, CASE WHEN event_id % 2 = 0 THEN ts END AS created_at, value FROM events
+ORDER BY created_at DESC NULLS LAST, event_id LIMIT 3000 OFFSET 20""")
+def list_runs_deep(spark, d):
+    """A deep page over runs of which every second has no readable time: those come last, and none is lost."""
+    when = F.when(F.col("job_id") % 2 == 0, F.col("created_at").cast("string")).otherwise(F.lit("not yet"))
+    page = telemetry.list_runs(runs(spark, d).withColumn("created_at", when), limit=3000, offset=20)
+    return page.select("job_id", F.col("created_at").try_cast("timestamp_ntz").alias("created_at"), "value")
+
+
 @query("config_summary", """
 SELECT event_id AS job_id, event_type AS base_model, '' AS output_name, 'm' || json_extract_string(props, '$.k') AS training_mode
 FROM events""")
@@ -159,17 +169,17 @@ def status_lookup(spark, d):
 @query("keep_newest_k", f"""
 WITH {CHECKPOINTS}, kept AS (
   SELECT job_id, string_agg(checkpoint, ', ' ORDER BY step) AS names FROM ranked WHERE rn <= 2 GROUP BY job_id)
-SELECT job_id, checkpoint, bytes, 'old checkpoint [keeping ' || names || ']' AS reason
+SELECT job_id, checkpoint, bytes, 'older than ' || names AS reason
 FROM ranked JOIN kept USING (job_id) WHERE NOT active AND status <> 'failed' AND rn > 2
 UNION ALL
-SELECT job_id, NULL, sum(bytes)::BIGINT, 'failed job (whole dir)' FROM ranked WHERE status = 'failed' GROUP BY job_id""")
+SELECT job_id, NULL, sum(bytes)::BIGINT, 'failed job, nothing of it is needed' FROM ranked WHERE status = 'failed' GROUP BY job_id""")
 def keep_newest_k(spark, d):
     return retention.plan_cleanup(checkpoints(spark, d), statuses(spark, d), keep=2, purge_failed=True)[0]
 
 
 @query("cleanup_skipped", f"""
 WITH {CHECKPOINTS}
-SELECT DISTINCT job_id, CASE WHEN active THEN 'active (' || status || ')' ELSE n || ' checkpoint(s), keep=2' END AS reason
+SELECT DISTINCT job_id, CASE WHEN active THEN 'unfinished: ' || status ELSE 'has ' || n || ' of 2 to keep' END AS reason
 FROM ranked WHERE active OR (status <> 'failed' AND n <= 2)""")
 def cleanup_skipped(spark, d):
     return retention.plan_cleanup(checkpoints(spark, d), statuses(spark, d), keep=2, purge_failed=True)[1]
@@ -332,7 +342,16 @@ def unique_names_mixed(spark, d):
 # ---- streams -------------------------------------------------------------------------------------------
 
 def _stream(spark, d):
-    return spark.readStream.schema(EVENT_COLUMNS).option("maxFilesPerTrigger", 1).parquet(f"{d}/events*.parquet")
+    """Events arriving in four files of rising ids, one for each micro-batch: state is carried from one to the next.
+
+    Streams take the oldest file first, so the files are written one after the other.
+    """
+    path, events = scratch_path(spark, "events"), table(spark, d, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    for i in range(4):
+        low, high = (last + 1) * i // 4, (last + 1) * (i + 1) // 4
+        events.where(F.col("event_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENT_COLUMNS).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _stream_points(spark, d):

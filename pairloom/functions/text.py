@@ -28,8 +28,9 @@ def strip(c: Column) -> Column:
 
 
 def text_or_empty(c: Column) -> Column:
-    """The value as text, null as the empty string."""
-    return F.coalesce(c.cast("string"), F.lit(""))
+    """The value as text, null as the empty string; truth values read `True` and `False`."""
+    text = c.cast("string")
+    return F.coalesce(F.when(F.typeof(c) == "boolean", F.initcap(text)).otherwise(text), F.lit(""))
 
 
 def char_length(c: Column) -> Column:
@@ -47,7 +48,8 @@ def round_half_even(c: Column, digits: int = 0) -> Column:
 
     `bround` decides on the shortest decimal form instead and so turns 0.35 into 0.4. Here the
     fraction is held as two 31-bit integers, exact for every double large enough to matter at up
-    to four digits, and the tie is decided on integers.
+    to four digits, and the tie is decided on integers. Values of 2**52 and more are whole and come
+    back unchanged, as do infinities and NaN.
     """
     if not 0 <= digits <= 4:
         raise ValueError("digits must be between 0 and 4")
@@ -68,8 +70,10 @@ def round_half_even(c: Column, digits: int = 0) -> Column:
         up = (p["rest"] > half) | ((p["rest"] == half) & ((p["dust"] > 0) | (p["units"] % 2 == 1)))
         return (p["units"] + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(step))
 
-    rounded = named(named(named(F.abs(c.cast("double")), parts), scaled), settled)
-    return F.when(c < 0, -rounded).otherwise(rounded)
+    value = c.cast("double")
+    whole = F.abs(value) >= float(2**52)   # NaN counts as larger than any number
+    rounded = named(named(named(F.when(whole, 0.0).otherwise(F.abs(value)), parts), scaled), settled)
+    return F.when(whole, value).when(value < 0, -rounded).otherwise(rounded)
 
 
 def named(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -114,8 +118,8 @@ def caption_from_path(path: Column) -> Column:
 
 
 def micros(t: Column) -> Column:
-    """A time as microseconds; ISO text and timestamps without a zone are read in the session's zone."""
-    return F.unix_micros(t.cast("timestamp"))
+    """A time as microseconds; ISO text and timestamps without a zone are read in the session's zone, unreadable text as null."""
+    return F.unix_micros(t.try_cast("timestamp"))
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

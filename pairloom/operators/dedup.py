@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.operators.order import ORD
+from pairloom.operators.order import INTERNAL, ORD
 from pairloom.session import cut_lineage
 
 STRATEGIES = ("prompt", "chosen", "prompt_chosen", "exact")
+# Nested values are compared as JSON that loses nothing: times to the microsecond, nulls written out.
+EXACT_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 BROADCAST_KEYS = 500_000   # repeated keys (a digest and an ordinal each) that may be broadcast
 
 
@@ -19,7 +21,7 @@ def _key_columns(df: DataFrame, strategy: str, ord: str) -> list[str]:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}: use one of {STRATEGIES}")
     if strategy == "exact":
-        return sorted(c for c in df.columns if c != ord and not c.startswith("_"))
+        return sorted(c for c in df.columns if c != ord and c not in INTERNAL)
     return strategy.split("_")
 
 
@@ -43,7 +45,7 @@ def _framed(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.BinaryType):
         text = F.hex(c)
     elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        text = F.to_json(F.struct(c))
+        text = F.to_json(F.struct(c), EXACT_JSON)
     else:
         text = c.cast("string")
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
@@ -78,20 +80,16 @@ def deduplicate(df: DataFrame, strategy: str = "prompt_chosen", keep: str = "fir
     """One row per key: the one with the smallest (`first`) or largest (`last`) ordinal.
 
     Only digests and ordinals are shuffled, pre-aggregated per task, to find the repeated keys.
-    When those are few they are broadcast and whole rows stay where they are. Otherwise whole rows
-    are aggregated per key, again one survivor per task and key before the shuffle.
+    When those are few they are broadcast and whole rows stay where they are. Otherwise rows are
+    joined with them by hash, without a sort; adaptive execution splits a key that many rows share.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     key = dedup_key(df, strategy, compat, ord)
     repeats = cut_lineage(repeated_keys(df, key, keep, ord).select("_key", "_keep"))
     few = repeats.limit(broadcast_keys + 1).count() <= broadcast_keys
-    if few:
-        return (df.withColumn("_key", key).join(F.broadcast(repeats), "_key", "left")
-                .where(F.col("_keep").isNull() | (F.col(ord) == F.col("_keep"))).drop("_key", "_keep"))
-    pick = F.min_by if keep == "first" else F.max_by
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(key.alias("_key")).agg(pick(row, F.col(ord)).alias("_row")).select("_row.*")
+    return (df.withColumn("_key", key).join(repeats.hint("broadcast" if few else "shuffle_hash"), "_key", "left")
+            .where(F.col("_keep").isNull() | (F.col(ord) == F.col("_keep"))).drop("_key", "_keep"))
 
 
 def has_duplicates(df: DataFrame, strategy: str = "prompt_chosen", compat: bool = False, ord: str = ORD) -> DataFrame:

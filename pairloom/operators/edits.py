@@ -21,9 +21,16 @@ def set_json_field(line: Column, field: str, value: Column) -> Column:
     return F.when(row.isNull(), line).otherwise(F.to_json(edited))
 
 
+def last_edits(edits: DataFrame, value: str = "prompt", row: str = "row_index", ord: str = "edit") -> DataFrame:
+    """One edit per row as (row, _new): the last by the edits' own ordinal `ord`, or else by their place in the table."""
+    at = F.col(ord) if ord in edits.columns else F.monotonically_increasing_id()
+    placed = edits.select(F.col(row), F.struct(F.col(value).alias("v")).alias("_v"), at.alias("_at"))
+    return placed.groupBy(row).agg(F.max_by("_v", "_at")["v"].alias("_new"))
+
+
 def edit_values(df: DataFrame, edits: DataFrame, column: str, value: str = "prompt", row: str = "row_index") -> DataFrame:
-    """Overwrite one column of the rows listed in `edits`; one edit per row."""
-    changes = edits.select(F.col(row), F.col(value).alias("_new"))
+    """Overwrite one column of the rows listed in `edits`; the last edit of a row counts."""
+    changes = last_edits(edits, value, row)
     return (df.join(changes, row, "left")
             .withColumn(column, F.coalesce(F.col("_new"), F.col(column))).drop("_new"))
 
@@ -36,9 +43,10 @@ def delete_rows(df: DataFrame, deletes: DataFrame, row: str = "row_index") -> Da
 def apply_edits(lines: DataFrame, edits: DataFrame, deletes: DataFrame, caption_column: str | None = None) -> DataFrame:
     """Lines after deletions and caption edits, with `edited` marking the ones that changed.
 
-    `edits` is (row_index, prompt), `deletes` is (row_index); an edit of a deleted row is lost.
+    `edits` is (row_index, prompt), perhaps with an ordinal `edit`, `deletes` is (row_index); the last edit of a row
+    counts, and an edit of a deleted row is lost.
     """
-    changes = edits.select("row_index", F.col("prompt").alias("_new"))
+    changes = last_edits(edits)
     kept = delete_rows(lines, deletes).join(changes, "row_index", "left")
     row_ok = parse_object(F.col("line")).isNotNull()
     hit = F.col("_new").isNotNull()
@@ -52,9 +60,9 @@ def edit_report(lines: DataFrame, edits: DataFrame, deletes: DataFrame) -> DataF
     """One row: lines before and after, edited lines, listed deletions."""
     gone = deletes.select("row_index").distinct()
     marked = (lines.join(gone.withColumn("_gone", F.lit(True)), "row_index", "left")
-              .join(edits.select("row_index", F.lit(True).alias("_hit")), "row_index", "left"))
+              .join(last_edits(edits).select("row_index", F.col("_new").isNotNull().alias("_hit")), "row_index", "left"))
     stays = F.col("_gone").isNull()
-    changed = stays & F.col("_hit").isNotNull() & parse_object(F.col("line")).isNotNull()
+    changed = stays & F.coalesce("_hit", F.lit(False)) & parse_object(F.col("line")).isNotNull()
     seen = marked.select(F.lit(1).alias("b"), stays.cast("int").alias("a"), changed.cast("int").alias("e"), F.lit(0).alias("d"))
     listed = gone.select(F.lit(0), F.lit(0), F.lit(0), F.lit(1))
     names = {"b": "total_before", "a": "total_after", "e": "edited", "d": "deleted"}

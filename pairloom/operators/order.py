@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from pairloom.session import scratch_path, stage
 
 ORD = "_ord"
+INTERNAL = (ORD, "_src", "_error")   # columns this library adds; no other name is special
 SMALL = 50_000      # single numbers one task may sort
 WIDE = 1_000        # whole rows one task may sort
 FANOUT = 4096       # histogram cells per narrowing pass
@@ -55,8 +56,24 @@ def head(df: DataFrame, n: int | None, ord: str = ORD) -> DataFrame:
         return df
     if n <= WIDE:
         return df.orderBy(ord).limit(n)
-    last = kth_smallest(df, ord, n)
-    return df if last is None else df.where(F.col(ord) <= last)
+    return _up_to(df, n, ord)
+
+
+def _place(ord: str) -> Column:
+    """The ordinal; rows without one come first, as in a sort."""
+    return F.coalesce(F.col(ord).cast("long"), F.lit(-2**63))
+
+
+def _up_to(df: DataFrame, n: int, ord: str) -> DataFrame:
+    """Exactly the n first rows; where rows share the last ordinal, any of them fill the number."""
+    place = _place(ord)
+    last = kth_smallest(df, place, n)
+    if last is None:
+        return df
+    below, ties = df.agg(F.count_if(place < last), F.count_if(place == last)).first()
+    if below + ties == n:
+        return df.where(place <= last)
+    return df.where(place < last).unionByName(df.where(place == last).limit(n - below))
 
 
 @dataclass(frozen=True)
@@ -72,10 +89,15 @@ def page_rows(df: DataFrame, size: int = 5, offset: int = 0, ord: str = ORD) ->
     offset, size = max(0, offset), max(0, size)
     if offset + size <= WIDE:
         return df.orderBy(ord).offset(offset).limit(size)
-    first = kth_smallest(df, ord, offset + 1)
+    place = _place(ord)
+    first = kth_smallest(df, place, offset + 1)
     if first is None or size == 0:
         return df.where(F.lit(False))
-    return head(df.where(F.col(ord) >= first), size, ord).orderBy(ord)
+    skipped = offset - df.where(place < first).count()
+    if skipped:   # the page begins among rows that share an ordinal
+        numbered = number_rows(df.where(place >= first), ord)
+        return numbered.where(F.col("_pos").between(skipped, skipped + size - 1)).orderBy("_pos").drop("_pos")
+    return head(df.where(place >= first), size, ord).orderBy(ord)
 
 
 def page(df: DataFrame, size: int = 5, offset: int = 0, ord: str = ORD) -> Page:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairloom.operators.order import INTERNAL
 from pairloom.functions.text import char_length, has_text, round_half_even, text_or_empty
 from pairloom.operators.order import ORD
 
@@ -93,7 +94,7 @@ def length_balance(df: DataFrame, rounded: bool = False) -> DataFrame:
 
 def overview(df: DataFrame, mode: str) -> DataFrame:
     """One row: row count, column names and training mode."""
-    names = F.array(*[F.lit(c) for c in df.columns if not c.startswith("_")])
+    names = F.array(*[F.lit(c) for c in df.columns if c not in INTERNAL])
     return df.agg(F.count("*").alias("total_rows")).withColumns({"columns": names, "training_mode": F.lit(mode)})
 
 

@@ -15,10 +15,15 @@ MAX_SOURCES = 2**8
 
 
 def place_source(df: DataFrame, position: int, ord: str = ORD) -> DataFrame:
-    """Make a source's ordinals, each below 2**55, sort after those of all sources with a lower position."""
+    """Make a source's ordinals sort after those of all sources with a lower position.
+
+    They must be from 0 to 2**55 - 1; another one stops the job, since it would collide with a neighbour's.
+    """
     if not 0 <= position < MAX_SOURCES:
         raise ValueError(f"at most {MAX_SOURCES} sources can be concatenated")
-    return df.withColumns({ord: F.col(ord) + F.lit(position << SOURCE_BITS), "_src": F.lit(position)})
+    fits = F.col(ord).between(0, 2**SOURCE_BITS - 1) | F.col(ord).isNull()
+    wrong = F.raise_error(F.concat(F.lit("ordinal out of range: "), F.col(ord).cast("string"))).cast("long")
+    return df.withColumns({ord: F.when(fits, F.col(ord) + F.lit(position << SOURCE_BITS)).otherwise(wrong), "_src": F.lit(position)})
 
 
 def concat_sources(sources: Sequence[DataFrame], ord: str = ORD) -> DataFrame:

@@ -76,22 +76,23 @@ def plan_cleanup(inventory: DataFrame, statuses: DataFrame, keep: int = 1, purge
     whole = (F.col("status") == "failed") & ~F.col("active") if purge_failed else F.lit(False)
     few = F.col("checkpoints") <= keep
     skipped = jobs.where(F.col("active") | (~whole & few)).select(
-        key, F.when(F.col("active"), F.concat(F.lit("active ("), "status", F.lit(")")))
-        .otherwise(F.concat(F.col("checkpoints").cast("string"), F.lit(f" checkpoint(s), keep={keep}"))).alias("reason"))
+        key, F.when(F.col("active"), F.concat(F.lit("unfinished: "), "status"))
+        .otherwise(F.concat(F.lit("has "), F.col("checkpoints").cast("string"), F.lit(f" of {keep} to keep"))).alias("reason"))
     purged = jobs.where(whole).select(
         key, F.lit(None).cast("string").alias("checkpoint"), F.col("total_bytes").alias("bytes"),
-        F.lit("failed job (whole dir)").alias("reason"))
+        F.lit("failed job, nothing of it is needed").alias("reason"))
     pruned = (jobs.where(~F.col("active") & ~whole & ~few).select(key)
               .join(newest_checkpoints(checkpoints, keep, key), key))
     old = (checkpoints.join(pruned, key).where(F.col("step") < F.col("edge"))
-           .select(key, "checkpoint", "bytes", F.concat(F.lit("old checkpoint [keeping "), "kept", F.lit("]")).alias("reason")))
+           .select(key, "checkpoint", "bytes", F.concat(F.lit("older than "), "kept").alias("reason")))
     return old.unionByName(purged), skipped
 
 
 def disk_usage(inventory: DataFrame, statuses: DataFrame, keep: int = 1, key: str = "job_id") -> DataFrame:
     """Bytes per run and how many of them a cleanup would free; sort by total_bytes to see the largest."""
     checkpoints = inventory if "step" in inventory.columns else with_steps(inventory)
-    jobs = _job_totals(checkpoints.where(F.col("step").isNotNull()), statuses, key)
+    # Runs without any checkpoint are listed too, with nothing to free.
+    jobs = _job_totals(checkpoints.withColumn("bytes", F.when(F.col("step").isNotNull(), F.col("bytes"))), statuses, key)
     kept = newest_checkpoints(checkpoints, keep, key).select(key, "kept_bytes")
     free = F.when(~F.col("active") & (F.col("checkpoints") > keep), F.col("total_bytes") - F.col("kept_bytes"))
     return (jobs.join(kept, key, "left").withColumn("reclaimable_bytes", F.coalesce(free, F.lit(0))).drop("kept_bytes"))

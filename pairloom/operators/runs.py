@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,14 +32,14 @@ def store_totals(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def list_runs(runs: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0,
               created: str = "created_at", id: str = "job_id") -> DataFrame:
-    """A page of runs, newest first, ties by id.
+    """A page of runs, newest first, ties by id; runs without a readable time come last.
 
     A page deep in the table is cut out by its creation times first, so no task sorts what lies
     before it.
     """
     rows = runs.where(F.col("status") == status) if status else runs
+    age = F.coalesce(-micros(F.col(created)), F.lit(2**62))
     if offset + limit > WIDE:
-        age = -micros(F.col(created))
         first, last = (kth_smallest(rows, age, k) for k in (offset + 1, offset + limit))
         if first is None:
             return rows.where(F.lit(False))
@@ -46,9 +47,9 @@ def list_runs(runs: DataFrame, status: str | None = None, limit: int = 100, offs
         rows = rows.where((age >= first) & (age <= last if last is not None else F.lit(True)))
         offset -= skipped
         if offset + limit > WIDE:   # many runs created at the same moment
-            placed = number_rows(rows, F.col(created).desc(), F.col(id))
+            placed = number_rows(rows, age, F.col(id))
             return placed.where(F.col("_pos").between(offset, offset + limit - 1)).orderBy("_pos").drop("_pos")
-    return rows.orderBy(F.col(created).desc(), F.col(id)).offset(offset).limit(limit)
+    return rows.orderBy(age, F.col(id)).offset(offset).limit(limit)
 
 
 def summarise_config(runs: DataFrame, config: str = "config") -> DataFrame:
@@ -73,17 +74,28 @@ def latest_state(updates: DataFrame, fields: Sequence[str], key: str = "job_id",
     A null in an update keeps the earlier value. Fields named in the `cleared` array of an update
     are set to null by it. `updated` names the column whose latest value becomes `updated_at`.
     """
-    states = []
-    for name in fields:
-        value = F.col(name)
-        speaks = value.isNotNull()
+    def speaks(name: str) -> Column:
+        value = F.col(name).isNotNull()
         if cleared and name in CLEARABLE:
-            speaks = speaks | F.coalesce(F.array_contains(F.col(cleared), name), F.lit(False))
-        held = F.max_by(F.struct(value.alias("v")), F.when(speaks, F.col(seq)))
-        states.append(held["v"].alias(name))
-    if updated:
-        states.append(F.max_by(F.col(updated), F.col(seq)).alias("updated_at"))
-    return updates.groupBy(key).agg(*states)
+            value = value | F.coalesce(F.array_contains(F.col(cleared), name), F.lit(False))
+        return value
+
+    def latest(at: dict[str, Column]) -> list[Column]:
+        held = [F.max_by(F.struct(F.col(name).alias("v")), at[name])["v"].alias(name) for name in fields]
+        return held + ([F.max_by(F.col(updated), at["_updated"]).alias("updated_at")] if updated else [])
+
+    times = {name: F.when(speaks(name), F.col(seq)) for name in fields} | ({"_updated": F.col(seq)} if updated else {})
+    if updates.isStreaming:
+        return updates.groupBy(key).agg(*latest(times))
+    # In a batch, plain numbers are aggregated by hash over all updates; only updates that hold some field's latest value
+    # are looked at once more.
+    last = updates.groupBy(key).agg(*[F.max(c).alias(f"_at_{name}") for name, c in times.items()])
+    marked = updates.join(last.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
+    now = {name: F.when(c == F.col(f"_at_{name}"), c) for name, c in times.items()}
+    telling = reduce(lambda a, b: a | b, [c.isNotNull() for c in now.values()])
+    found = marked.where(telling).groupBy(key).agg(*latest(now))
+    silent = reduce(lambda a, b: a & b, [F.col(f"_at_{name}").isNull() for name in times])
+    return found.unionByName(last.where(silent).select(key), allowMissingColumns=True)
 
 
 def monotone_steps(points: DataFrame, key: str = "job_id", step: str = "step", ord: str = "_ord",
@@ -107,9 +119,12 @@ def run_summary(metrics: DataFrame, key: str = "job_id", step: str = "step", ord
     `block` records it is found by counting ever smaller cells, so that run is never ordered whole.
     """
     record = F.struct(F.col(step).cast("long").alias("step"), *[F.col(v) for v in values])
-    rows = metrics.select(F.col(key), record.alias("_rec"), F.expr(f"cast(`{step}` AS bigint) div {block}L").alias("_block"),
-                          F.col(step).cast("long").alias("_step"),
-                          *([F.col(ord).alias("_o"), F.expr(f"`{ord}` div {block}L").alias("_oblock")] if ord else []))
+    # Records without a step or an ordinal count like all others and come first.
+    least = F.lit(-2**63)
+    rows = metrics.select(F.col(key), record.alias("_rec"), F.coalesce(F.col(step).cast("long"), least).alias("_step"),
+                          *([F.coalesce(F.col(ord), least).alias("_o")] if ord else []))
+    cells = {"_block": "_step", **({"_oblock": "_o"} if ord else {})}
+    rows = rows.withColumns({name: F.expr(f"{of} div {block}L") for name, of in cells.items()})
     place = F.struct("_step", "_o") if ord else F.struct("_step", "_rec")
     ends = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("records"), F.min_by("_rec", place).alias("first"),
                                              F.max_by("_rec", place).alias("last")))

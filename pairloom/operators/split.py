@@ -52,9 +52,9 @@ def split(df: DataFrame, test_size: float | None, seed: int = 42, shuffle: bool
     return df.where(~in_eval), df.where(in_eval)
 
 
-def split_if_large(df: DataFrame, test_size: float | None = None, seed: int = 42, more_than: int = 100,
+def split_if_large(df: DataFrame, test_size: float | None = None, seed: int = 42, more_than: int = 1,
                    ord: str = ORD) -> tuple[DataFrame, DataFrame | None]:
-    """Split only tables with more than `more_than` rows; a falsy size means one percent."""
+    """Split only tables with more than `more_than` rows, by default all that can be split; a falsy size means one percent."""
     large = df.select(ord).limit(more_than + 1).count() > more_than
     return split(df, test_size or 0.01, seed, True, ord) if large else (df, None)
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pairloom.functions.text import caption_from_path, file_name, strip
-from pairloom.operators.order import ORD
+from pairloom.operators.order import ORD, Page
 from pairloom.operators.quality import filter_long
 from pairloom.operators.split import sample_rows, split_if_large
 from pairloom.session import scratch_path, small_side, stage
@@ -82,7 +82,7 @@ def preview_manifest(lines: DataFrame, limit: int = 24, offset: int = 0, image_c
     The image is the first key with a text value, the caption the first key that is present.
     Malformed lines and lines without an image keep their index but are not shown.
     """
-    limit, offset = max(1, min(limit, 200)), max(0, offset)
+    limit, offset = max(1, limit), max(0, offset)
     images = (image_column,) if image_column else IMAGE_KEYS
     captions = (caption_column,) if caption_column else CAPTION_KEYS
     row = F.col("_row")
@@ -100,9 +100,14 @@ def preview_manifest(lines: DataFrame, limit: int = 24, offset: int = 0, image_c
             .orderBy("row_index").limit(limit))
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def manifest_page(lines: DataFrame, limit: int = 24, offset: int = 0, **columns: str | None) -> Page:
+    """A preview and the number of all rows of the manifest, unreadable ones included."""
+    return Page(preview_manifest(lines, limit, offset, **columns), lines.count())
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType | None = None, on_error: str = "fail") -> DataFrame:
     """An image manifest (JSON Lines) with its image paths resolved against the manifest's folder."""
-    df = read_file(spark, path, "jsonl", schema, lineage=True)
+    df = read_file(spark, path, "jsonl", schema, lineage=True, on_error=on_error)
     base = parent_dir(local_path(F.col("_file")))
     resolved = {k: resolve_path(F.col(k), base) for k in IMAGE_KEYS
                 if k in df.columns and isinstance(df.schema[k].dataType, T.StringType)}
@@ -186,21 +191,25 @@ def unified_messages(df: DataFrame, image: str = "image", messages: str = "messa
 
 def prepare_captions(df: DataFrame, instruction: str, max_samples: int | None = None, test_size: float | None = None,
                      seed: int = 42, image: str = "image", caption: str = "caption",
-                     ord: str = ORD) -> tuple[DataFrame, DataFrame | None]:
-    """An image-caption corpus bounded to its first rows, split when large, in message form."""
+                     ord: str = ORD, more_than: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """An image-caption corpus bounded to its first rows, split if it has more than `more_than` rows, in message form."""
     from pairloom.operators.order import head
 
     rows = head(df.select(ord, image, caption), max_samples, ord)
-    return _each_side(split_if_large(rows, test_size, seed, ord=ord),
+    return _each_side(split_if_large(rows, test_size, seed, more_than, ord),
                       lambda d: caption_messages(d, instruction, image, caption))
 
 
 def prepare_unified(df: DataFrame, max_seq_length: int = 4096, max_samples: int | None = None,
                     test_size: float | None = None, seed: int = 42, image: str = "image",
-                    ord: str = ORD) -> tuple[DataFrame, DataFrame | None]:
-    """A mixed corpus without over-long rows, sampled and split, in message form."""
-    rows = sample_rows(filter_long(df, max_seq_length), max_samples, seed, ord)
-    return _each_side(split_if_large(rows, test_size, seed, ord=ord), lambda d: unified_messages(d, image))
+                    ord: str = ORD, more_than: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """A mixed corpus without over-long rows, sampled and split, in message form.
+
+    The kept rows are written once; sample and split look their places up there.
+    """
+    rows = filter_long(df, max_seq_length)
+    rows = sample_rows(stage(rows, scratch_path(rows.sparkSession, "unified")), max_samples, seed, ord)
+    return _each_side(split_if_large(rows, test_size, seed, more_than, ord), lambda d: unified_messages(d, image))
 
 
 def _each_side(sides, shape):

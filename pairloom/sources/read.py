@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pairloom.operators.order import ORD, head
+from pairloom.operators.order import INTERNAL, ORD, head
 from pairloom.session import scratch_path, small_side, stage
 from pairloom.sources.spec import SourceSpec, SpecError, infer_format
 
@@ -63,24 +63,44 @@ def is_json_lines(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _parse_mode(on_error: str) -> dict[str, str]:
+    modes = {"fail": "FAILFAST", "drop": "DROPMALFORMED", "quarantine": "PERMISSIVE"}
+    if on_error not in modes:
+        raise ValueError(f"on_error is one of {sorted(modes)}")
+    return {"mode": modes[on_error], **({"columnNameOfCorruptRecord": "_error"} if on_error == "quarantine" else {})}
+
+
+def _read_text(reader, kind: str, path: str, schema: str | T.StructType | None, options: dict[str, Any]) -> DataFrame:
+    """A text table; the column for broken records is part of the schema, whether or not there are any."""
+    if options.get("columnNameOfCorruptRecord") == "_error":
+        known = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        known = known or reader.options(**options).format(kind).load(path).schema
+        known = T.StructType([f for f in known.fields if f.name != "_error"] + [T.StructField("_error", T.StringType())])
+        reader = reader.schema(known)
+    return reader.options(**options).format(kind).load(path)
+
+
 def read_file(spark: SparkSession, path: str, file_format: str | None = None,
               schema: str | T.StructType | None = None, ordinal: bool = True, lineage: bool = False,
-              **options: Any) -> DataFrame:
+              on_error: str = "fail", **options: Any) -> DataFrame:
     """Read JSON, JSON Lines, CSV or Parquet; the format follows the file ending unless named.
 
     `schema` skips inference, which costs a pass over text files. For CSV, `multiLine=False` lets
     Spark split large files when no field holds a line break. `lineage` adds each row's `_file`.
+    Of text that does not parse, `on_error` says what becomes: `fail` stops the job, `drop` leaves it out, `quarantine`
+    keeps the text in `_error`, beside what could be read of it.
     """
     kind = infer_format(path, file_format)
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
+        options = {**_parse_mode(on_error), **options} if kind != "parquet" else options
         if kind == "parquet":
             df = reader.options(**options).parquet(path)
         elif kind == "csv":
-            df = reader.options(**{"header": True, "multiLine": True, "escape": '"', **options}).csv(path)
+            df = _read_text(reader, "csv", path, schema, {"header": True, "multiLine": True, "escape": '"', **options})
         else:
             lines = kind == "jsonl" or is_json_lines(spark, path)
-            df = reader.options(**{"multiLine": not lines, **options}).json(path)
+            df = _read_text(reader, "json", path, schema, {"multiLine": not lines, **options})
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no such dataset file: {path}") from e
@@ -120,13 +140,14 @@ def read_source(spark: SparkSession, spec: SourceSpec | Mapping[str, Any], hub_r
                 schema: str | T.StructType | None = None) -> DataFrame:
     """Read what a source spec describes. `uploads` maps upload ids to the paths they landed at."""
     spec = SourceSpec.of(spec)
+    schema = schema or spec.schema
     if spec.source_type == "local_file":
-        return read_file(spark, spec.file_path, spec.file_format, schema)
+        return read_file(spark, spec.file_path, spec.file_format, schema, on_error=spec.on_error, **spec.options)
     if spec.source_type == "upload":
         landed = (uploads or {}).get(spec.dataset_id)
         if landed is None:
             raise SpecError(f"upload {spec.dataset_id!r} not found")
-        return read_file(spark, landed, spec.file_format, schema)
+        return read_file(spark, landed, spec.file_format, schema, on_error=spec.on_error, **spec.options)
     if hub_root is None:
         raise SpecError("a named dataset needs hub_root, the folder of the exported datasets")
     where = (hub_root, spec.repo_id, spec.split, spec.config_name)
@@ -135,7 +156,7 @@ def read_source(spark: SparkSession, spec: SourceSpec | Mapping[str, Any], hub_r
 
 def inspect_columns(df: DataFrame, samples: int = 3, ord: str = ORD) -> dict[str, Any]:
     """Column names, the first rows and the row count, for mapping columns by hand."""
-    shown = [c for c in df.columns if not c.startswith("_")]
+    shown = [c for c in df.columns if c not in INTERNAL]
     first = df.orderBy(ord).limit(samples) if ord in df.columns else df.limit(samples)
     rows = [r.asDict(recursive=True) for r in first.select(*shown).collect()]
     return {"columns": shown, "samples": rows, "total_rows": df.count()}

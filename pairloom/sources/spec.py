@@ -51,6 +51,9 @@ class SourceSpec:
     streaming: bool = False
     streaming_batch_size: int = 10_000
     column_mapping: Mapping[str, str] | None = None
+    schema: str | None = None                                   # DDL; saves the inference pass over text files
+    options: Mapping[str, Any] = field(default_factory=dict)    # reader options, such as multiLine=False for CSV
+    on_error: str = "fail"                                      # fail, drop or quarantine text that does not parse
 
     def __post_init__(self):
         needs = {"huggingface": "repo_id", "local_file": "file_path", "upload": "dataset_id"}

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,7 +124,8 @@ def keep_monotone(points: DataFrame, path: str, checkpoint: str, key: str = "job
     def save(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         kept = monotone_steps(batch, key, step, ord, block)
-        last = _read_or_none(spark, f"{path}/last/batch={number - 1}") if number else None
+        # Lost state would let repeated steps through, so a missing folder stops the stream.
+        last = spark.read.parquet(f"{path}/last/batch={number - 1}") if number else None
         if last is not None:
             before = last.select(key, F.col("last_step").alias("_last"))
             kept = (kept.join(before, key, "left")
@@ -139,15 +139,6 @@ def keep_monotone(points: DataFrame, path: str, checkpoint: str, key: str = "job
             .trigger(availableNow=True).start())
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def drop_repeats(rows: DataFrame, strategy: str = "prompt_chosen", compat: bool = False) -> DataFrame:
     """Exact duplicate removal on a stream: the first row of a key to arrive passes.
 

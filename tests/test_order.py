@@ -106,9 +106,19 @@ def test_tied_hashes_are_cut_by_ordinal(spark, small, monkeypatch):
 
 
 def test_split_only_when_large(spark):
-    assert split_if_large(table(spark, range(100)))[1] is None
-    train, held = split_if_large(table(spark, range(101)), None)
+    assert split_if_large(table(spark, range(100)), more_than=100)[1] is None
+    train, held = split_if_large(table(spark, range(101)), None, more_than=100)
     assert held.count() == 2 and train.count() == 99
+    assert split_if_large(table(spark, range(1)))[1] is None and split_if_large(table(spark, range(2)))[1].count() == 1
+
+
+@pytest.mark.parametrize("n", [900, 1001, 1200, 3000])
+def test_heads_and_pages_are_exact_with_ties_and_missing_ordinals(spark, n):
+    df = spark.createDataFrame([(None if i % 2 else i // 4,) for i in range(2400)], "_ord long")
+    want = sorted((r[0] for r in df.collect()), key=lambda v: -1 if v is None else v)[:n]
+    assert sorted((r[0] for r in order.head(df, n).collect()), key=lambda v: -1 if v is None else v) == want
+    paged = [r[0] for r in order.page_rows(df, n, 30).collect()]
+    assert paged == sorted((r[0] for r in df.collect()), key=lambda v: -1 if v is None else v)[30:30 + n]
 
 
 def test_sample_and_shuffle(spark, small):

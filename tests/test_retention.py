@@ -23,23 +23,23 @@ def jobs(spark):
 def test_plan_keeps_the_newest_and_spares_active_runs(jobs, rows):
     deletions, skipped = R.plan_cleanup(*jobs, keep=1)
     assert rows(deletions) == [
-        ("finished", "checkpoint-100", 1000, "old checkpoint [keeping checkpoint-300]"),
-        ("finished", "checkpoint-200", 1000, "old checkpoint [keeping checkpoint-300]"),
-        ("orphan", "checkpoint-9", 10, "old checkpoint [keeping checkpoint-10]")]
-    assert rows(skipped) == [("broke", "1 checkpoint(s), keep=1"), ("busy", "active (training)"),
-                             ("lonely", "1 checkpoint(s), keep=1")]
+        ("finished", "checkpoint-100", 1000, "older than checkpoint-300"),
+        ("finished", "checkpoint-200", 1000, "older than checkpoint-300"),
+        ("orphan", "checkpoint-9", 10, "older than checkpoint-10")]
+    assert rows(skipped) == [("broke", "has 1 of 1 to keep"), ("busy", "unfinished: training"),
+                             ("lonely", "has 1 of 1 to keep")]
 
 
 def test_keep_two(jobs, rows):
     deletions, _ = R.plan_cleanup(*jobs, keep=2)
-    assert rows(deletions, "checkpoint", "reason") == [("checkpoint-100", "old checkpoint [keeping checkpoint-200, checkpoint-300]")]
+    assert rows(deletions, "checkpoint", "reason") == [("checkpoint-100", "older than checkpoint-200, checkpoint-300")]
     with pytest.raises(ValueError):
         R.plan_cleanup(*jobs, keep=0)
 
 
 def test_failed_runs_go_as_a_whole_on_request(jobs, rows):
     deletions, skipped = R.plan_cleanup(*jobs, keep=1, purge_failed=True)
-    assert ("broke", None, 700, "failed job (whole dir)") in rows(deletions)
+    assert ("broke", None, 700, "failed job, nothing of it is needed") in rows(deletions)
     assert "broke" not in [r[0] for r in rows(skipped)]
 
 

@@ -115,7 +115,8 @@ def test_corpora_are_bounded_filtered_and_split(spark):
     df = spark.createDataFrame([(i, bytearray(b"x"), f"c{i}") for i in range(150)], "_ord long, image binary, caption string")
     train, held = V.prepare_captions(df, "Describe.", max_samples=120, test_size=0.05)
     assert (train.count(), held.count()) == (114, 6)
-    assert V.prepare_captions(df, "Describe.", max_samples=100)[1] is None
+    assert V.prepare_captions(df, "Describe.", max_samples=100)[1].count() == 1
+    assert V.prepare_captions(df, "Describe.", max_samples=100, more_than=100)[1] is None
     docs = spark.createDataFrame([(i, json.dumps([{"role": "user", "content": "x" * (i % 50)}]), None) for i in range(400)],
                                  "_ord long, messages string, image binary")
     train, held = V.prepare_unified(docs, max_seq_length=15, max_samples=110)
