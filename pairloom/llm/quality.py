@@ -108,16 +108,20 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     return int(found[TERMS]), found[:TERMS]
 
 
-def train(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample: int = SAMPLE) -> Voters:
-    """Voters from `labelled` (key, text, label 0 or 1), at most `sample` of each label, chosen by a hash of the key.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample: int = SAMPLE) -> Voters:
+    """Voters from the texts of `docs` that `labels` (key, label 0 or 1) covers: of each label at most `sample` keys.
 
-    Null labels and keys are left out. Frequencies come from all rows of `docs`. Without any labelled row, scores are 0.5.
+    Those come first by a hash of the key; only their texts are read for it. Other or null labels and null keys are left
+    out. Frequencies come from all rows of `docs`. Without any labelled text, scores are 0.5.
     """
     n, df = document_frequencies(docs, text)
     idf = np.log((n + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
-        F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(label).cast("int").alias("label"), F.col(text).cast("string").alias("text"))
-    chosen = [rows.where(F.col("label") == v).orderBy("h", "text").limit(sample) for v in (0, 1)]
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("k"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key).cast("string")).alias("h")).distinct()
+    firsts = [known.where(F.col("label") == v).orderBy("h", "k").limit(sample).select("k", "label") for v in (0, 1)]
+    # At most two samples of keys: small enough to broadcast, whatever the tables hold.
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
+    chosen = rows.join(F.broadcast(firsts[0].unionByName(firsts[1])), "k").select("label", "text")
 
     def run(batches):
         terms = Terms()
@@ -128,7 +132,8 @@ def train(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
                     [batch.column(0).slice(first, len(counts)), pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()),
                      pa.array([c[i].astype("<u4").tobytes() for i, c in zip(ids, counts)], pa.binary())], ["label", "ids", "counts"])
 
-    found = [r for part in chosen for r in part.select("label", "text").mapInArrow(run, "label int, ids binary, counts binary").collect()]
+    found = chosen.mapInArrow(run, "label int, ids binary, counts binary").collect()
+    found.sort(key=lambda r: (r["label"], bytes(r["ids"]), bytes(r["counts"])))
     if not found:
         return Voters(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     x = np.zeros((len(found), TERMS), np.float32)

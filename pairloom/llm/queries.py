@@ -108,8 +108,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold("doc_id", 3) == 1
-    known = labels.where(~held_out & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label")).distinct()
-    model = quality.train(docs, docs.select("doc_id", "text").join(known, "doc_id"))
+    model = quality.train(docs, labels.where(~held_out), label="quality")
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
