@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,12 @@ def _read_text(reader, kind: str, path: str, schema: str | T.StructType | None,
         known = known or reader.options(**options).format(kind).load(path).schema
         known = T.StructType([f for f in known.fields if f.name != "_error"] + [T.StructField("_error", T.StringType())])
         reader = reader.schema(known)
-    return reader.options(**options).format(kind).load(path)
+    try:
+        return reader.options(**options).format(kind).load(path)
+    except Py4JJavaError as e:   # raised while the schema is inferred
+        if "MALFORMED_RECORD" in str(e):
+            raise ValueError(f"text that does not parse in {path}") from e
+        raise
 
 
 def read_file(spark: SparkSession, path: str, file_format: str | None = None,

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def test_broken_text(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": "1"}\n{"a": \n{"a": "3"}\n')
     (tmp_path / "x.csv").write_text("a,b\n1,2\n3,4,5\n")
     for name in ("x.jsonl", "x.csv"):
-        with pytest.raises(PySparkException):
+        with pytest.raises((PySparkException, ValueError, Py4JJavaError)):   # by schema inference, or by the pass that lands the text
             read.read_file(spark, str(tmp_path / name)).collect()
         assert len(read.read_file(spark, str(tmp_path / name), on_error="drop").select("a").collect()) == (2 if name == "x.jsonl" else 1)
         kept = {r["a"]: r["_error"] for r in read.read_file(spark, str(tmp_path / name), on_error="quarantine").collect()}
