@@ -5,11 +5,12 @@ One hash function; a document's sketch is its k smallest shingle hashes. Steps:
 1. Documents with the same shingle set form a class; its smallest id represents it. The rest works on representatives.
 2. Inverted lists over the rarest values of each sketch. Two sketches that share enough values for the estimate below must
    share one of the first `k - needed + 1` in any common order; rare first keeps passages that many documents share out.
-3. A list proposes its smallest member against all others (never all pairs of a long list). The sketch of the union
-   estimates the similarity of a proposal; exact Jaccard on the full sets of the whole texts confirms it. One proposal for
-   each document is confirmed first; what is then in one component needs no more.
-4. Members of a list that are still apart are compared with each other, long lists by a few members at a time, until none
-   are left. So no link between different texts is lost, except where the estimate misses by over five standard deviations.
+3. A list proposes its most central member, the one with the most common values, against all others, never all pairs. The
+   sketch of the union estimates the similarity of a proposal; exact Jaccard on the full sets of the whole texts confirms it.
+4. In lists of up to SHORT members, all that are still apart are proposed to each other. Longer lists whose members are
+   still apart form clusters; within a cluster, full sets are compared block against block inside tasks, which return only
+   links that join components. So no link between different texts is lost, except where the estimate of a proposal misses
+   by over five standard deviations.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pairloom.llm.words import Powers, shingles_of, slices, words_of
 from pairloom.session import small_side
 
 K = 64
-ESTIMATE = 0.6  # proposals estimated below are dropped: over five deviations of 64 values under 0.85
+SLACK = 0.25  # proposals whose estimate is that far below the threshold are dropped: five deviations of 64 values
 RARE = 32  # values in more sketches than this come last in the order
-SHORT = 64  # lists up to this length are compared in full
-FEW = 16  # members that a longer list sends in one turn
+SHORT = 64  # members of a list whose pairs are all proposed
+BLOCK = 512  # documents of a cluster in one block
+COLUMNS = 4096  # values compared at once
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], width: int):
@@ -75,8 +77,8 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 def union_estimate(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
     """Share of the union's k smallest values that both sketches hold, for many pairs at once."""
-    top = np.iinfo(np.uint64).max
-    table = np.full((len(a), 2 * k), top, np.uint64)
+    top = np.iinfo(np.int64).max
+    table = np.full((len(a), 2 * k), top, np.int64)
     for i, (x, y) in enumerate(zip(a, b)):
         table[i, :len(x)] = x
         table[i, k:k + len(y)] = y
@@ -98,7 +100,7 @@ class Linker:
 
     def __init__(self, docs: DataFrame, key: str, text: str, percent: int, width: int, k: int):
         self.docs = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-        self.percent, self.width, self.k = percent, width, k
+        self.percent, self.width, self.k, self.floor = percent, width, k, percent / 100 - SLACK
         self.scratch = Scratch(docs.sparkSession, "bottomk")
         self.sketches = self.scratch.table(sketches(docs, key, text, width, k), "sketches")
         found = self.sketches.where("n > 0 and id is not null").groupBy("n", "hi", "lo").agg(
@@ -115,32 +117,33 @@ class Linker:
         rare = F.transform(F.array_except("sketch", F.col("common.value")), lambda v: F.struct(F.lit(0).cast("long").alias("c"), v.alias("value")))
         order = F.array_sort(F.concat(rare, "common"))
         size = F.size("sketch")
-        first = F.slice(order, F.lit(1), size - F.ceil(size * ESTIMATE).cast("int") + 1)
-        lists = self.scratch.table(whole.select("id", "n", F.explode(first["value"]).alias("value")), "lists")
-        counts = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1")
+        first = F.slice(order, F.lit(1), size - F.ceil(size * self.floor).cast("int") + 1)
+        central = F.aggregate("common", F.lit(0.0), lambda s, x: s + F.log2(x["c"].cast("double")))
+        lists = self.scratch.table(whole.select("id", central.alias("central"), F.explode(first["value"]).alias("value")), "lists")
+        counts = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
         return self.scratch.table(lists.join(counts, "value"), "members")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Of proposals (a, b), those whose estimate is high enough: (a, b, est)."""
         k = self.k
-        side = lambda end: self.classes.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"))
+        high = F.transform("sketch", lambda v: F.shiftrightunsigned(v, 33).cast("int"))  # the order stays, half the size
+        side = lambda end: self.classes.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), high.alias(f"s_{end}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(near(F.col("n_a"), F.col("n_b"), self.percent))
 
         def run(batches):
             for batch in batches:
                 for i in range(0, len(batch), 2048):
                     cut = batch.slice(i, 2048)
-                    flat = [[x.values.to_numpy().view(np.uint64) for x in cut.column(c)] for c in (2, 3)]
+                    flat = [[x.values.to_numpy() for x in cut.column(c)] for c in (2, 3)]
                     yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(union_estimate(*flat, k))], ["a", "b", "est"])
 
         kind = self.classes.schema["id"].dataType.simpleString()
         rated = both.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {kind}, b {kind}, est double")
-        return cut_lineage(rated.where(F.col("est") >= ESTIMATE).groupBy("a", "b").agg(F.max("est").alias("est")))
+        return cut_lineage(rated.where(F.col("est") >= self.floor).groupBy("a", "b").agg(F.max("est").alias("est")))
 
-    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Full shingle sets of the documents in `pairs`, from their whole texts."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = self.docs.join(small_side(ids, 1_000_000), "id", "left_semi")
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """Full shingle sets of the documents `ids`, from their whole texts."""
+        wanted = self.docs.join(small_side(ids.distinct(), 1_000_000), "id", "left_semi")
         return self.scratch.table(full_sets(wanted, self.width).where(F.size("values") > 0), name)
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,38 +161,96 @@ class Linker:
             rows = rows.join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
         return rows
 
+    def blocks(self, docs: DataFrame) -> DataFrame:
+        """Links (a, b) that join components, for docs (cluster, id, component): all pairs of a cluster, within tasks."""
+        sizes = docs.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+        placed = docs.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+        sets = self.sets(docs.select("id"), "clustered")
+        placed = placed.join(sets, "id")
+        every = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+        low, high = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        rows = placed.select("cluster", "block", every, "id", "component", "values").select("cluster", low, high, "block", "id", "component", "values")
+        kind, percent = docs.schema["id"].dataType.simpleString(), self.percent
+
+        def compare(group: pa.Table) -> pa.Table:
+            group = group.combine_chunks()
+            block = group["block"].to_numpy()
+            left = np.flatnonzero(block == group["i"][0].as_py())
+            right = np.flatnonzero(block == group["j"][0].as_py())
+            values = [group["values"][i].values.to_numpy() for i in range(len(block))]
+            shared = overlaps([values[i] for i in left], [values[i] for i in right])
+            size = np.array([len(v) for v in values])
+            near = 100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)
+            names, parent, a, b = group["component"].to_pylist(), {}, [], []
+
+            def top(x):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for x, y in zip(*np.nonzero(near)):
+                p, q = top(names[left[x]]), top(names[right[y]])
+                if p != q:  # one link joins two components; more say nothing new
+                    parent[q] = p
+                    a.append(int(left[x]))
+                    b.append(int(right[y]))
+            ids = group["id"].combine_chunks() if isinstance(group["id"], pa.ChunkedArray) else group["id"]
+            return pa.table([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+        return rows.groupBy("cluster", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+
     def links(self) -> DataFrame:
         """Components of the representatives: (node, component)."""
         members = self.lists()
-        proposed = self.likely(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-        sets = self.sets(proposed, "sets")
-        best = proposed.groupBy("b").agg(F.max(F.struct("est", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        links = self.confirmed(best, sets)
+        hubs = members.groupBy("value").agg(F.max(F.struct("central", "id")).alias("hub")).select("value", F.col("hub.id").alias("hub"))
+        members = members.join(hubs, "value").select("value", "hub", "id")
+        proposed = members.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        proposed = self.likely(proposed)
+        links = self.confirmed(proposed, self.sets(proposed.select(F.explode(F.array("a", "b")).alias("id")), "proposed"))
         groups = components(links)
-        more = self.apart(proposed, groups, "a", "b").where("c_a <> c_b").select("a", "b")
-        links = links.unionByName(self.confirmed(more.join(best, ["a", "b"], "left_anti"), sets))
+        # Short lists: every pair that is still apart.
+        sizes = members.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
+        members = self.scratch.table(members.join(sizes, "value"), "sized")
+        left = self.apart(members.where((F.col("id") != F.col("hub")) & (F.col("m") <= SHORT)).select("value", "id"), groups, "id")
+        other = left.select("value", F.col("id").alias("b"), F.col("c_id").alias("c_b"))
+        pairs = left.withColumnRenamed("id", "a").join(other, "value").where("a < b and c_id <> c_b").select("a", "b").distinct()
+        pairs = self.likely(pairs)
+        links = cut_lineage(links.unionByName(self.confirmed(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), "short"))))
         groups = components(links)
-        left, step = members.where("id <> hub").select("value", "id"), 0
-        while True:
-            step += 1
-            open_ = self.apart(left, groups, "id")
-            wide = open_.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("c_id").alias("low"), F.max("c_id").alias("high")).where("low <> high")
-            open_ = cut_lineage(open_.join(wide.select("value", "m"), "value"))
-            size = open_.agg(F.max("m")).first()[0]
-            if not size:
-                return groups
-            other = open_.select("value", F.col("id").alias("b"), F.col("c_id").alias("c_b"))
-            short = open_.where(F.col("m") <= SHORT).join(other, "value").where("id < b and c_id <> c_b")
-            # A long list sends about FEW members against all of it, and goes on without them.
-            long_ = open_.where(F.col("m") > SHORT).withColumn("turn", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / FEW)))
-            long_ = long_.join(long_.groupBy("value").agg(F.min("turn").alias("now")), "value")
-            sent = long_.where("turn = now").join(other, "value").where("id <> b and c_id <> c_b")
-            pairs = short.select("id", "b").unionByName(sent.select("id", "b")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-            left = cut_lineage(long_.where("turn > now").select("value", "id"))
-            pairs = self.likely(pairs)
-            if not pairs.isEmpty():
-                links = cut_lineage(links.unionByName(self.confirmed(pairs, self.sets(pairs, f"sets{step}"))))
-                groups = components(links)
+        # Long lists that are still open.
+        left = self.apart(members.where((F.col("id") != F.col("hub")) & (F.col("m") > SHORT)).select("value", "id"), groups, "id")
+        wide = left.groupBy("value").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).where("low <> high").select("value", "low")
+        left = cut_lineage(left.join(wide, "value"))
+        if left.isEmpty():
+            return groups
+        # Documents of an open list belong together; so do lists that share a document or a component.
+        stars = left.select(F.col("low").alias("a"), F.col("c_id").alias("b")).distinct()
+        clusters = components(stars).select(F.col("node").alias("c_id"), F.col("component").alias("cluster"))
+        docs = left.select("id", "c_id").distinct().join(clusters, "c_id").select("cluster", "id", F.col("c_id").alias("component"))
+        return components(links.unionByName(self.blocks(cut_lineage(docs))))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    of = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in (left, right)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for values, owner in zip(flat, of):
+        at = np.searchsorted(common, values)
+        hit = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == values) if len(common) else np.zeros(0, np.int64)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], owner[hit][order]))
+    for first in range(0, len(common), COLUMNS):
+        sides = []
+        for (at, owner), n in zip(places, (len(left), len(right))):
+            a, b = np.searchsorted(at, (first, first + COLUMNS))
+            dense = np.zeros((n, COLUMNS), np.float32)
+            dense[owner[a:b], at[a:b] - first] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return np.rint(out).astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5, k: int = K) -> DataFrame:
@@ -209,9 +270,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = work.classes.select("n", "hi", "lo", "id").join(named, "id", "left").select(
         "n", "hi", "lo", F.coalesce("component", "id").alias("component"))
     classes = cut_lineage(classes)
-    for name in ("lists", "members", "sets", "classes"):
+    for name in ("lists", "members", "sized", "proposed", "short", "clustered", "classes"):
         work.scratch.drop(name)
     rows = work.sketches.select("id", "n", "hi", "lo").join(classes, ["n", "hi", "lo"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
                        component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """`docs` without the documents that are not the kept one of their group; a key goes if none of its rows is kept."""
+    judged = near_duplicates(docs.select(key, text), key, text, percent)
+    gone = judged.groupBy(key).agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(key)
+    return docs.join(small_side(gone, 1_000_000), key, "left_anti").select(*docs.columns)

@@ -76,5 +76,5 @@ def test_overlaps_and_estimates():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in (0, 1, 30, 300, 300)]
     assert bottomk.overlaps(sets, sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    full = bottomk.union_estimate(sets, sets[::-1], 500)
+    full = bottomk.union_estimate(*([x.astype(np.int32) for x in s] for s in (sets, sets[::-1])), 500)
     assert np.allclose(full, [len(np.intersect1d(a, b)) / max(len(np.union1d(a, b)), 1) for a, b in zip(sets, sets[::-1])])
