@@ -6,6 +6,7 @@ Every stage works on all documents that the one before kept; each result is writ
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,21 @@ from pairloom.llm import bottomk, chunking, langid, leaks, packing
 from pairloom.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+BATCH = "1000"  # rows that a Python worker gets at once: whole texts, so a few megabytes
 PRIVATE = "_pipeline_"  # before the names of columns that live within a stage
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage with small Arrow batches, which also bound what an executor holds outside its heap."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@in_small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: null texts and texts without a letter go."""
     names = f"{PRIVATE}lang", f"{PRIVATE}score"
@@ -24,11 +37,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(F.col(names[0]) != langid.NONE).select(*docs.columns)
 
 
+@in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return bottomk.drop_near_duplicates(docs)
 
 
+@in_small_batches
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents without passages that an earlier document has; `n_chars` follows the text."""
     cut = chunking.remove_repeats(docs, into=f"{PRIVATE}spans")
@@ -36,6 +51,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.withColumn("n_chars", F.when(F.size(f"{PRIVATE}spans") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@in_small_batches
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     space = leaks.fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -43,6 +59,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.where(F.size(f"{PRIVATE}leaks") == 0).select(*docs.columns)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 2048 tokens."""
     pieces = packing.cut_documents(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")

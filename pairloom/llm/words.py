@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE = 2 << 20  # bytes handled at once; a longer text makes a slice of its own
+SLICE = 512 << 10  # bytes handled at once, some 20 MB of arrays; a longer text makes a slice of its own
 
 
 def mix(x: np.ndarray) -> np.ndarray:
