@@ -5,9 +5,10 @@
    in the same block of the sorted order.
 3. Descent: each vector's neighbours, forward and backward, are compared with each other; better neighbours replace worse
    ones, until few change.
-4. Edges above the threshold, checked in double precision, give components. A neighbour list is saturated if all of it is
-   above the threshold: then there may be more links than the list holds. So lists of linked vectors are enlarged to
-   their component, and all links in it are counted, block against block; pairs are not written out.
+4. Edges above the threshold, checked in double precision, give components. Of the close vectors met in one place, a spanning
+   forest is kept beside the lists, so no list's length cuts a link off. A neighbour list is saturated if all of it is above the
+   threshold: then rounds are added whose lists hold only vectors outside the own component, until none is saturated.
+   All links in a component are counted, block against block; pairs are not written out.
 5. An audit compares a fixed number of vectors with all rows. If too few of their links were found, more rounds are added.
 """
 
@@ -30,6 +31,7 @@ ROUNDS, MORE, MOST = 12, 12, 48  # random orders at first, added after an audit,
 DESCENTS = 4
 AUDIT, ENOUGH = 2048, 0.99  # audited vectors at most; share of their links that must be found
 LIST = 512  # members of a component in one block
+SLACK = 1e-4  # of a cosine in single precision
 
 
 def prepared(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -91,11 +93,35 @@ def closest(cosines: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-cosines, k - 1, axis=1)[:, :k]
 
 
-EDGES = "node long, other long, cosine float"
+EDGES = "node long, other long, cosine float, tie boolean"  # a tie is an edge of a spanning forest; the others are for lists
 
 
-def first_graph(nodes: DataFrame, count: int, dim: int, rounds: range) -> DataFrame:
-    """Edges between vectors that stand in one block of a random order; one range sort holds all rounds."""
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a symmetric table of links."""
+    a, b, unseen = [], [], near.any(axis=1)
+    while unseen.any():
+        todo = [int(unseen.argmax())]
+        unseen[todo] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & unseen)
+            unseen[new] = False
+            a += [i] * len(new)
+            b += new.tolist()
+            todo += new.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def ties(names: np.ndarray, cosines: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of the pairs surely above the threshold, and all pairs that single precision leaves open."""
+    a, b = spanning(cosines >= threshold + SLACK)
+    c, d = np.nonzero(np.triu(np.abs(cosines - threshold) < SLACK))
+    a, b = np.concatenate([a, c]), np.concatenate([b, d])
+    return names[a], names[b], cosines[a, b]
+
+
+def first_graph(nodes: DataFrame, count: int, dim: int, rounds: range, threshold: float) -> DataFrame:
+    """Edges between vectors of different components in one block of a random order; one range sort holds all rounds."""
     bits = int(np.clip(np.log2(max(count, 2) / BLOCK), 1, 40))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +132,8 @@ def first_graph(nodes: DataFrame, count: int, dim: int, rounds: range) -> DataFr
                 at = units @ planes[r]
                 number = ((at[:, :bits] > 0) << np.arange(bits)).sum(axis=1).astype(np.int64)
                 number ^= number >> 1  # neighbours in the order differ in few signs
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), r)), pa.array(number), pa.array(at[:, bits]), batch.column(0), listed(units.astype(np.float32))],
-                                                 ["round", "code", "at", "node", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), r)), pa.array(number), pa.array(at[:, bits]), batch.column(0), listed(units.astype(np.float32)), batch.column(2)],
+                                                 ["round", "code", "at", "node", "unit", "component"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in groups(batches, BLOCK):
@@ -115,21 +141,23 @@ def first_graph(nodes: DataFrame, count: int, dim: int, rounds: range) -> DataFr
                 continue
             units, names = matrix(block.column(4), dim), block.column(3).to_numpy()
             cosines = units @ units.T
-            cosines[block.column(0).to_numpy()[:, None] != block.column(0).to_numpy()[None, :]] = -2
-            np.fill_diagonal(cosines, -2)
+            rounds, own = block.column(0).to_numpy(), block.column(5).to_numpy()
+            cosines[(rounds[:, None] != rounds[None, :]) | (own[:, None] == own[None, :])] = -2
             best = closest(cosines, K)
             row = np.repeat(np.arange(len(names)), best.shape[1])
             column = best.ravel()
             good = cosines[row, column] > -2
             yield edges(names[row[good]], names[column[good]], cosines[row[good], column[good]])
+            yield edges(*ties(names, cosines, threshold), tie=True)
 
-    coded = nodes.select("node", "unit").mapInArrow(code, "round long, code long, at double, node long, unit array<float>")
+    coded = nodes.select("node", "unit", "component").mapInArrow(code, "round long, code long, at double, node long, unit array<float>, component long")
     placed = coded.repartitionByRange("round", "code", "at").sortWithinPartitions("round", "code", "at")
     return placed.mapInArrow(compare, EDGES)
 
 
-def edges(node, other, cosine) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(cosine, pa.float32())], ["node", "other", "cosine"])
+def edges(node, other, cosine, tie: bool = False) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(cosine, pa.float32()), pa.array(np.full(len(node), tie))],
+                                      ["node", "other", "cosine", "tie"])
 
 
 def best_lists(found: DataFrame, k: int) -> DataFrame:
@@ -139,37 +167,41 @@ def best_lists(found: DataFrame, k: int) -> DataFrame:
     return lists.select("node", F.explode(best).alias("e")).select("node", F.col("e.other").alias("other"), F.col("e.cosine").alias("cosine"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """Edges that one step of descent finds: neighbours of a common vector, where they beat the worst of either's list."""
+def descend(graph: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """Edges that one step of descent finds: neighbours of a common vector, where they beat the worst of either's list; and ties."""
     worst = graph.groupBy("node").agg(F.min("cosine").alias("worst"))
     reverse = best_lists(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "cosine"), K)
     around = graph.select("node", "other").unionByName(reverse.select("node", "other")).distinct()
-    here = nodes.join(worst, "node").select(F.col("node").alias("other"), "worst", F.transform("unit", lambda x: x.cast("float")).alias("unit"))
-    rows = around.join(here, "other").select("node", "other", "worst", "unit").repartition("node").sortWithinPartitions("node")
+    here = nodes.join(worst, "node").select(F.col("node").alias("other"), "worst", F.transform("unit", lambda x: x.cast("float")).alias("unit"), "component")
+    rows = around.join(here, "other").select("node", "other", "worst", "unit", "component").repartition("node").sortWithinPartitions("node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
+        out, near, size = [], [], 0
         for group in groups(batches):
             if len(group) < 2:
                 continue
             units, names, worst = matrix(group.column(3), dim), group.column(1).to_numpy(), group.column(2).to_numpy()
+            own = group.column(4).to_numpy()
             cosines = units @ units.T
-            np.fill_diagonal(cosines, -2)
+            cosines[own[:, None] == own[None, :]] = -2
             row, column = np.nonzero(cosines > worst[:, None])
             out.append((names[row], names[column], cosines[row, column]))
-            size += len(row)
+            near.append(ties(names, cosines, threshold))
+            size += len(row) + len(near[-1][0])
             if size > 50_000:
                 yield edges(*(np.concatenate(x) for x in zip(*out)))
-                out, size = [], 0
+                yield edges(*(np.concatenate(x) for x in zip(*near)), tie=True)
+                out, near, size = [], [], 0
         if out:
             yield edges(*(np.concatenate(x) for x in zip(*out)))
+            yield edges(*(np.concatenate(x) for x in zip(*near)), tie=True)
 
     return rows.mapInArrow(compare, EDGES)
 
 
 def checked(found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) whose cosine in double precision reaches the threshold."""
-    near = found.where(F.col("cosine") >= threshold - 1e-4).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    near = found.where(F.col("cosine") >= threshold - SLACK).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     side = lambda end: nodes.select(F.col("node").alias(end), F.col("unit").alias(f"u_{end}"))
     both = near.join(side("a"), "a").join(side("b"), "b")
     dot = F.aggregate(F.zip_with("u_a", "u_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -199,6 +231,13 @@ def counted(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     return pairs.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def placed(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """`nodes` with their component, which is the node itself without a link."""
+    if links is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def audit(nodes: DataFrame, links: DataFrame, dim: int, threshold: float) -> float:
     """Share of the links of up to AUDIT nodes, by comparison with all rows, that lie within one component of `links`."""
     chosen = nodes.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()
@@ -237,19 +276,29 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     rows = scratch.table(prepared(vectors, key, vector, dim), "rows")
     nodes = scratch.table(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), F.first("unit").alias("unit")), "nodes")
     count = nodes.count()
-    graph, done = None, 0
+    graph, linked, done = None, None, 0
     while True:
-        fresh = first_graph(nodes, count, dim, range(done, done + (MORE if done else ROUNDS)))
+        here = cut_lineage(placed(nodes.select("node", "unit"), linked))
+        fresh = cut_lineage(first_graph(here, count, dim, range(done, done + (MORE if done else ROUNDS)), threshold))
         done += MORE if done else ROUNDS
-        graph = cut_lineage(best_lists(fresh if graph is None else graph.unionByName(fresh), K))
+        close, lists = fresh.where("tie"), fresh.where("not tie")
+        if graph is not None:  # neighbours that have come into the own component leave their place to others
+            side = lambda end: here.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+            lists = lists.unionByName(graph.join(side("node"), "node").join(side("other"), "other").where("c_node <> c_other").select(*graph.columns, F.lit(False).alias("tie")))
+        graph = cut_lineage(best_lists(lists, K))
         for _ in range(DESCENTS):
-            better = cut_lineage(best_lists(graph.unionByName(descend(graph, nodes, dim)), K))
+            more = cut_lineage(descend(graph, here, dim, threshold))
+            close = close.unionByName(more.where("tie"))
+            better = cut_lineage(best_lists(graph.unionByName(more.where("not tie").drop("tie")), K))
             changed = better.join(graph, ["node", "other"], "left_anti").count()
             graph = better
             if changed <= 0.002 * K * count:
                 break
-        linked = components(checked(graph, nodes, threshold))
-        if done >= MOST or audit(nodes, linked, dim, threshold) >= ENOUGH:
+        pairs = checked(graph.unionByName(close.drop("tie")), nodes, threshold)
+        stars = lambda: linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        linked = components(pairs if linked is None else pairs.unionByName(stars()))
+        full = graph.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("worst")).where((F.col("n") >= K) & (F.col("worst") >= threshold - SLACK))
+        if done >= MOST or full.isEmpty() and audit(nodes, linked, dim, threshold) >= ENOUGH:
             break
     members = nodes.join(linked, "node").select("node", "component", "times", "unit")
     links = counted(members, dim, threshold)

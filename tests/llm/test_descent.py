@@ -48,3 +48,21 @@ def test_rows_of_one_key_stay_together():
     batches = [b.cast(pa.schema([("k", pa.int64()), ("v", pa.int64())])) for b in batches]
     assert [g.column(0).to_pylist() for g in descent.groups(iter(batches))] == [[1, 1], [2, 2, 2], [3], [4, 4], [5]]
     assert [len(g) for g in descent.groups(iter(batches), 4)] == [4, 4, 1]
+
+
+def unit_rows(values):
+    return [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(values)]
+
+
+def test_groups_that_fill_their_lists_are_joined(table):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(8):
+        a, b = rng.standard_normal((2, 8))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b = 0.95 * a + np.sqrt(1 - 0.95 ** 2) * b / np.linalg.norm(b)
+        rows += [(c + rng.standard_normal(8) * 0.01).astype(np.float32).tolist() for c in (a, b) for _ in range(20)]
+    rows = list(enumerate(rows))
+    got = descent.near_vectors(table([(k, v, "n", "i", 1) for k, v in rows], SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
