@@ -9,7 +9,8 @@
    forest is kept beside the lists, so no list's length cuts a link off. A neighbour list is saturated if all of it is above the
    threshold: then rounds are added whose lists hold only vectors outside the own component, until none is saturated.
    All links in a component are counted, block against block; pairs are not written out.
-5. An audit compares a fixed number of vectors with all rows. If too few of their links were found, more rounds are added.
+5. An audit compares a fixed number of vectors, and as many of small components, with all rows. If too small a share of a
+   vector's links was found in the mean, rounds are added; after the last, all rows are compared with all others in strips.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ BLOCK = 64  # vectors compared in one block of a sorted round
 ROUNDS, MORE, MOST = 12, 12, 48  # random orders at first, added after an audit, in all
 DESCENTS = 4
 AUDIT, ENOUGH = 2048, 0.99  # audited vectors at most; share of their links that must be found
+SMALL = 64  # members of a small component
 LIST = 512  # members of a component in one block
+STRIP, ROWS = 8192, 512  # vectors that all rows are compared with at once, and rows of one product
 SLACK = 1e-4  # of a cosine in single precision
 
 
@@ -239,25 +242,65 @@ def placed(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def audit(nodes: DataFrame, links: DataFrame, dim: int, threshold: float) -> float:
-    """Share of the links of up to AUDIT nodes, by comparison with all rows, that lie within one component of `links`."""
-    chosen = nodes.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()
-    asked = np.array([r["node"] for r in chosen], np.int64), np.array([r["unit"] for r in chosen])
+    """Mean share of a node's links, found by comparison with all rows, that lie within its component of `links`.
+
+    Up to AUDIT nodes with a link count alike, however many links they have; so do up to AUDIT nodes outside large components,
+    where a lost link weighs most. The smaller of the two means.
+    """
+    rows = cut_lineage(placed(nodes.select("node", "unit"), links))
+    large = rows.groupBy("component").count().where(F.col("count") > SMALL).select("component")
+    some = lambda df: df.select("node", "unit", "component").orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()
+    strata = [some(rows), some(rows.join(large, "component", "left_anti"))]
+    chosen = [r for rows in strata for r in rows]
+    if not chosen:
+        return 1.0
+    asked = np.array([r["node"] for r in chosen], np.int64), np.array([r["unit"] for r in chosen]), np.array([r["component"] for r in chosen], np.int64)
     shared = nodes.sparkSession.sparkContext.broadcast(asked)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, units = shared.value
+        names, units, component = shared.value
+        n, found = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         for batch in batches:
-            for i in range(0, len(batch), 4096):
-                part = batch.slice(i, 4096)
-                own = part.column(0).to_numpy()
-                row, column = np.nonzero((matrix(part.column(1), dim) @ units.T >= threshold) & (own[:, None] != names[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(names[column]), pa.array(own[row])], ["a", "b"])
-
-    true = nodes.select("node", "unit").mapInArrow(compare, "a long, b long")
-    side = lambda end: links.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-    both = true.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    n, found = both.agg(F.count(F.lit(1)), F.sum(F.coalesce((F.col("c_a") == F.col("c_b")).cast("int"), F.lit(0)))).first()
-    return found / n if n else 1.0
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
+                near = (matrix(part.column(1), dim) @ units.T >= threshold) & (part.column(0).to_numpy()[:, None] != names[None, :])
+                n += near.sum(axis=0)
+                found += (near & (part.column(2).to_numpy()[:, None] == component[None, :])).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array(n), pa.array(found)], ["at", "n", "found"])
+
+    sums = rows.select("node", "unit", "component").mapInArrow(compare, "at long, n long, found long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("found").alias("found"))
+    share = {r["at"]: r["found"] / r["n"] for r in sums.where("n > 0").collect()}
+    own = [[share[i] for i in part if i in share] for part in (range(len(strata[0])), range(len(strata[0]), len(chosen)))]
+    return min(float(np.mean(x)) if x else 1.0 for x in own)
+
+
+def all_pairs(nodes: DataFrame, links: DataFrame, count: int, dim: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of components that any link joins: every row is compared with all others, a strip of them at a time."""
+    rows, strips = cut_lineage(placed(nodes.select("node", "unit"), links)), -(-count // STRIP)
+    found = []
+    for i in range(strips):
+        strip = rows.where(F.pmod(F.xxhash64("node"), F.lit(strips)) == i).orderBy("component").collect()
+        if not strip:
+            continue
+        shared = nodes.sparkSession.sparkContext.broadcast((np.array([r["unit"] for r in strip]), *np.unique([r["component"] for r in strip], return_index=True)))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            units, components_, first = shared.value
+            for batch in batches:
+                for i in range(0, len(batch), ROWS):
+                    part = batch.slice(i, ROWS)
+                    near = np.logical_or.reduceat(matrix(part.column(1), dim) @ units.T >= threshold, first, axis=1)
+                    row, column = np.nonzero(near)
+                    a, b = part.column(2).to_numpy()[row], components_[column]
+                    pairs = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        found.append(cut_lineage(rows.select("node", "unit", "component").mapInArrow(compare, "a long, b long").distinct()))
+        shared.destroy()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -298,7 +341,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         stars = lambda: linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
         linked = components(pairs if linked is None else pairs.unionByName(stars()))
         full = graph.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("worst")).where((F.col("n") >= K) & (F.col("worst") >= threshold - SLACK))
-        if done >= MOST or full.isEmpty() and audit(nodes, linked, dim, threshold) >= ENOUGH:
+        if full.isEmpty() and audit(nodes, linked, dim, threshold) >= ENOUGH:
+            break
+        if done >= MOST:
+            linked = components(stars().unionByName(all_pairs(nodes, linked, count, dim, threshold)))
             break
     members = nodes.join(linked, "node").select("node", "component", "times", "unit")
     links = counted(members, dim, threshold)

@@ -54,6 +54,26 @@ def unit_rows(values):
     return [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(values)]
 
 
+def test_audit_sees_lost_pairs_beside_a_large_group(table):
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal((21, 32))
+    values = [centre[0] + rng.standard_normal(32) * 0.05 for _ in range(300)] + [c + rng.standard_normal(32) * 0.05 for c in centre[1:] for _ in range(2)]
+    nodes = table(unit_rows(values), "node long, unit array<double>")
+    pairs = [(300 + i, 300 + i // 2 * 2) for i in range(40)]
+    group = [(i, 0) for i in range(300)]
+    assert descent.audit(nodes, table(group, "node long, component long"), 32, 0.9) < descent.ENOUGH
+    assert descent.audit(nodes, table(group + pairs, "node long, component long"), 32, 0.9) == 1
+
+
+def test_nothing_is_lost_when_rounds_run_out(table, monkeypatch):
+    for name, value in {"ROUNDS": 1, "MORE": 1, "MOST": 1, "DESCENTS": 0, "BLOCK": 2, "STRIP": 50}.items():
+        monkeypatch.setattr(descent, name, value)
+    rng = np.random.default_rng(2)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(c + rng.standard_normal(8) * 0.1 for c in rng.standard_normal((60, 8)) for _ in range(3))]
+    got = descent.near_vectors(table([(k, v, "n", "i", 1) for k, v in rows], SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
 def test_groups_that_fill_their_lists_are_joined(table):
     rng = np.random.default_rng(3)
     rows = []
