@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bottomk, chat, chunking, descent, langid, leaks, ngram, packing, quality, urls
+from pairloom.llm import alignment, bottomk, chat, chunking, descent, langid, leaks, mainhtml, ngram, packing, quality, urls, whitening
 from pairloom.llm.langid import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nn_descent")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_tag_path_text")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
