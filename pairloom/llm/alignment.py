@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,17 +109,24 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def flat(lists: Iterable[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
+
 class Stretches:
-    """Aligned stretches by number: tokens, groups, the id pairs of their links, and their groups as text."""
+    """Aligned stretches by number: tokens, groups, the id pairs of their links, and their groups as text.
+
+    A stretch is known by its text without the blank in front.
+    """
 
     def __init__(self, pair: Pair):
         self.pair = pair
+        self.shown = [[f"{i}{mark}" for i in range(max(len(pair.bytes_a), len(pair.bytes_b)))] for mark in ",|;"]
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.named: list[str] = []
-        self.parts: list[tuple] = []
         self.good = np.zeros(0, bool)
         self.counts, self.begin, self.links = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -128,19 +136,20 @@ class Stretches:
         for t in new:
             group.append(t)
             size += len(t)
-            if size > TOGETHER or t[-1].isspace():  # nothing may follow white space
+            if size > TOGETHER or not t or t[-1].isspace():  # nothing may follow white space
                 groups.append(group)
                 group, size = [], 0
         groups += [group] if group else []
-        texts = ["".join(g) for g in groups]
+        texts = [" " + " ".join(g) for g in groups]
         coded = self.pair.encode(texts)
         fine = self.pair.spell(texts, *coded)
         whole = [(g, x, y) for g, x, y, ok in zip(groups, *coded, fine) if ok]
         odd = [t for g, ok in zip(groups, fine) if not ok for t in g]
         wrong = []
         if odd:
-            coded = self.pair.encode(odd)
-            fine = self.pair.spell(odd, *coded)
+            texts = [" " + t for t in odd]
+            coded = self.pair.encode(texts)
+            fine = self.pair.spell(texts, *coded)
             whole += [([t], x, y) for t, x, y, ok in zip(odd, *coded, fine) if ok]
             wrong = [t for t, ok in zip(odd, fine) if not ok]
         self.align(whole)
@@ -150,28 +159,29 @@ class Stretches:
         texts = [t for g, _, _ in whole for t in g]
         if not texts:
             return
-        ids_a, ids_b = (np.fromiter((i for w in whole for i in w[side]), np.int64) for side in (1, 2))
+        ids_a, ids_b = flat(x for _, x, _ in whole), flat(y for _, _, y in whole)
         sizes_a, sizes_b = self.pair.sizes_a[ids_a], self.pair.sizes_b[ids_b]
         ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-        stops = np.cumsum([len(t.encode()) for t in texts])
+        stops = np.cumsum([len(t.encode()) + 1 for t in texts])
         stop_a, stop_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
         if not (np.array_equal(ends_a[stop_a], stops) and np.array_equal(ends_b[stop_b], stops)):
             raise ValueError("a tokenizer joins text across a blank")
         n = len(ids_a)
-        label = ends_a[terminals(ends_a, sizes_a, ends_b, sizes_b)]  # a group is told by the byte at which it ends
+        terminal = terminals(ends_a, sizes_a, ends_b, sizes_b)
+        label = ends_a[terminal]  # a group is told by the byte at which it ends
         first, behind = overlaps(ends_a, sizes_a, ends_b, sizes_b)
         links = np.repeat(ids_a, behind - first) << 32 | ids_b[ranges(first, behind - first)]
         linked = np.concatenate([[0], np.cumsum(behind - first)])
         per = [np.diff(np.concatenate([[0], x])) for x in (stop_a + 1, stop_b + 1)]
-        closes = np.unique(label)
+        closes = ends_a[terminal[:n] == np.arange(n)]
         per.append(np.diff(np.searchsorted(closes, np.concatenate([[0], stops]), side="right")))
         per.append(np.diff(np.concatenate([[0], linked[stop_a + 1]])))
         side = np.concatenate([np.zeros(n, np.int64), np.ones(len(ids_b), np.int64)])
         order = np.lexsort((side, label))  # stable: by group, A before B, in the order of the text
         label, side = label[order], side[order]
         mark = np.where(label[1:] != label[:-1], 2, np.where(side[1:] != side[:-1], 1, 0)).tolist() + [2]
-        marks = (",", "|", ";")
-        words = [f"{i}{marks[m]}" for i, m in zip(np.concatenate([ids_a, ids_b])[order].tolist(), mark)]
+        shown = self.shown
+        words = [shown[m][i] for i, m in zip(np.concatenate([ids_a, ids_b])[order].tolist(), mark)]
         at = np.concatenate([[0], np.cumsum(per[0] + per[1])]).tolist()
         self.add(texts, np.stack(per, 1), ["".join(words[i:j])[:-1] for i, j in zip(at, at[1:])], links, True)
 
@@ -184,18 +194,17 @@ class Stretches:
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts[:, 3])])
         self.links = np.concatenate([self.links, links])
 
-    def of(self, texts: list[str]) -> list[list[int]]:
+    def of(self, texts: list[str]) -> list[np.ndarray]:
         """The stretches of each text's tokens, by number; new ones are learned first."""
         cut = []
         for t in texts:
-            full = " " + t
-            odd = ODD.search(full)
-            cut.append([" " + w for w in t.split(" ")] if t and not odd else CUT.split(full) if t else [])
-        new = [t for t in dict.fromkeys(t for c in cut for t in c) if t not in self.number]
+            odd = ODD.search(t) or t[:1] == " "
+            cut.append([s[1:] for s in CUT.split(" " + t)] if odd else t.split(" ") if t else [])
+        new = set(chain.from_iterable(cut)).difference(self.number)
         if new:
-            self.learn(new)
-        number = self.number
-        return [[number[t] for t in c] for c in cut]
+            self.learn(list(new))
+        number = self.number.__getitem__
+        return [np.fromiter(map(number, c), np.int64, len(c)) for c in cut]
 
 
 class Chunk:
@@ -214,13 +223,12 @@ class Chunk:
     def add(self, keys: pa.Array, texts: list[str], size: int) -> None:
         lists = self.known.of(texts)
         good, named, out = self.known.good, self.known.named, []
+        lists = [x if good[x].all() else x[:0] for x in lists]
         for numbers in lists:
-            if numbers and not good[numbers].all():
-                numbers.clear()
-            text = ";".join([named[i] for i in numbers])
-            out.append(hashlib.sha256(text.encode()).hexdigest() if self.digest and numbers else text)
+            text = ";".join([named[i] for i in numbers.tolist()])
+            out.append(hashlib.sha256(text.encode()).hexdigest() if self.digest and len(numbers) else text)
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for numbers in lists for i in numbers), np.int64, int(lengths.sum()))
+        flat = np.concatenate(lists)
         doc = np.repeat(np.arange(len(lists)), lengths)
         sums = np.stack([np.bincount(doc, self.known.counts[flat, k], len(lists)).astype(np.int64) for k in range(4)], 1)
         each, times = np.unique(doc * len(self.known.named) + flat, return_counts=True) if len(flat) else (flat, flat)
