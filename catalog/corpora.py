@@ -17,7 +17,7 @@ from pairloom.operators.vision import (build_manifest, caption_messages, manifes
 from pairloom.plans.prepare import Loaded, Preparation
 from pairloom.operators.split import split
 from pairloom.session import scratch_path
-from pairloom.sources.read import inspect_columns, read_file, read_named, read_source, stream_named
+from pairloom.sources.read import inspect_columns, open_table, read_file, read_named, read_source, stream_named
 from pairloom.sources.write import write_splits
 from pairloom.streaming.progress import drop_repeats
 
@@ -255,7 +255,7 @@ def inspected(spark, d):
     """The sampled rows and the number of all rows."""
     path = scratch_path(spark, "inspected")
     _documents(spark, d).write.parquet(path)
-    info = inspect_columns(read_file(spark, path, "parquet"))
+    info = inspect_columns(open_table(spark, path))
     rows = [(*(r[c] for c in info["columns"]), info["total_rows"]) for r in info["samples"]]
     return spark.createDataFrame(rows, f"{DOC}, total_rows bigint")
 

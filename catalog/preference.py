@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.views import ID, PREF, blank, pref, table
+from catalog.views import ID, PREF, blank, pref, sharded, table
 from pairloom.functions.rendering import batch_formatter
 from pairloom.functions.templates import formatter, from_columns, plain
 from pairloom.functions.text import char_length, estimate_tokens, human_bytes, is_blank, round_half_even
@@ -336,21 +339,67 @@ def kto_counts(spark, d):
 
 @query("head_n", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 300")
 def head_n(spark, d):
-    return head(table(spark, d, "documents").select(ID, "text"), 300, ID)
+    return sharded(table(spark, d, "documents").select(ID, "text"), ID, "head").head(300).select(ID, "text")
 
 
 @query("page", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 20 OFFSET 100")
 def page(spark, d):
+    return sharded(table(spark, d, "documents").select(ID, "text"), ID, "page").page(20, 100).rows.select(ID, "text")
+
+
+@query("page_by_ordinal", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 20 OFFSET 100")
+def page_by_ordinal(spark, d):
+    """A page of a table that is not read from files: its edges are looked for among the ordinals."""
     return page_rows(table(spark, d, "documents").select(ID, "text"), 20, 100, ID)
 
 
+@query("head_by_ordinal", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 3000")
+def head_by_ordinal(spark, d):
+    return head(table(spark, d, "events").select("event_id", "user_id"), 3000, "event_id")
+
+
 @query("page_formatted", f"""
 WITH {PREF} SELECT doc_id, {_CHATML_PROMPT} AS prompt FROM pref ORDER BY doc_id LIMIT 20 OFFSET 100""")
 def page_formatted(spark, d):
-    plan = Preparation(Loaded(pref(spark, d)), {"training_mode": "orpo"}, ord=ID)
+    files = sharded(pref(spark, d), ID, "pref")
+    plan = Preparation(Loaded(files.rows(), files=files), {"training_mode": "orpo"})
     return plan.preview_formatted(20, 100).rows.select(ID, "prompt")
 
 
+@query("prepare_cap_wide", """
+WITH e AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 1) AS without FROM events)
+SELECT cap, least(cap, n) AS rows, least(cap, n) AS distinct_rows, least(cap, without) AS without_ordinal, CAST(ceil(0.1 * least(cap, n)) AS BIGINT) AS held
+FROM e, (VALUES (900), (1001), (2000), (1000000000)) AS c(cap)""")
+def prepare_cap_wide(spark, d):
+    """Caps below and above a thousand rows, where every second row has no ordinal and the others share theirs by threes."""
+    place = F.when(F.col("event_id") % 2 == 1, F.lit(None)).otherwise(F.floor(F.col("event_id") / 6))
+    df = table(spark, d, "events").select(place.cast("long").alias("_ord"), F.col("event_id").cast("string").alias("prompt"), F.lit("c").alias("chosen"))
+    parts = []
+    for cap in (900, 1001, 2000, 1_000_000_000):
+        spec = {"training_mode": "sft", "max_samples": cap, "test_size": 0.1, "format": {"format_type": "raw"}}
+        train, held = Preparation(Loaded(df), spec).prepare(staged=True)
+        sides = train.select("_ord", "prompt", F.lit(0).alias("h")).unionAll(held.select("_ord", "prompt", F.lit(1)))
+        parts.append(sides.agg(F.lit(cap).alias("cap"), F.count("*").alias("rows"), F.count_distinct("prompt").alias("distinct_rows"),
+                               F.count_if(F.col("_ord").isNull()).alias("without_ordinal"), F.sum("h").cast("long").alias("held")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query("split_null_order", """
+WITH n AS (SELECT count(*) AS n, CAST(ceil(0.3 * count(*)) AS BIGINT) AS k FROM documents)
+SELECT how, n - k AS train_rows, k AS eval_rows, n AS distinct_rows, CASE WHEN how = 'last' THEN 0 END AS eval_without FROM n, (VALUES ('last'), ('shuffled')) AS h(how)""")
+def split_null_order(spark, d):
+    """Both sides of a table of which every second row has no ordinal: no row is lost, and rows without one are no last rows."""
+    df = table(spark, d, "documents").select(F.when(F.col(ID) % 2 == 0, F.col(ID)).alias("_ord"), F.col(ID).alias("name"))
+    parts = []
+    for how in ("last", "shuffled"):
+        train, held = split(df, 0.3, shuffle=how == "shuffled")
+        sides = train.withColumn("h", F.lit(0)).unionAll(held.withColumn("h", F.lit(1)))
+        without = F.count_if((F.col("h") == 1) & F.col("_ord").isNull()).cast("int")
+        parts.append(sides.agg(F.lit(how).alias("how"), F.count_if(F.col("h") == 0).alias("train_rows"), F.count_if(F.col("h") == 1).alias("eval_rows"),
+                               F.count_distinct("name").alias("distinct_rows"), (without if how == "last" else F.lit(None).cast("int")).alias("eval_without")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("row_numbers", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS position FROM documents")
 def row_numbers(spark, d):
     return number_rows(table(spark, d, "documents").select(ID, "n_chars"), F.col("n_chars").desc(), ID, into="position").select(ID, "position")

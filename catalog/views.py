@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.messages import nest_turns
+from pairloom.session import scratch_path
+from pairloom.sources.files import FileTable
+from pairloom.sources.read import open_table
 
 ID = "doc_id"
 
@@ -43,6 +46,13 @@ PREF = r"""pref AS (
   FROM (SELECT *, substr(text, length(split_part(text, chr(10), 1)) + 2) AS rest FROM documents))"""
 
 
+def sharded(df: DataFrame, key: str, label: str, parts: int = 16) -> FileTable:
+    """A table written in key order over several files, and opened as a table of files."""
+    path = scratch_path(df.sparkSession, label)
+    df.repartitionByRange(parts, key).sortWithinPartitions(key).write.parquet(path)
+    return open_table(df.sparkSession, path)
+
+
 def blank(expr: str) -> str:
     """SQL for the blank test."""
     return f"({expr} IS NULL OR NOT regexp_matches({expr}, '[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]'))"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.session import scratch_path, stage
+from pairloom.session import cut_lineage, scratch_path, stage
 
 ORD = "_ord"
 INTERNAL = (ORD, "_src", "_error")   # columns this library adds; no other name is special
@@ -50,13 +50,16 @@ def kth_smallest(df: DataFrame, column: str | Column, k: int) -> int | None:
     return (values.where(F.col("v").between(low, high)).orderBy("v").limit(k).agg(F.max("v")).first()[0])
 
 
-def head(df: DataFrame, n: int | None, ord: str = ORD) -> DataFrame:
-    """The first n rows by ordinal; a falsy n keeps all rows."""
+def head(df: DataFrame, n: int | None, ord: str = ORD, ordinals: DataFrame | None = None) -> DataFrame:
+    """The first n rows by ordinal; a falsy n keeps all rows. Rows without an ordinal come first.
+
+    The edge is looked for in `ordinals`, the table's ordinals written out, where reading them from `df` is costly.
+    """
     if not n:
         return df
-    if n <= WIDE:
+    if n <= WIDE and ordinals is None:
         return df.orderBy(ord).limit(n)
-    return _up_to(df, n, ord)
+    return _up_to(df, n, ord, df.select(ord) if ordinals is None else ordinals)
 
 
 def _place(ord: str) -> Column:
@@ -64,16 +67,16 @@ def _place(ord: str) -> Column:
     return F.coalesce(F.col(ord).cast("long"), F.lit(-2**63))
 
 
-def _up_to(df: DataFrame, n: int, ord: str) -> DataFrame:
-    """Exactly the n first rows; where rows share the last ordinal, any of them fill the number."""
+def _up_to(df: DataFrame, n: int, ord: str, ids: DataFrame) -> DataFrame:
+    """Exactly the n first rows; where rows share the last ordinal, any of them fill the number, the same in every pass."""
     place = _place(ord)
-    last = kth_smallest(df, place, n)
+    last = kth_smallest(ids, place, n)
     if last is None:
         return df
-    below, ties = df.agg(F.count_if(place < last), F.count_if(place == last)).first()
+    below, ties = ids.agg(F.count_if(place < last), F.count_if(place == last)).first()
     if below + ties == n:
         return df.where(place <= last)
-    return df.where(place < last).unionByName(df.where(place == last).limit(n - below))
+    return df.where(place < last).unionByName(cut_lineage(df.where(place == last).limit(n - below)))
 
 
 @dataclass(frozen=True)

@@ -1,13 +1,16 @@
-"""Exact, seeded splits and samples without a sort of the table."""
+"""Exact, seeded splits and samples; a table with usable ordinals is not sorted."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.order import ORD, kth_smallest
+from pairloom.operators.order import ORD, kth_smallest, number_rows
+
+POSITION = "_pairloom_position"   # a written row number, while a table without usable ordinals is cut
 
 
 def seeded_hash(seed: int, *columns: str) -> Column:
@@ -15,17 +18,37 @@ def seeded_hash(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), 1)
 
 
-def _lowest(df: DataFrame, k: int, seed: int, ord: str) -> Column | None:
-    """The condition that holds for exactly the k rows with the smallest (hash, ordinal)."""
+def _lowest(ids: DataFrame, k: int, seed: int, ord: str) -> Column | None:
+    """The condition that holds for the k rows with the smallest (hash, ordinal); more or fewer where ordinals are not unique."""
     h = seeded_hash(seed, ord)
-    edge = kth_smallest(df, h, k)
+    edge = kth_smallest(ids, h, k)
     if edge is None:
         return None
-    below, ties = df.agg(F.count_if(h < edge), F.count_if(h == edge)).first()
+    below, ties = ids.agg(F.count_if(h < edge), F.count_if(h == edge)).first()
     if below + ties == k:
         return h <= edge
-    last = kth_smallest(df.where(h == edge), ord, k - below)
-    return (h < edge) | ((h == edge) & (F.col(ord) <= last))
+    last = kth_smallest(ids.where(h == edge), ord, k - below)
+    return h < edge if last is None else (h < edge) | ((h == edge) & F.coalesce(F.col(ord) <= last, F.lit(False)))
+
+
+def _last(ids: DataFrame, k: int, rows: int, ord: str) -> Column:
+    """The condition that holds for the last k rows; rows without an ordinal come first."""
+    place = F.coalesce(F.col(ord).cast("long"), F.lit(-2**63))
+    return place > kth_smallest(ids, place, rows - k)
+
+
+def _exactly(df: DataFrame, ids: DataFrame, k: int, pick: Callable[[DataFrame, str], Column], ord: str) -> tuple[DataFrame, Column]:
+    """(table, condition) where the condition holds for exactly k rows.
+
+    A row without an ordinal, or with one that others have too, may sit on the edge. Then the table is written once with
+    positions by (ordinal, content), and those take the ordinal's place.
+    """
+    chosen = pick(ids, ord)
+    if ids.where(chosen).count() == k:
+        return df, chosen
+    content = F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) for c in df.columns])
+    numbered = number_rows(df, F.col(ord), content, into=POSITION)
+    return numbered, pick(numbered.select(POSITION), POSITION)
 
 
 def split(df: DataFrame, test_size: float | None, seed: int = 42, shuffle: bool = True,
@@ -35,6 +58,7 @@ def split(df: DataFrame, test_size: float | None, seed: int = 42, shuffle: bool
     Shuffled, the eval rows are those with the smallest seeded hashes; unshuffled, the last ones.
     Both sides are filters on the same table, so nothing is shuffled or joined. The place to cut is
     found in `ordinals`, the table's ordinals written out, when reading them from `df` is costly.
+    Every row is on one side, with or without an ordinal of its own; rows without one come first.
     """
     if not test_size:
         return df, None
@@ -45,11 +69,9 @@ def split(df: DataFrame, test_size: float | None, seed: int = 42, shuffle: bool
     k = math.ceil(test_size * rows)
     if rows < 2 or k >= rows:
         raise ValueError(f"{rows} rows cannot be split with test_size={test_size}")
-    if shuffle:
-        in_eval = _lowest(ids, k, seed, ord)
-    else:
-        in_eval = F.col(ord) > kth_smallest(ids, ord, rows - k)
-    return df.where(~in_eval), df.where(in_eval)
+    pick = (lambda d, o: _lowest(d, k, seed, o)) if shuffle else (lambda d, o: _last(d, k, rows, o))
+    table, in_eval = _exactly(df, ids, k, pick, ord)
+    return table.where(~in_eval).select(*df.columns), table.where(in_eval).select(*df.columns)
 
 
 def split_if_large(df: DataFrame, test_size: float | None = None, seed: int = 42, more_than: int = 1,
@@ -63,8 +85,11 @@ def sample_rows(df: DataFrame, n: int | None, seed: int = 42, ord: str = ORD) ->
     """Exactly n random rows (shuffle, then cap); a table of n rows or fewer stays whole."""
     if not n:
         return df
-    chosen = _lowest(df, n, seed, ord)
-    return df if chosen is None else df.where(chosen)
+    ids = df.select(ord)
+    if ids.limit(n + 1).count() <= n:
+        return df
+    table, chosen = _exactly(df, ids, n, lambda d, o: _lowest(d, n, seed, o), ord)
+    return table.where(chosen).select(*df.columns)
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, *ids: str) -> DataFrame:

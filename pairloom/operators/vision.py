@@ -12,7 +12,8 @@ from pairloom.operators.order import ORD, Page
 from pairloom.operators.quality import filter_long
 from pairloom.operators.split import sample_rows, split_if_large
 from pairloom.session import scratch_path, small_side, stage
-from pairloom.sources.read import ROW_BITS, read_file
+from pairloom.sources.files import PLACE_BITS
+from pairloom.sources.read import read_file
 
 # The image endings that count, and the keys an image or a caption is looked up under.
 IMAGE_ENDINGS = ("png", "jpg", "jpeg", "webp", "gif", "bmp")
@@ -51,7 +52,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Each input split reports how many lines it holds; the splits before it give its first number.
     The lines are landed first, as splits may differ between jobs. `base` is the folder of the file.
     """
-    mask = F.lit(2**ROW_BITS - 1)
+    mask = F.lit(2**PLACE_BITS - 1)
     lines = (spark.read.text(path)
              .select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"),
                      strip(F.col("value")).alias("line"))

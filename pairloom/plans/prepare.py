@@ -7,23 +7,23 @@ order and which steps apply to training, evaluation and previews.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pairloom.functions.templates import RowFormatter, formatter
 from pairloom.operators import quality
 from pairloom.operators.columns import check_columns, rename, set_system
 from pairloom.operators.dedup import deduplicate
 from pairloom.operators.messages import convert_messages, has_messages_format
-from pairloom.operators.order import ORD, WIDE, Page, head, kth_smallest, page, page_rows
+from pairloom.operators.order import ORD, WIDE, Page, head, page_rows
 from pairloom.operators.reshape import concat_sources, kto_explode
 from pairloom.operators.split import shuffle_rows, split
 from pairloom.session import cut_lineage, scratch_path, stage
-from pairloom.sources.read import read_source
+from pairloom.sources.files import FileTable
+from pairloom.sources.read import open_source, read_source
 from pairloom.sources.spec import PrepareSpec, SourceSpec
 
 
@@ -34,6 +34,7 @@ class Loaded:
     df: DataFrame
     mapping: Mapping[str, str] | None = None
     convert: bool = True
+    files: FileTable | None = None   # the same rows as a table of files: pages and caps open only those they need
 
 
 class Preparation:
@@ -64,7 +65,9 @@ class Preparation:
             raise ValueError("the spec names no source")
 
         def load(source: SourceSpec, mapping: Mapping[str, str] | None) -> Loaded:
-            return Loaded(read_source(spark, source, hub_root, uploads), mapping, spec.convert_messages_format)
+            files = None if source.streaming else open_source(spark, source, hub_root, uploads)
+            df = files.rows() if files else read_source(spark, source, hub_root, uploads)
+            return Loaded(df, mapping, spec.convert_messages_format, files)
 
         evaluation = None
         if spec.eval_source is not None:
@@ -72,16 +75,40 @@ class Preparation:
         return cls(load(spec.source, spec.column_mapping or spec.source.column_mapping), spec,
                    [load(s, s.column_mapping) for s in spec.additional_sources], evaluation, **kw)
 
-    def _mapped(self, loaded: Loaded) -> DataFrame:
-        df = loaded.df
-        if loaded.convert and has_messages_format(df):
+    def _converts(self, loaded: Loaded) -> bool:
+        return loaded.convert and has_messages_format(loaded.df)
+
+    def _mapped(self, loaded: Loaded, rows: DataFrame | None = None) -> DataFrame:
+        """A source, or some of its rows, with the standard columns."""
+        df = loaded.df if rows is None else rows
+        if self._converts(loaded):
             df = convert_messages(df, self.renderer, self.spec.on_error)
         return rename(df, loaded.mapping)
 
-    def _concatenated(self) -> DataFrame:
-        sources = [self._mapped(s) for s in (self.primary, *self.additional)]
+    def _sources(self) -> tuple[Loaded, ...]:
+        return (self.primary, *self.additional)
+
+    def _concatenated(self, rows: Sequence[DataFrame | None] | None = None) -> DataFrame:
+        sources = [self._mapped(s, r) for s, r in zip(self._sources(), rows or [None] * len(self._sources()))]
         return concat_sources(sources, self.ord) if len(sources) > 1 else sources[0]
 
+    def _cut(self, size: int, offset: int = 0) -> DataFrame | None:
+        """Rows [offset, offset + size) of all sources, from the files that hold them.
+
+        None unless every source is a table of files of which no row is dropped on the way.
+        """
+        sources, parts, before = self._sources(), [], 0
+        if any(s.files is None for s in sources) or self.ord != ORD:
+            return None
+        if self.spec.on_error == "drop" and any(self._converts(s) for s in sources):
+            return None
+        size, offset = max(0, size), max(0, offset)
+        for s in sources:
+            low = max(offset - before, 0)
+            parts.append(s.files.slice(low, max(offset + size - before - low, 0)))
+            before += s.files.total() if s is not sources[-1] else 0
+        return self._concatenated(parts)
+
     def _with_system(self, df: DataFrame) -> DataFrame:
         return set_system(df, self.spec.system_prompt, self.spec.system_prompt_mode)
 
@@ -102,22 +129,21 @@ class Preparation:
     def training_rows(self, staged: bool = False) -> tuple[DataFrame, DataFrame]:
         """(rows, ordinals): the capped training rows, not yet formatted, and a table to look their ordinals up in.
 
-        Positions are searched for in several passes. A small cap is written out at once; staged
+        Positions are searched for in several passes. A cap on tables of files reads only the files it needs; staged
         rows are read back from a table; of deduplicated rows the ordinals are written.
         """
-        rows, cap = self.cleaned(), self.spec.max_samples
-        if cap and cap <= WIDE:
-            rows = cut_lineage(head(rows, cap, self.ord))
-            return rows, rows.select(self.ord)
-        if staged:
+        cap, dedup = self.spec.max_samples, self.spec.deduplicate
+        cut = self._cut(cap) if cap and not dedup else None
+        rows = self.cleaned() if cut is None else self._with_system(check_columns(cut, self.spec.training_mode))
+        if staged or cap and cut is None and cap <= WIDE:   # few rows, or all of them, are written at once
+            rows = rows if cut is not None or staged else head(rows, cap, self.ord)
             rows = stage(rows, scratch_path(rows.sparkSession, "prepared"))
         ordinals = rows.select(self.ord)
-        if self.spec.deduplicate and not staged and (cap or self.spec.test_size):
+        if dedup and not staged and (cap or self.spec.test_size) and not (cap and cap <= WIDE):
             ordinals = stage(ordinals, scratch_path(rows.sparkSession, "ordinals"))
-        last = kth_smallest(ordinals, self.ord, cap) if cap else None
-        if last is None:
+        if not cap or cut is not None:
             return rows, ordinals
-        return rows.where(F.col(self.ord) <= last), ordinals.where(F.col(self.ord) <= last)
+        return head(rows, cap, self.ord, ordinals), head(ordinals, cap, self.ord, ordinals)
 
     def prepare(self, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
         """(train, eval). An explicit evaluation set is formatted as it is; else a fraction is held out.
@@ -155,13 +181,21 @@ class Preparation:
         return unpaired(train), unpaired(held)
 
     def preview(self, num_samples: int = 5, offset: int = 0) -> Page:
-        """A page of unformatted rows and the total row count."""
-        return page(self.combined(), num_samples, offset, self.ord)
+        """A page of unformatted rows and the total row count; of tables of files only those are opened that hold the page."""
+        return self._page(num_samples, offset, lambda df: df)
 
     def preview_formatted(self, num_samples: int = 5, offset: int = 0) -> Page:
         """A page of formatted rows: only the page is formatted."""
-        df = check_columns(self.combined(), self.spec.training_mode)
-        return Page(self.formatted(page_rows(df, num_samples, offset, self.ord)), df.count())
+        return self._page(num_samples, offset, lambda df: check_columns(df, self.spec.training_mode), self.formatted)
+
+    def _page(self, size: int, offset: int, check: Callable[[DataFrame], DataFrame],
+              show: Callable[[DataFrame], DataFrame] = lambda df: df) -> Page:
+        cut = self._cut(size, offset)
+        if cut is None:
+            df = check(self.combined())
+            return Page(show(page_rows(df, size, offset, self.ord)), df.count())
+        rows = check(self._with_system(cut)).orderBy(self.ord)
+        return Page(show(rows), sum(s.files.total() for s in self._sources()))
 
     def stats(self, rounded: bool = True) -> dict[str, DataFrame]:
         """Small tables describing the combined rows: overview, fields, balance (with rejected), tokens.

@@ -11,47 +11,30 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from pairloom.operators.order import INTERNAL, ORD, head
-from pairloom.session import scratch_path, small_side, stage
+from pairloom.operators.order import INTERNAL, ORD
+from pairloom.session import scratch_path, stage
+from pairloom.sources.files import FileRanks, FileTable, text_ordinal
 from pairloom.sources.spec import SourceSpec, SpecError, infer_format
 
-ROW_BITS = 33          # rows of one file or input split
-MAX_PARTS = 2**22      # files or input splits of one source; ROW_BITS + 22 bits fill a source's share
-
-
 def with_ordinal(df: DataFrame, row_index: bool = False, lineage: bool = False) -> DataFrame:
     """Add `_ord` to a table straight above its scan: by file path, then by place in the file.
 
-    Parquet knows each row's index in its file. Other formats number rows per input split, and
-    splits are ranked by (file, offset). How a file is split depends on the cores at hand and may
-    change from job to job, so text tables are first landed as Parquet together with those places:
-    every later pass sees the same ordinals, and text is parsed once. `lineage` keeps the path of
-    each row's file as `_file`.
+    Parquet knows each row's index in its file. Text formats are numbered by input split and row; how a file is split
+    depends on the cores at hand and may change from job to job, so text tables are landed as Parquet with their
+    ordinals: every later pass sees the same ones, and text is parsed once. `lineage` keeps the path of each row's file
+    as `_file`.
     """
-    spark = df.sparkSession
-    parts = ["file_path"] if row_index else ["file_path", "file_block_start"]
-    place = (F.col("_metadata.row_index") if row_index
-             else F.monotonically_increasing_id().bitwiseAND(F.lit(2**ROW_BITS - 1)))
-    extra = [F.col("_metadata.file_path").alias("_file")] if lineage else []
-    located = df.select("*", *extra, *[F.col(f"_metadata.{p}").alias(f"_{p}") for p in parts], place.alias("_place"))
-    names = [f"_{p}" for p in parts]
-    if row_index and len(df.inputFiles()) == 1:
-        return located.withColumn(ORD, F.col("_place")).drop(*names, "_place")
-    if not row_index:
-        located = stage(located, scratch_path(spark, "landed"))
-    ranks = small_side(located.select(*names).distinct()
-                       .withColumn("_part", F.row_number().over(Window.orderBy(*names)).cast("long") - 1),
-                       limit=MAX_PARTS // 2)
-    if ranks.count() > MAX_PARTS:
-        raise SpecError(f"more than {MAX_PARTS} files or splits in one source; compact them first")
-    return (located.join(ranks, names)
-            .withColumn(ORD, F.shiftleft("_part", ROW_BITS) + F.col("_place")).drop(*names, "_place", "_part"))
+    if row_index:
+        return FileTable(df).rows(lineage)
+    return stage(text_ordinal(df, lineage), scratch_path(df.sparkSession, "landed"))
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
-    first = spark.read.text(path).limit(1).collect()
+    """The first line of the first file by path."""
+    lines = spark.read.text(path)
+    ranks = FileRanks(lines)
+    first = ranks.ranked(lines, F.col("_metadata.file_block_start").alias("_start")).where("_rank = 0 and _start = 0").limit(1).collect()
     return first[0]["value"].strip() if first else ""
 
 
@@ -86,6 +69,22 @@ def _read_text(reader, kind: str, path: str, schema: str | T.StructType | None,
         raise
 
 
+def _scan(spark: SparkSession, path: str, kind: str, schema: str | T.StructType | None, on_error: str, options: dict[str, Any]) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        if kind == "parquet":
+            return reader.options(**options).parquet(path)
+        options = {**_parse_mode(on_error), **options}
+        if kind == "csv":
+            return _read_text(reader, "csv", path, schema, {"header": True, "multiLine": True, "escape": '"', **options})
+        lines = kind == "jsonl" or is_json_lines(spark, path)
+        return _read_text(reader, "json", path, schema, {"multiLine": not lines, **options})
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no such dataset file: {path}") from e
+        raise
+
+
 def read_file(spark: SparkSession, path: str, file_format: str | None = None,
               schema: str | T.StructType | None = None, ordinal: bool = True, lineage: bool = False,
               on_error: str = "fail", **options: Any) -> DataFrame:
@@ -97,23 +96,15 @@ def read_file(spark: SparkSession, path: str, file_format: str | None = None,
     keeps the text in `_error`, beside what could be read of it.
     """
     kind = infer_format(path, file_format)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    try:
-        options = {**_parse_mode(on_error), **options} if kind != "parquet" else options
-        if kind == "parquet":
-            df = reader.options(**options).parquet(path)
-        elif kind == "csv":
-            df = _read_text(reader, "csv", path, schema, {"header": True, "multiLine": True, "escape": '"', **options})
-        else:
-            lines = kind == "jsonl" or is_json_lines(spark, path)
-            df = _read_text(reader, "json", path, schema, {"multiLine": not lines, **options})
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"no such dataset file: {path}") from e
-        raise
+    df = _scan(spark, path, kind, schema, on_error, options)
     return with_ordinal(df, kind == "parquet", lineage) if ordinal else df
 
 
+def open_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, **options: Any) -> FileTable:
+    """A Parquet source as a table of files, for heads and pages that open only the files they need."""
+    return FileTable(_scan(spark, path, "parquet", schema, "fail", options))
+
+
 def named_path(root: str, repo_id: str, split: str = "train", config_name: str | None = None) -> str:
     """Where an exported dataset keeps a split; an empty config means the one called `default`."""
     return f"{root.rstrip('/')}/{repo_id}/{config_name or 'default'}/{split}-*.parquet"
@@ -127,11 +118,14 @@ def read_named(spark: SparkSession, root: str, repo_id: str, split: str = "train
 
 def read_bounded(spark: SparkSession, root: str, repo_id: str, split: str = "train", config_name: str | None = None,
                  max_samples: int | None = None, schema: str | T.StructType | None = None) -> DataFrame:
-    """The first `max_samples` rows of a split in file order, all of them for a falsy bound; no rows are an error."""
-    df = read_named(spark, root, repo_id, split, config_name, schema)
-    if df.isEmpty():
+    """The first `max_samples` rows of a split in file order, all of them for a falsy bound; no rows are an error.
+
+    Only the files that hold those rows are opened, one path for every bound.
+    """
+    files = open_table(spark, named_path(root, repo_id, split, config_name), schema)
+    if files.is_empty():
         raise ValueError(f"dataset {repo_id!r} (split {split}) has no rows")
-    return head(df, max_samples)
+    return files.head(max_samples)
 
 
 def stream_named(spark: SparkSession, root: str, repo_id: str, schema: str | T.StructType, split: str = "train",
@@ -160,10 +154,29 @@ def read_source(spark: SparkSession, spec: SourceSpec | Mapping[str, Any], hub_r
     return read_bounded(spark, *where, max_samples, schema) if spec.streaming else read_named(spark, *where, schema)
 
 
-def inspect_columns(df: DataFrame, samples: int = 3, ord: str = ORD) -> dict[str, Any]:
-    """Column names, the first rows and the row count, for mapping columns by hand."""
+def open_source(spark: SparkSession, spec: SourceSpec | Mapping[str, Any], hub_root: str | None = None,
+                uploads: Mapping[str, str] | None = None, schema: str | T.StructType | None = None) -> FileTable | None:
+    """What a source spec describes as a table of files, if it is Parquet read without a bound."""
+    spec = SourceSpec.of(spec)
+    schema = schema or spec.schema
+    if spec.source_type == "huggingface":
+        return hub_root and open_table(spark, named_path(hub_root, spec.repo_id, spec.split, spec.config_name), schema)
+    path = spec.file_path if spec.source_type == "local_file" else (uploads or {}).get(spec.dataset_id)
+    if path is None or infer_format(path, spec.file_format) != "parquet":
+        return None
+    return open_table(spark, path, schema, **spec.options)
+
+
+def inspect_columns(table: DataFrame | FileTable, samples: int = 3, ord: str = ORD) -> dict[str, Any]:
+    """Column names, the first rows and the row count, for mapping columns by hand.
+
+    Of a table of files only those are opened that hold the samples; its rows are counted by their footers.
+    """
+    if isinstance(table, FileTable):
+        df, total = table.head(samples), table.total()
+    else:
+        df, total = table, table.count()
     shown = [c for c in df.columns if c not in INTERNAL]
     first = df.orderBy(ord).limit(samples) if ord in df.columns else df.limit(samples)
     rows = [r.asDict(recursive=True) for r in first.select(*shown).collect()]
-    return {"columns": shown, "samples": rows, "total_rows": df.count()}
-
+    return {"columns": shown, "samples": rows, "total_rows": total}

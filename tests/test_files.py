@@ -1,0 +1,202 @@
+"""Files ranked in the plan, and heads, pages and caps that open only the files they need."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom.operators.split import sample_rows, split
+from pairloom.plans.prepare import Loaded, Preparation
+from pairloom.sources import files as files_module
+from pairloom.sources import read as S
+from pairloom.sources.files import FileRanks, FileTable
+
+SIZES = [3, 0, 10, 1, 25, 0, 0, 40, 7, 14]
+
+
+@pytest.fixture(scope="module")
+def shards(spark, tmp_path_factory):
+    """A hundred numbers over ten files, some empty; names with blanks, percent and plus signs."""
+    root, low = tmp_path_factory.mktemp("a b%+é"), 0
+    for i, size in enumerate(SIZES):
+        spark.range(low, low + size).coalesce(1).write.parquet(str(root / f"train-{i}.parquet"))
+        low += size
+    return f"{root}/train-*.parquet"
+
+
+@pytest.fixture
+def one_file_a_task(spark):
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    yield
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def opened(df):
+    """Input files of a plan, where each takes a task of its own."""
+    return df.rdd.getNumPartitions()
+
+
+def test_slices_equal_the_sorted_table(spark, shards):
+    whole = [r["id"] for r in FileTable(spark.read.parquet(shards)).rows().orderBy("_ord").collect()]
+    assert whole == list(range(100))
+    ordinals = {r["id"]: r["_ord"] for r in FileTable(spark.read.parquet(shards)).rows().collect()}
+    for offset, size in ((0, 1), (0, 3), (0, 4), (2, 2), (12, 3), (13, 26), (38, 1), (39, 40), (0, 100), (0, 1000), (95, 50), (100, 5), (200, 1),
+                         (5, 0), (-3, 5), (40, None), (0, None), (150, None)):
+        rows = FileTable(spark.read.parquet(shards)).slice(offset, size).collect()
+        low = max(0, offset)
+        assert sorted(r["id"] for r in rows) == whole[low:None if size is None else low + size], (offset, size)
+        assert all(r["_ord"] == ordinals[r["id"]] for r in rows)   # the same ordinals as in the whole table
+
+
+@pytest.mark.parametrize("n", [1, 900, 1001, 2000])
+def test_heads_open_only_their_files(spark, tmp_path, one_file_a_task, n):
+    for i in range(12):
+        spark.range(250 * i, 250 * i + 250).coalesce(1).write.parquet(str(tmp_path / f"train-{i:02}.parquet"))
+    path = f"{tmp_path}/train-*.parquet"
+    assert opened(spark.read.parquet(path)) == 12
+    head = S.open_table(spark, path).head(n)
+    assert opened(head) == -(-n // 250) and sorted(r["id"] for r in head.collect()) == list(range(n))
+    table = S.open_table(spark, path)
+    page = table.page(20, 510)
+    assert opened(table.slice(510, 20)) == 1 and page.total == 3000 and [r["id"] for r in page.rows.collect()] == list(range(510, 530))
+    info = S.inspect_columns(S.open_table(spark, path))
+    assert info["total_rows"] == 3000 and [r["id"] for r in info["samples"]] == [0, 1, 2]
+
+
+def test_counts_stop_at_what_is_needed(spark, shards):
+    table = FileTable(spark.read.parquet(shards))
+    table.files.paths, before = table.files.paths[:], len(table.files.paths)
+    assert not table.is_empty() and len(table.starts) - 1 <= before
+    assert table.total() == 100 and len(table.starts) == 11
+    empty = FileTable(spark.read.schema("id long").parquet(shards).limit(0))
+    assert empty.total() == 0 or empty.scan.count() == 0
+
+
+@pytest.mark.parametrize("lookup", [files_module.LOOKUP, 0])
+def test_a_thousand_files_keep_their_order(spark, tmp_path, monkeypatch, lookup):
+    for i in range(1000):
+        (tmp_path / f"f{i:04}.json").write_text(f'{{"v": {2 * i}}}\n{{"v": {2 * i + 1}}}\n')
+    monkeypatch.setattr(files_module, "LOOKUP", lookup)
+    df = S.read_file(spark, f"{tmp_path}/*.json", "jsonl", "v long")
+    assert [r["v"] for r in df.orderBy("_ord").collect()] == list(range(2000))
+    assert "Join" not in plan_of(df) and "Exchange" not in plan_of(df)
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json", "csv"])
+def test_plans_have_neither_join_nor_exchange(spark, tmp_path, kind):
+    frame = spark.range(100).repartition(7).write.option("header", True)
+    getattr(frame, kind)(str(tmp_path / "t"))
+    df = S.read_file(spark, f"{tmp_path}/t/part*", kind, "id long")
+    assert "Join" not in plan_of(df) and "Exchange" not in plan_of(df) and "Aggregate" not in plan_of(df)
+    assert df.select("_ord").distinct().count() == 100
+
+
+def test_ranks_by_join_equal_ranks_by_lookup(spark, shards, monkeypatch):
+    scan = spark.read.parquet(shards)
+    one = sorted(map(tuple, FileTable(scan).rows().collect()))
+    monkeypatch.setattr(files_module, "LOOKUP", 0)
+    assert sorted(map(tuple, FileTable(scan).rows().collect())) == one
+    assert sorted(r["id"] for r in FileTable(scan).slice(12, 30).collect()) == list(range(12, 42))
+
+
+def test_a_file_that_comes_later_stops_the_job(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "b"))
+    ranks = FileRanks(spark.read.parquet(str(tmp_path / "a"), str(tmp_path / "b")))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "c"))
+    with pytest.raises(Exception, match="was not there"):
+        ranks.ranked(spark.read.parquet(str(tmp_path / "b"), str(tmp_path / "c"))).collect()
+
+
+def test_the_first_file_tells_the_format(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"v": 1}\n{"v": 2}\n')
+    (tmp_path / "b.json").write_text("[\n")
+    assert S.is_json_lines(spark, f"{tmp_path}/*.json")
+    (tmp_path / "0.json").write_text("[\n")
+    assert not S.is_json_lines(spark, f"{tmp_path}/*.json")
+
+
+# ---- preparations over files ---------------------------------------------------------------------------------
+
+@pytest.fixture
+def spec(spark, tmp_path):
+    """Two sources of 40 files of 50 rows each."""
+    for name, base in (("one", 0), ("two", 10_000)):
+        for i in range(40):
+            ids = spark.range(base + 50 * i, base + 50 * i + 50).coalesce(1)
+            ids.select(F.col("id").cast("string").alias("prompt"), F.lit("c").alias("chosen")).write.parquet(str(tmp_path / f"{name}/{i:02}"))
+    source = lambda name: {"source_type": "local_file", "file_path": f"{tmp_path}/{name}/*/part*", "file_format": "parquet"}
+    return {"source": source("one"), "additional_sources": [source("two")], "training_mode": "sft", "test_size": 0, "format": {"format_type": "raw"}}
+
+
+WANT = [*range(2000), *range(10_000, 12_000)]
+
+
+@pytest.mark.parametrize("cap", [900, 1001, 2000, 2049, 4000, 9000])
+def test_caps_are_exact_and_read_their_files(spark, spec, cap, one_file_a_task):
+    train, _ = Preparation.from_spec(spark, {**spec, "max_samples": cap}).prepare()
+    assert sorted(int(r["prompt"]) for r in train.collect()) == WANT[:cap]
+    assert opened(train) == min(-(-cap // 50), 80)
+    clean, _ = Preparation.from_spec(spark, {**spec, "max_samples": cap, "deduplicate": True}).prepare()
+    assert sorted(int(r["prompt"]) for r in clean.collect()) == WANT[:cap]
+
+
+def test_previews_read_their_files(spark, spec, one_file_a_task):
+    plan = Preparation.from_spec(spark, spec)
+    page = plan.preview(20, 1990)
+    assert page.total == 4000 and [int(r["prompt"]) for r in page.rows.collect()] == WANT[1990:2010]
+    assert opened(plan._cut(20, 1990)) == 2
+    formatted = plan.preview_formatted(3, 2000)
+    assert formatted.total == 4000 and [r["prompt"] for r in formatted.rows.collect()] == ["10000", "10001", "10002"]
+
+
+# ---- rows without an ordinal, or with one that others have ----------------------------------------------------
+
+def halves(spark, rows=3000):
+    """Every second row has no ordinal, the others share theirs by threes."""
+    data = [(None if i % 2 else i // 6, f"p{i}", f"c{i}") for i in range(rows)]
+    return spark.createDataFrame(data, "_ord long, prompt string, chosen string").repartition(4)
+
+
+def keys(*tables):
+    return sorted(r["prompt"] for t in tables for r in t.select("prompt").collect())
+
+
+@pytest.mark.parametrize("cap", [900, 1001, 1501, 2000, 3000, 4000])
+@pytest.mark.parametrize("dedup", [False, True])
+def test_caps_behave_alike(spark, cap, dedup):
+    df = halves(spark)
+    plan = Preparation(Loaded(df), {"training_mode": "sft", "max_samples": cap, "test_size": 0.1, "deduplicate": dedup, "format": {"format_type": "raw"}})
+    train, held = plan.prepare()
+    got = keys(train, held)
+    assert len(got) == min(cap, 3000) and len(set(got)) == len(got)
+    assert held.count() == -(-min(cap, 3000) // 10)
+    empty = sum(int(p[1:]) % 2 for p in got)
+    assert empty == min(cap, 1500)   # rows without an ordinal come first
+
+
+@pytest.mark.parametrize("shuffle", [True, False])
+@pytest.mark.parametrize("size", [0.1, 0.7])
+def test_splits_lose_no_row(spark, shuffle, size):
+    df = halves(spark, 1000)
+    train, held = split(df, size, shuffle=shuffle)
+    assert train.columns == df.columns and held.count() == round(1000 * size) and keys(train, held) == keys(df)
+    if not shuffle and size < 0.5:
+        assert held.where("_ord is null").count() == 0
+
+
+def test_equal_rows_are_split_too(spark):
+    df = spark.createDataFrame([(None, "same")] * 50, "_ord long, prompt string").repartition(3)
+    train, held = split(df, 0.3)
+    assert (train.count(), held.count()) == (35, 15)
+    assert sample_rows(df, 20).count() == 20 and sample_rows(df, 50).count() == 50
+
+
+def test_samples_are_exact(spark):
+    df = halves(spark, 1000)
+    got = keys(sample_rows(df, 700))
+    assert len(got) == 700 == len(set(got))
+    other = keys(sample_rows(df, 700, seed=1))
+    assert len(other) == 700 and other != got
