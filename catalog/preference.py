@@ -113,6 +113,16 @@ def dedup_many_repeats(spark, d):
     return deduplicate(pref(spark, d), "prompt", ord=ID, broadcast_keys=0)
 
 
+@query("dedup_null_order", f"""
+WITH {PREF} SELECT count(DISTINCT prompt) AS rows, count(DISTINCT prompt) AS distinct_rows,
+  (SELECT count(*) FROM (SELECT prompt FROM pref GROUP BY prompt HAVING bool_or(doc_id % 2 = 1))) AS without_ordinal FROM pref""")
+def dedup_null_order(spark, d):
+    """Every second row has no ordinal: one row of each key stays, one without an ordinal where there is any."""
+    df = pref(spark, d).withColumn("_ord", F.when(F.col(ID) % 2 == 0, F.col(ID)))
+    return deduplicate(df, "prompt").agg(F.count("*").alias("rows"), F.count_distinct("prompt").alias("distinct_rows"),
+                                         F.count_if(F.col("_ord").isNull()).alias("without_ordinal"))
+
+
 @query("dedup_keys", f"""
 WITH {PREF}
 SELECT doc_id, md5(prompt) AS by_prompt, md5(prompt || '|||' || chosen) AS by_pair,

@@ -15,6 +15,9 @@ STRATEGIES = ("prompt", "chosen", "prompt_chosen", "exact")
 # Nested values are compared as JSON that loses nothing: times to the microsecond, nulls written out.
 EXACT_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 BROADCAST_KEYS = 500_000   # repeated keys (a digest and an ordinal each) that may be broadcast
+FILTER_BITS = 32           # bits of the filter for each repeated key: about one in 32 other keys passes
+BUCKET = 2**15             # bits of one row of the filter, four kilobytes
+MAX_BUCKETS = 2**14        # rows of the filter that may be broadcast, 64 megabytes; beyond that it lets more keys pass
 
 
 def _key_columns(df: DataFrame, strategy: str, ord: str) -> list[str]:
@@ -68,28 +71,71 @@ def dedup_key(df: DataFrame, strategy: str = "prompt_chosen", compat: bool = Fal
     return F.md5(reduce(lambda a, b: F.concat(a, F.lit("|||"), b), parts))
 
 
+def _place(ord: str) -> Column:
+    """The ordinal; rows without one come first."""
+    return F.coalesce(F.col(ord).cast("long"), F.lit(-2**63))
+
+
 def repeated_keys(df: DataFrame, key: Column, keep: str = "first", ord: str = ORD) -> DataFrame:
-    """Keys that occur more than once, with the ordinal to keep and the number of rows."""
+    """Keys that occur more than once, with the place to keep, the number of rows, and whether several rows may have that place."""
     pick = {"first": F.min, "last": F.max}[keep]
-    return (df.select(key.alias("_key"), F.col(ord).alias("_o")).groupBy("_key")
-            .agg(pick("_o").alias("_keep"), F.count("*").alias("_rows")).where("_rows > 1"))
+    found = (df.select(key.alias("_key"), _place(ord).alias("_o"), F.col(ord).isNull().alias("_none")).groupBy("_key")
+             .agg(pick("_o").alias("_keep"), F.count("*").alias("_rows"), F.min("_o").alias("_low"), F.max("_o").alias("_high"), F.count_if("_none").alias("_nulls")))
+    unclear = (F.col("_low") == F.col("_high")) | ((F.col("_nulls") > 1) & (F.col("_keep") == -2**63))
+    return found.where("_rows > 1").select("_key", "_keep", "_rows", unclear.alias("_tied"))
+
+
+def key_filter(keys: DataFrame, key: str, buckets: int) -> DataFrame:
+    """A Bloom filter of one hash as a table of bit maps: (_bucket, _bits), one row for each 32,768 bits."""
+    return (keys.select(*_cell(F.col(key), buckets)).groupBy("_bucket")
+            .agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+
+
+def _cell(key: Column, buckets: int) -> list[Column]:
+    h = F.xxhash64(key)
+    return [F.pmod(h, F.lit(buckets)).cast("int").alias("_bucket"), F.pmod(F.shiftright(h, 32), F.lit(BUCKET)).alias("_bit")]
+
+
+def may_hold(rows: DataFrame, key: str, bits: DataFrame, buckets: int, into: str) -> DataFrame:
+    """`rows` with a boolean `into`: true for every key in the filter and for a few others."""
+    bucket, bit = _cell(F.col(key), buckets)
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+    return (rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bits), "_bucket", "left")
+            .withColumn(into, hit).drop("_bucket", "_bit", "_bits"))
+
+
+def _content(df: DataFrame) -> Column:
+    """A hash of a whole row, to choose among rows of one key and place."""
+    return F.xxhash64(*[F.to_json(F.struct(f"`{c}`"), {"ignoreNullFields": "false"}) for c in df.columns])
 
 
 def deduplicate(df: DataFrame, strategy: str = "prompt_chosen", keep: str = "first", ord: str = ORD,
                 compat: bool = False, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per key: the one with the smallest (`first`) or largest (`last`) ordinal.
 
-    Only digests and ordinals are shuffled, pre-aggregated per task, to find the repeated keys.
-    When those are few they are broadcast and whole rows stay where they are. Otherwise rows are
-    joined with them by hash, without a sort; adaptive execution splits a key that many rows share.
+    Only digests and ordinals are shuffled, pre-aggregated per task, to find the repeated keys. When those are few they
+    are broadcast and whole rows stay where they are. Otherwise a filter of their hashes is: rows that it rules out stay
+    where they are too, and only the others, repeated ones and a few more, are grouped by key, one row of each kept in
+    every task before they are shuffled, so that a key that most rows share is no load. Rows without an ordinal come
+    first; of rows that share a key and a place, the smallest by a hash of their content stays.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     key = dedup_key(df, strategy, compat, ord)
-    repeats = cut_lineage(repeated_keys(df, key, keep, ord).select("_key", "_keep"))
-    few = repeats.limit(broadcast_keys + 1).count() <= broadcast_keys
-    return (df.withColumn("_key", key).join(repeats.hint("broadcast" if few else "shuffle_hash"), "_key", "left")
-            .where(F.col("_keep").isNull() | (F.col(ord) == F.col("_keep"))).drop("_key", "_keep"))
+    repeats = cut_lineage(repeated_keys(df, key, keep, ord).select("_key", "_keep", "_tied"))
+    number, tied = repeats.agg(F.count("*"), F.coalesce(F.bool_or("_tied"), F.lit(False))).first()
+    if number <= broadcast_keys and not tied:
+        return (df.withColumn("_key", key).join(F.broadcast(repeats.select("_key", "_keep")), "_key", "left")
+                .where(F.col("_keep").isNull() | (_place(ord) == F.col("_keep"))).drop("_key", "_keep"))
+    buckets = max(1, min(number * FILTER_BITS // BUCKET, MAX_BUCKETS))
+    bits = cut_lineage(key_filter(repeats, "_key", buckets))
+    marked = may_hold(df.withColumn("_key", key), "_key", bits, buckets, "_repeated")
+    place = _place(ord) if keep == "first" else F.bitwise_not(_place(ord))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    kept = (marked.where("_repeated").withColumn("_by", F.struct(place.alias("p"), _content(df).alias("c")))
+            .groupBy("_key").agg(F.min_by(row, "_by").alias("_row")).select("_row.*"))
+    return marked.where("NOT _repeated").drop("_key", "_repeated").unionByName(kept)
 
 
 def has_duplicates(df: DataFrame, strategy: str = "prompt_chosen", compat: bool = False, ord: str = ORD) -> DataFrame:

@@ -111,3 +111,58 @@ def test_nested_and_binary_fields_in_exact_keys(spark):
 def test_keep_ordinals(spark):
     _, df = sample(spark, 30)
     assert D.keep_ordinals(df, spark.createDataFrame([(3,), (4,), (99,)], "_ord long")).count() == 2
+
+
+# ---- rows without ordinals, ties, and the filter ---------------------------------------------------------------
+
+@pytest.mark.parametrize("keep", ["first", "last"])
+@pytest.mark.parametrize("broadcast_keys", [D.BROADCAST_KEYS, 0])
+def test_rows_without_an_ordinal_come_first(spark, keep, broadcast_keys):
+    rng = random.Random(8)
+    data = [(None if rng.random() < 0.4 else i // 2, None, rng.choice("abcdefgh") * rng.randint(1, 6), f"c{i}", None) for i in range(200)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(4)
+    place = lambda r: -1 if r[0] is None else r[0]
+    got = [tuple(r) for r in D.deduplicate(df, "prompt", keep, broadcast_keys=broadcast_keys).collect()]
+    assert sorted(r[2] for r in got) == sorted({r[2] for r in data})
+    for row in got:
+        same = [r for r in data if r[2] == row[2]]
+        assert row in same and place(row) == (min if keep == "first" else max)(map(place, same))
+    again = D.deduplicate(df.repartition(2), "prompt", keep, broadcast_keys=broadcast_keys).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(got, key=repr)   # the same winner however rows are laid out
+
+
+def test_equal_rows_without_an_ordinal(spark):
+    df = spark.createDataFrame([(None, None, "p", "c", None)] * 3 + [(None, None, "q", "c", None)], SCHEMA)
+    for strategy in D.STRATEGIES:
+        assert D.deduplicate(df, strategy).count() == (1 if strategy == "chosen" else 2)
+
+
+def test_the_filter_holds_every_key_and_few_others(spark):
+    keys = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    buckets = 20_000 * D.FILTER_BITS // D.BUCKET
+    bits = D.key_filter(keys, "k", buckets)
+    assert bits.count() == buckets
+    assert D.may_hold(keys, "k", bits, buckets, "hit").where("hit").count() == 20_000
+    others = spark.range(20_000, 60_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    passed = D.may_hold(others, "k", bits, buckets, "hit").where("hit").count()
+    assert passed < 40_000 / 32 * 1.3
+    assert D.may_hold(others, "k", bits.limit(0), buckets, "hit").where("hit").count() == 0
+
+
+def test_rows_that_never_repeat_are_not_exchanged(spark):
+    df = spark.range(20_000).select(F.col("id").alias("_ord"), F.when(F.col("id") < 500, F.col("id") % 50).otherwise(F.col("id")).cast("string").alias("prompt"),
+                                    F.lit("c").alias("chosen"))
+    out = D.deduplicate(df, "prompt", broadcast_keys=0)
+    path = "noop"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out.write.format(path).mode("overwrite").save()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        out.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    shuffles = [line for line in plan.splitlines() if " Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    below = plan.split(" Exchange hashpartitioning")[1]
+    assert "partial_min_by" in below and "Filter" in below     # only filtered rows, one of each key and task
+    assert out.count() == 50 + 19_500
