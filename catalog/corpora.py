@@ -19,7 +19,7 @@ from pairloom.operators.split import split
 from pairloom.session import scratch_path
 from pairloom.sources.read import inspect_columns, open_table, read_file, read_named, read_source, stream_named
 from pairloom.sources.write import write_splits
-from pairloom.streaming.progress import drop_repeats
+from pairloom.streaming.progress import disk_state, drop_repeats
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 _ALL = "SELECT doc_id, text, lang, source, n_chars FROM documents"
@@ -363,8 +363,9 @@ def _documents_stream(spark, d):
 
 def _drain(stream, label):
     out = scratch_path(stream.sparkSession, label)
-    done = (stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
-            .trigger(availableNow=True).start(f"{out}/table"))
+    with disk_state(stream.sparkSession):
+        done = (stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+                .trigger(availableNow=True).start(f"{out}/table"))
     done.awaitTermination()
     return stream.sparkSession.read.parquet(f"{out}/table")
 

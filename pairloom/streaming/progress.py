@@ -6,8 +6,13 @@ stream's checkpoint remembers which files were read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.functions.text import has_text
 from pairloom.operators.dedup import dedup_key
-from pairloom.operators.runs import latest_state, monotone_steps
+from pairloom.operators.runs import latest_state
 
 # Event types and the fields an event may carry.
 EVENT_TYPES = ("metrics", "eval", "status", "completed", "error")
@@ -109,39 +114,88 @@ def write_state(updates: DataFrame, path: str, checkpoint: str, fields: Sequence
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return (state.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-            .outputMode("update").trigger(availableNow=True).start())
+    with disk_state(updates.sparkSession):
+        return (state.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+                .outputMode("update").trigger(availableNow=True).start())
 
 
-def keep_monotone(points: DataFrame, path: str, checkpoint: str, key: str = "job_id", step: str = "step",
-                  ord: str = "_ord", block: int = 1_000_000) -> StreamingQuery:
-    """Write the points whose step exceeds every earlier step of their run.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB: on disk, with only changes written at the end of a batch."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-    The last step of every run is carried from batch to batch as a small table next to the output.
-    Within a batch the running maximum is taken in blocks, so one busy run does not end up in one
-    task. Output and state of a batch have their own folders: a repeated batch overwrites itself.
+
+def _rising(run: np.ndarray, ord: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Indices of points whose step exceeds every earlier one of their run (a number).
+
+    Of a set's parts, only these points can be among the set's own.
     """
+    order = np.lexsort((-step, ord, run))
+    # Runs one above the other, so that the highest value so far never reaches into the next run.
+    value = np.unique(step, return_inverse=True)[1][order] + run[order] * (len(step) + 1)
+    before = np.concatenate([[-1], np.maximum.accumulate(value)[:-1]]) if len(step) else value
+    return order[value > before]
+
+
+def keep_monotone(points: DataFrame, path: str, checkpoint: str, key: str = "job_id", step: str = "step",
+                  ord: str = "_ord", chunk: int = 10_000) -> StreamingQuery:
+    """Write the points whose step exceeds every earlier step of their run; points without a step are dropped.
+
+    The last step of every run is keyed state, so a batch only reads and writes the state of its own runs. Points that an
+    earlier one of their run in the same task beats go before the shuffle, so that a busy run's rows meet in one task only
+    as far as they rise; there they are taken in pieces and only rising ones are held. Of points that share a run and an
+    ordinal, the highest step passes; points without an ordinal come first. Each batch has a folder of its own: a
+    repeated one overwrites itself.
+    """
+    # Python would see whole numbers next to nulls as floats: the two it works on have no nulls, others travel as decimals.
+    exact = {c: F.col(c).cast("decimal(20,0)") for c, kind in points.dtypes if kind == "bigint" and c != key}
+    rows = points.where(F.col(step).isNotNull()).withColumns(
+        {"_step": F.col(step).cast("long"), "_place": F.coalesce(F.col(ord).cast("long"), F.lit(-2**63)), **exact})
+
+    def before_shuffle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            run = part.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            yield part.take(pa.array(_rising(run, part.column("_place").to_numpy(), part.column("_step").to_numpy())))
+
+    def rise(_: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        def rising(some: list[pd.DataFrame]) -> pd.DataFrame:
+            one = some[0] if len(some) == 1 else pd.concat(some)
+            return one.iloc[_rising(np.zeros(len(one), np.int64), one["_place"].to_numpy(), one["_step"].to_numpy())]
+
+        last = state.get[0] if state.exists else -2**63
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            held.append(part[part["_step"] > last] if state.exists else part)
+            if sum(map(len, held)) > chunk:
+                held = [rising(held)]
+        kept = rising(held)
+        if len(kept):
+            state.update((int(kept["_step"].max()),))
+            yield kept
+
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        kept = monotone_steps(batch, key, step, ord, block)
-        # Lost state would let repeated steps through, so a missing folder stops the stream.
-        last = spark.read.parquet(f"{path}/last/batch={number - 1}") if number else None
-        if last is not None:
-            before = last.select(key, F.col("last_step").alias("_last"))
-            kept = (kept.join(before, key, "left")
-                    .where(F.col("_last").isNull() | (F.col(step) > F.col("_last"))).drop("_last"))
-        kept.write.mode("overwrite").parquet(f"{path}/points/batch={number}")
-        seen = spark.read.parquet(f"{path}/points/batch={number}").select(key, F.col(step).cast("long").alias("last_step"))
-        state = seen if last is None else seen.unionByName(last)
-        state.groupBy(key).agg(F.max("last_step").alias("last_step")).write.mode("overwrite").parquet(f"{path}/last/batch={number}")
-
-    return (points.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        kinds = {f.name: f.dataType for f in points.schema}
+        batch.select(*[F.col(c).cast(kinds[c]) for c in points.columns]).write.mode("overwrite").parquet(f"{path}/points/batch={number}")
+
+    kept = rows.mapInArrow(before_shuffle, rows.schema).groupBy(key).applyInPandasWithState(rise, rows.schema, "last long", "append", "NoTimeout")
+    with disk_state(points.sparkSession):
+        return (kept.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
 
 
 def drop_repeats(rows: DataFrame, strategy: str = "prompt_chosen", compat: bool = False) -> DataFrame:
     """Exact duplicate removal on a stream: the first row of a key to arrive passes.
 
-    The state is one digest per distinct key, since a repeat may come at any time.
+    The state is one digest of sixteen bytes for each distinct key, since a repeat may come at any time. Start the query
+    within `disk_state` (or with that setting in the session) and the state lies on disk: memory stays flat however many keys there are.
     """
-    return rows.withColumn("_key", dedup_key(rows, strategy, compat)).dropDuplicates(["_key"]).drop("_key")
+    return rows.withColumn("_key", F.unhex(dedup_key(rows, strategy, compat))).dropDuplicates(["_key"]).drop("_key")

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def points(spark, tmp_path):
 
 def test_monotone_steps_stream_equals_batch(spark, points, rows):
     stream, batch, tmp = points
-    done(P.keep_monotone(stream, f"{tmp}/out", f"{tmp}/ck", block=2))
+    done(P.keep_monotone(stream, f"{tmp}/out", f"{tmp}/ck", chunk=2))
     got = spark.read.parquet(f"{tmp}/out/points")
     assert rows(got, "job_id", "_ord", "step") == rows(monotone_steps(batch), "job_id", "_ord", "step")
     assert got.select("batch").distinct().count() == 3
@@ -116,3 +117,55 @@ def test_preparing_a_stream(spark, tmp_path, rows):
     out = formatter("mistral")(P.drop_repeats(convert_messages(stream, on_error="drop")))
     done(out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out"))
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "prompt", "chosen") == [(f"[INST] q{i} [/INST] ", f"a{i}") for i in range(3)]
+
+
+def test_numbers_beside_nulls_stay_exact(spark, tmp_path, rows):
+    schema = "job_id long, _ord long, step long, big long, at timestamp, tags array<string>"
+    import datetime
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    data = [(2**60 + 1, 0, 5, 2**62 + 1, at, ["a"]), (None, 1, 7, None, None, None), (2**60 + 1, 2, 6, None, None, []),
+            (2**60, None, 9, 2**53 + 1, at, None), (2**60, 4, 10, 1, None, None), (None, 5, 7, 3, at, None)]
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    done(P.keep_monotone(stream, f"{tmp_path}/out", f"{tmp_path}/ck"))
+    got = spark.read.parquet(f"{tmp_path}/out/points").drop("batch")
+    assert rows(got) == sorted([data[0], data[1], data[2], data[3], data[4]], key=repr) and dict(got.dtypes)["big"] == "bigint"
+
+
+def test_rising_points_of_parts_hold_those_of_the_whole():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        run, ord, step = rng.integers(0, 4, n), rng.permutation(n), rng.integers(-5, 12, n)
+        want = [i for i in range(n) if all(step[i] > step[j] for j in range(n) if run[j] == run[i] and ord[j] < ord[i])]
+        assert sorted(P._rising(run, ord, step)) == want
+        cut = n // 2
+        parts = np.concatenate([P._rising(run[:cut], ord[:cut], step[:cut]), cut + P._rising(run[cut:], ord[cut:], step[cut:])])
+        again = parts[P._rising(run[parts], ord[parts], step[parts])]
+        assert sorted(again) == want
+
+
+def test_state_grows_with_runs_and_lies_on_disk(spark, points):
+    stream, _, tmp = points
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    query = P.keep_monotone(stream, f"{tmp}/out", f"{tmp}/ck")
+    done(query)
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert state[-1]["numRowsTotal"] == 2 and max(s["numRowsUpdated"] for s in state) <= 2
+    assert "rocksdbCommitFlushLatency" in " ".join(state[-1]["customMetrics"])
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_repeats_are_dropped_with_state_on_disk(spark, tmp_path):
+    for part in range(3):
+        ids = spark.range(300 * part, 300 * part + 600)
+        ids.select((F.col("id") % 1000).cast("string").alias("prompt"), F.lit("c").alias("chosen")).coalesce(1).write.parquet(str(tmp_path / f"in/{part}.parquet"))
+    stream = spark.readStream.schema("prompt string, chosen string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
+    with P.disk_state(spark):
+        query = (P.drop_repeats(stream, "prompt").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck")
+                 .trigger(availableNow=True).start(f"{tmp_path}/out"))
+    done(query)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.select("prompt").distinct().count() == 1000
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert state[-1]["numRowsTotal"] == 1000 and "rocksdbBytesCopied" in state[-1]["customMetrics"]
