@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.functions.text import has_text
-from pairloom.operators.dedup import dedup_key
+from pairloom.operators.dedup import EXACT_JSON, dedup_key
 from pairloom.operators.runs import latest_state
 
 # Event types and the fields an event may carry.
@@ -156,10 +156,10 @@ def keep_monotone(points: DataFrame, path: str, checkpoint: str, key: str = "job
     ordinal, the highest step passes; points without an ordinal come first. Each batch has a folder of its own: a
     repeated one overwrites itself.
     """
-    # Python would see whole numbers next to nulls as floats: the two it works on have no nulls, others travel as decimals.
-    exact = {c: F.col(c).cast("decimal(20,0)") for c, kind in points.dtypes if kind == "bigint" and c != key}
-    rows = points.where(F.col(step).isNotNull()).withColumns(
-        {"_step": F.col(step).cast("long"), "_place": F.coalesce(F.col(ord).cast("long"), F.lit(-2**63)), **exact})
+    # A point travels as text, so Python converts few columns for each run and no number next to nulls turns into a float.
+    rows = points.where(F.col(step).isNotNull()).select(
+        key, F.col(step).cast("long").alias("_step"), F.coalesce(F.col(ord).cast("long"), F.lit(-2**63)).alias("_place"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in points.columns]), EXACT_JSON).alias("_row"))
 
     def before_shuffle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -183,8 +183,9 @@ def keep_monotone(points: DataFrame, path: str, checkpoint: str, key: str = "job
             yield kept
 
     def save(batch: DataFrame, number: int) -> None:
-        kinds = {f.name: f.dataType for f in points.schema}
-        batch.select(*[F.col(c).cast(kinds[c]) for c in points.columns]).write.mode("overwrite").parquet(f"{path}/points/batch={number}")
+        read = {k: v for k, v in EXACT_JSON.items() if k != "ignoreNullFields"}
+        whole = batch.select(F.from_json("_row", points.schema, read).alias("_row")).select("_row.*")
+        whole.write.mode("overwrite").parquet(f"{path}/points/batch={number}")
 
     kept = rows.mapInArrow(before_shuffle, rows.schema).groupBy(key).applyInPandasWithState(rise, rows.schema, "last long", "append", "NoTimeout")
     with disk_state(points.sparkSession):
