@@ -11,6 +11,7 @@ from pairloom.operators import retention
 from pairloom.operators import runs as telemetry
 from pairloom.session import scratch_path
 from pairloom.streaming import progress
+from pairloom.streaming.tail import open_folder, tail_growing_events
 
 def at(text):
     return F.lit(text).cast("timestamp_ntz")
@@ -420,6 +421,46 @@ def stream_route(spark, d):
     return spark.read.parquet(f"{out}/table").groupBy("type").agg(F.count("*").alias("events"))
 
 
+def _grow(lines, root, parts=8):
+    """Write (log, at, value) lines into one file for each log, in the order of `at`; a file written again grows, as far as its lines begin alike."""
+    def write(batches):
+        import pyarrow as pa
+        system, folder = open_folder(root)
+        name, out, rows = None, None, 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["log"] != name:
+                    if out:
+                        out.close()
+                    name = r["log"]
+                    system.create_dir(f"{folder}/{name}")
+                    out = system.open_output_stream(f"{folder}/{name}/progress.jsonl")
+                out.write(r["value"].encode() + b"\n")
+                rows += 1
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([rows])], ["rows"])
+
+    ordered = lines.repartition(parts, "log").sortWithinPartitions("log", "at")
+    return ordered.select("log", "value").mapInArrow(write, "rows long").agg(F.sum("rows")).first()[0]
+
+
+@query("stream_tail", """
+SELECT CAST(event_id % 8 AS VARCHAR) AS job_id, event_id AS step, value AS loss FROM events WHERE value IS NOT NULL AND event_id > 0""")
+def stream_tail(spark, d):
+    """Eight logs that grow: read as far as half of the events, then again behind that place."""
+    root, out = scratch_path(spark, "growing"), scratch_path(spark, "tailed")
+    events = table(spark, d, "events")
+    doc = F.struct(F.lit("metrics").alias("type"), F.col("event_id").alias("current_step"), F.col("value").alias("loss"))
+    lines = events.select((F.col("event_id") % 8).cast("string").alias("log"), F.col("event_id").alias("at"), F.to_json(doc).alias("value"))
+    half = (events.agg(F.max("event_id")).first()[0] or 0) // 2
+    for upto in (half, None):
+        _grow(lines if upto is None else lines.where(F.col("at") <= upto), root)
+        metrics = progress.as_metrics(tail_growing_events(spark, root))
+        _done(progress.append_metrics(metrics, f"{out}/table", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/table").select("job_id", "step", "loss")
+
+
 @query("event_updates", """
 SELECT CASE event_type WHEN 'error' THEN 'failed' ELSE 'training' END AS status,
        CASE event_type WHEN 'click' THEN 0.5::DOUBLE END AS progress, CASE event_type WHEN 'error' THEN 'boom' END AS error,
