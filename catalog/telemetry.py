@@ -330,14 +330,37 @@ def unique_names(spark, d):
     return retention.unique_names(files, ord="event_id").select("event_id", "unique_name")
 
 
-@query("unique_names_mixed", """
-SELECT count(*) AS rows, count(*) AS names FROM events""")
+# Numbered names of `view.png` by rising number: each was there first if the copies so far have not reached its number.
+_NAMED = """RECURSIVE named AS (
+  SELECT event_id, CASE event_type WHEN 'click' THEN 'view_' || json_extract_string(props, '$.k') || '.png' ELSE event_type || '.png' END AS name FROM events),
+ranked AS (SELECT event_id, name, row_number() OVER (PARTITION BY name ORDER BY event_id) - 1 AS copies FROM named),
+firsts AS (
+  SELECT name, CAST(regexp_extract(name, '^view_([0-9]+)[.]png$', 1) AS BIGINT) AS number, min(event_id) AS first
+  FROM named WHERE regexp_matches(name, '^view_([2-9]|[1-9][0-9]+)[.]png$') GROUP BY name),
+kids AS (
+  SELECT name, number, row_number() OVER (ORDER BY number) AS i,
+         greatest((SELECT count(*) FROM named n WHERE n.name = 'view.png' AND n.event_id < f.first) - 1, 0) AS asked
+  FROM firsts f WHERE EXISTS (SELECT 1 FROM named WHERE name = 'view.png')),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS claimed, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS number, false AS own
+  UNION ALL
+  SELECT k.i, w.claimed + CASE WHEN w.claimed < k.number - 1 - k.asked THEN 1 ELSE 0 END, k.name, k.number, w.claimed < k.number - 1 - k.asked
+  FROM walk w JOIN kids k ON k.i = w.i + 1),
+claims AS (SELECT number - (row_number() OVER (ORDER BY number) - 1) - 2 AS free_ahead FROM walk WHERE own),
+asks AS (
+  SELECT event_id, r.name, copies + CASE WHEN w.own IS NOT NULL AND NOT w.own THEN 1 ELSE 0 END AS c FROM ranked r LEFT JOIN walk w ON w.name = r.name)"""
+
+
+@query("unique_names_mixed", f"""
+WITH {_NAMED}
+SELECT event_id, CASE WHEN c = 0 THEN name ELSE replace(name, '.png', '_' || (c + 1 + CASE WHEN name = 'view.png' THEN
+         (SELECT count(*) FROM claims WHERE free_ahead < c) ELSE 0 END) || '.png') END AS unique_name FROM asks""")
 def unique_names_mixed(spark, d):
-    """Names of which some look like numbered copies of others; the rows are settled, the names all differ."""
+    """Names of which some look like numbered copies of others."""
     k = F.get_json_object("props", "$.k")
     name = F.when(F.col("event_type") == "click", F.concat(F.lit("view_"), k, F.lit(".png"))).otherwise(F.concat("event_type", F.lit(".png")))
     named = retention.unique_names(table(spark, d, "events").select("event_id", name.alias("name")), ord="event_id")
-    return named.agg(F.count("*").alias("rows"), F.count_distinct("unique_name").alias("names"))
+    return named.select("event_id", "unique_name")
 
 
 # ---- streams -------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from pairloom.functions.text import (checkpoint_step, file_name, human_bytes, micros, round_half_even, seconds_between,
                                      ttl_remaining)
 from pairloom.operators.order import ORD, number_rows, running_before
-from pairloom.session import cut_lineage, small_side
+from pairloom.session import cut_lineage, scratch_path, small_side, stage
 
 # Statuses of unfinished runs, statuses whose leftovers may go, and file name lists per category.
 ACTIVE = ("queued", "initializing", "loading_model", "loading_dataset", "training", "running")
@@ -193,6 +193,7 @@ def queue_positions(backlog: DataFrame, priority: str = "priority", queued: str
 
 # ---- unique file names -------------------------------------------------------------------------------
 
+SETTLED = 100_000   # numbered names settled in one piece
 NUMBERED = r"^(.*[^/])_([2-9]|[1-9][0-9]{1,8})(\.[^.]*)?$"   # a name as the numbering itself would make it
 
 
@@ -203,28 +204,62 @@ def _numbered(name: Column, number: Column) -> Column:
     return F.concat(F.when(plain, name).otherwise(stem), F.lit("_"), number.cast("string"), ending)
 
 
-def _settle_family(family: pd.DataFrame) -> pd.DataFrame:
-    """Which numbered names of one family were there first, and so which numbers their base has to skip.
+def _claims(limits: list[int], claimed: int) -> tuple[list[bool], int]:
+    """Which numbered names of one base, by rising number, were there before their number was given away; and how many so far.
 
-    The rows are distinct names, not their copies: `parent` is the name a numbered one derives
-    from, `number` its number, `ahead` how many rows of the parent come before its first row.
+    `limits` holds for each how many smaller numbers may be claimed for that to be so.
     """
-    own, taken = {}, {}
-    children = {p: g.sort_values("number") for p, g in family.dropna(subset=["parent"]).groupby("parent")}
-    pending = list(family.loc[family["parent"].isna(), "name"])
-    own.update(dict.fromkeys(pending, True))
-    while pending:
-        base = pending.pop()
-        claimed = []
-        for name, number, ahead in children.get(base, family.iloc[:0])[["name", "number", "ahead"]].itertuples(index=False):
-            asked = ahead - (1 if own[base] and ahead > 0 else 0)
-            own[name] = asked < number - 1 - len(claimed)
-            if own[name]:
-                claimed.append(int(number))
-            pending.append(name)
-        taken[base] = claimed
-    names = list(own)
-    return pd.DataFrame({"name": names, "own": [own[n] for n in names], "taken": [taken.get(n, []) for n in names]})
+    own = []
+    for limit in limits:
+        own.append(claimed < limit)
+        claimed += own[-1]
+    return own, claimed
+
+
+def _settle_block(block: pd.DataFrame) -> pd.DataFrame:
+    """One block of numbered names in order of (base, number). The first base goes on from the block before: `claimed` says how many it has."""
+    own, claimed = [], 0
+    for i, (_, base) in enumerate(block.sort_values("_pos").groupby("parent", sort=False)):
+        found, claimed = _claims(base["limit"].tolist(), int(block["claimed"].iloc[0]) if i == 0 else 0)
+        own += found
+    out = block.sort_values("_pos")[["_block", "name", "parent", "number"]]
+    return out.assign(own=own, last=claimed)
+
+
+def _settle_level(kids: DataFrame, block: int) -> DataFrame:
+    """(name, parent, number, own, claimed before) of numbered names of which the bases are settled: parent, number, limit.
+
+    Names lie in blocks by (base, number). Every block starts from a guess of how many numbers its first base has claimed
+    in the blocks before, and all are repeated until no guess changes: a wrong guess is soon forgotten within a block,
+    since a claim too many makes a later one fail, so a few rounds do, and never more than there are blocks.
+    """
+    spark = kids.sparkSession
+    rows = number_rows(kids, "parent", "number").withColumn("_block", F.expr(f"_pos div {block}L"))
+    ends = rows.groupBy("_block").agg(F.min_by("parent", "_pos").alias("first"), F.max_by("parent", "_pos").alias("end"))
+    by_block = Window.orderBy("_block")   # one row for each block
+    guess = cut_lineage(ends.select("_block", (F.col("first") == F.lag("end").over(by_block)).alias("goes_on"), F.lit(0).cast("long").alias("claimed")))
+    while True:
+        settled = stage(rows.join(F.broadcast(guess.select("_block", "claimed")), "_block").groupBy("_block").applyInPandas(
+            _settle_block, "_block long, name string, parent string, number long, own boolean, last long"), scratch_path(spark, "settled"))
+        lasts = settled.groupBy("_block").agg(F.first("last").alias("last"))
+        reached = F.when(F.col("goes_on"), F.lag("last").over(by_block)).otherwise(0)
+        after = cut_lineage(guess.join(lasts, "_block").select("_block", "goes_on", "claimed", F.coalesce(reached, F.lit(0)).alias("reached")))
+        if after.where("claimed <> reached").isEmpty():
+            return settled.drop("_block", "last")
+        guess = after.select("_block", "goes_on", F.col("reached").alias("claimed"))
+
+
+def _settle(contested: DataFrame, ahead: DataFrame, block: int) -> DataFrame:
+    """(name, parent, number, own) of all contested names, level by level: a base has to be settled before the names numbered after it."""
+    kids = cut_lineage(contested.join(ahead, "name", "left").select("name", "parent", "number", F.coalesce("ahead", F.lit(0)).alias("ahead")))
+    level = kids.join(kids.select(F.col("name").alias("parent")), "parent", "left_anti").withColumn("kept", F.lit(True))
+    done = []
+    while not level.isEmpty():
+        asked = F.col("ahead") - F.when(F.col("kept") & (F.col("ahead") > 0), 1).otherwise(0)
+        settled = _settle_level(level.select("name", "parent", "number", (F.col("number") - 1 - asked).alias("limit")), block)
+        done.append(settled)
+        level = kids.join(settled.select(F.col("name").alias("parent"), F.col("own").alias("kept")), "parent")
+    return reduce(DataFrame.unionByName, done)
 
 
 def unique_names(files: DataFrame, name: str = "name", ord: str = ORD, into: str = "unique_name",
@@ -232,30 +267,41 @@ def unique_names(files: DataFrame, name: str = "name", ord: str = ORD, into: str
     """Distinct names: the first `a.png` stays, later ones become `a_2.png`, `a_3.png`, ... past names in use.
 
     A row's number follows from how many equal names come before it, counted in blocks so that a
-    name shared by most rows is spread over tasks. Only families in which a given name looks like a
-    numbered copy of a repeated one are settled name by name.
+    name shared by most rows is spread over tasks. Names that look like numbered copies of a repeated one are settled in
+    blocks of (base, number), and how many numbers in use a copy has to skip is counted the same way, so neither a base
+    with very many copies nor one with very many numbered names meets in one task.
     """
     rows = running_before(files, F.lit(1), [name], ord, "_copies", F.sum, block)   # 0 keeps the name
-    contested, members = _contested_names(files, name, ord)
+    contested = _contested_names(files, name, ord)
     if contested.isEmpty():
         return rows.withColumn(into, F.when(F.col("_copies") == 0, F.col(name))
                                .otherwise(_numbered(F.col(name), F.col("_copies") + 1))).drop("_copies")
     ahead = _rows_ahead(files.select(F.col(name).alias("parent"), F.col(ord).alias("at")), contested, block)
-    family = members.join(ahead, "name", "left").select("root", "name", "parent", "number", "ahead")
-    settled = (family.groupBy("root").applyInPandas(_settle_family, "name string, own boolean, taken array<bigint>")
-               .select(F.col("name").alias(name), "own", "taken"))
-    copies = F.col("_copies") + F.when(F.coalesce(F.col("own"), F.lit(True)), 0).otherwise(1)
-    # The j-th skipped number r (j from 0) has r - j - 2 free ones in front of it.
-    free_ahead = F.transform(F.coalesce(F.col("taken"), F.array().cast("array<bigint>")), lambda r, j: r - j - 2)
-    skipped = F.size(F.filter(free_ahead, lambda f: f < F.col("_copies")))
-    return (rows.join(small_side(settled, weight=F.size("taken") + 1), name, "left").withColumn("_copies", copies)
+    settled = cut_lineage(_settle(contested, ahead, min(block, SETTLED)))
+    lost = settled.where("NOT own").select(F.col("name").alias(name), F.lit(1).alias("_lost"))
+    bases = settled.select(F.col("parent").alias(name), F.lit(True).alias("_base")).distinct()
+    rows = (rows.join(small_side(lost), name, "left").join(small_side(bases), name, "left")
+            .withColumn("_copies", F.col("_copies") + F.coalesce("_lost", F.lit(0))).drop("_lost"))
+    # The j-th claimed number r (j from 0) has r - j - 2 free ones in front of it; a copy skips those with fewer than it asks for.
+    claims = _ranked_claims(settled.where("own"), block).select(
+        F.col("parent").alias(name), (2 * (F.col("number") - F.col("rank") - 2) + 1).alias("_at"), F.lit(1).alias("_claim"))
+    asking = rows.where("_base").withColumns({"_at": 2 * F.col("_copies"), "_claim": F.lit(0)})
+    counted = running_before(asking.unionByName(claims, allowMissingColumns=True), F.col("_claim"), [name], "_at", "_skipped", F.sum, block)
+    asked = counted.where("_claim = 0").drop("_at", "_claim")
+    free = rows.where("_base IS NULL").withColumn("_skipped", F.lit(0).cast("long"))
+    return (asked.unionByName(free)
             .withColumn(into, F.when(F.col("_copies") == 0, F.col(name))
-                        .otherwise(_numbered(F.col(name), F.col("_copies") + 1 + skipped)))
-            .drop("_copies", "own", "taken"))
+                        .otherwise(_numbered(F.col(name), F.col("_copies") + 1 + F.col("_skipped"))))
+            .drop("_copies", "_base", "_skipped"))
+
+
+def _ranked_claims(claims: DataFrame, block: int) -> DataFrame:
+    """Claimed numbers with `rank`, how many smaller ones their base has claimed."""
+    return running_before(claims, F.lit(1), ["parent"], "number", "rank", F.sum, block)
 
 
-def _contested_names(files: DataFrame, name: str, ord: str) -> tuple[DataFrame, DataFrame]:
-    """(numbered names with the given name they derive from, all names of their families).
+def _contested_names(files: DataFrame, name: str, ord: str) -> DataFrame:
+    """Numbered names with the given name they derive from: (root, name, first, parent, number).
 
     A family shares a name up to numbers at its end. It matters only when it has such a pair and a
     name that occurs more than once; in all others every row's number is already free.
@@ -268,10 +314,7 @@ def _contested_names(files: DataFrame, name: str, ord: str) -> tuple[DataFrame,
                                                 number.cast("long").alias("number"))
     pairs = numbered.join(names.select(F.col("name").alias("parent")), "parent")
     repeated = names.where("n > 1").select("root").distinct()
-    contested = cut_lineage(pairs.join(repeated, "root", "left_semi"))
-    members = (names.join(contested.select("root").distinct(), "root", "left_semi")
-               .join(contested.select("name", "parent", "number"), "name", "left"))
-    return contested, members
+    return cut_lineage(pairs.join(repeated, "root", "left_semi"))
 
 
 def _rows_ahead(rows: DataFrame, contested: DataFrame, block: int) -> DataFrame:

@@ -119,3 +119,14 @@ def test_unique_names_match_a_sequential_pass(spark, seed):
     df = spark.createDataFrame(list(enumerate(names)), "_ord long, name string").repartition(4)
     got = [r["unique_name"] for r in R.unique_names(df, block=7).orderBy("_ord").collect()]
     assert got == one_by_one(names)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_families_are_settled_over_many_blocks(spark, seed, monkeypatch):
+    """One base with very many numbered names in any order, some numbered again; blocks are far smaller than the family."""
+    rng = random.Random(seed)
+    names = ["x.png"] * 500 + [f"x_{rng.randint(2, 700)}.png" for _ in range(600)] + [f"x_{rng.randint(2, 40)}_{rng.randint(2, 9)}.png" for _ in range(150)] + ["y"] * 20
+    rng.shuffle(names)
+    df = spark.createDataFrame(list(enumerate(names)), "_ord long, name string").repartition(4)
+    got = [r["unique_name"] for r in R.unique_names(df, block=40).orderBy("_ord").collect()]
+    assert got == one_by_one(names) and len(set(got)) == len(got)
