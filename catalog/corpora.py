@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.views import ID, PAIRS, conv, table
 from pairloom.functions.templates import describe_formats, formatter
-from pairloom.operators.edits import apply_edits, delete_rows, edit_report, edit_values, rewrite_manifest
+from pairloom.operators.edits import apply_edits, delete_rows, edit_report, edit_values, rewrite_in_place, rewrite_manifest
 from pairloom.operators.order import number_rows
 from pairloom.operators.vision import (build_manifest, caption_messages, manifest_page, parse_object, prepare_captions,
                                        prepare_unified, preview_manifest, read_lines, read_manifest)
@@ -327,6 +327,22 @@ def rewritten_manifest(spark, d):
     return read_lines(spark, f"{out}/*.txt").select("row_index", prompt.alias("prompt"))
 
 
+@query("rewrite_manifest_in_place", f"""
+WITH {_EDITED}
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, CASE WHEN broken THEN NULL WHEN hit THEN 'caption of ' || doc_id ELSE prompt END AS prompt,
+       (SELECT count(*) FROM documents) AS backup_lines FROM e""")
+def manifest_in_place(spark, d):
+    """The manifest at its own path after two edits, with the lines of the backup that the first one left."""
+    edits, deletes = _edits(spark, d)
+    path = _manifest(spark, d).removesuffix("/*.txt")
+    nothing = deletes.where(F.lit(False))
+    rewrite_in_place(spark, path, edits.withColumn("prompt", F.lit("an earlier caption")), nothing)
+    rewrite_in_place(spark, path, edits, deletes)
+    backup = read_lines(spark, f"{path}.bak/*.txt").count()
+    prompt = F.variant_get(parse_object(F.col("line"))[F.lit("prompt")], "$", "string")
+    return read_lines(spark, f"{path}/*.txt").select("row_index", prompt.alias("prompt"), F.lit(backup).cast("bigint").alias("backup_lines"))
+
+
 @query("manifest_page", f"""
 WITH {_LINES}
 SELECT doc_id AS row_index, prompt, (SELECT count(*) FROM documents) AS total FROM lines WHERE NOT broken ORDER BY doc_id LIMIT 500""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.vision import parse_object, read_lines
+from pairloom.sources.publish import recover, replace_path
 
 
 def set_json_field(line: Column, field: str, value: Column) -> Column:
@@ -76,3 +77,28 @@ def rewrite_manifest(spark: SparkSession, path: str, out_path: str, edits: DataF
     edited = apply_edits(lines, edits, deletes, caption_column)
     edited.orderBy("row_index").select("line").write.mode("errorifexists").text(out_path)
     return edit_report(lines, edits, deletes)
+
+
+def rewrite_in_place(spark: SparkSession, path: str, edits: DataFrame, deletes: DataFrame, caption_column: str | None = None) -> DataFrame:
+    """Replace a manifest (a file or a folder of text files) by its edited version, and report.
+
+    The new version is written beside it and moved into place once its number of lines is right; the first edit leaves the
+    original as `path.bak`. A write that fails leaves the manifest as it was. Lines are written in row order, by many
+    tasks into a folder of the manifest's name, or by one task where the manifest is a file of up to a gigabyte.
+    """
+    recover(spark, path)
+    lines = read_lines(spark, path)
+    report = edit_report(lines, edits, deletes)
+    edited = apply_edits(lines, edits, deletes, caption_column).select("row_index", "line")
+
+    def write(to: str, one: bool) -> None:
+        ordered = edited.coalesce(1).sortWithinPartitions("row_index") if one else edited.orderBy("row_index")
+        ordered.select("line").write.text(to)
+
+    def check(written: str) -> None:
+        wanted, found = report.first()["total_after"], spark.read.text(written).count()
+        if wanted != found:
+            raise ValueError(f"{found} lines were written instead of {wanted}")
+
+    replace_path(spark, path, write, check)
+    return report
