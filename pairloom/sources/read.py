@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pairloom.operators.order import INTERNAL, ORD
 from pairloom.session import scratch_path, stage
 from pairloom.sources.files import FileRanks, FileTable, text_ordinal
+from pairloom.sources.records import read_quoted_csv, spans_lines
 from pairloom.sources.spec import SourceSpec, SpecError, infer_format
 
 def with_ordinal(df: DataFrame, row_index: bool = False, lineage: bool = False) -> DataFrame:
@@ -90,14 +91,23 @@ def read_file(spark: SparkSession, path: str, file_format: str | None = None,
               on_error: str = "fail", **options: Any) -> DataFrame:
     """Read JSON, JSON Lines, CSV or Parquet; the format follows the file ending unless named.
 
-    `schema` skips inference, which costs a pass over text files. For CSV, `multiLine=False` lets
-    Spark split large files when no field holds a line break. `lineage` adds each row's `_file`.
+    `schema` skips inference, which costs a pass over text files. CSV is read in splits even where quoted fields hold line
+    breaks, as long as quotes stand around whole fields; otherwise, or with `multiLine=True`, a file is one task's. Naming
+    `multiLine` saves the pass that looks for such fields. `lineage` adds each row's `_file`.
     Of text that does not parse, `on_error` says what becomes: `fail` stops the job, `drop` leaves it out, `quarantine`
     keeps the text in `_error`, beside what could be read of it.
     """
     kind = infer_format(path, file_format)
     df = _scan(spark, path, kind, schema, on_error, options)
-    return with_ordinal(df, kind == "parquet", lineage) if ordinal else df
+    if not ordinal:
+        return df
+    if kind == "csv" and "multiLine" not in options:
+        csv = {"header": True, "escape": '"', **_parse_mode(on_error), **options}
+        if not spans_lines(spark, path):   # every record is a line
+            df = _scan(spark, path, kind, df.schema, on_error, {**options, "multiLine": False})
+        elif (rows := read_quoted_csv(spark, path, df.schema, csv, lineage)) is not None:
+            return rows
+    return with_ordinal(df, kind == "parquet", lineage)
 
 
 def open_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, **options: Any) -> FileTable:
