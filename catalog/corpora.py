@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.registry import query
 from catalog.views import ID, PAIRS, conv, table
@@ -18,6 +19,7 @@ from pairloom.plans.prepare import Loaded, Preparation
 from pairloom.operators.split import split
 from pairloom.session import scratch_path
 from pairloom.sources.read import inspect_columns, open_table, read_file, read_named, read_source, stream_named
+from pairloom.sources.records import read_array, read_quoted_csv
 from pairloom.sources.write import write_splits
 from pairloom.streaming.progress import disk_state, drop_repeats
 
@@ -270,6 +272,25 @@ def read_json_document(spark, d):
     return read_file(spark, f"{path}/*.txt", "json", DOC).select(ID, "text", "lang", "source", "n_chars")
 
 
+@query("read_json_array", _ALL)
+def read_json_array(spark, d):
+    """The same documents out of JSON arrays that are cut in splits, object by object."""
+    path = scratch_path(spark, "array")
+    rows = F.to_json(F.struct(*[F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]), {"ignoreNullFields": "false"})
+    parts = table(spark, d, "documents").groupBy((F.col(ID) % 8).alias("part")).agg(F.array_join(F.collect_list(rows), ",\n").alias("rows"))
+    parts.select(F.concat(F.lit("["), "rows", F.lit("]"))).write.option("maxRecordsPerFile", 1).text(path)
+    return read_array(spark, f"{path}/*.txt", DOC, {"mode": "FAILFAST"}).select(ID, "text", "lang", "source", "n_chars")
+
+
+@query("read_quoted_csv", _PLACED)
+def read_csv_in_splits(spark, d):
+    """Records over several lines, found by counting quotes."""
+    path = scratch_path(spark, "quoted")
+    _documents(spark, d).write.csv(path, header=True, escape='"', quoteAll=True)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "text", "lang", "source", "n_chars")])
+    return _placed(read_quoted_csv(spark, f"{path}/*.csv", schema, {"header": True, "escape": '"', "mode": "FAILFAST"}))
+
+
 def _half_broken(spark, d):
     """Documents as JSON lines, those of one source cut off in the middle."""
     path = scratch_path(spark, "broken")

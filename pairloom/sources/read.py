@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pairloom.operators.order import INTERNAL, ORD
 from pairloom.session import scratch_path, stage
 from pairloom.sources.files import FileRanks, FileTable, text_ordinal
-from pairloom.sources.records import read_quoted_csv, spans_lines
+from pairloom.sources.records import read_array, read_quoted_csv, spans_lines
 from pairloom.sources.spec import SourceSpec, SpecError, infer_format
 
 def with_ordinal(df: DataFrame, row_index: bool = False, lineage: bool = False) -> DataFrame:
@@ -86,22 +86,37 @@ def _scan(spark: SparkSession, path: str, kind: str, schema: str | T.StructType
         raise
 
 
+def _can_be_split(spark: SparkSession, path: str) -> bool:
+    """Whether a file is larger than what one task reads at once; smaller ones are one task's each in any case."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower().rstrip("b")
+    limit = int(size[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[size[-1]] if size[-1:].isalpha() else int(size)
+    try:   # lengths come from the listing
+        return not spark.read.format("binaryFile").load(path).where(F.col("length") > limit).select("length").limit(1).isEmpty()
+    except AnalysisException:
+        return False   # nothing there: the reader says so
+
+
 def read_file(spark: SparkSession, path: str, file_format: str | None = None,
               schema: str | T.StructType | None = None, ordinal: bool = True, lineage: bool = False,
               on_error: str = "fail", **options: Any) -> DataFrame:
     """Read JSON, JSON Lines, CSV or Parquet; the format follows the file ending unless named.
 
-    `schema` skips inference, which costs a pass over text files. CSV is read in splits even where quoted fields hold line
-    breaks, as long as quotes stand around whole fields; otherwise, or with `multiLine=True`, a file is one task's. Naming
-    `multiLine` saves the pass that looks for such fields. `lineage` adds each row's `_file`.
+    `schema` skips inference, which costs a pass over text files. CSV files too large for one task are read in splits even
+    where quoted fields hold line breaks, as long as quotes stand around whole fields, and so are JSON files that each
+    hold one array of objects; otherwise, or with `multiLine=True`, a file is one task's.
+    `lineage` adds each row's `_file`.
     Of text that does not parse, `on_error` says what becomes: `fail` stops the job, `drop` leaves it out, `quarantine`
     keeps the text in `_error`, beside what could be read of it.
     """
     kind = infer_format(path, file_format)
+    split = ordinal and kind in ("json", "csv") and "multiLine" not in options and _can_be_split(spark, path)
+    if split and kind == "json" and not is_json_lines(spark, path):
+        if (rows := read_array(spark, path, schema, {**_parse_mode(on_error), **options}, lineage)) is not None:
+            return rows
     df = _scan(spark, path, kind, schema, on_error, options)
     if not ordinal:
         return df
-    if kind == "csv" and "multiLine" not in options:
+    if split and kind == "csv":
         csv = {"header": True, "escape": '"', **_parse_mode(on_error), **options}
         if not spans_lines(spark, path):   # every record is a line
             df = _scan(spark, path, kind, df.schema, on_error, {**options, "multiLine": False})
