@@ -15,7 +15,7 @@ from pairloom.functions.templates import formatter, from_columns, plain
 from pairloom.functions.text import char_length, estimate_tokens, human_bytes, is_blank, round_half_even
 from pairloom.operators import quality
 from pairloom.operators.columns import check_columns, rename, set_system, suggest_mapping
-from pairloom.operators.dedup import STRATEGIES, count_duplicates, dedup_key, deduplicate, has_duplicates, keep_ordinals
+from pairloom.operators.dedup import STRATEGIES, dedup_key, deduplicate, duplicate_counts, has_duplicates, keep_ordinals
 from pairloom.operators.order import head, number_rows, page_rows
 from pairloom.operators.reshape import concat_sources, kto_explode, label_counts
 from pairloom.operators.split import sample_rows, split, split_if_large
@@ -142,9 +142,7 @@ UNION ALL SELECT 'chosen', count(*) - count(DISTINCT chosen) FROM pref
 UNION ALL SELECT 'prompt_chosen', count(*) - count(DISTINCT (prompt, chosen)) FROM pref
 UNION ALL SELECT 'exact', count(*) - count(DISTINCT (system, prompt, chosen, rejected, reasoning)) FROM pref""")
 def dup_count(spark, d):
-    df = pref(spark, d)
-    parts = [count_duplicates(df, s, ord=ID).select(F.lit(s).alias("strategy"), "duplicates") for s in STRATEGIES]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    return duplicate_counts(pref(spark, d), STRATEGIES, ord=ID)
 
 
 @query("has_dups", f"""
@@ -501,5 +499,5 @@ WITH {PREF}
 SELECT {_CHATML_PROMPT} AS prompt, chosen {_END} AS response, true AS label FROM pref
 UNION ALL SELECT {_CHATML_PROMPT}, rejected {_END}, false FROM pref WHERE {_NEGATIVE}""")
 def prepare_unpaired(spark, d):
-    train, held = Preparation(Loaded(pref(spark, d)), {"training_mode": "kto"}, ord=ID).prepare_unpaired(raw_negatives=True)
+    train, held = Preparation(Loaded(pref(spark, d)), {"training_mode": "kto"}, ord=ID).prepare_unpaired(staged=True, raw_negatives=True)
     return train.unionByName(held)

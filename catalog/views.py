@@ -46,7 +46,7 @@ PREF = r"""pref AS (
   FROM (SELECT *, substr(text, length(split_part(text, chr(10), 1)) + 2) AS rest FROM documents))"""
 
 
-def sharded(df: DataFrame, key: str, label: str, parts: int = 16) -> FileTable:
+def sharded(df: DataFrame, key: str, label: str, parts: int = 4) -> FileTable:
     """A table written in key order over several files, and opened as a table of files."""
     path = scratch_path(df.sparkSession, label)
     df.repartitionByRange(parts, key).sortWithinPartitions(key).write.parquet(path)

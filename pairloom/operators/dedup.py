@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -150,6 +151,15 @@ def count_duplicates(df: DataFrame, strategy: str = "prompt_chosen", compat: boo
     return repeats.agg(F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("duplicates"))
 
 
+def duplicate_counts(df: DataFrame, strategies: Sequence[str] = STRATEGIES, compat: bool = False, ord: str = ORD) -> DataFrame:
+    """(strategy, duplicates) for several strategies in one scan and one shuffle of digests."""
+    keys = F.array(*[F.struct(F.lit(s).alias("strategy"), dedup_key(df, s, compat, ord).alias("key")) for s in strategies])
+    rows = df.select(F.explode(keys).alias("k")).groupBy("k.strategy", "k.key").agg(F.count("*").alias("n"))
+    counted = rows.groupBy("strategy").agg(F.sum(F.col("n") - 1).alias("duplicates"))
+    names = df.sparkSession.createDataFrame([(s,) for s in strategies], "strategy string")   # a table without rows has none twice
+    return names.join(F.broadcast(counted), "strategy", "left").select("strategy", F.coalesce("duplicates", F.lit(0)).alias("duplicates"))
+
+
 def keep_ordinals(df: DataFrame, ordinals: DataFrame, ord: str = ORD) -> DataFrame:
     """Rows whose ordinal is listed."""
     return df.join(ordinals.select(ord), ord, "left_semi")

@@ -93,6 +93,14 @@ def sample_rows(df: DataFrame, n: int | None, seed: int = 42, ord: str = ORD) ->
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, *ids: str) -> DataFrame:
-    """Rows in seeded random order, by a distributed sort; do this right before writing."""
+    """Rows in seeded random order; do this right before writing.
+
+    Hashes are spread evenly, so their leading bits say which partition a row goes to: no pass looks for the bounds that a
+    sort of the table would need, and rows are read once. Partitions follow each other in order.
+    """
     ids = ids or (ORD,)
-    return df.orderBy(seeded_hash(seed, *ids), *ids)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = min((2**63 - 1) // parts + 1, 2**63 - 1)
+    placed = df.withColumn("_pairloom_hash", seeded_hash(seed, *ids))
+    return (placed.repartitionById(parts, F.expr(f"_pairloom_hash div {width}L").cast("int"))
+            .sortWithinPartitions("_pairloom_hash", *ids).drop("_pairloom_hash"))

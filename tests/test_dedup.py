@@ -54,6 +54,13 @@ def test_counts(spark, strategy):
     assert D.deduplicate(once, strategy).count() == distinct
 
 
+def test_counts_of_all_strategies_at_once(spark):
+    data, df = sample(spark)
+    want = {s: len(data) - len({key_of(r, s) for r in data}) for s in D.STRATEGIES}
+    assert {r[0]: r[1] for r in D.duplicate_counts(df).collect()} == want
+    assert {r[0]: r[1] for r in D.duplicate_counts(df.limit(0), ["prompt"]).collect()} == {"prompt": 0}
+
+
 def test_literal_rows(spark):
     rows = [(0, None, "A", "1", "first"), (1, None, "A", "1", "second"), (2, None, "A", "1", "third"), (3, None, "B", "2", "x"), (4, None, "B", "2", "x")]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -127,3 +127,27 @@ def test_sample_and_shuffle(spark, small):
     assert sample_rows(df, 200).count() == 80 and sample_rows(df, None) is df
     mixed = [r[0] for r in shuffle_rows(df, 9).collect()]
     assert mixed == [r[0] for r in shuffle_rows(df.repartition(3), 9).collect()] != sorted(mixed)
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "7"])
+def test_a_shuffle_is_a_sort_by_hash_that_reads_its_rows_once(spark, parts):
+    from pairloom.operators.split import seeded_hash
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = table(spark, range(500)).mapInArrow(count, "_ord long")
+        mixed = shuffle_rows(df, 11)
+        got = [r[0] for r in mixed.collect()]
+        assert read.value == 500
+        assert got == [r[0] for r in table(spark, range(500)).orderBy(seeded_hash(11, "_ord")).collect()]
+        assert "rangepartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
