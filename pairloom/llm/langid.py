@@ -22,6 +22,7 @@ from pairloom.llm.words import Slice, mix, slices
 
 DIM = 1024
 CODES = 40  # 0 stands between words, 1-26 are a-z, the rest share all other letters
+PIECE = 2048  # trigram vectors in single precision at once
 NONE = "und"
 MOST_LANGUAGES = 512  # bound of what is broadcast; more raise
 
@@ -138,7 +139,7 @@ def predict(docs: DataFrame, model: Prototypes, text: str = "text", into: tuple[
                 for i in np.flatnonzero(letters):
                     counts = np.bincount(grams[begin[i]:begin[i + 1]], minlength=CODES ** 3)
                     ids = np.flatnonzero(counts)
-                    bundle = counts[ids].astype(np.float32) @ vectors[ids].astype(np.float32)
+                    bundle = sum(counts[own].astype(np.float32) @ vectors[own].astype(np.float32) for own in np.split(ids, range(PIECE, len(ids), PIECE)))
                     cosines = prototypes @ bundle / max(float(np.linalg.norm(bundle)), 1e-9)
                     best = int(np.argmax(cosines))
                     names[part.first + i], scores[part.first + i] = languages[best], min(max(float(cosines[best]), 0.0), 1.0)

@@ -39,6 +39,19 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept["pack"])
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_documents_without_a_learned_language_stay(spark, lang):
+    rows = [(i, t, lang, None, None, 1, 2) for i, t in enumerate(["clean words here", "clean words here", "日本語", "12 !", "", None])]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2]
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not there")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
