@@ -31,21 +31,25 @@ def in_small_batches(stage: Stage) -> Stage:
 
 @in_small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: null texts and texts without a letter go."""
+    """Documents whose text has a letter: null, empty and letterless texts go, also where no document has a label to learn from.
+
+    Repeated rows and ties in labels change nothing: rows are judged one by one. An empty table stays empty.
+    """
     names = f"{PRIVATE}lang", f"{PRIVATE}score"
     judged = langid.predict(docs, langid.train(docs), into=names)
-    return judged.where(F.col(names[0]) != langid.NONE).select(*docs.columns)
+    told = F.col(names[0]) != langid.NONE
+    return judged.where(told | F.col("text").rlike(r"\p{L}")).select(*docs.columns)  # a language may have that name, or none was learned
 
 
 @in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; null and empty texts are near to none and stay."""
     return bottomk.drop_near_duplicates(docs)
 
 
 @in_small_batches
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without passages that an earlier document has; `n_chars` follows the text."""
+    """The same documents without passages that an earlier document has; `n_chars` follows the text. Null texts stay null."""
     cut = chunking.remove_repeats(docs, into=f"{PRIVATE}spans")
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return cut.withColumn("n_chars", F.when(F.size(f"{PRIVATE}spans") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -53,7 +57,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @in_small_batches
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; all of them if the benchmark is empty. Null and empty texts hold none."""
     space = leaks.fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = leaks.search(docs, space, into=f"{PRIVATE}leaks")
     return found.where(F.size(f"{PRIVATE}leaks") == 0).select(*docs.columns)
@@ -61,7 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    """Pieces of all documents and their places in sequences of 2048 tokens; null and empty texts are pieces of one token."""
     pieces = packing.cut_documents(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(pieces)
 
