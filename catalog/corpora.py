@@ -66,21 +66,26 @@ def read_upload(spark, d):
     return df.select(ID, "text", "lang", "source", "n_chars")
 
 
+def _config():
+    """The config of a document in the exported dataset."""
+    return F.coalesce("lang", F.lit("without-language"))
+
+
 def _hub(spark, d):
-    """Documents exported as a named dataset: one config per language, splits by range of files."""
+    """Documents exported as a named dataset: one config per language and one without, splits by range of files."""
     root = scratch_path(spark, "hub")
     docs = _documents(spark, d)
     for lang in _languages(spark, d):
-        docs.where(F.col("lang") == lang).write.parquet(f"{root}/docs/{lang}/train-0.parquet")
+        docs.where(_config() == lang).write.parquet(f"{root}/docs/{lang}/train-0.parquet")
     return root
 
 
 def _languages(spark, d):
     """The languages of the documents: a handful, each the name of a config."""
-    return sorted(r[0] for r in table(spark, d, "documents").where("lang is not null").select("lang").distinct().collect())
+    return sorted(r[0] for r in table(spark, d, "documents").select(_config()).distinct().collect())
 
 
-@query("read_named", "SELECT doc_id, lang, text FROM documents WHERE lang IS NOT NULL")
+@query("read_named", "SELECT doc_id, lang, text FROM documents")
 def read_named_split(spark, d):
     """Every config of the exported dataset, one after the other."""
     root = _hub(spark, d)
@@ -420,7 +425,7 @@ def stream_dedup(spark, d):
     return _drain(drop_repeats(rows), "distinct")
 
 
-@query("stream_named", "SELECT doc_id, text FROM documents WHERE lang IS NOT NULL")
+@query("stream_named", "SELECT doc_id, text FROM documents")
 def named_stream(spark, d):
     root = _hub(spark, d)
     parts = [_drain(stream_named(spark, root, "docs", DOC, "train", lang), "named") for lang in _languages(spark, d)]
