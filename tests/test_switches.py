@@ -91,7 +91,7 @@ def test_lost_state_stops_a_stream(spark, tmp_path):
         spark.createDataFrame([("j", 10 * i + k, s) for k, s in enumerate(steps)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         run()
     assert sorted(r["step"] for r in spark.read.parquet(f"{tmp_path}/out/points").collect()) == [1, 5, 6]
-    shutil.rmtree(f"{tmp_path}/out/last")
+    shutil.rmtree(f"{tmp_path}/checkpoint/state")   # where the runs' last steps are
     spark.createDataFrame([("j", 30, 2)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     with pytest.raises(PySparkException):
         run()
