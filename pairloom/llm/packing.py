@@ -13,16 +13,18 @@ key) on Spark to get their ranks, and every task looks its pieces' ranks up amon
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.scratch import Scratch, cut_lineage
-from pairloom.llm.words import Powers, slices, words_of
+from pairloom.llm.words import Powers, Words, slices, words_of
 
 END = 0
 KNOWN = 1 << 20  # chunks remembered in a task before its memory is cleared
@@ -38,14 +40,18 @@ class ChunkEncoder:
 
     White space never reaches a token, so the ids of a text are those of its blank-separated chunks in order. Chunks of
     plain letters, perhaps with one mark behind them, go to the same merges without the general normaliser and splitter;
-    all other chunks take the whole tokenizer.
+    all other chunks take the whole tokenizer. Its control strings are found in texts as they are written, before letters
+    become small, so a chunk that holds one is known by its own bytes and never lower-cased here.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
+        self.literal = Tokenizer.from_file(path)  # reads control strings as their ids
+        controls = [re.escape(t.content.encode()) for t in self.literal.get_added_tokens_decoder().values()]
+        self.control = re.compile(b"|".join(controls)) if controls else None
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = True  # for lower-cased chunks, whose control strings may not be written so
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.plain.normalizer = None
@@ -61,8 +67,10 @@ class ChunkEncoder:
         self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, chunks: list[str], controlled: np.ndarray) -> None:
         found: list = [None] * len(chunks)
+        for i in np.flatnonzero(controlled):
+            found[i] = self.literal.encode(chunks[i], add_special_tokens=False).ids
         letters, marks, plain = [], [], []
         for i, chunk in enumerate(chunks):
             mark = chunk[-1] if chunk[-1] in self.marks else ""
@@ -100,17 +108,31 @@ class ChunkEncoder:
                 out += [x.ids for x in self.whole.encode_batch_fast(part, add_special_tokens=False)]
         return out
 
+    def controlled(self, raw: bytes, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Which chunks hold a control string, and the hashes of all chunks: those chunks' are of their bytes as written."""
+        found = np.zeros(len(words.starts), bool)
+        at = [m.start() for m in self.control.finditer(raw)] if self.control else []
+        if not at:
+            return found, words.hashes
+        hashes = words.hashes.copy()
+        for i in np.unique(np.searchsorted(words.starts, at, side="right") - 1).tolist():
+            chunk = raw[words.starts[i]:words.ends[i]]
+            if self.control.search(chunk):  # not one that two texts make together
+                found[i], hashes[i] = True, xxhash.xxh64_intdigest(chunk, 9)
+        return found, hashes
+
     def encode(self, part, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice's texts, one after the other, and where each text's begin."""
-        words = words_of(part, powers)
-        unique, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        words, raw = words_of(part, powers), part.data.tobytes()
+        controlled, hashes = self.controlled(raw, words)
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > KNOWN:
             self.forget()
         new = unique if not len(self.keys) else unique[self.keys[np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)] != unique]
         if len(new):
-            raw = part.data.tobytes()
             at = first[np.searchsorted(unique, new)]
-            self.learn(new, [raw[a:b].lower().decode("utf-8") for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())])
+            chunks = [raw[a:b] if own else raw[a:b].lower() for a, b, own in zip(words.starts[at].tolist(), words.ends[at].tolist(), controlled[at].tolist())]
+            self.learn(new, [c.decode("utf-8") for c in chunks], controlled[at])
         entry = self.where[np.searchsorted(self.keys, unique)][which] if len(unique) else np.zeros(0, np.int64)
         lengths = self.starts[entry + 1] - self.starts[entry]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -118,14 +140,25 @@ class ChunkEncoder:
         return self.ids[at], ends[words.begin]
 
 
+def checked(path: str) -> None:
+    """Raise unless the tokenizer's ids of a text are those of its lower-cased, blank-separated chunks."""
+    from tokenizers import Tokenizer
+    ids = lambda text: Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    if ids("The  CAT\n sat,") != [*ids("the"), *ids("cat"), *ids("sat,")]:
+        raise ValueError(f"{path} keeps letter case or white space: its texts cannot be cut into lower-cased chunks")
+
+
 def cut_documents(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, key: str = "doc_id",
                   text: str = "text", end: int = END) -> DataFrame:
     """Tokenise whole texts and cut those longer than `length`: (key, piece, start, length, ids).
 
     `ids` holds unsigned little-endian 32-bit ids, the end id last. Null and empty texts give one piece, the end id alone.
-    Repeated rows give repeated pieces; a null key stays null. Other columns are not read.
+    Repeated rows give repeated pieces; a null key stays null. Other columns are not read. Control strings of the
+    tokenizer inside texts become its control ids. A tokenizer that tells large letters or white space apart is refused.
     """
     path = tokenizer or vocabulary()
+    if tokenizer:
+        checked(tokenizer)
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,13 +12,13 @@ SCHEMA = "doc_id long, text string, rank string"
 
 def ids_of(text):
     from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(packing.vocabulary())
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(packing.vocabulary()).encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_pieces_hold_the_tokenizer_s_ids(table):
-    texts = [None, "", "Hello, World! it's don't", "naïve ÉCOLE é  x y", "a" * 300, "x1 22 ŝ ǅ İ <|endoftext|>", "the cat. " * 40, "\n", "ß! ?", "日本 語"]
+    texts = [None, "", "Hello, World! it's don't", "naïve ÉCOLE é  x y", "a" * 300, "x1 22 ŝ ǅ İ <|endoftext|>", "the cat. " * 40, "\n", "ß! ?", "日本 語",
+             "<|endoftext|>", "<|ENDOFTEXT|>", "A<|endoftext|>B<|startoftext|>", "a<|ENDOFTEXT|><|endoftext|>", "a<|endoftext|><|ENDOFTEXT|>",
+             "end <|endof", "text|> of <|StartOfText|> x", "É<|endoftext|>É"]
     docs = table([(i if i else None, t, "r") for i, t in enumerate(texts)], SCHEMA)
     got = {}
     for r in packing.cut_documents(docs, length=16).collect():
@@ -31,6 +31,13 @@ def test_pieces_hold_the_tokenizer_s_ids(table):
     assert got == want
 
 
+def test_only_tokenizers_of_lower_cased_chunks(table):
+    import public_tokenizers
+    with pytest.raises(ValueError):
+        packing.cut_documents(table([], SCHEMA), public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.cut_documents(table([], SCHEMA), packing.vocabulary()).collect() == []
+
+
 def brute(lengths, size):
     """Best-fit decreasing, one piece after the other."""
     gaps = []
