@@ -39,7 +39,12 @@ def boundaries(part: Slice) -> np.ndarray:
     blank = BLANK[data]
     char = (data & 0xC0) != 0x80
     cut = np.zeros(n, bool)  # a chunk begins at this byte
-    cut[1:] = (blank[:-1] & ~blank[1:] & (rolled[:-1] & 3 == 0)) | (char[1:] & ~blank[1:] & ~blank[:-1] & (rolled[:-1] == 0))
+    # Chances: a word's start 1 in 4. Inside words a character of three or more bytes, as of scripts without blanks, 1 in 8;
+    # any other 1 in 32 where the window holds no blank, else 1 in 256.
+    blanks = np.concatenate([[0], np.cumsum(blank)])
+    unspaced = blanks[1:n] == blanks[np.maximum(np.arange(1, n) - WINDOW, 0)]
+    among = np.where(data[1:] >= 0xE0, 7, np.where(unspaced, 31, 255)).astype(np.uint32)
+    cut[1:] = (blank[:-1] & ~blank[1:] & (rolled[:-1] & 3 == 0)) | (char[1:] & ~blank[1:] & ~blank[:-1] & (rolled[:-1] & among == 0))
     found = np.flatnonzero(cut)
     begin = part.offsets[np.searchsorted(part.offsets, found, side="right") - 1]
     found = found[found - begin >= WINDOW]  # the window must lie in one text

@@ -48,6 +48,22 @@ def test_a_text_has_the_same_chunks_in_any_slice():
                 assert list(zip(hi[owner == i].tolist(), lo[owner == i].tolist())) == chunks(texts[part.first + i])[1]
 
 
+def test_passages_without_blanks_are_found_whatever_stands_before():
+    rng = np.random.default_rng(5)
+    made = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    for length, least in ((100, 0.6), (200, 0.75), (400, 0.85)):
+        shares = []
+        for _ in range(60):
+            passage = made(length)
+            known = set(chunks(made(300) + passage + made(90))[0])
+            run, best = 0, 0
+            for c in chunks(made(211) + passage + made(120))[0]:
+                run = run + len(c) if c in known else 0
+                best = max(best, run)
+            shares.append(best / len(passage.encode()))
+        assert np.mean(shares) >= least and np.mean([s * length * 3 >= 100 for s in shares]) >= 0.95
+
+
 def brute(rows, least):
     """The same rule on plain lists of chunks."""
     keeper, count, cut = {}, {}, {}
