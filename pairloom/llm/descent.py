@@ -230,7 +230,9 @@ def counted(members: DataFrame, dim: int, threshold: float) -> DataFrame:
         links = (near & (names[asks][:, None] != names[~asks][None, :])) @ times[~asks]
         return pa.table([pa.array(names[asks], pa.int64()), pa.array(links.astype(np.int64))], names=["node", "links"])
 
-    pairs = left.unionByName(right).groupBy("component", "i", "j").applyInArrow(compare, "node long, links long")
+    # Dealt by block pair: the layout by component that the join leaves would serve the grouping too, all blocks in one task.
+    both = left.unionByName(right).repartition("component", "i", "j")
+    pairs = both.groupBy("component", "i", "j").applyInArrow(compare, "node long, links long")
     return pairs.groupBy("node").agg(F.sum("links").alias("links"))
 
 
