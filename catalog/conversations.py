@@ -29,7 +29,18 @@ SELECT conv_id, system,
 FROM kept""")
 def chat_training_rows(spark, d):
     """Conversations to deduplicated, formatted training rows."""
-    return formatter("chatml")(deduplicate(_pairs(spark, d), ord="conv_id"))
+    nested = nest_turns(table(spark, d, "conversations"), staged=True)   # read twice: for keys, then for rows
+    return formatter("chatml")(deduplicate(convert_messages(nested, on_error="drop"), ord="conv_id"))
+
+
+@query("nest_turns_staged", """
+SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, '|' ORDER BY turn) AS texts
+FROM conversations GROUP BY conv_id""")
+def nested_staged(spark, d):
+    """Conversations from written blocks of two turns, most of them of several blocks."""
+    rows = nest_turns(table(spark, d, "conversations"), block=2, staged=True)
+    return rows.select("conv_id", F.size("messages").cast("long").alias("turns"),
+                       F.array_join("messages.role", ",").alias("roles"), F.array_join("messages.content", "|").alias("texts"))
 
 
 @query("messages_to_pairs", f"""

@@ -340,6 +340,31 @@ def described(spark, d):
     return reduce(DataFrame.unionByName, named).groupBy("format").agg(F.count("*").alias("rows"))
 
 
+_TURNS = "'<|im_start|>user' || chr(10) || lang || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
+_HEADERS = ("'<|begin_of_text|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || lang || '<|eot_id|>'"
+            " || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)")
+
+
+@query("format_descriptors", f"""
+WITH f(name, thinking, description) AS (VALUES
+  ('chatml', NULL, 'system, user and assistant turns between im_start and im_end markers'),
+  ('llama3', NULL, 'turns under header markers, closed by eot_id'),
+  ('mistral', NULL, 'instruction between INST markers, system text in front of the prompt'),
+  ('qwen3', true, 'chatml turns with think tags (thinking on)'),
+  ('raw', NULL, 'the columns as they are, without a chat template')),
+made AS (SELECT f.*, CASE name WHEN 'llama3' THEN {_HEADERS} WHEN 'mistral' THEN '[INST] ' || lang || ' [/INST] '
+                          WHEN 'raw' THEN lang ELSE {_TURNS} END AS prompt
+         FROM documents, f WHERE lang IS NOT NULL)
+SELECT name AS format, thinking, description, prompt, count(*) AS rows FROM made GROUP BY ALL""")
+def descriptors(spark, d):
+    """What every format says of itself, beside the prompts it makes."""
+    docs = table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("prompt"), F.col("text").alias("chosen"))
+    named = [formatter(n)(docs).select(
+        F.lit(info["format_type"]).alias("format"), F.lit(info.get("enable_thinking")).cast("boolean").alias("thinking"),
+        F.lit(info["description"]).alias("description"), "prompt") for n, info in describe_formats().items()]
+    return reduce(DataFrame.unionByName, named).groupBy("format", "thinking", "description", "prompt").agg(F.count("*").alias("rows"))
+
+
 @query("rewrite_manifest", f"""
 WITH {_EDITED}
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, CASE WHEN broken THEN NULL WHEN hit THEN 'caption of ' || doc_id ELSE prompt END AS prompt FROM e""")

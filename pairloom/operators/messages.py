@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.operators.columns import drop_consumed
+from pairloom.session import scratch_path, small_side, stage
 
 BLOCK = 4096           # turns of one conversation that are put in order by one task
 HOT_LISTED = 1000      # conversations above that size that are handled apart by name
@@ -18,25 +19,49 @@ NO_ASSISTANT = "nothing was said by the assistant"
 
 
 def nest_turns(turns: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role",
-               content: str = "text", block: int = BLOCK) -> DataFrame:
+               content: str = "text", block: int = BLOCK, staged: bool = False) -> DataFrame:
     """One row per conversation with its `messages` in turn order, from a table with a row per turn.
 
     A conversation with more than `block` turns is first assembled in blocks that spread over many
     tasks; only its finished blocks meet, because the row they form is the result. The sizes come
     from a scan of the id column alone.
+
+    `staged` writes the blocks as a table after one shuffle of the texts, dealt by conversation and block of turn
+    numbers. What reads the result twice, such as the removal of duplicates, then shuffles no text again; only
+    conversations of several blocks are put together on each reading.
     """
     rows = turns.select(F.col(id), F.col(turn).cast("long").alias("_t"),
                         F.struct(F.col(role).alias("role"), F.col(content).alias("content")).alias("_m"))
+    if staged:
+        return _from_blocks(stage(_blocks(rows, id, block), scratch_path(turns.sparkSession, "turns")), id)
     sizes = turns.groupBy(id).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
     long_ids = [r[0] for r in sizes.select(id).limit(HOT_LISTED + 1).collect()]
     if not long_ids:
         return _collect_rows(rows, id)
     if len(long_ids) > HOT_LISTED:
         return _collect_blocks(rows, id, block)
-    is_long = F.coalesce(F.col(id).isin([i for i in long_ids if i is not None]), F.lit(None in long_ids))
+    is_long = _listed(id, long_ids)
     return _collect_rows(rows.where(~is_long), id).unionByName(_collect_blocks(rows.where(is_long), id, block))
 
 
+def _listed(id: str, ids: list) -> Column:
+    return F.coalesce(F.col(id).isin([i for i in ids if i is not None]), F.lit(None in ids))
+
+
+def _from_blocks(blocks: DataFrame, id: str) -> DataFrame:
+    """Conversations of written blocks: most are one block and done; which are not, the column of ids tells."""
+    several = blocks.groupBy(id).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.col(id).alias("_long"))
+    long_ids = [r[0] for r in several.limit(HOT_LISTED + 1).collect()]
+    if len(long_ids) <= HOT_LISTED:
+        single, parts = blocks.where(~_listed(id, long_ids)), blocks.where(_listed(id, long_ids))
+    else:
+        names = small_side(several)
+        same = F.col(id).eqNullSafe(F.col("_long"))
+        single, parts = blocks.join(names, same, "left_anti"), blocks.join(names, same, "left_semi")
+    whole = single.select(id, F.col("_ms").alias("messages"))
+    return whole.unionByName(_meet(parts, id)) if long_ids else whole
+
+
 def _ordered(items: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(items)), lambda x: x["m"])
 
@@ -46,8 +71,15 @@ def _collect_rows(rows: DataFrame, id: str) -> DataFrame:
 
 
 def _collect_blocks(rows: DataFrame, id: str, block: int) -> DataFrame:
-    blocks = (rows.groupBy(id, F.expr(f"_t div {block}L").alias("_b"))
-              .agg(_ordered(F.struct(F.col("_t").alias("t"), F.col("_m").alias("m"))).alias("_ms")))
+    return _meet(_blocks(rows, id, block), id)
+
+
+def _blocks(rows: DataFrame, id: str, block: int) -> DataFrame:
+    return (rows.groupBy(id, F.expr(f"_t div {block}L").alias("_b"))
+            .agg(_ordered(F.struct(F.col("_t").alias("t"), F.col("_m").alias("m"))).alias("_ms")))
+
+
+def _meet(blocks: DataFrame, id: str) -> DataFrame:
     parts = F.struct(F.col("_b").alias("t"), F.col("_ms").alias("m"))
     return blocks.groupBy(id).agg(F.flatten(_ordered(parts)).alias("messages"))
 

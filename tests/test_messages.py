@@ -2,6 +2,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from pairloom.operators import messages
+from pairloom.operators.dedup import deduplicate
 from pairloom.operators.messages import NO_ASSISTANT, NO_MESSAGES, NO_USER, convert_messages, has_messages_format, nest_turns
 
 MESSAGES = "id int, messages array<struct<role:string,content:string>>"
@@ -19,6 +21,28 @@ def test_nesting_keeps_turn_order_also_for_a_conversation_with_most_rows(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("listed", [1000, 2])
+def test_staged_blocks_give_the_same_conversations(spark, monkeypatch, listed):
+    monkeypatch.setattr(messages, "HOT_LISTED", listed)
+    data = [(7, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(300)]
+    data += [(c, t, "user", f"c{c}-{t}") for c in range(12) for t in range(c) if c != 7] + [(None, t, "user", f"x{t}") for t in range(9)] + [(20, None, None, None)]
+    df = spark.createDataFrame(data, "conv_id long, turn int, role string, text string").repartition(4, "text")
+    for block in (4096, 4):
+        want, got = ({r["conv_id"]: r["messages"] for r in nest_turns(df, block=block, staged=s).collect()} for s in (False, True))
+        assert got == want and len(got) == 13
+    empty = df.where("false")
+    assert nest_turns(empty, staged=True).collect() == [] and nest_turns(empty, staged=True).schema.simpleString() == nest_turns(empty).schema.simpleString()
+
+
+def test_removing_duplicates_of_staged_conversations_shuffles_no_texts(spark):
+    data = [(c, t, r, f"{r} {c % 5}") for c in range(40) for t, r in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(data, "conv_id long, turn int, role string, text string")
+    rows = deduplicate(convert_messages(nest_turns(turns, staged=True)), ord="conv_id")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+    assert sorted(r["conv_id"] for r in rows.collect()) == list(range(5))
+
+
 def test_conversion(spark):
     data = [
         (1, [("system", "Be kind"), ("user", "Begin"), ("assistant", "Once upon a time."), ("user", "And then?"), ("assistant", "That was all.")]),
