@@ -47,10 +47,10 @@ class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
-        self.literal = Tokenizer.from_file(path)  # reads control strings as their ids
-        controls = [re.escape(t.content.encode()) for t in self.literal.get_added_tokens_decoder().values()]
-        self.control = re.compile(b"|".join(controls)) if controls else None
+        self.path, self.literal = path, None
         self.whole = Tokenizer.from_file(path)
+        controls = [re.escape(t.content.encode()) for t in self.whole.get_added_tokens_decoder().values()]
+        self.control = re.compile(b"|".join(controls)) if controls else None
         self.whole.encode_special_tokens = True  # for lower-cased chunks, whose control strings may not be written so
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
@@ -70,7 +70,7 @@ class ChunkEncoder:
     def learn(self, hashes: np.ndarray, chunks: list[str], controlled: np.ndarray) -> None:
         found: list = [None] * len(chunks)
         for i in np.flatnonzero(controlled):
-            found[i] = self.literal.encode(chunks[i], add_special_tokens=False).ids
+            found[i] = self.encode_literally(chunks[i])
         letters, marks, plain = [], [], []
         for i, chunk in enumerate(chunks):
             mark = chunk[-1] if chunk[-1] in self.marks else ""
@@ -95,6 +95,13 @@ class ChunkEncoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.where = keys[order], where[order]
 
+    def encode_literally(self, chunk: str) -> list[int]:
+        """Ids of a chunk as written, control strings as their ids; few texts hold one, so its tokenizer is loaded when one does."""
+        if self.literal is None:
+            from tokenizers import Tokenizer
+            self.literal = Tokenizer.from_file(self.path)
+        return self.literal.encode(chunk, add_special_tokens=False).ids
+
     def encode_words(self, words: list[str], together: int = 64) -> list[list[int]]:
         """Words of letters, many in one call: an id that ends a word tells them apart."""
         out: list[list[int]] = []
