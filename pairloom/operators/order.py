@@ -26,7 +26,7 @@ FANOUT = 4096       # histogram cells per narrowing pass
 def kth_smallest(df: DataFrame, column: str | Column, k: int) -> int | None:
     """The exact k-th smallest value (from 1) of a long column; None when there are fewer than k.
 
-    Each pass reads that one column, counts FANOUT equal cells of the current range and keeps the
+    Each pass reads that one column, counts up to twice FANOUT equal cells of the current range and keeps the
     cell holding the k-th value. The last cell is small enough to sort.
     """
     if k < 1:
@@ -36,15 +36,14 @@ def kth_smallest(df: DataFrame, column: str | Column, k: int) -> int | None:
     if k > rows:
         return None
     while rows > SMALL and low < high:
-        width = (high - low) // FANOUT + 1
+        bits = max(0, (high - low).bit_length() - FANOUT.bit_length() + 1)   # cells by leading bits: a range may be as wide as longs are
         cells = (values.where(F.col("v").between(low, high))
-                 .groupBy(F.expr(f"(v - {low}L) div {width}L").alias("cell")).agg(F.count("*").alias("n")))
+                 .groupBy(F.shiftright("v", bits).alias("cell")).agg(F.count("*").alias("n")))
         upto = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
         cell, rows, reached = (cells.withColumn("upto", upto).where(F.col("upto") >= k)
                                .orderBy("cell").select("cell", "n", "upto").first())
         k -= reached - rows
-        low += cell * width
-        high = min(high, low + width - 1)
+        low, high = max(low, cell << bits), min(high, ((cell + 1) << bits) - 1)
     if low == high:
         return low
     return (values.where(F.col("v").between(low, high)).orderBy("v").limit(k).agg(F.max("v")).first()[0])

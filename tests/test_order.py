@@ -34,6 +34,22 @@ def test_kth_smallest(spark, small):
         order.kth_smallest(df, "_ord", 0)
 
 
+def test_kth_smallest_of_the_widest_range(spark, small):
+    values = [-2**63] * 40 + [2**63 - 1] * 30 + list(range(-20, 20))
+    df = table(spark, values)
+    for k in (1, 40, 41, 60, 80, 81, 110):
+        assert order.kth_smallest(df, "_ord", k) == sorted(values)[k - 1]
+
+
+def test_head_where_many_rows_have_no_ordinal(spark, small):
+    df = spark.createDataFrame([(i if i % 2 else None, i) for i in range(200)], "_ord long, name long")
+    for n in (50, 100, 130):
+        got = order.head(df, n).collect()
+        assert len({r["name"] for r in got}) == n and sum(r["_ord"] is None for r in got) == min(n, 100)
+    train, held = split(df, 0.3, shuffle=False)
+    assert train.count() == 140 and held.where("_ord is null").count() == 0 and held.count() == 60
+
+
 def test_head_and_pages(spark, small):
     values = random.Random(2).sample(range(10**6), 200)
     df, ranked = table(spark, values), sorted(values)
