@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.registry import query
-from catalog.views import ID, PAIRS, conv, table
+from catalog.views import ID, PAIRS, conv, file_count, table
 from pairloom.functions.templates import describe_formats, formatter
 from pairloom.operators.edits import apply_edits, delete_rows, edit_report, edit_values, rewrite_in_place, rewrite_manifest
 from pairloom.operators.order import number_rows
@@ -28,9 +28,19 @@ _ALL = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 _PLACED = "SELECT doc_id, doc_id AS position, text FROM documents"
 
 
-def _documents(spark, d, parts=4):
+def _documents(spark, d, parts=None):
     """Documents in doc_id order over several files."""
-    return table(spark, d, "documents").repartitionByRange(parts, ID).sortWithinPartitions(ID)
+    docs = table(spark, d, "documents")
+    return docs.repartitionByRange(parts or file_count(docs), ID).sortWithinPartitions(ID)
+
+
+def _arrays(spark, d, label, opening, closing):
+    """Documents as text files that each hold one JSON array."""
+    path, docs = scratch_path(spark, label), table(spark, d, "documents")
+    rows = F.to_json(F.struct(*[F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]), {"ignoreNullFields": "false"})
+    parts = docs.groupBy((F.col(ID) % file_count(docs, 8)).alias("part")).agg(F.array_join(F.collect_list(rows), ",\n").alias("rows"))
+    parts.select(F.concat(F.lit(opening), "rows", F.lit(closing))).write.option("maxRecordsPerFile", 1).text(path)
+    return f"{path}/*.txt"
 
 
 def _placed(df):
@@ -270,21 +280,15 @@ def inspected(spark, d):
 @query("read_json_document", _ALL)
 def read_json_document(spark, d):
     """A file that is one JSON array: its rows are found however many lines it spans."""
-    path = scratch_path(spark, "document")
-    rows = F.to_json(F.struct(*[F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]), {"ignoreNullFields": "false"})
-    parts = table(spark, d, "documents").groupBy((F.col(ID) % 8).alias("part")).agg(F.array_join(F.collect_list(rows), ",\n").alias("rows"))
-    parts.select(F.concat(F.lit("[\n"), "rows", F.lit("\n]"))).write.option("maxRecordsPerFile", 1).text(path)
-    return read_file(spark, f"{path}/*.txt", "json", DOC).select(ID, "text", "lang", "source", "n_chars")
+    path = _arrays(spark, d, "document", "[\n", "\n]")
+    return read_file(spark, path, "json", DOC).select(ID, "text", "lang", "source", "n_chars")
 
 
 @query("read_json_array", _ALL)
 def read_json_array(spark, d):
     """The same documents out of JSON arrays that are cut in splits, object by object."""
-    path = scratch_path(spark, "array")
-    rows = F.to_json(F.struct(*[F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]), {"ignoreNullFields": "false"})
-    parts = table(spark, d, "documents").groupBy((F.col(ID) % 8).alias("part")).agg(F.array_join(F.collect_list(rows), ",\n").alias("rows"))
-    parts.select(F.concat(F.lit("["), "rows", F.lit("]"))).write.option("maxRecordsPerFile", 1).text(path)
-    return read_array(spark, f"{path}/*.txt", DOC, {"mode": "FAILFAST"}).select(ID, "text", "lang", "source", "n_chars")
+    path = _arrays(spark, d, "array", "[", "]")
+    return read_array(spark, path, DOC, {"mode": "FAILFAST"}).select(ID, "text", "lang", "source", "n_chars")
 
 
 @query("read_quoted_csv", _PLACED)
@@ -422,10 +426,10 @@ def prepare_from_files(spark, d):
 # ---- preparing a stream --------------------------------------------------------------------------------
 
 def _documents_stream(spark, d):
-    """Documents arriving in four files, one for each micro-batch."""
-    path = scratch_path(spark, "arriving")
-    _documents(spark, d).write.parquet(path)
-    return spark.readStream.schema(DOC).option("maxFilesPerTrigger", 1).parquet(path)
+    """Documents arriving in files, a quarter of them for each micro-batch."""
+    path, parts = scratch_path(spark, "arriving"), file_count(table(spark, d, "documents"))
+    _documents(spark, d, parts).write.parquet(path)
+    return spark.readStream.schema(DOC).option("maxFilesPerTrigger", -(-parts // 4)).parquet(path)
 
 
 def _drain(stream, label):

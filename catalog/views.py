@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from pairloom.sources.files import FileTable
 from pairloom.sources.read import open_table
 
 ID = "doc_id"
+FILE_BYTES = 64 << 20   # text in one file of a table that is written out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +49,17 @@ PREF = r"""pref AS (
   FROM (SELECT *, substr(text, length(split_part(text, chr(10), 1)) + 2) AS rest FROM documents))"""
 
 
-def sharded(df: DataFrame, key: str, label: str, parts: int = 4) -> FileTable:
+def file_count(df: DataFrame, least: int = 4) -> int:
+    """How many files a table is written to: at least `least`, and more as its texts grow, so that no task's share does."""
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)).cast("long") for name, kind in df.dtypes if kind == "string"]
+    total = df.agg(F.sum(reduce(lambda a, b: a + b, texts, F.lit(16)))).first()[0] or 0
+    return max(least, -(-total // FILE_BYTES))
+
+
+def sharded(df: DataFrame, key: str, label: str) -> FileTable:
     """A table written in key order over several files, and opened as a table of files."""
     path = scratch_path(df.sparkSession, label)
-    df.repartitionByRange(parts, key).sortWithinPartitions(key).write.parquet(path)
+    df.repartitionByRange(file_count(df), key).sortWithinPartitions(key).write.parquet(path)
     return open_table(df.sparkSession, path)
 
 
