@@ -19,6 +19,7 @@ def at(text):
 
 NOW = "2024-01-20 12:00:00"
 SQL_NOW = "TIMESTAMP '2024-01-20 12:00:00'"
+ROWS = 500_000   # events in one file of a stream, as far as lots are of equal size
 EVENT_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 # ---- listings ------------------------------------------------------------------------------------------
@@ -366,16 +367,26 @@ def unique_names_mixed(spark, d):
 # ---- streams -------------------------------------------------------------------------------------------
 
 def _stream(spark, d):
-    """Events arriving in four files of rising ids, one for each micro-batch: state is carried from one to the next.
+    """Events arriving in four lots of rising ids, one for each micro-batch: state is carried from one to the next.
 
-    Streams take the oldest file first, so the files are written one after the other.
+    Streams take the oldest files first, so the lots are written one after the other, each as the same number of files:
+    more as the table grows, and files without rows where a lot has too few rows for them.
     """
     path, events = scratch_path(spark, "events"), table(spark, d, "events")
-    last = events.agg(F.max("event_id")).first()[0] or 0
+    last, rows = events.agg(F.max("event_id"), F.count("*")).first()
+    files, last = max(1, -(-rows // (4 * ROWS))), last or 0
     for i in range(4):
         low, high = (last + 1) * i // 4, (last + 1) * (i + 1) // 4
-        events.where(F.col("event_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(EVENT_COLUMNS).option("maxFilesPerTrigger", 1).parquet(path)
+        lot = events.where(F.col("event_id").between(low, high - 1))
+        lot = lot.coalesce(1) if files == 1 else lot.repartition(files).sortWithinPartitions("event_id")
+        lot.write.mode("append").parquet(path)
+        for _ in range(files * (i + 1) - _files(spark, path)):
+            events.where(F.lit(False)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENT_COLUMNS).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _files(spark, path):
+    return spark.read.format("binaryFile").load(path).select("path").count()
 
 
 def _stream_points(spark, d):
