@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Fit: document frequencies of hashed words over the whole corpus; then a randomised SVD of TF-IDF passages by subspace
-iteration. The passages are those of a bounded sample of documents (`SAMPLE`, the first by a hash of their key) and all
-benchmark items, which weigh more so that the space covers what is searched for. Products with the passages run in tasks; the
-driver holds TERMS x rank numbers.
+iteration. The passages are those of all documents and all benchmark items, which weigh more so that the space covers what is
+searched for, in the same proportion to all documents however many they are (`EVEN`). Every round multiplies by every passage.
+Products with the passages run in tasks; the driver holds TERMS x rank numbers.
 
 Search: every text of the corpus, whole, is cut into blocks of words; windows of a few blocks that a benchmark item is near
 to by cosine are candidates. Products with items are additive over blocks, so all windows come from one product for each block.
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.scratch import Scratch
 from pairloom.llm.words import Powers, Slice, slices, words_of
 
 TERMS, RANK, EXTRA = 1 << 16, 96, 16
 SHARE = 512  # rows of a tall array that one group adds up
 SLAB = 4096  # rows of a tall array in double precision at once
-SAMPLE, PASSAGE = 2000, 64  # documents whose passages the space is fitted on; words of a passage
+EVEN, PASSAGE = 2000, 64  # documents that all of them weigh as, if they are more; words of a passage
+TASK, ROWS = 50_000, 32  # texts whose products a task adds up; passages multiplied at once
 MOST_ITEMS = 100_000  # bound of what is broadcast; more raise
 BLOCK, WINDOWS = 16, (2, 4)  # words of a block; blocks of a window
 NEAR = 0.42  # cosine of a candidate, as a share of an exact copy's; a leak has PART of the item at least
@@ -40,7 +40,7 @@ CAUGHT = 0.5  # share of an item's norm in the space; items with less are search
 COMMON = 0.1  # share of an item's squared norm, in its most common terms, that its lists leave out
 GROUP, LISTED = 1024, 1 << 19  # items compared at once; entries of their lists read at once
 WHOLE, PART, ANSWER = 0.7, 0.5, 0.8  # shares of an item, of an item with its answer, and of the answer
-WEIGHT = 3.0  # of an item beside a passage of the sample
+WEIGHT = 3.0  # of an item beside a passage of EVEN documents
 SMALL = 256 << 10
 
 
@@ -115,16 +115,27 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(found[TERMS]), found[:TERMS]
 
 
+def add_products(hashes: np.ndarray, begin: np.ndarray, weights: np.ndarray, x: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
+    """Add A'(A x) to `out` for the unit TF-IDF rows A of passages, of which row i has the words begin[i] to begin[i + 1]."""
+    place = np.zeros(TERMS, np.int64)
+    for first in range(0, len(begin) - 1, ROWS):
+        own = begin[first:first + ROWS + 1]
+        terms, rows = terms_of(hashes[own[0]:own[-1]]), np.repeat(np.arange(len(own) - 1), np.diff(own))
+        place[:] = 0
+        place[terms] = 1
+        ids = np.flatnonzero(place)
+        place[ids] = np.arange(len(ids))
+        tf = np.bincount(rows * len(ids) + place[terms], minlength=(len(own) - 1) * len(ids)).reshape(len(own) - 1, -1)
+        a = np.sqrt(tf).astype(np.float32) * weights[ids]
+        a *= scale / np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-30)[:, None]
+        out[ids] += a.T @ (a @ x[ids])
+
+
 def back_and_forth(words: list[np.ndarray], weights: np.ndarray, x: np.ndarray, scale: float = 1.0) -> np.ndarray:
     """A'(A x) for the unit TF-IDF rows A of passages, given as word hashes."""
     out = np.zeros_like(x)
-    for own in words:
-        terms, tf = np.unique(terms_of(own), return_counts=True)
-        row = (np.sqrt(tf) * weights[terms]).astype(np.float32)
-        norm = float(np.linalg.norm(row))
-        if norm:
-            row *= scale / norm
-            out[terms] += row[:, None] * (row @ x[terms])
+    if words:
+        add_products(np.concatenate(words), np.cumsum([0, *map(len, words)]), weights, x, out, scale)
     return out
 
 
@@ -146,9 +157,9 @@ def orthonormalise(x: np.ndarray) -> None:
         turn(x, vectors / np.sqrt(np.maximum(values, max(values[-1] * 1e-10, 1e-30))))
 
 
-def products(sample: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A'(A x) over the passages of the sample's whole texts, added up in tasks, a share of the rows each."""
-    shared = sample.sparkSession.sparkContext.broadcast((weights, x))
+def products(texts: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A'(A x) over the passages of whole texts, added up in tasks, a share of the rows each."""
+    shared = texts.sparkSession.sparkContext.broadcast((weights, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (weights, x), powers = shared.value, Powers()
@@ -156,8 +167,10 @@ def products(sample: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarra
         for batch in batches:
             for part in slices(batch.column(0)):
                 words = words_of(part, powers)
-                passages = [words.hashes[a:min(a + PASSAGE, words.begin[i + 1])] for i in range(part.count) for a in range(words.begin[i], words.begin[i + 1], PASSAGE)]
-                out += back_and_forth(passages, weights, x)
+                many = -(-np.diff(words.begin) // PASSAGE)
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                begin = np.append(np.repeat(words.begin[:-1], many) + PASSAGE * place, words.begin[-1])
+                add_products(words.hashes, begin, weights, x, out)
         for a in range(0, len(out), SHARE):
             yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([out[a:a + SHARE].astype("<f4").tobytes()], pa.binary())], ["first", "sums"])
 
@@ -166,7 +179,7 @@ def products(sample: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarra
         return pa.table({"first": part.column("first").slice(0, 1), "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
     total = np.zeros_like(x)
-    parts = sample.mapInArrow(run, "first long, sums binary").groupBy("first").applyInArrow(add, "first long, sums binary")
+    parts = texts.mapInArrow(run, "first long, sums binary").groupBy("first").applyInArrow(add, "first long, sums binary")
     for row in parts.toLocalIterator():  # a few rows of the array at a time
         own = np.frombuffer(row["sums"], "<f4").reshape(-1, x.shape[1])
         total[row["first"]:row["first"] + len(own)] = own
@@ -177,28 +190,28 @@ def products(sample: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarra
 def fit(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
         answer: str | None = None, rounds: int = 2, near: float = NEAR) -> Space:
     """The latent space of a corpus and a benchmark. Null texts are empty; an empty benchmark gives a space that finds nothing."""
-    scratch = Scratch(docs.sparkSession, "leaks")
     items = read_items(benchmark, item_key, item_text, answer)
     texts = docs.select(F.col(text).cast("string").alias("text"))
     n, df = document_frequencies(texts)
     weights = np.log((n + 1) / (df + 0.5)).clip(0.01).astype(np.float32)
-    order = F.xxhash64(F.col(key).cast("string"))
-    chosen = docs.where(F.col(key).isNotNull()).select(order.alias("h")).distinct().orderBy("h").limit(SAMPLE)
-    sample = docs.where(F.col(key).isNotNull()).withColumn("_h", order).join(F.broadcast(chosen.withColumnRenamed("h", "_h")), "_h", "left_semi")
-    sample = scratch.table(sample.select(F.col(text).cast("string").alias("text")), "sample").coalesce(4)
     own = [i.words for i in items]
     x = np.random.default_rng(0).standard_normal((TERMS, RANK + EXTRA), np.float32)
-    for i in range(rounds + 1):  # two tall arrays at a time
+    every = texts.coalesce(max(4, n // TASK))
+    for i in range(max(rounds, 1)):  # two tall arrays at a time
         if i:
             x = y
-            orthonormalise(x)
-        y = products(sample, weights, x)
+        orthonormalise(x)
+        y = products(every, weights, x)
+        y *= min(1.0, EVEN / max(n, 1))
         y += back_and_forth(own, weights, x, WEIGHT)
     _, vectors = np.linalg.eigh(gram(x, y))
-    del y
+    x = y
     turn(x, vectors[:, ::-1][:, :RANK])
+    x = x[:, :RANK]
+    del y
+    orthonormalise(x)
     basis = np.zeros((TERMS + 1, RANK), np.float32)  # the last row is that of no term
-    np.multiply(x[:, :RANK], weights[:, None], out=basis[:TERMS])
+    np.multiply(x, weights[:, None], out=basis[:TERMS])
     del x
     images = np.array([basis[terms_of(w)].sum(axis=0) for w in own], np.float32).reshape(len(own), RANK)
     length = np.linalg.norm(images, axis=1)
@@ -206,7 +219,6 @@ def fit(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     caught, rest = np.flatnonzero(share >= CAUGHT), np.flatnonzero(share < CAUGHT)
     images = (images / np.maximum(length * least_cosines(own, share, near), 1e-9)[:, None]).astype(np.float32)
     groups = term_lists(own, caught, weights, near, images[caught]) + term_lists(own, rest, weights, near, images[:0])
-    scratch.drop()
     return Space(items, np.append(weights, np.float32(0)), basis, groups)
 
 

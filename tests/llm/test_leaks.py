@@ -132,3 +132,21 @@ def test_lists_give_the_products_of_whole_rows(monkeypatch):
         row[ids] = tf * weights[ids].astype(float) ** 2
         row /= leaks.full_norm(own[i], weights) * leaks.least_cosines([own[i]], 1.0, 1.0)[0]
         assert np.allclose(got[:, place], row[padded].reshape(-1, leaks.BLOCK).sum(axis=1), rtol=1e-4)
+
+
+@pytest.mark.parametrize("bound", ["SAMPLE", "EVEN"])
+def test_the_space_is_fitted_on_every_text(table, monkeypatch, bound):
+    """It captures what all documents hold, though one of them is all that a sample would take or that they weigh as."""
+    monkeypatch.setattr(leaks, bound, 1, raising=False)
+    rng = np.random.default_rng(0)
+    topics = [[word(10 ** 6 * t + j) for j in range(40)] for t in range(20)]
+    docs = [(i, " ".join(topics[i % 20][j] for j in rng.integers(0, 40, 64)), 1, "x") for i in range(400)]
+    monkeypatch.setattr(leaks, "WEIGHT", 0.0)  # no item helps
+    space = leaks.fit(table(docs, DOCS), table([(1, text(7, 30) + ".")], "item_id long, text string"))
+    basis = space.basis[:-1] / np.maximum(space.weights[:-1, None], 1e-9)
+    rows = np.zeros((len(docs), leaks.TERMS))
+    for i, w in enumerate(leaks.text_words([d[1] for d in docs])):
+        np.add.at(rows[i], leaks.terms_of(w), 1)
+    rows = np.sqrt(rows) * space.weights[:-1]
+    caught = np.linalg.norm(rows @ basis, axis=1) / np.linalg.norm(rows, axis=1)
+    assert caught.mean() > 0.85
