@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ from pairloom.functions.templates import RowFormatter, from_columns, plain, reas
 from pairloom.operators.messages import NO_ASSISTANT, NO_USER
 
 Renderer = Callable[..., str]
+PIECE = 2 << 20   # bytes of rows that Python holds as objects at once
 
 NEEDS_RENDERER = "The row uses tools; pass the target model's renderer to flatten it"
 
@@ -293,6 +295,14 @@ def audit_report(df: DataFrame, renderer: Renderer) -> DataFrame:
 
 # ---- formatting by the template --------------------------------------------------------------------
 
+def pieces(columns: tuple[pa.Array, ...], size: int = PIECE) -> Iterator[list[pa.Array]]:
+    """Consecutive rows of an Arrow batch, of about `size` bytes at a time: Python holds no more of them as objects."""
+    rows = len(columns[0])
+    step = max(1, int(size * rows / max(sum(c.nbytes for c in columns), 1)))
+    for i in range(0, rows, step):
+        yield [c.slice(i, step) for c in columns]
+
+
 def _attempt(render: Renderer, turns: list[tuple[str, str]], **options: Any) -> str | None:
     """The rendered chat, None where the template refuses it."""
     try:
@@ -327,11 +337,14 @@ def template_formatter(renderer: Renderer, enable_thinking: bool = True, auto_de
     if on_mismatch not in ("slice", "quarantine"):
         raise ValueError("on_mismatch is 'slice' or 'quarantine'")
 
-    @F.pandas_udf("prompt string, answers array<string>, cut_off boolean")
-    def rendered(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for system, prompt, thinking, answers in batches:
-            rows = [_by_template(renderer, s, p, bool(t), list(a)) for s, p, t, a in zip(system, prompt, thinking, answers, strict=True)]
-            yield pd.DataFrame(rows, columns=["prompt", "answers", "cut_off"])
+    shape = pa.struct([("prompt", pa.string()), ("answers", pa.list_(pa.string())), ("cut_off", pa.bool_())])
+
+    @F.arrow_udf("prompt string, answers array<string>, cut_off boolean")
+    def rendered(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            for part in pieces(columns):
+                rows = [_by_template(renderer, s, p, bool(t), a) for s, p, t, a in zip(*(c.to_pylist() for c in part), strict=True)]
+                yield pa.array(rows, shape)
 
     def apply(df: DataFrame) -> DataFrame:
         r = row_texts(df.columns)
@@ -350,12 +363,16 @@ def template_formatter(renderer: Renderer, enable_thinking: bool = True, auto_de
 
 
 def batch_formatter(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> RowFormatter:
-    """A formatter of your own in Python: `fn` maps a batch of input columns to prompt, chosen, rejected."""
-    @F.pandas_udf("prompt string, chosen string, rejected string")
-    def formatted(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """A formatter of your own in Python: `fn` maps a batch of input columns, a few megabytes of rows, to prompt, chosen, rejected."""
+    names = ["prompt", "chosen", "rejected"]
+    shape = pa.schema([(n, pa.string()) for n in names])
+
+    @F.arrow_udf("prompt string, chosen string, rejected string")
+    def formatted(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
-            batch = pd.concat(columns, axis=1, keys=["system", "prompt", "chosen", "rejected", "reasoning"])
-            yield fn(batch)[["prompt", "chosen", "rejected"]]
+            for part in pieces(columns):
+                batch = pd.concat([c.to_pandas() for c in part], axis=1, keys=["system", "prompt", "chosen", "rejected", "reasoning"])
+                yield pa.RecordBatch.from_pandas(fn(batch)[names], shape, preserve_index=False).to_struct_array()
 
     def apply(df: DataFrame) -> DataFrame:
         r = row_texts(df.columns)
