@@ -38,12 +38,21 @@ def letter_table() -> np.ndarray:
     return table
 
 
+class Vectors:
+    """Bound vectors of trigrams, as rows of +1 and -1: those of their first two letters are kept, the third is bound on demand."""
+
+    def __init__(self, dim: int):
+        bits = mix(np.arange(CODES * dim, dtype=np.uint64) + np.uint64(0x5EED)) >> np.uint64(63)
+        self.letters = (bits.astype(np.int8) * 2 - 1).reshape(CODES, dim)
+        self.pairs = (np.roll(self.letters, 2, axis=1)[:, None, :] * np.roll(self.letters, 1, axis=1)[None, :, :]).reshape(CODES ** 2, dim)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return self.pairs[grams // CODES] * self.letters[grams % CODES]
+
+
 def trigram_vectors(dim: int) -> np.ndarray:
-    """Bound vectors of all trigrams, as rows of +1 and -1."""
-    bits = mix(np.arange(CODES * dim, dtype=np.uint64) + np.uint64(0x5EED)) >> np.uint64(63)
-    letters = (bits.astype(np.int8) * 2 - 1).reshape(CODES, dim)
-    pairs = np.roll(letters, 2, axis=1)[:, None, :] * np.roll(letters, 1, axis=1)[None, :, :]
-    return (pairs[:, :, None, :] * letters[None, None, :, :]).reshape(CODES ** 3, dim)
+    """Bound vectors of all trigrams."""
+    return Vectors(dim).of(np.arange(CODES ** 3))
 
 
 class Trigrams:
@@ -95,13 +104,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(ids), pa.array(found[ids])], ["lang", "gram", "n"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, sums = trigram_vectors(dim), {}
+        vectors, sums = Vectors(dim), {}
         for batch in batches:
             names, gram, n = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for name in set(names):
                 for i in range(0, len(names), 8192):
                     mine = names[i:i + 8192] == name
-                    sums[name] = sums.get(name, 0) + n[i:i + 8192][mine].astype(float) @ vectors[gram[i:i + 8192][mine]].astype(float)
+                    sums[name] = sums.get(name, 0) + n[i:i + 8192][mine].astype(float) @ vectors.of(gram[i:i + 8192][mine]).astype(float)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "vector"])
 
@@ -129,7 +138,7 @@ def predict(docs: DataFrame, model: Prototypes, text: str = "text", into: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, prototypes = shared.value
-        finder, vectors = Trigrams(), trigram_vectors(prototypes.shape[1])
+        finder, vectors = Trigrams(), Vectors(prototypes.shape[1])
         prototypes = prototypes.astype(np.float32)
         for batch in batches:
             names, scores = [NONE] * len(batch), np.zeros(len(batch))
@@ -139,7 +148,7 @@ def predict(docs: DataFrame, model: Prototypes, text: str = "text", into: tuple[
                 for i in np.flatnonzero(letters):
                     counts = np.bincount(grams[begin[i]:begin[i + 1]], minlength=CODES ** 3)
                     ids = np.flatnonzero(counts)
-                    bundle = sum(counts[own].astype(np.float32) @ vectors[own].astype(np.float32) for own in np.split(ids, range(PIECE, len(ids), PIECE)))
+                    bundle = sum(counts[own].astype(np.float32) @ vectors.of(own).astype(np.float32) for own in np.split(ids, range(PIECE, len(ids), PIECE)))
                     cosines = prototypes @ bundle / max(float(np.linalg.norm(bundle)), 1e-9)
                     best = int(np.argmax(cosines))
                     names[part.first + i], scores[part.first + i] = languages[best], min(max(float(cosines[best]), 0.0), 1.0)
