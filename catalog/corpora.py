@@ -44,7 +44,7 @@ def _arrays(spark, d, label, opening, closing):
 
 
 def _placed(df):
-    return number_rows(df, "_ord", into="position").select(F.col(ID).cast("long").alias(ID), "position", "text")
+    return number_rows(df.select(F.col(ID).cast("long").alias(ID), "text", "_ord"), "_ord", into="position").select(ID, "position", "text")
 
 
 @query("read_json_lines", _PLACED)
