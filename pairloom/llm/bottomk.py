@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
 from pairloom.llm.scratch import Scratch, cut_lineage
-from pairloom.llm.words import Powers, shingles_of, slices, words_of
+from pairloom.llm.words import Powers, shingles_of, slices, tidy, words_of
 from pairloom.session import small_side
 
 K = 64
@@ -53,6 +53,7 @@ def longs(lists: list[np.ndarray]) -> pa.ListArray:
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, k: int = K) -> DataFrame:
     """(id, n, hi, lo, sketch): set size, 128-bit digest of the set, and its k smallest hashes."""
+    @tidy
     def run(batches):
         for batch, part, sets in sets_of(batches, width):
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -68,6 +69,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, values) with all shingle hashes, for docs (id, text)."""
+    @tidy
     def run(batches):
         for batch, part, sets in sets_of(batches, width):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.count), longs(sets)], ["id", "values"])
@@ -130,6 +132,7 @@ class Linker:
         side = lambda end: self.classes.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), high.alias(f"s_{end}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(near(F.col("n_a"), F.col("n_b"), self.percent))
 
+        @tidy
         def run(batches):
             for batch in batches:
                 for i in range(0, len(batch), 2048):

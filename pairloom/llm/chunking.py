@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.scratch import Scratch, cut_lineage
-from pairloom.llm.words import BASE, BLANK, Powers, Slice, mix, randoms, slices
+from pairloom.llm.words import BASE, BLANK, Powers, Slice, mix, randoms, slices, tidy
 
 WINDOW = 16
 LEAST, MOST = 16, 512  # bytes between boundaries
@@ -86,6 +86,7 @@ def chunk_rows(texts: DataFrame, keep=None) -> DataFrame:
     """(id, version, seq, start, length, hi, lo) for texts (id, version, text); `keep` is a filter over digests."""
     kind = texts.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, allowed = Powers(), keep.value if keep else None
         for batch in batches:
@@ -110,6 +111,7 @@ def digest_filter(digests: DataFrame, count: int):
     if bits > FILTER_BITS:
         return None
 
+    @tidy
     def run(batches):  # each task sets its bits; the driver gets bit positions as one small table for each task
         table = np.zeros(bits // 8, np.uint8)
         for batch in batches:
@@ -155,6 +157,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         "_id", "_hits", *[F.col(f"row.`{c}`").alias(c) for c in kept])
     kind = docs.schema[key].dataType.simpleString()
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, own = batch.column(1), batch.columns[2:]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.words import Slice, mix, slices
+from pairloom.llm.words import Slice, mix, slices, tidy
 
 DIM = 1024
 CODES = 40  # 0 stands between words, 1-26 are a-z, the rest share all other letters
@@ -86,6 +86,7 @@ class Prototypes:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM) -> Prototypes:
     """Prototypes from all rows of `docs` whose `lang` is not null; null and empty texts add nothing."""
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, sums = Trigrams(), {}
         for batch in batches:
@@ -103,6 +104,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
             ids = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(ids), pa.array(found[ids])], ["lang", "gram", "n"])
 
+    @tidy
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, sums = Vectors(dim), {}
         for batch in batches:
@@ -136,6 +138,7 @@ def predict(docs: DataFrame, model: Prototypes, text: str = "text", into: tuple[
     at = kept.index(text)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.vectors))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, prototypes = shared.value
         finder, vectors = Trigrams(), Vectors(prototypes.shape[1])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.scratch import Scratch, cut_lineage
-from pairloom.llm.words import Powers, Words, slices, words_of
+from pairloom.llm.words import Powers, Words, slices, tidy, words_of
 
 END = 0
 KNOWN = 1 << 20  # chunks remembered in a task before its memory is cleared
@@ -168,6 +168,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, length: int = 2
         checked(tokenizer)
     kind = docs.schema[key].dataType
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, powers = ChunkEncoder(path), Powers()
         for batch in batches:
@@ -254,6 +255,7 @@ def ranked(pieces: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     others = [F.col(c) for c in pieces.columns if c != "length"]
     at = pieces.columns.index("length")
 
+    @tidy
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = -1, 0
         for batch in batches:
@@ -301,6 +303,7 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
     shared = spark.sparkContext.broadcast((keys, *(plan[c].to_numpy() for c in ("rank", "sequence", "offset"))))
     at, names = {c: i for i, c in enumerate([*placed.columns, "before"])}, pieces.columns
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, sequence, offset = shared.value
         for batch in batches:

@@ -6,7 +6,9 @@ random byte values modulo 2**64, computed for all words of a slice at once from
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +19,24 @@ U = np.uint64
 SLICE = 512 << 10  # bytes handled at once, some 20 MB of arrays; a longer text makes a slice of its own
 
 
+def release() -> None:
+    """Give freed memory back to the system, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that releases its memory at the end: Python workers live on, and what they keep counts with their executor."""
+    @wraps(run)
+    def run_tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return run_tidy
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values (a bijection)."""
     x = x ^ (x >> U(30))
