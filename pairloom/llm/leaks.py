@@ -2,8 +2,8 @@
 
 Fit: document frequencies of hashed words over the whole corpus; then a randomised SVD of TF-IDF passages by subspace
 iteration. The passages are those of all documents and all benchmark items, which weigh more so that the space covers what is
-searched for, in the same proportion to all documents however many they are (`EVEN`). Every round multiplies by every passage.
-Products with the passages run in tasks; the driver holds TERMS x rank numbers.
+searched for, in the same proportion to all documents however many they are (`EVEN`). Every round multiplies by every passage,
+from a table of all texts' terms, which is written once. Products with the passages run in tasks; the driver holds TERMS x rank numbers.
 
 Search: every text of the corpus, whole, is cut into blocks of words; windows of a few blocks that a benchmark item is near
 to by cosine are candidates. Products with items are additive over blocks, so all windows come from one product for each block.
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.words import Powers, Slice, slices, words_of
+from pairloom.llm.scratch import Scratch
+from pairloom.llm.words import Powers, Slice, slices, tidy, words_of
 
 TERMS, RANK, EXTRA = 1 << 16, 96, 16
 SHARE = 512  # rows of a tall array that one group adds up
 SLAB = 4096  # rows of a tall array in double precision at once
 EVEN, PASSAGE = 2000, 64  # documents that all of them weigh as, if they are more; words of a passage
-TASK, ROWS = 50_000, 32  # texts whose products a task adds up; passages multiplied at once
+TASK = 50_000  # texts whose products a task adds up
+MANY, OFTEN, ROWS = 512, 512, 16  # passages whose first, most frequent terms are multiplied at once; passages whose other terms are
 MOST_ITEMS = 100_000  # bound of what is broadcast; more raise
 BLOCK, WINDOWS = 16, (2, 4)  # words of a block; blocks of a window
 NEAR = 0.42  # cosine of a candidate, as a share of an exact copy's; a leak has PART of the item at least
@@ -41,7 +43,7 @@ COMMON = 0.1  # share of an item's squared norm, in its most common terms, that
 GROUP, LISTED = 1024, 1 << 19  # items compared at once; entries of their lists read at once
 WHOLE, PART, ANSWER = 0.7, 0.5, 0.8  # shares of an item, of an item with its answer, and of the answer
 WEIGHT = 3.0  # of an item beside a passage of EVEN documents
-SMALL = 256 << 10
+SMALL, TAKEN = 128 << 10, 1024  # bytes of text searched at once, and words whose rows are added up at once: they fit a core's cache
 
 
 def text_words(texts: list[str]) -> list[np.ndarray]:
@@ -95,47 +97,98 @@ def read_items(benchmark: DataFrame, key: str, text: str, answer: str | None) ->
     return [Item(r["key"], words, own) for r, words, own in found if len(words)]
 
 
-def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of texts, and how many have each term, over all rows."""
+def term_table(texts: DataFrame) -> DataFrame:
+    """The terms of each text's words, in order, as two bytes each; null texts have none."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, total, n = Powers(), np.zeros(TERMS, np.int64), 0
+        powers = Powers()
         for batch in batches:
-            for part in slices(batch.column(0)):
+            parts = []
+            for part in slices(batch.column(0), SMALL):
                 words = words_of(part, powers)
-                text = np.repeat(np.arange(part.count), np.diff(words.begin))
-                once = np.unique(text * TERMS + terms_of(words.hashes))
-                total += np.bincount(once % TERMS, minlength=TERMS)
-                n += part.count
+                ends, terms = (2 * words.begin).astype(np.int32), terms_of(words.hashes).astype("<u2")
+                parts.append(pa.Array.from_buffers(pa.binary(), part.count, [None, pa.py_buffer(ends), pa.py_buffer(terms)]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(parts)], ["terms"])
+
+    return texts.mapInArrow(run, "terms binary")
+
+
+def read_terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the texts of a batch of `term_table`, and where each text's begin."""
+    column = batch.column(0).cast(pa.large_binary())
+    begin = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] // 2
+    return np.frombuffer(column.buffers()[2] or b"", "<u2"), begin
+
+
+def term_counts(terms: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) by row and term, for fewer than 65,536 rows of so many terms each."""
+    keys = np.sort(np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes) * np.uint32(TERMS) + terms.astype(np.uint32))
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    keys = keys[first].astype(np.intp)
+    return keys // TERMS, keys % TERMS, np.diff(np.append(first, len(new)))
+
+
+def document_frequencies(terms: DataFrame) -> np.ndarray:
+    """How many texts have each term, over all rows of `term_table`."""
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TERMS, np.int64)
+        for batch in batches:
+            found, begin = read_terms(batch)
+            for first in range(0, len(begin) - 1, MANY):
+                own = begin[first:first + MANY + 1]
+                total += np.bincount(term_counts(found[own[0]:own[-1]], np.diff(own))[1], minlength=TERMS)
         ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, TERMS)), pa.array(np.append(total[ids], n))], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["term", "n"])
 
-    found = np.zeros(TERMS + 1, np.int64)
-    for row in texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 1 rows at most
+    found = np.zeros(TERMS, np.int64)
+    for row in terms.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS rows at most
         found[row["term"]] = row["n"]
-    return int(found[TERMS]), found[:TERMS]
-
-
-def add_products(hashes: np.ndarray, begin: np.ndarray, weights: np.ndarray, x: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
-    """Add A'(A x) to `out` for the unit TF-IDF rows A of passages, of which row i has the words begin[i] to begin[i + 1]."""
-    place = np.zeros(TERMS, np.int64)
-    for first in range(0, len(begin) - 1, ROWS):
-        own = begin[first:first + ROWS + 1]
-        terms, rows = terms_of(hashes[own[0]:own[-1]]), np.repeat(np.arange(len(own) - 1), np.diff(own))
-        place[:] = 0
-        place[terms] = 1
-        ids = np.flatnonzero(place)
-        place[ids] = np.arange(len(ids))
-        tf = np.bincount(rows * len(ids) + place[terms], minlength=(len(own) - 1) * len(ids)).reshape(len(own) - 1, -1)
-        a = np.sqrt(tf).astype(np.float32) * weights[ids]
-        a *= scale / np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-30)[:, None]
-        out[ids] += a.T @ (a @ x[ids])
-
-
-def back_and_forth(words: list[np.ndarray], weights: np.ndarray, x: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    """A'(A x) for the unit TF-IDF rows A of passages, given as word hashes."""
+    return found
+
+
+def add_products(terms: np.ndarray, begin: np.ndarray, weights: np.ndarray, x: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
+    """Add A'(A x) to `out` for the unit TF-IDF rows A of passages, of which row i has the terms begin[i] to begin[i + 1].
+
+    Any order of terms gives the same sums; it is fast if the first OFTEN terms are the most frequent ones.
+    """
+    place = np.zeros(TERMS, np.intp)
+    for first in range(0, len(begin) - 1, MANY):
+        own = begin[first:first + MANY + 1]
+        many = len(own) - 1
+        row, term, tf = term_counts(terms[own[0]:own[-1]], np.diff(own))
+        value = np.sqrt(tf, dtype=np.float32) * weights[term]
+        value *= (scale / np.maximum(np.sqrt(np.bincount(row, value * value, many)), 1e-30)).astype(np.float32)[row]
+        often = term < OFTEN
+        dense = np.zeros((many, OFTEN), np.float32)
+        dense[row[often], term[often]] = value[often]
+        ax = dense @ x[:OFTEN]
+        row, term, value = row[~often], term[~often], value[~often]
+        cut = np.searchsorted(row, np.arange(0, many + ROWS, ROWS)).tolist()
+        for i, (a, b) in enumerate(zip(cut, cut[1:])):
+            ids, count = term[a:b], np.arange(b - a)
+            place[ids] = count
+            ids = ids[place[ids] == count]  # each term once
+            place[ids] = count[:len(ids)]
+            part = ax[i * ROWS:(i + 1) * ROWS]
+            rest = np.zeros((len(part), len(ids)), np.float32)
+            rest[row[a:b] - i * ROWS, place[term[a:b]]] = value[a:b]
+            part += rest @ x.take(ids, axis=0)
+            sums = out.take(ids, axis=0)
+            sums += rest.T @ part
+            out[ids] = sums
+        out[:OFTEN] += dense.T @ ax
+
+
+def back_and_forth(words: list[np.ndarray], weights: np.ndarray, x: np.ndarray, scale: float = 1.0, rank: np.ndarray | None = None) -> np.ndarray:
+    """A'(A x) for the unit TF-IDF rows A of passages, given as word hashes; `rank`: the row of each term, if not its own number."""
     out = np.zeros_like(x)
     if words:
-        add_products(np.concatenate(words), np.cumsum([0, *map(len, words)]), weights, x, out, scale)
+        terms = terms_of(np.concatenate(words))
+        add_products(terms if rank is None else rank[terms], np.cumsum([0, *map(len, words)]), weights, x, out, scale)
     return out
 
 
@@ -157,20 +210,19 @@ def orthonormalise(x: np.ndarray) -> None:
         turn(x, vectors / np.sqrt(np.maximum(values, max(values[-1] * 1e-10, 1e-30))))
 
 
-def products(texts: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A'(A x) over the passages of whole texts, added up in tasks, a share of the rows each."""
-    shared = texts.sparkSession.sparkContext.broadcast((weights, x))
+def products(terms: DataFrame, rank: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A'(A x) over the passages of whole texts, given as `term_table`, added up in tasks, a share of the rows each; term t is row rank[t] of all arrays."""
+    shared = terms.sparkSession.sparkContext.broadcast((rank, weights, x))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (weights, x), powers = shared.value, Powers()
+        rank, weights, x = shared.value
         out = np.zeros_like(x)
         for batch in batches:
-            for part in slices(batch.column(0)):
-                words = words_of(part, powers)
-                many = -(-np.diff(words.begin) // PASSAGE)
-                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                begin = np.append(np.repeat(words.begin[:-1], many) + PASSAGE * place, words.begin[-1])
-                add_products(words.hashes, begin, weights, x, out)
+            found, begin = read_terms(batch)
+            many = -(-np.diff(begin) // PASSAGE)
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            add_products(rank[found], np.append(np.repeat(begin[:-1], many) + PASSAGE * place, begin[-1]), weights, x, out)
         for a in range(0, len(out), SHARE):
             yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([out[a:a + SHARE].astype("<f4").tobytes()], pa.binary())], ["first", "sums"])
 
@@ -179,7 +231,7 @@ def products(texts: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarray
         return pa.table({"first": part.column("first").slice(0, 1), "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
     total = np.zeros_like(x)
-    parts = texts.mapInArrow(run, "first long, sums binary").groupBy("first").applyInArrow(add, "first long, sums binary")
+    parts = terms.mapInArrow(run, "first long, sums binary").groupBy("first").applyInArrow(add, "first long, sums binary")
     for row in parts.toLocalIterator():  # a few rows of the array at a time
         own = np.frombuffer(row["sums"], "<f4").reshape(-1, x.shape[1])
         total[row["first"]:row["first"] + len(own)] = own
@@ -191,19 +243,24 @@ def fit(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         answer: str | None = None, rounds: int = 2, near: float = NEAR) -> Space:
     """The latent space of a corpus and a benchmark. Null texts are empty; an empty benchmark gives a space that finds nothing."""
     items = read_items(benchmark, item_key, item_text, answer)
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-    n, df = document_frequencies(texts)
+    scratch = Scratch(docs.sparkSession, "leaks")
+    every = scratch.table(term_table(docs.select(F.col(text).cast("string").alias("text"))), "terms")
+    n = every.count()
+    every = every.coalesce(max(4, n // TASK))
+    df = document_frequencies(every)
     weights = np.log((n + 1) / (df + 0.5)).clip(0.01).astype(np.float32)
     own = [i.words for i in items]
-    x = np.random.default_rng(0).standard_normal((TERMS, RANK + EXTRA), np.float32)
-    every = texts.coalesce(max(4, n // TASK))
+    order = np.argsort(weights, kind="stable")  # rows of the tall arrays: frequent terms come first
+    rank, ranked = np.argsort(order).astype(np.uint16), weights[order]
+    x = np.random.default_rng(0).standard_normal((TERMS, RANK + EXTRA), np.float32)[order]
     for i in range(max(rounds, 1)):  # two tall arrays at a time
         if i:
             x = y
         orthonormalise(x)
-        y = products(every, weights, x)
+        y = products(every, rank, ranked, x)
         y *= min(1.0, EVEN / max(n, 1))
-        y += back_and_forth(own, weights, x, WEIGHT)
+        y += back_and_forth(own, ranked, x, WEIGHT, rank)
+    scratch.drop("terms")
     _, vectors = np.linalg.eigh(gram(x, y))
     x = y
     turn(x, vectors[:, ::-1][:, :RANK])
@@ -211,7 +268,8 @@ def fit(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     del y
     orthonormalise(x)
     basis = np.zeros((TERMS + 1, RANK), np.float32)  # the last row is that of no term
-    np.multiply(x, weights[:, None], out=basis[:TERMS])
+    x *= ranked[:, None]
+    basis[order] = x
     del x
     images = np.array([basis[terms_of(w)].sum(axis=0) for w in own], np.float32).reshape(len(own), RANK)
     length = np.linalg.norm(images, axis=1)
@@ -299,27 +357,54 @@ def candidates(space: Space, terms: np.ndarray, begin: np.ndarray) -> tuple[np.n
     padded = np.full(len(text) * BLOCK, TERMS)
     padded[place] = terms
     norms = (space.weights[padded] ** 2).reshape(-1, BLOCK).sum(axis=1)
-    sums = space.basis[padded].reshape(len(text), BLOCK, -1).sum(axis=1) if any(len(g.images) for g in space.groups) else None
+    sums = block_sums(space.basis, padded) if any(len(g.images) for g in space.groups) else None
     found = []
     for group in space.groups:
-        dots = [sums @ group.images.T] if len(group.images) else []
-        found.append(near_windows([*dots, listed_dots(group, padded)], group.items, norms, text))
+        if len(group.images):  # the lists have only to confirm what the space finds
+            near = near_windows(sums @ group.images.T, norms, text)
+            block, item, size = (x[listed_near(group, padded, norms, text, *near)] for x in near)
+        else:
+            block, item, size = near_windows(listed_dots(group, padded), norms, text)
+        found.append((block, group.items[item], size))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def near_windows(dots: list[np.ndarray], items: np.ndarray, norms: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that are near to an item by each of the products of blocks with items."""
-    found, totals, square = [], [d.copy() for d in dots], norms.copy()
+def block_sums(basis: np.ndarray, padded: np.ndarray) -> np.ndarray:
+    """Sums of the rows of `basis` over blocks of terms."""
+    out, step = np.empty((len(padded) // BLOCK, basis.shape[1]), basis.dtype), TAKEN // BLOCK
+    for i in range(0, len(out), step):
+        rows = basis.take(padded[i * BLOCK:(i + step) * BLOCK], axis=0)
+        np.add.reduce(rows.reshape(-1, BLOCK, basis.shape[1]), axis=1, out=out[i:i + step])
+    return out
+
+
+def listed_near(group: Group, padded: np.ndarray, norms: np.ndarray, text: np.ndarray, block: np.ndarray, item: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether windows of `size` blocks from `block` are near to the group's `item` by the lists too, which are read for these windows' blocks only."""
+    last = np.searchsorted(text, text[block], side="right")  # behind the text's last block
+    steps = [(block + j, np.flatnonzero((j < size) & (block + j < last))) for j in range(max(WINDOWS))]
+    wanted = np.zeros(len(text), bool)
+    for at, held in steps:
+        wanted[at[held]] = True
+    dots, place = listed_dots(group, padded.reshape(-1, BLOCK)[wanted].reshape(-1)), np.cumsum(wanted) - 1
+    total, square = np.zeros(len(block), np.float32), np.zeros(len(block), np.float32)
+    for at, held in steps:
+        total[held] += dots[place[at[held]], item[held]]
+        square[held] += norms[at[held]]
+    return total >= np.sqrt(square)
+
+
+def near_windows(dots: np.ndarray, norms: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, item, blocks of the window) of the windows that are near to an item by the products of blocks with items."""
+    found, total, square = [], dots.copy(), norms.copy()
     for j in range(1, max(WINDOWS) + 1):
         if j in WINDOWS:
             least = np.sqrt(square)
-            rows = np.flatnonzero(np.logical_and.reduce([t.max(axis=1) >= least for t in totals]))
-            at, item = np.nonzero(np.logical_and.reduce([t[rows] >= least[rows, None] for t in totals]))
-            found.append((rows[at], items[item], np.full(len(at), j)))
+            rows = np.flatnonzero(total.max(axis=1) >= least)
+            at, item = np.nonzero(total[rows] >= least[rows, None])
+            found.append((rows[at], item, np.full(len(at), j)))
         if j < max(WINDOWS):
             same = (text[j:] == text[:-j]).astype(np.float32)
-            for t, d in zip(totals, dots):
-                t[:-j] += same[:, None] * d[j:]
+            total[:-j] += same[:, None] * dots[j:]
             square[:-j] += same * norms[j:]
     return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -348,6 +433,7 @@ def search(docs: DataFrame, space: Space, text: str = "text", into: str = "leaks
     kind = keys.type if len(space.items) else pa.int64()
     row = pa.list_(pa.struct([("item", kind), ("share", pa.float64()), ("answer", pa.float64()), ("word", pa.int64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, *rest, groups = shared.value
         space, powers = Space([Item(*i) for i in items], *rest, [Group(*g) for g in groups]), Powers()

@@ -150,3 +150,42 @@ def test_the_space_is_fitted_on_every_text(table, monkeypatch, bound):
     rows = np.sqrt(rows) * space.weights[:-1]
     caught = np.linalg.norm(rows @ basis, axis=1) / np.linalg.norm(rows, axis=1)
     assert caught.mean() > 0.85
+
+
+def test_products_of_all_passages_come_from_the_table_of_terms(table, monkeypatch):
+    """Texts are cut into words once; the rounds multiply by the passages of the table, in any order of terms."""
+    monkeypatch.setattr(leaks, "MANY", 3)
+    monkeypatch.setattr(leaks, "OFTEN", 5000)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(word(int(i)) for i in rng.integers(0, 90, n)) for n in (0, 1, 64, 65, 300, 7, 130)] + [None]
+    terms = leaks.term_table(table([(t,) for t in texts], "text string"))
+    words = [w.astype(int) for w in map(leaks.terms_of, leaks.text_words([t or "" for t in texts]))]
+    assert sorted(bytes(r["terms"]) for r in terms.collect()) == sorted(w.astype("<u2").tobytes() for w in words)
+    df = np.zeros(leaks.TERMS, int)
+    for w in words:
+        df[np.unique(w)] += 1
+    assert (leaks.document_frequencies(terms) == df).all()
+    weights, x = rng.random(leaks.TERMS).astype(np.float32), rng.random((leaks.TERMS, 3)).astype(np.float32)
+    want = np.zeros_like(x)
+    for w in words:
+        for i in range(0, len(w), leaks.PASSAGE):
+            a = np.sqrt(np.bincount(w[i:i + leaks.PASSAGE], minlength=leaks.TERMS)) * weights
+            a /= np.linalg.norm(a)
+            want += np.outer(a, a @ x)
+    order = rng.permutation(leaks.TERMS)
+    got = leaks.products(terms, np.argsort(order).astype(np.uint16), weights[order], x[order])
+    assert np.allclose(got, want[order], atol=1e-4)
+
+
+def test_windows_near_by_lists_are_those_of_all_products():
+    rng = np.random.default_rng(1)
+    own = [rng.integers(0, 2 ** 63, 40).astype(np.uint64) for _ in range(5)]
+    weights = np.append(rng.random(leaks.TERMS), 0).astype(np.float32)
+    (group,) = leaks.term_lists(own, np.arange(5), weights[:-1], 0.2, np.zeros((0, 3)))
+    padded = np.concatenate([rng.permutation(leaks.terms_of(own[i % 5]))[:32] for i in range(20)])
+    text = np.repeat(np.arange(8), [1, 9, 2, 3, 5, 4, 15, 1])
+    norms = (weights[padded] ** 2).reshape(-1, leaks.BLOCK).sum(axis=1)
+    found = set(zip(*(x.tolist() for x in leaks.near_windows(leaks.listed_dots(group, padded), norms, text))))
+    every = np.array([(b, i, j) for b in range(len(text)) for i in range(5) for j in leaks.WINDOWS])
+    near = leaks.listed_near(group, padded, norms, text, *every.T)
+    assert found == set(map(tuple, every[near].tolist())) and 0 < len(found) < len(every)
