@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
-from pairloom.llm.scratch import Scratch, cut_lineage
+from pairloom.llm.scratch import Scratch, cut_lineage, release
 from pairloom.llm.words import Powers, shingles_of, slices, tidy, words_of
 from pairloom.session import small_side
 
@@ -123,7 +123,9 @@ class Linker:
         central = F.aggregate("common", F.lit(0.0), lambda s, x: s + F.log2(x["c"].cast("double")))
         lists = self.scratch.table(whole.select("id", central.alias("central"), F.explode(first["value"]).alias("value")), "lists")
         counts = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
-        return self.scratch.table(lists.join(counts, "value"), "members")
+        members = self.scratch.table(lists.join(counts, "value"), "members")
+        self.scratch.drop("lists")
+        return members
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Of proposals (a, b), those whose estimate is high enough: (a, b, est)."""
@@ -202,6 +204,11 @@ class Linker:
 
         return rows.groupBy("cluster", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
+    def free(self, name: str) -> None:
+        """Remove the table `name`, and the files of shuffles that went before."""
+        self.scratch.drop(name)
+        release(self.scratch.spark)
+
     def links(self) -> DataFrame:
         """Components of the representatives: (node, component)."""
         members = self.lists()
@@ -211,15 +218,18 @@ class Linker:
         proposed = self.likely(proposed)
         links = self.confirmed(proposed, self.sets(proposed.select(F.explode(F.array("a", "b")).alias("id")), "proposed"))
         groups = components(links)
+        self.free("proposed")
         # Short lists: every pair that is still apart.
         sizes = members.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
         members = self.scratch.table(members.join(sizes, "value"), "sized")
+        self.scratch.drop("members")
         left = self.apart(members.where((F.col("id") != F.col("hub")) & (F.col("m") <= SHORT)).select("value", "id"), groups, "id")
         other = left.select("value", F.col("id").alias("b"), F.col("c_id").alias("c_b"))
         pairs = left.withColumnRenamed("id", "a").join(other, "value").where("a < b and c_id <> c_b").select("a", "b").distinct()
         pairs = self.likely(pairs)
-        links = cut_lineage(links.unionByName(self.confirmed(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), "short"))))
+        links = links.unionByName(self.confirmed(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), "short")))
         groups = components(links)
+        self.free("short")
         # Long lists that are still open.
         left = self.apart(members.where((F.col("id") != F.col("hub")) & (F.col("m") > SHORT)).select("value", "id"), groups, "id")
         wide = left.groupBy("value").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).where("low <> high").select("value", "low")
@@ -273,7 +283,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = work.classes.select("n", "hi", "lo", "id").join(named, "id", "left").select(
         "n", "hi", "lo", F.coalesce("component", "id").alias("component"))
     classes = cut_lineage(classes)
-    for name in ("lists", "members", "sized", "proposed", "short", "clustered", "classes"):
+    for name in ("sized", "clustered", "classes"):
         work.scratch.drop(name)
     rows = work.sketches.select("id", "n", "hi", "lo").join(classes, ["n", "hi", "lo"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

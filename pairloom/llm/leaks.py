@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.scratch import Scratch
+from pairloom.llm.scratch import Scratch, release
 from pairloom.llm.words import Powers, Slice, slices, tidy, words_of
 
 TERMS, RANK, EXTRA = 1 << 16, 96, 16
@@ -236,6 +236,8 @@ def products(terms: DataFrame, rank: np.ndarray, weights: np.ndarray, x: np.ndar
         own = np.frombuffer(row["sums"], "<f4").reshape(-1, x.shape[1])
         total[row["first"]:row["first"] + len(own)] = own
     shared.destroy()
+    del parts
+    release(terms.sparkSession)  # the next round's shuffle is as large as this one's: a tall array for each task
     return total
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.session import cut_lineage, scratch_path, shared_dir
 
-__all__ = ["Scratch", "cut_lineage", "put_file", "shared_dir"]
+__all__ = ["Scratch", "cut_lineage", "put_file", "release", "shared_dir"]
 
 
 class Scratch:
@@ -30,6 +33,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    time.sleep(1.2)  # once a second the JVM hears which of its tables Python has let go
+    spark._jvm.System.gc()
+
+
 def put_file(spark: SparkSession, label: str, content: bytes, step: int = 4 << 20) -> str:
     """Write one bounded file to the shared folder; `SparkContext.addFile` hands it to every executor, new ones too."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, label))

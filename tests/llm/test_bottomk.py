@@ -78,3 +78,31 @@ def test_overlaps_and_estimates():
     assert bottomk.overlaps(sets, sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     full = bottomk.union_estimate(*([x.astype(np.int32) for x in s] for s in (sets, sets[::-1])), 500)
     assert np.allclose(full, [len(np.intersect1d(a, b)) / max(len(np.union1d(a, b)), 1) for a, b in zip(sets, sets[::-1])])
+
+
+def test_steps_of_small_tables_take_few_tasks(spark, table):
+    """However many tasks shuffles have, a step reads and writes few edges in few tasks; all tasks leave files behind."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before, tracker = [spark.conf.get(n) for n in names], spark.sparkContext.statusTracker()
+    links = table([(i, i + 1) for i in range(60)], "a long, b long")
+    try:
+        for name, value in zip(names, ("40", "false")):
+            spark.conf.set(name, value)
+        spark.sparkContext.setJobGroup("few-tasks", "")
+        groups = components(links)
+        stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+        took = sorted(i.numTasks for i in map(tracker.getStageInfo, stages) if i and i.numCompletedTasks)
+        assert {r["component"] for r in groups.collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert len([n for n in took if n >= 80]) <= 1, took  # both directions of the edges as the first distinct left them
+
+
+def test_components_are_the_same_without_broadcasts(table, monkeypatch):
+    links = [(1, 2), (2, 3), (5, 4), (4, 5), (6, 6), (None, 1), (3, 9), (9, 8)] + [(100 + i, 101 + i) for i in range(20)] + [(200, 201 + i) for i in range(20)]
+    few = sorted(map(tuple, components(table(links, "a long, b long")).collect()))
+    monkeypatch.setattr("pairloom.llm.components.FEW", 0)
+    monkeypatch.setattr("pairloom.llm.components.PART", 4)
+    assert sorted(map(tuple, components(table(links, "a long, b long")).collect())) == few

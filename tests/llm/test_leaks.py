@@ -1,4 +1,6 @@
 import itertools
+import re
+import time
 
 import numpy as np
 import pytest
@@ -189,3 +191,19 @@ def test_windows_near_by_lists_are_those_of_all_products():
     every = np.array([(b, i, j) for b in range(len(text)) for i in range(5) for j in leaks.WINDOWS])
     near = leaks.listed_near(group, padded, norms, text, *every.T)
     assert found == set(map(tuple, every[near].tolist())) and 0 < len(found) < len(every)
+
+
+def test_a_round_leaves_no_shuffle_behind(spark, table):
+    """Every round shuffles a tall array for each task; the files go before the next one."""
+    def shuffles():
+        names = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return set(re.findall(r"shuffle_(\d+)_", names))
+
+    terms = leaks.term_table(table([("a b c",), ("d e f",)], "text string")).localCheckpoint()
+    before = shuffles()
+    leaks.products(terms, np.arange(leaks.TERMS).astype(np.uint16), np.ones(leaks.TERMS, np.float32), np.ones((leaks.TERMS, 2), np.float32))
+    for _ in range(20):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
