@@ -8,7 +8,8 @@ nothing moves; tokens with one terminal are one group.
 Both tokenizers always begin a token at a blank that follows a character other than white space. Between two such places
 a stretch of text has the same tokens, links and groups wherever it stands, so each task aligns every distinct stretch
 once and puts documents together from stretches in numpy. A chunk of a few megabytes of documents keeps its distinct id
-pairs; only those are shuffled, to be counted over the corpus and to bring the counts back to the chunk.
+pairs; those are shuffled, to be counted over the corpus and to bring the counts back to the chunk. Of a document's links
+the chunk's row holds each pair's number in the chunk and how often it comes, in as few bytes as they need.
 """
 
 from __future__ import annotations
@@ -17,21 +18,25 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.scratch import Scratch
-from pairloom.llm.words import slices
+from pairloom.llm.words import slices, tidy
 
-CHUNK = 4 << 20  # bytes of text whose id pairs are counted together; a longer text is a chunk of its own
+CHUNK = 2 << 20  # bytes of text whose id pairs are counted together; a longer text is a chunk of its own
+ROW = 128  # bytes that a row weighs besides its text, so that empty texts fill a chunk too
+SLICE = 256 << 10  # bytes of text that are aligned at once
+BATCH = str(4 << 20)  # bytes of rows that Spark hands to a worker at once, whatever the length of a text
 TOGETHER = 4096  # characters of new stretches that go to a tokenizer in one call
-KNOWN = 200_000  # stretches remembered from chunk to chunk
+KNOWN = 40 << 20  # bytes of stretches remembered from chunk to chunk, some 200,000 words
 MARK = "▁"  # a blank, within the pieces of B
 ODD = re.compile(r"\s |\s\Z")  # white space before a blank or at the end
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -113,6 +118,35 @@ def flat(lists: Iterable[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int64)
 
 
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, and the sum of its times."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(times[order], first) if len(first) else times[:0]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(x.max(initial=0)).newbyteorder("<")).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside gets its rows in batches of BATCH bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Stretches:
     """Aligned stretches by number: tokens, groups, the id pairs of their links, and their groups as text.
 
@@ -127,6 +161,7 @@ class Stretches:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.named: list[str] = []
+        self.size = 0
         self.good = np.zeros(0, bool)
         self.counts, self.begin, self.links = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -189,6 +224,7 @@ class Stretches:
         first = len(self.named)
         self.number.update(zip(texts, range(first, first + len(texts))))
         self.named += named
+        self.size += sum(map(len, texts)) + sum(map(len, named)) + links.nbytes + 100 * len(texts)
         self.good = np.concatenate([self.good, np.full(len(texts), good)])
         self.counts = np.concatenate([self.counts, counts])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts[:, 3])])
@@ -240,7 +276,7 @@ class Chunk:
         self.stretches.append(number)
         self.times.append(times)
         self.n += len(lists)
-        self.size += size
+        self.size += size + ROW * len(lists)
 
     def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
         docs, used, times = (np.concatenate(x) for x in (self.docs, self.stretches, self.times))
@@ -248,19 +284,22 @@ class Chunk:
         lengths = self.known.counts[own, 3]
         links = self.known.links[ranges(self.known.begin[own], lengths)]
         pairs, at = np.unique(links, return_inverse=True)
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        # The documents of each pair: every (document, pair) once.
+        begin = np.cumsum(lengths) - lengths
+        # Every (document, pair) once, and how often it comes.
         held = np.repeat(docs, lengths[which]) * max(len(pairs), 1) + at[ranges(begin[which], lengths[which])]
-        holders = np.bincount(np.unique(held) % max(len(pairs), 1), minlength=len(pairs))
+        held, often = summed(held, np.repeat(times, lengths[which]))
+        docs, at = np.divmod(held, max(len(pairs), 1))
+        holders = np.bincount(at, minlength=len(pairs))
         counts = np.concatenate(self.counts)
         one = lambda x, t: pa.array([x], t)
-        raw = lambda x, t: one(x.astype(t).tobytes(), pa.binary())
+        raw = lambda x: one(x, pa.binary())
         listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         keys = pa.concat_arrays(self.keys).cast(kind)
         return pa.RecordBatch.from_arrays(
-            [one(number, pa.int64()), listed(keys), listed(pa.array(self.named, pa.string())), raw(counts, "<i8"), raw(docs, "<i4"),
-             raw(which, "<i4"), raw(times, "<i4"), raw(begin, "<i8"), raw(at, "<i4"), listed(pa.array(pairs)), listed(pa.array(holders.astype(np.int64)))],
-            ["chunk", "keys", "named", "counts", "docs", "which", "times", "begin", "at", "pairs", "holders"])
+            [one(number, pa.int64()), listed(keys), listed(pa.array(self.named, pa.string())), raw(counts.astype("<i8").tobytes()),
+             raw(np.bincount(docs, minlength=self.n).astype("<i8").tobytes()), raw(packed(at)), raw(packed(often)),
+             listed(pa.array(pairs)), listed(pa.array(holders.astype(np.int64)))],
+            ["chunk", "keys", "named", "counts", "sizes", "at", "often", "pairs", "holders"])
 
 
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a: str | None = None, b: str | None = None,
@@ -280,27 +319,29 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a: str | Non
     a, b = a or vocabulary("byte_bpe_50k.json"), b or vocabulary("piece_bpe_32k.model")
     kind = docs.schema[key].dataType.simpleString()
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = Stretches(Pair(a, b)), TaskContext.get().partitionId() << 32
         chunk = Chunk(known, digest)
         key_type = None
         for batch in batches:
             keys, texts, key_type = batch.column(0), batch.column(1), batch.schema.field(0).type
-            for part in slices(texts, 1 << 20):
+            for part in slices(texts, SLICE):
                 own = texts.slice(part.first, part.count).to_pylist()
                 chunk.add(keys.slice(part.first, part.count), [t or "" for t in own], len(part.data))
                 if chunk.size >= CHUNK:
                     yield chunk.row(number, key_type)
                     number += 1
-                    if len(known.named) > KNOWN:
+                    if known.size > KNOWN:
                         known.forget()
                     chunk = Chunk(known, digest)
         if chunk.n:
             yield chunk.row(number, key_type)
 
-    chunks = scratch.table(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        read, f"chunk long, keys array<{kind}>, named array<string>, counts binary, docs binary, which binary, times binary, "
-              "begin binary, at binary, pairs array<long>, holders array<long>"), "chunks")
+    with small_batches(docs.sparkSession):
+        chunks = scratch.table(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
+            read, f"chunk long, keys array<{kind}>, named array<string>, counts binary, sizes binary, at binary, often binary, "
+                  "pairs array<long>, holders array<long>"), "chunks")
     asked = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "holders")).alias("at", "p")).select(
         "chunk", "at", F.col("p.pairs").alias("pair"), F.col("p.holders").alias("n"))
     total = scratch.table(asked.groupBy("pair").agg(F.sum("n").alias("n")), "total")
@@ -316,13 +357,11 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a: str | Non
         counts = raw("counts", "<i8").reshape(len(keys), 4)
         v = np.zeros(found.num_rows, np.int64)
         v[found.column("at").to_numpy()] = found.column("v").to_numpy()
-        begin, at = raw("begin", "<i8"), raw("at", "<i4")
-        docs, which, times = raw("docs", "<i4"), raw("which", "<i4"), raw("times", "<i4").astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(raw("sizes", "<i8"))])
+        at, often = (unpacked(row.column(name)[0].as_py(), int(ends[-1])) for name in ("at", "often"))
         sums = []
         for x in (v & 1, v >> 1):
-            upto = np.concatenate([[0], np.cumsum(x[at])])
-            upto = np.concatenate([[0], np.cumsum((upto[begin[1:]] - upto[begin[:-1]])[which] * times)])
-            ends = np.searchsorted(docs, np.arange(len(keys) + 1))
+            upto = np.concatenate([[0], np.cumsum(x[at] * often)])
             sums.append(upto[ends[1:]] - upto[ends[:-1]])
         return pa.Table.from_arrays([keys, *(pa.array(counts[:, k]) for k in range(4)), *map(pa.array, sums), named],
                                     ["key", *COUNTS, "n_best", "count_sum", "groups"])

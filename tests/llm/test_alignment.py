@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairloom.llm import alignment
@@ -99,6 +100,54 @@ def test_empty_and_repeated(table):
     assert len(got) == 4 and len({tuple(r) for r in got}) == 1 and got[0]["count_sum"] == 4 * got[0]["n_links"]
 
 
+def test_chunk_row_is_smaller_than_its_text(pair):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeiouklmnrst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    given = [" ".join(rng.choices(words, k=400)) for _ in range(100)]
+    size = sum(map(len, given))
+    chunk = alignment.Chunk(alignment.Stretches(pair), True)
+    chunk.add(pa.array(range(len(given)), pa.int64()), given, size)
+    assert chunk.row(0, pa.int64()).nbytes < size
+
+
+def test_empty_texts_fill_a_chunk_and_long_stretches_the_memory(pair):
+    known = alignment.Stretches(pair)
+    chunk = alignment.Chunk(known, True)
+    chunk.add(pa.array(range(1000), pa.int64()), [""] * 1000, 0)
+    assert chunk.size >= 1000
+    chunk.add(pa.array([1], pa.int64()), ["日本語" * 1000], 9000)
+    assert known.size > 9000
+    known.forget()
+    assert known.size == 0
+
+
+def test_pairs_that_come_often(table, pair):
+    given = ["a b " * 130, "a b " * 200 + "c", "", None, "c a"]
+    got = sorted(map(tuple, alignment.align(table([(i, t, 1, "x") for i, t in enumerate(given)], SCHEMA)).collect()))
+    assert got == [(i, *r) for i, r in enumerate(brute(pair, given))]
+
+
+def test_numbers_are_packed_and_summed():
+    for top in (0, 1, 255, 256, 65535, 65536, 2**32 - 1, 2**32):
+        x = np.array([0, top, 1, top // 2])
+        assert alignment.unpacked(alignment.packed(x), 4).tolist() == x.tolist()
+    assert len(alignment.packed(np.arange(256))) == 256
+    assert alignment.unpacked(alignment.packed(np.zeros(0, np.int64)), 0).tolist() == []
+    keys, times = alignment.summed(np.array([5, 0, 5, 3, 0]), np.array([1, 2, 3, 4, 5]))
+    assert keys.tolist() == [0, 3, 5] and times.tolist() == [7, 4, 4]
+    assert [x.tolist() for x in alignment.summed(keys[:0], times[:0])] == [[], []]
+
+
+def test_workers_get_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    long = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+    count = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    with alignment.small_batches(spark):
+        most = max(r[0] for r in long.mapInArrow(count, "n long").collect())
+    assert most <= 8 and spark.conf.get(name, None) == before
+
+
 def test_query(spark, pair):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     want = [(i, *r[:6], hashlib.sha256(r[6].encode()).hexdigest() if r[6] else "") for (i, _), r in zip(docs, brute(pair, [t for _, t in docs]))]
