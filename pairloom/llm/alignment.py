@@ -57,14 +57,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def byte_tokenizer(path: str):
+    """The tokenizer in a file, the same one in all tasks of a worker: what this library holds for texts it has encoded stays in memory when a tokenizer goes."""
+    import tokenizers  # this module travels with each task, so the tokenizer is kept at one that does not
+    kept, at = vars(tokenizers).setdefault("_pairloom_kept", {}), os.stat(path)
+    name = path, at.st_mtime_ns, at.st_size
+    if name not in kept:
+        kept.clear()
+        kept[name] = tokenizers.Tokenizer.from_file(path)
+    return kept[name]
+
+
 class Pair:
     """Both tokenizers, and the bytes of every id."""
 
     def __init__(self, a: str, b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(a)
+        self.a = byte_tokenizer(a)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         letters = byte_letters()
         names = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}

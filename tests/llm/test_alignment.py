@@ -1,11 +1,13 @@
 import hashlib
 import random
+import shutil
 from collections import Counter
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from pairloom.llm import alignment
 from pairloom.llm.queries import QUERIES
@@ -148,6 +150,15 @@ def test_workers_get_small_batches(spark):
     assert most <= 8 and spark.conf.get(name, None) == before
 
 
+def test_tasks_share_a_tokenizer(pair, tmp_path):
+    run = cloudpickle.dumps(lambda path: alignment.byte_tokenizer(path))  # each load has modules of its own, as each task has
+    path = shutil.copy(alignment.vocabulary("byte_bpe_50k.json"), tmp_path / "v.json")
+    first = cloudpickle.loads(run)(str(path))
+    assert cloudpickle.loads(run)(str(path)) is first
+    path.write_text(path.read_text() + "\n")
+    assert cloudpickle.loads(run)(str(path)) is not first
+
+
 def test_query(spark, pair):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     want = [(i, *r[:6], hashlib.sha256(r[6].encode()).hexdigest() if r[6] else "") for (i, _), r in zip(docs, brute(pair, [t for _, t in docs]))]
